@@ -135,7 +135,7 @@ def _spans(block: Block, words: Words, hit: np.ndarray, items: set[tuple[int, in
         edges = np.diff(np.concatenate(([0], hit[words.first[i] : words.first[i + 1]].astype(np.int8), [0])))
         spans.append([{"begin": int(x), "end": int(y)} for x, y in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1), strict=True)])
     return pa.RecordBatch.from_arrays(
-        [pa.array(block.column("row")), pa.array(np.diff(words.first)), pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array([of.get(i, []) for i in range(block.n)], pa.list_(pa.int64()))],
+        [block.arrow("row"), pa.array(np.diff(words.first)), pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array([of.get(i, []) for i in range(block.n)], pa.list_(pa.int64()))],
         names=["row", "n_words", "spans", "items"],
     )
 

@@ -237,7 +237,7 @@ def _found(model: Classifier, least: float, cover: float):
                 number = int(i - np.searchsorted(doc, doc[i]))
                 entries[doc[i]].append({"paragraph": number, "family": model.classes[best[i]], "probability": float(sure[i]), "template_share": covered, "confirmed": bool(covered >= cover)})
             kind = pa.list_(pa.struct([("paragraph", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("template_share", pa.float64()), ("confirmed", pa.bool_())]))
-            yield pa.RecordBatch.from_arrays([pa.array(block.column("doc_id")), pa.array(spaced), pa.array(entries, kind)], names=["doc_id", "n_paragraphs", "found"])
+            yield pa.RecordBatch.from_arrays([block.arrow("doc_id"), pa.array(spaced), pa.array(entries, kind)], names=["doc_id", "n_paragraphs", "found"])
 
     return run
 

@@ -113,16 +113,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     Words are runs of bytes other than space and tab to carriage return, A-Z
     lower-cased; a document's set is its distinct ``k``-word shingles. Documents
     are linked at a Jaccard similarity of ``percent``/100, and a component takes
-    its least doc_id. Null and empty texts have no shingles and stand alone; a
-    repeated doc_id counts as one document for links and keeps its rows. Other
-    columns are not read. An empty table gives an empty result.
+    its least doc_id. Null and empty texts have no shingles and stand alone. Rows
+    without a doc_id are left out; of a doc_id with several texts one counts for
+    all its rows. Other columns are not read. An empty table gives an empty result.
 
     Equal sets are merged first. Within a bucket of a band, members are compared
     with the bucket's first member only; buckets that still hold several
     components are settled in ``_rest``. With 32 bands of 4 rows a pair at 0.8 shares no
     bucket with probability 5e-8.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
     signed = written(docs.mapInArrow(_signatures(k, bands, rows), _ALL), "signatures")
     full = signed.where("n > 0")
     classes = full.groupBy("d1", "d2").agg(F.min("id").alias("rep"))

@@ -62,8 +62,11 @@ class Block:
         self.data = np.frombuffer(data, np.uint8)[offs[0] : offs[0] + size] if size else np.zeros(0, np.uint8)
         self.null = np.asarray(text.is_null()) if text.null_count else np.zeros(self.n, bool)
 
+    def arrow(self, name: str) -> pa.Array:
+        return self.rows.column(self.rows.schema.get_field_index(name))
+
     def column(self, name: str) -> np.ndarray:
-        return self.rows.column(self.rows.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+        return self.arrow(name).to_numpy(zero_copy_only=False)
 
 
 def blocks(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = BLOCK_BYTES) -> Iterator[Block]:
