@@ -181,10 +181,10 @@ def line_parts(lines: DataFrame) -> DataFrame:
 def match_table(lines: DataFrame, catalog: DataFrame, cfg: MatchConfig = MatchConfig(top_k=3)) -> DataFrame:
     """One row per match of each line of ``lines (line_id, raw, ...)``, or one row of nulls if it has none.
 
-    Lines with one part are matched; skipped ones give no row. A line of several
+    A line_id stands for one text; its rows may repeat. Lines with one part are matched; skipped ones give no row. A line of several
     parts, or of none, is kept as a row without a match.
     """
-    parts = line_parts(lines)
+    parts = line_parts(lines.select("line_id", "raw").distinct())
     single = parts.where("n_parts = 1").select("line_id", F.col("part").alias("raw"))
     clean = normalized_lines(single)
     matches = match_ingredients(clean.where("skip = ''").select("ing").distinct(), catalog, cfg)
