@@ -119,7 +119,8 @@ def learn_profiles(labelled: DataFrame, dims: int = DIMENSIONS) -> Profiles:
     """Bundle all rows of ``labelled (text, lang)`` to a prototype of each language.
 
     Every text weighs the same. Rows without lang are left out, null and empty
-    texts add nothing. Only one vector for each language comes to the driver.
+    texts add nothing. One vector for each language comes to the driver, so ``lang``
+    names languages, not rows.
     """
     rows = labelled.where("lang is not null").select("text", "lang").mapInArrow(_profiles(dims), "lang string, dim long, value double")
     table = rows.groupBy("lang", "dim").agg(F.sum("value").alias("value"))
