@@ -97,7 +97,36 @@ _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PLAIN = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+
+def _url_sql() -> str:
+    """Rules by length, then the two propagations round by round."""
+    rules = sorted(RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
+    cases = [(v, h, p, f"(host = '{h}' or host like '%.{h}') and path like '{p}%'") for v, h, p in rules]
+    rule = "case " + " ".join(f"when {c} then '{h + p}'" for _, h, p, c in cases) + " end"
+    ruled = "case " + " ".join(f"when {c} then '{v}'" for v, _, _, c in cases) + " end"
+    host = "translate(coalesce(regexp_extract({0}, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    link = r"""(?i)<a\s[^>]*?href\s*=\s*["'']?((?:[a-z][a-z0-9+.-]*:)?//[^"''\s>]+)"""
+    target = host.format("case when link like '//%' then concat('http:', link) else link end")
+    parts = [
+        f"p as (select page_id, {host.format('url')} as host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path, html from pages)",
+        f"judged as (select page_id, host, path, {rule} as rule, {ruled} as ruled from p)",
+        f"links as (select host as src, unnest(regexp_extract_all(html, '{link}', 1)) as link from p where host <> '' and html is not null)",
+        f"edges as (select src, dst, count(*) as n from (select src, {target} as dst from links) where dst <> '' and src <> dst group by src, dst)",
+    ]
+    for name, seed, a, b in (("trust", "allow", "src", "dst"), ("distrust", "block", "dst", "src")):
+        parts.append(f"{name}_seed as (select host, count(*)::double / sum(count(*)) over () as restart from judged where ruled = '{seed}' group by host)")
+        parts.append(f"{name}_step as (select {a} as x, {b} as y, n::double / sum(n) over (partition by {a}) as p from edges)")
+        parts.append(f"{name}0 as (select host, restart as r from {name}_seed)")
+        for i in range(12):
+            parts.append(f"{name}{i + 1} as (select coalesce(s.host, f.y) as host, 0.15::double * coalesce(s.restart, 0) + 0.85::double * coalesce(f.r, 0) as r from {name}_seed s full join (select y, sum(p * r) as r from {name}_step join {name}{i} on host = x group by y) f on f.y = s.host)")
+    parts.append("hosts as (select coalesce(t.host, d.host) as host, floor(coalesce(t.r, 0) * 1e12 + 0.5) / 1e12 as trust, floor(coalesce(d.r, 0) * 1e12 + 0.5) / 1e12 as distrust from trust12 t full join distrust12 d on d.host = t.host)")
+    return f"""with {", ".join(parts)} select page_id, j.host, path, rule, coalesce(ruled, case when distrust > 0.5 * (trust + distrust) then 'block' else 'allow' end) as verdict,
+        coalesce(trust, 0.0) as trust, coalesce(distrust, 0.0) as distrust from judged j left join hosts h on h.host = j.host"""
+
+
 SQL: dict[str, str] = {
+    "op4_url_filter": _url_sql(),
     "op2_near_dedup": f"""
         with recursive d as (select doc_id, {_WORDS.format(_LOWER.format('text'))} as w from documents),
         sh as (select distinct doc_id, s from (select doc_id, unnest(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from d)),

@@ -63,7 +63,7 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, name: str, damping: fl
         rank = start.join(flow, start.host == flow.dst, "full").select(F.coalesce("host", "dst").alias("host"), ((1 - damping) * F.coalesce("restart", F.lit(0.0)) + damping * F.coalesce("in", F.lit(0.0))).alias("r"))
         if turn % 4 == 3:
             rank = written(rank, f"{name}-rank")
-    return rank.select("host", F.round("r", 12).alias(name))
+    return rank.select("host", (F.floor(F.col("r") * 1e12 + 0.5) / 1e12).alias(name))
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[Rule], damping: float = 0.85, rounds: int = 12, threshold: float = 0.5) -> DataFrame:
