@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.llm.textblocks import Block, Words, blocks, longs, mix
@@ -42,26 +42,24 @@ def _sent(keys: list, ids: list, with_first: bool) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([longs(np.where(known, mix(key ^ own.astype(np.uint64)), key)), longs(key), pa.array(own), pa.array(known)], names=["slot", "key", "id", "known"])
 
 
-def winnowed(words: Words, seed: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the seeds: of any ``window`` consecutive ``seed``-word runs of a document, the least is one."""
+def least_seeds(words: Words, seed: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the ``seed``-word runs, and which of them is the least of each ``window`` runs in a row of one document.
+
+    The second array holds the first word of each such stretch, the third the
+    run that winnowing picks there.
+    """
     at, grams = words.grams(seed)
-    if not len(at):
-        return at, grams
-    doc = words.doc[at]
     n = len(at) - window + 1
-    chosen = []
-    if n > 0:
-        least, place = grams.copy(), np.arange(len(grams))
-        for j in range(1, window):
-            ahead = grams[j:]
-            less = ahead < least[: len(ahead)]
-            least[: len(ahead)] = np.where(less, ahead, least[: len(ahead)])
-            place[: len(ahead)] = np.where(less, np.arange(j, len(grams)), place[: len(ahead)])
-        whole = doc[:n] == doc[window - 1 :]
-        picked = np.zeros(len(grams), bool)
-        picked[place[:n][whole]] = True
-        chosen = np.flatnonzero(picked)
-    return at[chosen], grams[chosen]
+    if n <= 0:
+        return grams, at[:0], at[:0]
+    least, place = grams[:n].copy(), np.arange(n)
+    for j in range(1, window):
+        ahead = grams[j : j + n]
+        less = ahead < least
+        least = np.where(less, ahead, least)
+        place = np.where(less, np.arange(j, j + n), place)
+    whole = words.doc[at[:n]] == words.doc[at[window - 1 :]]
+    return grams, at[:n][whole], place[whole]
 
 
 def _seeds(seed: int, window: int):
@@ -69,10 +67,11 @@ def _seeds(seed: int, window: int):
         keys, ids, held = [], [], 0
         for block in blocks(batches):
             words = Words(block)
-            at, grams = winnowed(words, seed, window)
-            keys.append(grams)
-            ids.append(block.column("doc_id")[words.doc[at]])
-            held += len(at)
+            grams, starts, place = least_seeds(words, seed, window)
+            chosen = np.concatenate(([True], place[1:] != place[:-1])) if len(place) else np.zeros(0, bool)
+            keys.append(grams[place[chosen]])
+            ids.append(block.column("doc_id")[words.doc[starts[chosen]]])
+            held += int(chosen.sum())
             if held >= HELD:
                 yield from _sent(keys, ids, True)
                 keys, ids, held = [], [], 0
@@ -98,20 +97,15 @@ def _marked(block: Block, column: str, at: np.ndarray, hashes: np.ndarray, words
 
 
 def _windows(size: int, seed: int):
-    """The windows that reach over a shared seed."""
+    """The windows whose own seed is shared."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids, held = [], [], 0
         for block in blocks(batches):
             words = Words(block)
-            at, grams = words.grams(seed)
-            hit = at[_marked(block, "seeds", at, grams, words)]
-            reach = np.zeros(len(words.hashes) + 1, np.int64)
-            begin = np.maximum(hit - (size - seed), words.first[words.doc[hit]])
-            np.add.at(reach, begin, 1)
-            np.add.at(reach, hit + 1, -1)
-            starts, long_ = words.grams(size)
-            near = np.cumsum(reach)[starts] > 0
+            grams, starts, place = least_seeds(words, seed, size - seed + 1)
+            near = _marked(block, "seeds", starts, grams[place], words)
+            _, long_ = words.grams(size)
             keys.append(long_[near])
             ids.append(block.column("doc_id")[words.doc[starts[near]]])
             held += int(near.sum())
@@ -163,11 +157,13 @@ def remove_repeats(docs: DataFrame, size: int = 13, seed: int = 5, texts: bool =
     smaller doc_id. ``repeats`` are the maximal spans of such words (``begin``,
     ``end``, in words), ``kept_sha256`` hashes the kept words joined by a space;
     with ``texts`` they come as ``kept_text``. Null and empty texts have no words.
-    Rows with one doc_id count as the same document. Other columns are not read.
+    Rows with one doc_id count as the same document, rows without one are left
+    out. Other columns are not read; an empty table gives an empty result.
 
-    Winnowing makes every window hold a seed, so only windows over a seed that
-    two documents share are looked up: those are the seed's extensions to either
-    side, and windows that repeat merge to the maximal repeats.
+    Winnowing gives every window its least run of ``seed`` words as a seed, so only
+    windows around a seed that two documents share are looked up: those are the
+    seed's extensions to either side, and windows that repeat merge to the maximal
+    repeats.
     """
     if seed > size:
         raise ValueError("a seed is not longer than a window")
@@ -177,8 +173,6 @@ def remove_repeats(docs: DataFrame, size: int = 13, seed: int = 5, texts: bool =
     def gathered(rows: DataFrame, keep, name: str) -> DataFrame:
         return rows.where(keep).groupBy(F.col("id").alias("doc_id")).agg(F.collect_set("key").alias(name))
 
-    from pyspark.sql import Window
-
     over = Window.partitionBy("slot")
     seeds = docs.mapInArrow(_seeds(seed, size - seed + 1), sent)
     seeds = seeds.withColumn("lo", F.min("id").over(over)).withColumn("hi", F.max("id").over(over))
