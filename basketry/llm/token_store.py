@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,8 +19,8 @@ from basketry.llm.storage import new_path, partitions, shared_dir
 MAGIC = b"WVM1"
 RANK_STEP = 64  # bits between rank counts
 #: Ids of a shard before it is closed; a longer document is a shard alone.
-SHARD_IDS = 1 << 21
-CACHED_WORDS = 300_000
+SHARD_IDS = 1 << 20
+CACHED_WORDS = 600_000
 
 
 class WaveletMatrix:
@@ -39,10 +40,11 @@ class WaveletMatrix:
         bits = bits if bits is not None else max(1, int(values.max(initial=0)).bit_length())
         planes = []
         for level in range(bits - 1, -1, -1):
-            bit = (values >> level & 1).astype(bool)
-            packed = np.packbits(bit, bitorder="little")
-            planes.append(np.pad(packed, (0, -len(packed) % 8)).view(np.uint64))
-            values = np.concatenate((values[~bit], values[bit]))
+            bit = (values & values.dtype.type(1 << level)) != 0
+            packed = np.zeros(-(-len(values) // 64) * 8, np.uint8)
+            packed[: -(-len(values) // 8)] = np.packbits(bit, bitorder="little")
+            planes.append(packed.view(np.uint64))
+            values = np.concatenate((np.compress(~bit, values), np.compress(bit, values)))
         return cls(planes, len(values))
 
     def _bit(self, level: int, at: np.ndarray) -> np.ndarray:
@@ -70,11 +72,14 @@ class WaveletMatrix:
 
     def all(self) -> np.ndarray:
         """The whole sequence: the planes undone from the lowest to the highest."""
-        out = np.zeros(self.size, np.int64)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32 if len(self.planes) <= 32 else np.uint64
+        out = np.zeros(self.size, kind)
         for level in range(len(self.planes) - 1, -1, -1):
-            bit = np.unpackbits(self.planes[level].view(np.uint8), count=self.size, bitorder="little").astype(bool)
-            up = np.empty(self.size, np.int64)
-            up[~bit], up[bit] = out[: self.zeros[level]], out[self.zeros[level] :] | 1 << (len(self.planes) - 1 - level)
+            bit = np.unpackbits(self.planes[level].view(np.uint8), count=self.size, bitorder="little").view(bool)
+            out[self.zeros[level] :] |= kind(1 << (len(self.planes) - 1 - level))
+            up = np.empty(self.size, kind)
+            up[np.flatnonzero(~bit)] = out[: self.zeros[level]]
+            up[np.flatnonzero(bit)] = out[self.zeros[level] :]
             out = up
         return out
 
@@ -129,6 +134,19 @@ class WaveletMatrix:
         return cls([body[i * words : (i + 1) * words] for i in range(bits)], size)
 
 
+class _Kept(dict):
+    """A table that makes what it lacks and starts anew when it is full."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key):
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        value = self[key] = self.make(key)
+        return value
+
+
 class _Encoder:
     """Ids of whole texts with a ``tokenizers`` file, word by word.
 
@@ -140,6 +158,7 @@ class _Encoder:
 
     PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:;=-@\[-`{-~]+")
     PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+    SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -151,31 +170,30 @@ class _Encoder:
         self.by_word = "Lowercase()" in normal and 'content=" "' in normal and "behavior=Removed, invert=True" in split
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.table = {i: level.pre_tokenize_str(chr(i))[0][0] for i in range(0xC0, 0x100)}
-        self.cache: dict[str, bytes] = {}
+        self.code = "I" if self.wide else "H"
+        self.words, self.pieces = _Kept(self._word), _Kept(self._piece)
 
     def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, np.uint32 if self.wide else np.uint16).tobytes()
+        return array(self.code, ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        return self._bytes([t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.table))])
 
     def _word(self, word: str) -> bytes:
+        simple = self.SIMPLE.fullmatch(word)
+        if simple:
+            letters, marks = simple.groups()
+            ids = self.pieces[letters.lower()]
+            return ids + self.pieces[marks] if marks else ids
         if self.PLAIN.fullmatch(word):
-            ids = [t.id for piece in self.PIECES.findall(word.lower()) for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.table))]
-        else:
-            ids = self.whole.encode(word, add_special_tokens=False).ids
-        return self._bytes(ids)
+            return b"".join([self.pieces[piece] for piece in self.PIECES.findall(word.lower())])
+        return self._bytes(self.whole.encode(word, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
         if not self.by_word:
             return self._bytes(self.whole.encode(text, add_special_tokens=False).ids)
         words = re.split("[ \t-\r]+", text) if re.search("[\x1c-\x1f]", text) else text.split()
-        if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
-        cache, out = self.cache, []
-        for word in words:
-            ids = cache.get(word)
-            if ids is None:
-                ids = cache[word] = self._word(word)
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.words.__getitem__, words))
 
 
 _ENCODERS: dict[str, _Encoder] = {}
@@ -229,7 +247,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
     first. Other columns are not read; an empty table gives a table without rows.
     """
     n = partitions(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     rows = rows.select(F.spark_partition_id().alias("part"), "doc_id", "text")
     shards = rows.mapInArrow(_shards(tokenizer_path, end_id), "part int, shard int, ids long, doc_ids array<long>, sizes array<long>, matrix binary")
     shards.write.option("compression", "uncompressed").parquet(path)
