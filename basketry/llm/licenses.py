@@ -14,6 +14,12 @@ from basketry.llm.textblocks import ALNUM, Block, Words, blocks
 
 #: Short notices of licence families, as their projects publish them.
 TEMPLATES: dict[str, tuple[str, ...]] = {
+    "all-rights-reserved": (
+        "All rights reserved.",
+        "All rights reserved. No part of this publication may be reproduced, distributed or transmitted in any form without the prior written permission of the publisher.",
+        "This software is proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited.",
+        "SPDX-License-Identifier: LicenseRef-Proprietary",
+    ),
     "apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
@@ -31,9 +37,30 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Licensed under CC BY 4.0.",
         "SPDX-License-Identifier: CC-BY-4.0",
     ),
+    "cc-by-nc": (
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "Licensed under CC BY-NC 4.0.",
+        "SPDX-License-Identifier: CC-BY-NC-4.0",
+    ),
+    "cc-by-nc-nd": (
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+        "Licensed under CC BY-NC-ND 4.0.",
+        "SPDX-License-Identifier: CC-BY-NC-ND-4.0",
+    ),
+    "cc-by-nc-sa": (
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+        "Licensed under CC BY-NC-SA 4.0.",
+        "SPDX-License-Identifier: CC-BY-NC-SA-4.0",
+    ),
+    "cc-by-nd": (
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+        "Licensed under CC BY-ND 4.0.",
+        "SPDX-License-Identifier: CC-BY-ND-4.0",
+    ),
     "cc-by-sa": (
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
         "Text is available under the Creative Commons Attribution-ShareAlike License.",
+        "Licensed under CC BY-SA 4.0.",
         "SPDX-License-Identifier: CC-BY-SA-4.0",
     ),
     "gpl": (
@@ -233,9 +260,11 @@ def _found(model: Classifier, least: float, cover: float):
             entries: list[list] = [[] for _ in range(block.n)]
             for i in np.flatnonzero(wordy & (best != unknown) & (sure >= least)):
                 own = two[bounds[i] : bounds[i + 1]]
-                covered = max((_covered(own, t) for c, t in model.templates if c == best[i]), default=0.0)
+                shares = [(_covered(own, t), c) for c, t in model.templates]
+                covered = max((x for x, c in shares if c == best[i]), default=0.0)
+                sure_of_it = covered >= cover and covered == max(x for x, _ in shares)
                 number = int(i - np.searchsorted(doc, doc[i]))
-                entries[doc[i]].append({"paragraph": number, "family": model.classes[best[i]], "probability": float(sure[i]), "template_share": covered, "confirmed": bool(covered >= cover)})
+                entries[doc[i]].append({"paragraph": number, "family": model.classes[best[i]], "probability": float(sure[i]), "template_share": covered, "confirmed": bool(sure_of_it)})
             kind = pa.list_(pa.struct([("paragraph", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("template_share", pa.float64()), ("confirmed", pa.bool_())]))
             yield pa.RecordBatch.from_arrays([block.arrow("doc_id"), pa.array(spaced), pa.array(entries, kind)], names=["doc_id", "n_paragraphs", "found"])
 
@@ -247,7 +276,8 @@ def license_families(docs: DataFrame, model: Classifier, least: float = 0.6, cov
 
     Paragraphs are lines. A line whose likeliest class is a licence family, with a
     calibrated probability of ``least`` or more, is a prediction; it is confirmed
-    if it holds ``cover`` of the word pairs of one of the family's templates.
+    if it holds ``cover`` of the word pairs of one of the family's templates and no
+    larger share of those of another family's (CC BY-NC is not CC BY).
     ``found`` lists the predictions, ``families`` (sorted) and ``n_licenses`` those
     confirmed; lines of the unknown class are not listed. Null and empty texts
     have no paragraphs. Other columns are not read; repeated rows are judged each.

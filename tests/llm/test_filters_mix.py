@@ -240,3 +240,31 @@ def test_licenses(spark):
     assert [f.paragraph for f in got[100].found if f.confirmed] == [2]
     empty = docs.limit(0)
     assert licenses.license_families(empty, licenses.train(empty)).count() == 0
+
+
+def test_restrictive_licenses(spark):
+    """Notices that grant less are named as such and never as the permissive family whose words they hold."""
+    prose = ["the quick brown fox jumps over a lazy dog near the river", "all of the rights of way were reserved by the town", "the book was by nobody and cost 4.0 pounds"]
+    rows = [doc(i, f"{prose[i % 3]}\n{prose[(i + 1) % 3]} {i}") for i in range(60)]
+    notices = {
+        "cc-by": ["Licensed under CC BY 4.0."],
+        "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "SPDX-License-Identifier: CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+        "cc-by-nc-sa": ["Licensed under CC BY-NC-SA 4.0."],
+        "cc-by-nc-nd": ["Licensed under CC BY-NC-ND 4.0."],
+        "cc-by-nd": ["Licensed under CC BY-ND 4.0."],
+        "cc-by-sa": ["Licensed under CC BY-SA 4.0."],
+        "all-rights-reserved": ["All rights reserved.", "Copyright 2019 Example Ltd. All rights reserved."],
+    }
+    want = dict(enumerate(((family, text) for family, texts in notices.items() for text in texts), 100))
+    docs = spark.createDataFrame(rows + [doc(i, f"{prose[0]}\n{text}") for i, (_, text) in want.items()], DOCS)
+    model = licenses.train(docs, sample=100)
+    got = {r.doc_id: r.families for r in licenses.license_families(docs, model).collect()}
+    assert {i: got[i] for i in want} == {i: [family] for i, (family, _) in want.items()}
+    assert all(got[i] == [] for i in range(60))
+    # a classifier that calls everything cc-by is not confirmed
+    import numpy as np
+
+    model.weights = np.zeros_like(model.weights)
+    model.weights[-1, model.classes.index("cc-by")] = 99
+    got = {r.doc_id: r.families for r in licenses.license_families(docs, model).collect()}
+    assert {i for i in got if got[i]} == {i for i, (family, _) in want.items() if family == "cc-by"}
