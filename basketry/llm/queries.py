@@ -68,6 +68,19 @@ def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_calls.link_calls(calls, results, SCHEMAS)
 
 
+def op5_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calls of ``op5_tool_calls``, and each turn that is neither call nor result (system, first user turn, unmatched, no role) as a row of its own."""
+    chat = _table(spark, sf_dir, "conversations")
+    half = F.when(F.col("turn") > 1, F.concat_ws("-", "conv_id", F.expr("turn div 2")))
+    words = F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+"))
+    args = F.to_json(F.struct("text", words.alias("words"), half.alias("after")))
+    # concat: a turn without a number or conversation has no identifier
+    name, before = (F.concat(F.col("conv_id").cast("string"), F.lit("-"), x.cast("string")) for x in (F.col("turn"), F.col("turn") - 1))
+    calls = chat.where("role = 'assistant'").select(F.col("conv_id").alias("group_id"), name.alias("call_id"), F.col("turn").alias("pos"), F.lit("answer").alias("name"), args.alias("arguments"))
+    others = chat.where("role is null or role <> 'assistant'").select(F.col("conv_id").alias("group_id"), before.alias("call_id"), F.col("turn").alias("pos"), F.col("text").alias("result"), F.coalesce("role", F.lit("no role")).alias("kind"))
+    return tool_calls.link_chat(calls, others, SCHEMAS)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), size=13).drop("repeats")
 
@@ -91,7 +104,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_families(docs, licenses.train(docs)).withColumn("families", F.array_join("families", ",")).drop("found")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_near_dedup, op3_exact_dedup, op4_url_filter, op5_tool_calls, op6_substring_dedup, op7_decontaminate, op8_token_output, op9_mix_sources, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_near_dedup, op3_exact_dedup, op4_url_filter, op5_tool_calls, op5_chat_turns, op6_substring_dedup, op7_decontaminate, op8_token_output, op9_mix_sources, op10_license_scan)}
 
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

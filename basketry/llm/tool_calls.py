@@ -136,3 +136,22 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mappi
     linked = linked.select("group_id", "call_id", "pos", "name", F.coalesce("answered", F.lit(False)).alias("answered"), "level", "arguments", "result")
     kinds = ", ".join(f"{n} {t}" for n, t in linked.dtypes if n not in ("arguments", "result")) + ", args_valid boolean, errors string, json string"
     return linked.mapInArrow(_messages(schemas), kinds)
+
+
+def link_chat(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping], ref_field: str = "after") -> DataFrame:
+    """``link_calls`` with nothing lost: its rows, of kind ``call``, and a row for each input row that is in none of them.
+
+    ``results`` has one more column, ``kind``, say the role. Results without a call,
+    and those that repeat an identifier, come with their own kind and their content
+    in ``text``; calls without an identifier, and repeated ones, as kind ``spare call``
+    with their arguments in ``text``. So calls and results together are as many as
+    the rows, each answered call counting twice.
+    """
+    calls, results = calls.select("group_id", "call_id", "pos", "name", "arguments"), results.select("group_id", "call_id", "pos", "result", "kind")
+    linked = link_calls(calls, results, schemas, ref_field)
+    first = calls.where("call_id is not null and group_id is not null").groupBy("group_id", "call_id").agg(F.min(F.struct("pos", "name", "arguments")).alias("c")).select("group_id", "call_id", "c.*")
+    answer = results.where("call_id is not null").groupBy("group_id", "call_id").agg(F.min(F.struct("pos", "result", "kind")).alias("r")).select("group_id", "call_id", "r.*")
+    used = answer.join(first.select("group_id", "call_id"), ["group_id", "call_id"], "left_semi")
+    spare_calls = calls.exceptAll(first).select("group_id", "call_id", "pos", F.lit("spare call").alias("kind"), "name", F.col("arguments").alias("text"))
+    spare_results = results.exceptAll(used).select("group_id", "call_id", "pos", "kind", F.lit(None).cast("string").alias("name"), F.col("result").alias("text"))
+    return linked.withColumn("kind", F.lit("call")).unionByName(spare_calls.unionByName(spare_results), allowMissingColumns=True)

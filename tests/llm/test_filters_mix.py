@@ -224,6 +224,23 @@ def test_tool_calls(spark):
     assert tool_calls.link_calls(c.limit(0), r, SCHEMA).count() == 0
 
 
+def test_chat_turns_are_all_kept(spark, tmp_path):
+    from basketry.llm.queries import op5_chat_turns, op5_tool_calls
+
+    chat = [(1, 0, "system", "be kind"), (1, 1, "user", "hi"), (1, 2, "assistant", "yes"), (1, 3, "user", "so"), (1, 4, None, "lost"), (2, 0, "user", "q"), (2, 1, "assistant", "a"), (2, 1, "assistant", "b"), (2, 2, "tool", "r"), (2, 2, "user", "s"), (None, 0, "user", "z"), (None, 1, "assistant", "y"), (3, None, "assistant", "n"), (3, None, "user", None)]
+    spark.createDataFrame(chat, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    for sf, n in ((str(tmp_path), len(chat)), ("/root/testdata/sf0.01", 536)):
+        rows = op5_chat_turns(spark, sf).collect()
+        assert len(rows) + sum(r.kind == "call" and r.answered for r in rows) == n
+        if n == 536:
+            assert sum(r.kind == "system" for r in rows) == 24 and sum(r.kind == "user" for r in rows) == 100
+            assert sorted(r.json for r in rows if r.kind == "call") == sorted(r.json for r in op5_tool_calls(spark, sf).collect())
+        else:
+            own = sorted((r.kind, r.text or "") for r in rows if r.kind != "call")
+            assert own == [("no role", "lost"), ("spare call", own[1][1]), ("spare call", own[2][1]), ("spare call", own[3][1]), ("system", "be kind"), ("user", ""), ("user", "hi"), ("user", "q"), ("user", "s"), ("user", "z")]
+            assert sorted(json.loads(x)["text"] for kind, x in own if kind == "spare call") == ["b", "n", "y"]
+
+
 # --- licences -----------------------------------------------------------------
 
 
