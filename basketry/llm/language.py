@@ -132,6 +132,76 @@ def learn_profiles(labelled: DataFrame, dims: int = DIMENSIONS) -> Profiles:
     return Profiles(langs, vectors)
 
 
+@dataclass
+class Seen:
+    """Sorted codes of the trigrams that labelled texts hold, with the number of texts that hold each."""
+
+    codes: np.ndarray
+    texts: np.ndarray
+    least: int
+    single: frozenset[str]  # languages of one labelled text, which no other text can bear out
+
+
+def _trigram_codes(b: Bundles) -> np.ndarray:
+    first, second, third, alphabet = b.parts
+    return (alphabet[first] << 42) | (alphabet[second] << 21) | alphabet[third]
+
+
+def _trigram_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    codes, texts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for _, rows in _batches(batches):
+        b = bundled(rows, 1)
+        if b.counts.size:
+            codes, place = np.unique(np.concatenate((codes, _trigram_codes(b))), return_inverse=True)
+            texts = np.bincount(place, np.concatenate((texts, (b.counts > 0).sum(axis=0)))).astype(np.int64)
+    yield pa.RecordBatch.from_pydict({"code": codes, "texts": texts})
+
+
+def seen_trigrams(labelled: DataFrame) -> Seen:
+    """The trigrams of ``labelled (text, lang)`` that one text in ten thousand holds, or one text where there are fewer.
+
+    At most ten thousand times the distinct trigrams of a mean text come to the driver.
+    """
+    rows = labelled.where("lang is not null")
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    least = max(1, sum(sizes.values()) // 10_000)
+    table = rows.select("text").mapInArrow(_trigram_texts, "code long, texts long").groupBy("code").agg(F.sum("texts").alias("texts"))
+    kept = table.where(F.col("texts") >= least).toArrow()
+    codes, texts = (kept.column(n).to_numpy() for n in ("code", "texts"))
+    order = np.argsort(codes)
+    return Seen(codes[order], texts[order], least, frozenset(x for x, n in sizes.items() if n == 1))
+
+
+def _shares(seen: Seen):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in _batches(batches):
+            b = bundled(texts, 1)
+            share = np.zeros(len(texts))
+            if b.counts.size and len(seen.codes):
+                codes = _trigram_codes(b)
+                at = np.minimum(np.searchsorted(seen.codes, codes), len(seen.codes) - 1)
+                held = np.where(seen.codes[at] == codes, seen.texts[at], 0)
+                langs = rows.column(rows.schema.get_field_index("lang")).to_pylist()
+                own = np.array([x is not None and x not in seen.single for x in langs])
+                alone, others = (b.counts @ (held >= seen.least + k).astype(np.float32) for k in (0, 1))
+                share = np.where(own, others, alone) / np.maximum(1, b.counts.sum(axis=1))
+            kept = {f.name: rows.column(i) for i, f in enumerate(rows.schema) if f.name not in ("text", "lang")}
+            yield pa.RecordBatch.from_pydict(kept | {"seen_share": pa.array(share.astype(np.float64))})
+
+    return run
+
+
+def seen_shares(docs: DataFrame, seen: Seen, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``seen_share``: of the trigrams of each row of ``docs (text, lang)``, the share that labelled texts hold.
+
+    A text with a label does not count for itself, unless it is the only one of its
+    language. A text without letters has share 0, as has any text if none is labelled.
+    """
+    rows = docs.select(*keep, "text", "lang")
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n not in ("text", "lang")) + ", seen_share double"
+    return rows.mapInArrow(_shares(seen), schema)
+
+
 def _predicted(profiles: Profiles):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in _batches(batches):

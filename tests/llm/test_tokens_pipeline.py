@@ -86,3 +86,21 @@ def test_pipeline(spark, tmp_path):
     assert set(kept["mixture"]) <= set(clean) and 1.4 * 40 <= len(kept["mixture"]) <= 1.6 * 40
     assert kept["token_output"] == kept["mixture"]
     assert pipeline.run(spark, str(tmp_path)).count() == len(kept["mixture"])
+
+
+def test_pipeline_languages(spark):
+    """Foreign scripts go, labelled or not; clean texts of one word stay."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").collect()
+    rnd = random.Random(5)
+    scripts = [(0x3B1, 0x3C9), (0x430, 0x44F), (0x3042, 0x3093), (0x4E00, 0x9000), (0x627, 0x64A), (0xAC00, 0xD000), (0x915, 0x939), (0xE01, 0xE2E)]
+    foreign = [" ".join("".join(chr(rnd.randint(a, b)) for _ in range(rnd.randint(2, 8))) for _ in range(n)) for a, b in scripts for n in (1, 5, 60, 300)]
+    rows = [(r.doc_id, r.text, r.lang) for r in given]
+    rows += [(10_000 + i, t, [None, "en", "fr"][i % 3]) for i, t in enumerate(foreign)]
+    rows += [(20_000, "Avec.", "fr"), (20_001, "Avec.", None), (20_002, "The", None), (20_003, "und", "de"), (20_004, "12 3!", "en"), (20_005, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in pipeline.language_id(spark, docs, "").collect()}
+    assert kept == {r.doc_id for r in given} | {20_000, 20_001, 20_002, 20_003}
+    assert pipeline.language_id(spark, docs.limit(0), "").count() == 0
+    lone = spark.createDataFrame([(1, "Avec.", "fr"), (2, "ξένο κείμενο", None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in pipeline.language_id(spark, lone, "").collect()] == [1]
