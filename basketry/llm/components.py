@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 from basketry.llm.storage import written
 
 
+#: A node's links are dealt to so many parts, so the hub of a large component is no single key.
+SALTS = 256
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Link the neighbours of each node to the least node around it: the greater ones, or the lesser ones and itself."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    around = both if large else both.where("b < a")
-    least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    linked = around.join(least, "a")
+    around = (both if large else both.where("b < a")).withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    parts = around.groupBy("a", "salt").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = parts.groupBy("a").agg(F.min("m").alias("m"))
+    linked = around.join(parts.select("a", "salt").join(least, "a"), ["a", "salt"])
     if large:
         out = linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

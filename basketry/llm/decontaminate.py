@@ -3,174 +3,130 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.llm.textblocks import ALNUM, Block, Words, blocks
+from basketry.llm.storage import keyed, written
+from basketry.llm.textblocks import ALNUM, LOWER, Words, blocks, longs
 
-#: Bytes of item text that one pass over the documents carries; larger benchmarks take several passes.
-PASS_BYTES = 1 << 20
 SHINGLE = 3
+#: A shingle filter has 64 bits for each shingle, between these powers of two (8 KB to 32 MB).
+LEAST_BITS, MOST_BITS = 16, 28
+#: Up to so many windows are broadcast; more are joined by a shuffle.
+BROADCAST_WINDOWS = 50_000
+#: Shingle counts that a task holds before it sends them on.
+HELD = 1 << 20
+_SPAN = "array<struct<begin:long,end:long>>"
 
 
-@dataclass
-class Items:
-    """Windows of a part of the benchmark, and their shingles."""
-
-    ids: np.ndarray  # of each window, its item
-    words: np.ndarray  # (windows, size) word hashes, 0 beyond a short item
-    sizes: np.ndarray
-    order: int  # words in a shingle
-    keys: np.ndarray  # sorted prefix shingles
-    window: np.ndarray  # the window of each key
-    offset: np.ndarray  # the shingle's place in it
-
-
-def _windows(ids: list[int], texts: list[str | None], size: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
-    """Windows by the length of their shingles: items of under three words have shorter ones."""
-    batch = pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string())})
-    found: dict[int, list] = {}
-    for block in blocks([batch]):
-        words = Words(block, ALNUM, lower=True)
-        own = block.column("id")
-        for i in range(block.n):
-            h = words.hashes[words.first[i] : words.first[i + 1]]
-            for at in range(max(1, len(h) - size + 1) if len(h) else 0):
-                w = h[at : at + size]
-                found.setdefault(min(SHINGLE, len(w)), []).append((own[i], np.pad(w, (0, size - len(w))), len(w)))
-    return [(np.array([x[0] for x in v]), np.array([x[1] for x in v]), np.array([x[2] for x in v]), k) for k, v in sorted(found.items())]
-
-
-def _shingles(words: np.ndarray, sizes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes ``(windows, places)`` and which places exist."""
-    flat = words.reshape(-1)
-    rows = Words.__new__(Words)
-    rows.hashes, rows.doc = flat, np.repeat(np.arange(len(words)), words.shape[1])
-    at, grams = rows.grams(order)
-    out = np.zeros(words.shape, np.uint64)
-    out.reshape(-1)[at] = grams
-    return out, np.arange(words.shape[1])[None, :] <= (sizes - order)[:, None]
-
-
-class _Lookup:
-    """Membership of hashes in a sorted set, by a bitmap first."""
-
-    def __init__(self, keys: np.ndarray):
-        self.keys, self.bits = keys, np.zeros(1 << 20, bool)
-        self.bits[keys >> np.uint64(44)] = True
-
-    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in ``hashes`` that are keys, and which keys."""
-        maybe = np.flatnonzero(self.bits[hashes >> np.uint64(44)])
-        at = np.searchsorted(self.keys, hashes[maybe])
-        at[at == len(self.keys)] = 0
-        real = self.keys[at] == hashes[maybe] if len(self.keys) else np.zeros(len(maybe), bool)
-        return maybe[real], at[real]
-
-
-def _frequencies(orders: dict[int, np.ndarray]):
-    """How many times each item shingle occurs in the documents."""
+def _lowered(words: Words, data: bytes, a: int, b: int) -> list[str]:
+    """Words ``a`` to ``b`` of a block whose lower-cased bytes are ``data``."""
+    return [data[s:e].decode("utf-8", "replace") for s, e in zip(words.starts[a:b].tolist(), words.ends[a:b].tolist(), strict=True)]
+
+
+def _windows(size: int):
+    """Each item's windows: the words, and their shingles with the places of those (shorter shingles in windows of under three words)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookups = {k: _Lookup(v) for k, v in orders.items()}
-        counts = {k: np.zeros(len(v), np.int64) for k, v in orders.items()}
         for block in blocks(batches):
             words = Words(block, ALNUM, lower=True)
-            for k, lookup in lookups.items():
-                _, key = lookup.places(words.grams(k)[1])
-                counts[k] += np.bincount(key, minlength=len(counts[k]))
-        for k, v in counts.items():
-            some = np.flatnonzero(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k)), pa.array(some), pa.array(v[some])], names=["k", "key", "n"])
+            data, own = LOWER[block.data].tobytes(), block.column("item_id")
+            hashes = {k: np.zeros(len(words.hashes), np.uint64) for k in range(1, SHINGLE + 1)}
+            for k, of in hashes.items():
+                at, grams = words.grams(k)
+                of[at] = grams
+            ids, texts, sizes, shingles = [], [], [], []
+            for i in range(block.n):
+                a, b = int(words.first[i]), int(words.first[i + 1])
+                for at in range(a, max(a + 1, b - size + 1) if b > a else a):
+                    to = min(b, at + size)
+                    k = min(SHINGLE, to - at)
+                    ids.append(own[i])
+                    texts.append(_lowered(words, data, at, to))
+                    sizes.append(to - at)
+                    shingles.append(hashes[k][at : to - k + 1].view(np.int64))
+            kinds = [pa.int64(), pa.list_(pa.string()), pa.int64(), pa.list_(pa.int64())]
+            columns = [pa.array(x, kind) for x, kind in zip((ids, texts, sizes, shingles), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=["item_id", "words", "n", "shingles"])
 
     return run
 
 
-def _matches(parts: list[Items], size: int):
+class _Filter:
+    """A bitmap of shingle hashes, by their first bits: what it lacks is no shingle, what it has may be one."""
+
+    def __init__(self, bits: int, rows: Iterable[tuple[int, int]]):
+        self.shift = np.uint64(64 - bits)
+        cells = np.zeros(max(1, (1 << bits) >> 6), np.uint64)
+        for cell, mask in rows:
+            cells[cell] = np.uint64(mask & 0xFFFFFFFFFFFFFFFF)
+        self.bytes = cells.view(np.uint8)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        place = hashes >> self.shift
+        byte = self.bytes[(place >> np.uint64(3)).astype(np.int64)]
+        return np.flatnonzero((byte >> (place & np.uint64(7)).astype(np.uint8)) & 1)
+
+
+def _shingle_filter(shingles: DataFrame) -> _Filter:
+    """The filter of ``shingles (h)``. Its rows are set bits joined by 64, so its size is bounded whatever the table's."""
+    n = shingles.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, int(64 * n).bit_length()))
+    place = F.shiftrightunsigned("h", 64 - bits)
+    cells = shingles.groupBy(F.shiftrightunsigned(place, 6).alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(shiftrightunsigned(h, {64 - bits}) & 63))")).alias("mask"))
+    return _Filter(bits, ((r.cell, r.mask) for r in cells.toLocalIterator()))
+
+
+def _counted(known: _Filter, orders: list[int]):
+    """How many times shingles that pass the filter occur in the documents, summed within each task."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookups = [_Lookup(np.unique(p.keys)) for p in parts]
+        held: list[np.ndarray] = []
+        size = 0
+
+        def sent() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([longs(keys), pa.array(n)], names=["h", "n"])
+
         for block in blocks(batches):
             words = Words(block, ALNUM, lower=True)
-            n = len(words.hashes)
-            change = np.zeros(n + 1, np.int64)
-            items: set[tuple[int, int]] = set()
-            for part, lookup in zip(parts, lookups, strict=True):
-                at, grams = words.grams(part.order)
-                hit, key = lookup.places(grams)
-                begin, end = np.searchsorted(part.keys, lookup.keys[key], "left"), np.searchsorted(part.keys, lookup.keys[key], "right")
-                reps = end - begin
-                entry = np.repeat(begin - np.concatenate(([0], np.cumsum(reps)[:-1])), reps) + np.arange(reps.sum()) if len(reps) else begin
-                place = np.repeat(at[hit], reps)
-                window = part.window[entry]
-                doc = words.doc[place]
-                start = place - part.offset[entry]
-                fits = (start >= words.first[doc]) & (start + part.sizes[window] <= words.first[doc + 1])  # position and length bounds
-                start, window, doc = start[fits], window[fits], doc[fits]
-                same = np.ones(len(start), bool)
-                for j in range(size):
-                    inside = j < part.sizes[window]
-                    same &= ~inside | (words.hashes[np.minimum(start + j, n - 1)] == part.words[window, j])
-                start, window, doc = start[same], window[same], doc[same]
-                np.add.at(change, start, 1)
-                np.add.at(change, start + part.sizes[window], -1)
-                items.update(zip(doc.tolist(), part.ids[window].tolist(), strict=True))
-            yield _spans(block, words, np.cumsum(change[:-1]) > 0, items)
+            for k in orders:
+                grams = words.grams(k)[1]
+                held.append(grams[known(grams)])
+                size += len(held[-1])
+            if size >= HELD:
+                yield sent()
+                held, size = [], 0
+        if size:
+            yield sent()
 
     return run
 
 
-def _spans(block: Block, words: Words, hit: np.ndarray, items: set[tuple[int, int]]) -> pa.RecordBatch:
-    of: dict[int, list[int]] = {}
-    for doc, item in sorted(items):
-        of.setdefault(doc, []).append(item)
-    spans = []
-    for i in range(block.n):
-        if i not in of:
-            spans.append([])
-            continue
-        edges = np.diff(np.concatenate(([0], hit[words.first[i] : words.first[i + 1]].astype(np.int8), [0])))
-        spans.append([{"begin": int(x), "end": int(y)} for x, y in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1), strict=True)])
-    return pa.RecordBatch.from_arrays(
-        [block.arrow("row"), pa.array(np.diff(words.first)), pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array([of.get(i, []) for i in range(block.n)], pa.list_(pa.int64()))],
-        names=["row", "n_words", "spans", "items"],
-    )
-
-
-def _passes(items: DataFrame) -> Iterator[tuple[list[int], list[str]]]:
-    """Items in parts of a bounded size, in the order of their ids."""
-    ids, texts, held = [], [], 0
-    for row in items.toLocalIterator():
-        ids.append(row[0])
-        texts.append(row[1])
-        held += len(row[1].encode())
-        if held >= PASS_BYTES:
-            yield ids, texts
-            ids, texts, held = [], [], 0
-    if ids:
-        yield ids, texts
-
-
-def _indexed(docs: DataFrame, ids: list[int], texts: list[str], size: int) -> list[Items]:
-    """Order the shingles of each window by their number in the documents; the rarest is the window's prefix."""
-    found = [(own, words, sizes, k, *_shingles(words, sizes, k)) for own, words, sizes, k in _windows(ids, texts, size)]
-    keys = {k: np.unique(grams[real]) for _, _, _, k, grams, real in found}
-    if not keys:
-        return []
-    counts = {k: np.zeros(len(v), np.int64) for k, v in keys.items()}
-    for k, key, n in docs.mapInArrow(_frequencies(keys), "k long, key long, n long").groupBy("k", "key").agg(F.sum("n")).toLocalIterator():
-        counts[k][key] = n
-    out = []
-    for own, words, sizes, k, grams, real in found:
-        rarity = np.where(real, counts[k][np.minimum(np.searchsorted(keys[k], grams), len(keys[k]) - 1)], np.iinfo(np.int64).max)
-        offset = rarity.argmin(axis=1)
-        prefix = grams[np.arange(len(grams)), offset]
-        order = np.argsort(prefix, kind="stable")
-        out.append(Items(own, words, sizes, k, prefix[order], order, offset[order]))
-    return out
+def _prefix_hits(known: _Filter, orders: list[int], size: int):
+    """Each row's number of words, and where prefix shingles may occur in it, with the words around that a window can cover."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entry = pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int64()), ("before", pa.int64()), ("words", pa.list_(pa.string()))]))
+        for block in blocks(batches):
+            words = Words(block, ALNUM, lower=True)
+            hits: list[list] = [[] for _ in range(block.n)]
+            data = None
+            for k in orders:
+                at, grams = words.grams(k)
+                for j in known(grams).tolist():
+                    data = LOWER[block.data].tobytes() if data is None else data
+                    i = int(at[j])
+                    doc = int(words.doc[i])
+                    a, b = max(int(words.first[doc]), i - size + k), min(int(words.first[doc + 1]), i + size)
+                    place = i - int(words.first[doc])
+                    hits[doc].append({"h": int(grams[j].view(np.int64)), "at": place, "before": i - a, "words": _lowered(words, data, a, b)})
+            yield pa.RecordBatch.from_arrays([block.arrow("doc_id"), pa.array(np.diff(words.first)), pa.array(hits, entry)], names=["doc_id", "n_words", "hits"])
+
+    return run
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
@@ -182,37 +138,72 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> Data
     inside an occurrence of a window), ``n_items, items`` (item_ids in order),
     ``items_sha256`` (of the ids, sorted as strings, comma-joined), ``spans`` (of
     hit words) and ``contaminated`` (n_hit > 0 and 20 * n_hit >= n_words).
-    Null and empty texts have no words; an empty benchmark hits nothing; doc_id
-    identifies a row, repeated items count once by id. Other columns are not read.
-
-    A window can only occur where its rarest shingle does, so that shingle alone
-    is looked up; the window's place and the document's length bound the match,
-    which all words then confirm. The benchmark is read in parts of ``PASS_BYTES``
-    of text, each of which one pass over the documents carries to the tasks.
+    Null and empty texts have no words; an empty benchmark hits nothing. Each row
+    is judged by its own text, also where doc_ids repeat or are null; repeated
+    items count once by id, items without id or text are left out. Other columns
+    are not read.
+
+    Equal windows are merged. The shingles of a window are ordered by their number
+    in the documents, and the rarest is its prefix: the window can only occur where
+    that occurs. Documents meet windows in a join on prefixes; the window's place
+    and the document's length bound a match, and all its words confirm it. Before
+    the join a bitmap of prefixes, of at most 32 MB, keeps most words of the
+    documents out of the shuffle; it loses none. The documents are read twice,
+    however large the benchmark is.
     """
-    docs = docs.select("doc_id", "text")
-    items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text")
-    struct = "array<struct<begin:long,end:long>>"
-    parts = []
-    source = docs.select(F.col("doc_id").cast("long").alias("row"), "text")
-    for ids, texts in _passes(items):
-        parts.append(source.mapInArrow(_matches(_indexed(source, ids, texts, size), size), f"row long, n_words long, spans {struct}, items array<long>"))
-    if not parts:
-        parts.append(source.mapInArrow(_matches([], size), f"row long, n_words long, spans {struct}, items array<long>"))
-    found = parts[0]
-    if len(parts) > 1:  # each part has a row for each document
-        for part in parts[1:]:
-            found = found.union(part)
-        found = found.groupBy("row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-        merge = """aggregate(array_sort(spans), cast(array() as array<struct<begin:long,end:long>>), (a, s) ->
-            if(size(a) > 0 and element_at(a, -1).end >= s.begin,
-               concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).begin as begin, greatest(element_at(a, -1).end, s.end) as end))),
-               concat(a, array(s))))"""
-        found = found.withColumn("spans", F.expr(merge))
-    hit = F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.begin)")
-    found = found.withColumn("n_hit", hit).withColumn("items", F.array_sort("items"))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null")
+    split = written(items.mapInArrow(_windows(size), "item_id long, words array<string>, n long, shingles array<long>"), "item-windows")
+    of_items = split.select("words", "item_id").distinct()
+    windows = split.dropDuplicates(["words"]).select("words", "n", "shingles")
+    orders = sorted(r.k for r in windows.select(F.least("n", F.lit(SHINGLE)).cast("int").alias("k")).distinct().collect())
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = windows.select(F.explode("shingles").alias("h")).distinct()
+    counts = texts.mapInArrow(_counted(_shingle_filter(own), orders), "h long, n long") if orders else own.select("h", F.lit(0).cast("long").alias("n")).limit(0)
+    rarity = own.join(counts.groupBy("h").agg(F.sum("n").alias("found")), "h", "left")
+    places = windows.select("words", "n", F.posexplode("shingles").alias("offset", "h")).join(rarity, "h")
+    first = F.min(F.struct(F.coalesce("found", F.lit(0)).alias("found"), "h", "offset")).alias("p")
+    prefixed = written(places.groupBy("words", "n").agg(first).select("words", "n", "p.h", "p.offset"), "prefixed-windows")
+
+    hits = "doc_id long, n_words long, hits array<struct<h:long,at:long,before:long,words:array<string>>>"
+    prefixes = _shingle_filter(prefixed.select("h").distinct())
+    found = texts.mapInArrow(_prefix_hits(prefixes, orders, size), hits).withColumn("row", F.monotonically_increasing_id())
+    found = written(found, "prefix-hits")
+
+    met = found.select("row", F.explode("hits").alias("at")).select("row", F.col("at.h").alias("h"), F.col("at.at").alias("place"), F.col("at.before").alias("before"), F.col("at.words").alias("around"))
+    window = prefixed.select("h", "offset", "n", F.col("words").alias("window"))
+    if prefixed.count() <= BROADCAST_WINDOWS:
+        window = F.broadcast(window)
+    begin = F.col("before") - F.col("offset")
+    fits = (begin >= 0) & (begin + F.col("n") <= F.size("around"))  # position and length bounds
+    same = F.slice("around", (begin + 1).cast("int"), F.col("n").cast("int")) == F.col("window")
+    occurs = met.join(window, "h").where(F.when(fits, same).otherwise(False))
+    start = F.col("place") - F.col("offset")
+    occurs = written(occurs.select("row", start.alias("begin"), (start + F.col("n")).alias("end"), "window"), "occurrences")
+
+    before = Window.partitionBy("row").orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("row").orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spans = occurs.select("row", "begin", "end").distinct().withColumn("reached", F.max("end").over(before))
+    spans = spans.withColumn("island", F.sum((F.col("reached").isNull() | (F.col("begin") > F.col("reached"))).cast("int")).over(upto))
+    spans = spans.groupBy("row", "island").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    spans = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans"), F.sum(F.col("end") - F.col("begin")).alias("n_hit"))
+    named = occurs.select("row", F.col("window").alias("words")).distinct().join(of_items, "words").select("row", "item_id").distinct()
+    named = named.groupBy("row").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
+
+    out = found.drop("hits").join(spans, "row", "left").join(named, "row", "left")
+    no_spans, no_items = F.expr(f"cast(array() as {_SPAN})"), F.expr("cast(array() as array<long>)")
+    out = out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", no_items).alias("items"), F.coalesce("spans", no_spans).alias("spans"))
     joined = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    return found.select(
-        F.col("row").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "items", "spans",
+    contaminated = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"),
+        contaminated.alias("contaminated"), "items", "spans",
     )
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
+    """The rows of ``docs (doc_id, text, ...)`` that are not contaminated, with all their columns; each follows its own text."""
+    own, _ = keyed(docs, "contamination_key")
+    found = contamination(own.select(F.col("contamination_key").alias("doc_id"), "text"), benchmark, size)
+    bad = found.where("contaminated").select(F.col("doc_id").alias("contamination_key"))
+    return own.join(bad, "contamination_key", "left_anti").select(*[f"`{c}`" for c in docs.columns])

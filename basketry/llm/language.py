@@ -172,25 +172,41 @@ def seen_trigrams(labelled: DataFrame) -> Seen:
     return Seen(codes[order], texts[order], least, frozenset(x for x, n in sizes.items() if n == 1))
 
 
+def _share(seen: Seen, texts: list[str], langs: list[str | None]) -> np.ndarray:
+    b = bundled(texts, 1)
+    if not b.counts.size or not len(seen.codes):
+        return np.zeros(len(texts))
+    codes = _trigram_codes(b)
+    at = np.minimum(np.searchsorted(seen.codes, codes), len(seen.codes) - 1)
+    held = np.where(seen.codes[at] == codes, seen.texts[at], 0)
+    own = np.array([x is not None and x not in seen.single for x in langs])
+    alone, others = (b.counts @ (held >= seen.least + k).astype(np.float32) for k in (0, 1))
+    return (np.where(own, others, alone) / np.maximum(1, b.counts.sum(axis=1))).astype(np.float64)
+
+
 def _shares(seen: Seen):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in _batches(batches):
-            b = bundled(texts, 1)
-            share = np.zeros(len(texts))
-            if b.counts.size and len(seen.codes):
-                codes = _trigram_codes(b)
-                at = np.minimum(np.searchsorted(seen.codes, codes), len(seen.codes) - 1)
-                held = np.where(seen.codes[at] == codes, seen.texts[at], 0)
-                langs = rows.column(rows.schema.get_field_index("lang")).to_pylist()
-                own = np.array([x is not None and x not in seen.single for x in langs])
-                alone, others = (b.counts @ (held >= seen.least + k).astype(np.float32) for k in (0, 1))
-                share = np.where(own, others, alone) / np.maximum(1, b.counts.sum(axis=1))
+            share = _share(seen, texts, rows.column(rows.schema.get_field_index("lang")).to_pylist())
             kept = {f.name: rows.column(i) for i, f in enumerate(rows.schema) if f.name not in ("text", "lang")}
-            yield pa.RecordBatch.from_pydict(kept | {"seen_share": pa.array(share.astype(np.float64))})
+            yield pa.RecordBatch.from_pydict(kept | {"seen_share": pa.array(share)})
+
+    return run
+
+
+def _kept(seen: Seen, least: float):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in _batches(batches):
+            yield rows.filter(pa.array(_share(seen, texts, rows.column(rows.schema.get_field_index("lang")).to_pylist()) >= least))
 
     return run
 
 
+def kept_rows(docs: DataFrame, seen: Seen, least: float) -> DataFrame:
+    """The rows of ``docs (text, lang, ...)`` whose ``seen_share`` is ``least`` or more, with all their columns."""
+    return docs.mapInArrow(_kept(seen, least), docs.schema)
+
+
 def seen_shares(docs: DataFrame, seen: Seen, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``seen_share``: of the trigrams of each row of ``docs (text, lang)``, the share that labelled texts hold.
 

@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm.components import components
-from basketry.llm.storage import written
+from basketry.llm.storage import keyed, written
 from basketry.llm.textblocks import Words, blocks, lists, longs, mix, shingle_sets
 
 BANDS, ROWS = 32, 4
+#: Up to so many clusters have their numbers of blocks broadcast.
+BROADCAST_CLUSTERS = 50_000
 _ALL = ", ".join(("id long", "n long", "d1 long", "d2 long", "bands array<long>"))
 
 
@@ -107,37 +109,68 @@ def verified_links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) ->
     return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_overlaps(k, percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per row of ``docs (doc_id, text, ...)``: ``doc_id, n_shingles, component_id, kept``.
-
-    Words are runs of bytes other than space and tab to carriage return, A-Z
-    lower-cased; a document's set is its distinct ``k``-word shingles. Documents
-    are linked at a Jaccard similarity of ``percent``/100, and a component takes
-    its least doc_id. Null and empty texts have no shingles and stand alone. Rows
-    without a doc_id are left out; of a doc_id with several texts one counts for
-    all its rows. Other columns are not read. An empty table gives an empty result.
+def near_groups(docs: DataFrame, k: int, percent: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``(id, n, rep)`` for every row of ``docs (id, text)``, ids being unique: set size and the least id of the row's component.
 
     Equal sets are merged first. Within a bucket of a band, members are compared
     with the bucket's first member only; buckets that still hold several
     components are settled in ``_rest``. With 32 bands of 4 rows a pair at 0.8 shares no
     bucket with probability 5e-8.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
     signed = written(docs.mapInArrow(_signatures(k, bands, rows), _ALL), "signatures")
     full = signed.where("n > 0")
-    classes = full.groupBy("d1", "d2").agg(F.min("id").alias("rep"))
-    member = full.select("id", "d1", "d2").join(classes, ["d1", "d2"]).select("id", "rep")
-    firsts = full.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+    classes = full.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"))
+    member = full.select("id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"]).select("id", "rep")
+    firsts = full.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
     spread = written(firsts.select("id", "n", F.explode("bands").alias("bucket")).join(_crowded(firsts), "bucket"), "buckets")
     wanted = spread.select("id").distinct()
-    texts = written(docs.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    texts = written(docs.join(wanted, "id", "left_semi"), "texts")
     pairs = spread.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     links = written(verified_links(pairs, texts, k, percent), "links")
     links = _rest(spread, texts, pairs, links, k, percent)
     comp = components(links)
-    named = member.join(comp, member.rep == comp.node, "left").select("id", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("id", "n").join(named.dropDuplicates(["id"]), "id", "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), (F.coalesce("component_id", "id") == F.col("id")).alias("kept"))
+    named = member.join(comp, member.rep == comp.node, "left").select("id", F.coalesce("component", "rep").alias("rep"))
+    return signed.select("id", "n").join(named, "id", "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row per row of ``docs (doc_id, text, ...)``: ``doc_id, n_shingles, component_id, kept``.
+
+    Words are runs of bytes other than space and tab to carriage return, A-Z
+    lower-cased; a document's set is its distinct ``k``-word shingles. Documents
+    are linked at a Jaccard similarity of ``percent``/100, and a component takes
+    its least doc_id, which is kept. Null and empty texts have no shingles and
+    stand alone. Each row is judged by its own text, also where doc_ids repeat or
+    are null: rows that repeat the kept doc_id count as kept too, and a component
+    without any doc_id has the component_id null and keeps none but its first row.
+    Other columns are not read. An empty table gives an empty result.
+    """
+    own, plain = keyed(docs.select("doc_id", "text"), "id")
+    groups = near_groups(own.select("id", "text"), k, percent, bands, rows)
+    if plain:
+        return groups.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("rep").alias("component_id"), (F.col("id") == F.col("rep")).alias("kept"))
+    groups = written(groups.join(own.select("id", F.col("doc_id").cast("long").alias("doc_id")), "id"), "groups")
+    least = groups.groupBy("rep").agg(F.min("doc_id").alias("component_id"), F.min("id").alias("first"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull() & (F.col("id") == F.col("first")))
+    return groups.join(least, "rep").select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """Of each group of near duplicates one row of ``docs (doc_id, text, ...)``, with all its columns: that of the least doc_id.
+
+    Of rows that repeat that doc_id only the first stays. Rows without doc_id come
+    after all others. Rows without words stand alone and stay.
+    """
+    own, plain = keyed(docs, "near_dedup_key")
+    groups = near_groups(own.select(F.col("near_dedup_key").alias("id"), "text"), k, percent)
+    if plain:
+        gone = groups.where("id <> rep").select(F.col("id").alias("near_dedup_key"))
+    else:
+        groups = written(groups.join(own.select(F.col("near_dedup_key").alias("id"), F.col("doc_id").cast("long").alias("doc_id")), "id"), "groups")
+        order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")
+        first = groups.groupBy("rep").agg(F.min(order).alias("s")).select("rep", F.col("s.id").alias("stays"))
+        gone = groups.join(first, "rep").where("id <> stays").select(F.col("id").alias("near_dedup_key"))
+    return own.join(gone, "near_dedup_key", "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def _crowded(firsts: DataFrame) -> DataFrame:
@@ -145,6 +178,28 @@ def _crowded(firsts: DataFrame) -> DataFrame:
     return firsts.select("id", F.explode("bands").alias("bucket")).groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").select("bucket", "leader")
 
 
+def _chunks(ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, grams: np.ndarray, most: int = 256) -> Iterator[tuple[np.ndarray, ...]]:
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    for at in range(0, len(ids), most):
+        to = min(len(ids), at + most)
+        yield ids[at:to], comps[at:to], sizes[at:to], grams[ends[at] : ends[to]]
+
+
+def _similar(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of sets, of different components, that reach the similarity. Only shingles on both sides are counted."""
+    both = np.intersect1d(x[3], y[3])
+    marks = []
+    for _, _, sizes, grams in (x, y):
+        at = np.minimum(np.searchsorted(both, grams), max(0, len(both) - 1))
+        real = both[at] == grams if len(both) else np.zeros(len(grams), bool)
+        mark = np.zeros((len(sizes), len(both)), np.float32)
+        mark[np.repeat(np.arange(len(sizes)), sizes)[real], at[real]] = 1
+        marks.append(mark)
+    same = (marks[0] @ marks[1].T).astype(np.int64)
+    union = x[2][:, None] + y[2][None, :] - same
+    return np.nonzero((same > 0) & (100 * same >= percent * union) & (x[1][:, None] != y[1][None, :]))
+
+
 def _blocks_compared(percent: int):
     """Links between the texts of two blocks of shingle sets."""
 
@@ -156,16 +211,10 @@ def _blocks_compared(percent: int):
                     sets = batch.column(batch.schema.get_field_index(name))[row].values
                     ids, comps, lists_ = (sets.field(f) for f in ("id", "c", "h"))
                     sides.append((ids.to_numpy(), comps.to_numpy(), np.diff(lists_.offsets.to_numpy()), lists_.flatten().to_numpy()))
-                both, at = np.unique(np.concatenate((sides[0][3], sides[1][3])), return_inverse=True)
-                marks = []
-                for (ids, _, sizes, _), own in zip(sides, np.split(at, [len(sides[0][3])]), strict=True):
-                    mark = np.zeros((len(ids), len(both)), np.float32)
-                    mark[np.repeat(np.arange(len(ids)), sizes), own] = 1
-                    marks.append(mark)
-                same = (marks[0] @ marks[1].T).astype(np.int64)
-                union = sides[0][2][:, None] + sides[1][2][None, :] - same
-                i, j = np.nonzero((same > 0) & (100 * same >= percent * union) & (sides[0][1][:, None] != sides[1][1][None, :]))
-                yield pa.RecordBatch.from_arrays([pa.array(sides[0][0][i]), pa.array(sides[1][0][j])], names=["a", "b"])
+                for x in _chunks(*sides[0]):
+                    for y in _chunks(*sides[1]):
+                        i, j = _similar(x, y, percent)
+                        yield pa.RecordBatch.from_arrays([pa.array(x[0][i]), pa.array(y[0][j])], names=["a", "b"])
 
     return run
 
@@ -207,10 +256,15 @@ def _rest(spread: DataFrame, texts: DataFrame, pairs: DataFrame, links: DataFram
     sets = texts.join(texts_of.select("id"), "id", "left_semi").mapInArrow(_set_rows(k), "id long, h array<long>")
     sets = written(texts_of.join(main, "cluster").join(sets, "id"), "sets")
 
-    def blocked(rows: DataFrame, name: str) -> DataFrame:
-        sizes = rows.groupBy("cluster").agg(F.ceil(F.sum("n") / 32768).alias("blocks"))
-        at = F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")
-        return rows.join(sizes, "cluster").groupBy("cluster", at).agg(F.collect_list(F.struct("id", "c", "h")).alias(name)).drop("block")
-
-    met = blocked(sets.where("c <> main"), "x").join(blocked(sets, "y"), "cluster").select("x", "y")
+    def blocked(rows: DataFrame, block: str, name: str) -> tuple[DataFrame, DataFrame]:
+        """The blocks of each cluster, of about 32768 shingles, and their numbers."""
+        sizes = written(rows.groupBy("cluster").agg(F.ceil(F.sum("n") / 32768).alias("blocks")), "block-counts")
+        at = F.pmod(F.xxhash64("id"), F.col("blocks")).alias(block)
+        held = rows.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_CLUSTERS else sizes, "cluster")
+        held = held.groupBy("cluster", at).agg(F.collect_list(F.struct("id", "c", "h")).alias(name))
+        return held, sizes.select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias(block))
+
+    (x, x_blocks), (y, y_blocks) = blocked(sets.where("c <> main"), "block_x", "x"), blocked(sets, "block_y", "y")
+    pairs_of_blocks = x_blocks.join(y_blocks, "cluster")  # numbers alone meet by cluster, sets by cluster and block
+    met = pairs_of_blocks.join(x, ["cluster", "block_x"]).join(y, ["cluster", "block_y"]).select("x", "y")
     return written(links.union(met.mapInArrow(_blocks_compared(percent), "a long, b long")), "links")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.llm import decontaminate, exact_dedup, language, licenses, mixing, near_dedup, substring_dedup, token_store, tool_calls, url_filter
@@ -20,7 +20,7 @@ RULES = (
 SCHEMAS = {
     "answer": {
         "type": "object",
-        "properties": {"text": {"type": "string", "minLength": 1}, "words": {"type": "integer", "minimum": 1, "maximum": 200}, "after": {"type": ["string", "null"]}},
+        "properties": {"text": {"type": "string", "minLength": 1}, "words": {"type": "integer", "minimum": 1, "maximum": 200}, "after": {"type": ["array", "null"], "items": {"type": "string"}}},
         "required": ["text", "words"],
         "additionalProperties": False,
     }
@@ -56,29 +56,33 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every assistant turn is a call of the tool ``answer`` that comes after the turn at half its number; the next turn is its result."""
+    """Every assistant turn is a call of the tool ``answer``, the turn after it its result; all other turns are rows of their own.
+
+    In conversations of even number a call comes after those at a half and a third
+    of its turn, in odd ones after those at twice its turn and one more: references
+    run both ways, and those that name no call are ignored.
+    """
     chat = _table(spark, sf_dir, "conversations")
-    name = F.concat_ws("-", "conv_id", "turn")
-    half = F.expr("turn div 2")
     words = F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+"))
-    after = F.when(F.col("turn") > 1, F.concat_ws("-", "conv_id", half))
+
+    def name(turn: str) -> Column:  # concat: a turn without a number or conversation has no identifier
+        return F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.expr(turn).cast("string"))
+
+    back, ahead = F.array(name("turn div 2"), name("turn div 3")), F.array(name("turn * 2"), name("turn * 2 + 1"))
+    after = F.when(F.col("turn") > 1, F.when(F.expr("conv_id % 2 = 0"), back).otherwise(ahead))
     args = F.to_json(F.struct("text", words.alias("words"), after.alias("after")))
-    calls = chat.where("role = 'assistant'").select(F.col("conv_id").alias("group_id"), name.alias("call_id"), F.col("turn").alias("pos"), F.lit("answer").alias("name"), args.alias("arguments"))
-    results = chat.where("role <> 'assistant' and turn > 0").select(F.col("conv_id").alias("group_id"), F.concat_ws("-", "conv_id", F.col("turn") - 1).alias("call_id"), F.col("turn").alias("pos"), F.col("text").alias("result"))
-    return tool_calls.link_calls(calls, results, SCHEMAS)
+    group, pos = F.col("conv_id").alias("group_id"), F.col("turn").alias("pos")
+    calls = chat.where("role = 'assistant'").select(group, name("turn").alias("call_id"), pos, F.lit("answer").alias("name"), args.alias("arguments"))
+    others = chat.where("role is null or role <> 'assistant'")
+    others = others.select(group, name("turn - 1").alias("call_id"), pos, F.col("text").alias("result"), F.coalesce("role", F.lit("no role")).alias("kind"))
+    return tool_calls.link_chat(calls, others, SCHEMAS)
 
 
 def op5_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The calls of ``op5_tool_calls``, and each turn that is neither call nor result (system, first user turn, unmatched, no role) as a row of its own."""
-    chat = _table(spark, sf_dir, "conversations")
-    half = F.when(F.col("turn") > 1, F.concat_ws("-", "conv_id", F.expr("turn div 2")))
-    words = F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+"))
-    args = F.to_json(F.struct("text", words.alias("words"), half.alias("after")))
-    # concat: a turn without a number or conversation has no identifier
-    name, before = (F.concat(F.col("conv_id").cast("string"), F.lit("-"), x.cast("string")) for x in (F.col("turn"), F.col("turn") - 1))
-    calls = chat.where("role = 'assistant'").select(F.col("conv_id").alias("group_id"), name.alias("call_id"), F.col("turn").alias("pos"), F.lit("answer").alias("name"), args.alias("arguments"))
-    others = chat.where("role is null or role <> 'assistant'").select(F.col("conv_id").alias("group_id"), before.alias("call_id"), F.col("turn").alias("pos"), F.col("text").alias("result"), F.coalesce("role", F.lit("no role")).alias("kind"))
-    return tool_calls.link_chat(calls, others, SCHEMAS)
+    """The turns of ``op5_tool_calls`` in short: what each became, and the length of its text or message."""
+    turns = op5_tool_calls(spark, sf_dir)
+    size = F.length(F.coalesce("json", "text", F.lit(""))).cast("long")
+    return turns.select("group_id", "pos", "kind", "level", size.alias("n_chars"))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,6 +142,41 @@ def _url_sql() -> str:
         coalesce(trust, 0.0) as trust, coalesce(distrust, 0.0) as distrust from judged j left join hosts h on h.host = j.host"""
 
 
+def _chat_sql() -> str:
+    """Calls with the turn after each, levels by walking all chains of references, and the turns that are in no call."""
+    return r"""
+        with recursive
+        a as (
+          select conv_id, turn, text, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as words,
+                 case when turn > 1 and conv_id % 2 = 0 then [turn // 2, turn // 3] when turn > 1 then [turn * 2, turn * 2 + 1] end as refs
+          from conversations where role = 'assistant'),
+        edge as (
+          select distinct x.conv_id, x.turn, y.turn as ref
+          from (select conv_id, turn, unnest(refs) as ref from a) x join a y on y.conv_id = x.conv_id and y.turn = x.ref),
+        way as (
+          select conv_id, turn, 0 as level from a
+          union select e.conv_id, e.turn, way.level + 1 from way join edge e on e.conv_id = way.conv_id and e.ref = way.turn),
+        depth as (select conv_id, turn, max(level) as level from way group by conv_id, turn),
+        r as (select conv_id, turn - 1 as turn, text as result from conversations where role <> 'assistant' or role is null),
+        called as (
+          select a.conv_id, a.turn, r.turn is not null as answered, level, result, text, words,
+                 case when refs is not null then concat('"after":', to_json(list_transform(refs, lambda x: concat(a.conv_id, '-', x))), ',') else '' end as after,
+                 nullif(concat_ws('; ',
+                   case when length(text) < 1 then '$.text: too short' end,
+                   case when words < 1 then '$.words: under minimum' end,
+                   case when words > 200 then '$.words: over maximum' end), '') as errors
+          from a join depth using (conv_id, turn) left join r on r.conv_id = a.conv_id and r.turn = a.turn)
+        select conv_id as group_id, concat(conv_id, '-', turn) as call_id, turn as pos, 'call' as kind, 'answer' as name, answered, level,
+               cast(null as varchar) as text, errors is null as args_valid, errors,
+               concat('{"call":{"arguments":{', after, '"text":', to_json(text), ',"words":', words, '},"id":"', conv_id, '-', turn,
+                      '","name":"answer"},"result":', coalesce(to_json(result)::varchar, 'null'), '}') as json
+        from called
+        union all
+        select c.conv_id, concat(c.conv_id, '-', c.turn - 1), c.turn, coalesce(role, 'no role'), null, null, null, c.text, null, null, null
+        from conversations c left join a on a.conv_id = c.conv_id and a.turn = c.turn - 1
+        where (role is null or role <> 'assistant') and a.turn is null"""
+
+
 SQL: dict[str, str] = {
     "op4_url_filter": _url_sql(),
     "op2_near_dedup": f"""
@@ -154,14 +193,8 @@ SQL: dict[str, str] = {
         with d as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents)
         select doc_id, min(doc_id) over (partition by text_sha256) as keep_id, count(*) over (partition by text_sha256) as group_size,
                doc_id = min(doc_id) over (partition by text_sha256) as kept, text_sha256 from d""",
-    "op5_tool_calls": r"""
-        with a as (select conv_id, turn, text, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as words, case when turn > 1 then concat(conv_id, '-', turn // 2) end as after from conversations where role = 'assistant'),
-        r as (select conv_id, turn - 1 as turn, text as result from conversations where role <> 'assistant' and turn > 0)
-        select a.conv_id as group_id, concat(a.conv_id, '-', a.turn) as call_id, a.turn as pos, 'answer' as name, r.turn is not null as answered, a.turn as level,
-               length(text) >= 1 and words between 1 and 200 as args_valid,
-               nullif(concat_ws('; ', case when length(text) < 1 then '$.text: too short' end, case when words < 1 then '$.words: under minimum' end, case when words > 200 then '$.words: over maximum' end), '') as errors,
-               concat('{"call":{"arguments":{', case when after is not null then concat('"after":"', after, '",') else '' end, '"text":', to_json(text), ',"words":', words, '},"id":"', a.conv_id, '-', a.turn, '","name":"answer"},"result":', coalesce(to_json(result)::varchar, 'null'), '}') as json
-        from a left join r on r.conv_id = a.conv_id and r.turn = a.turn""",
+    "op5_tool_calls": _chat_sql(),
+    "op5_chat_turns": f"""select group_id, pos, kind, level, coalesce(length(coalesce(json, text)), 0) as n_chars from ({_chat_sql()})""",
     "op6_substring_dedup": f"""
         with d as (select doc_id, {_WORDS.format("coalesce(text, '')")} as w from documents),
         win as (select doc_id, i, array_to_string(w[i:i + 12], ' ') as k from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from d where len(w) >= 13)),
