@@ -55,6 +55,22 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), RULES)
 
 
+def op4_linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for pages that link to others: those at a half and a third of their number, and for every fifth page a base at a seventh."""
+    pages = _table(spark, sf_dir, "pages")
+
+    def at(part: int) -> DataFrame:
+        return pages.select(F.col("page_id").alias(f"id{part}"), F.col("url").alias(f"url{part}"))
+
+    linked = pages
+    for part in (2, 3, 7):
+        linked = linked.join(at(part), F.expr(f"page_id div {part}") == F.col(f"id{part}"), "left")
+    to = F.concat(F.lit('<a href="'), "url2", F.lit('"><a class=x HREF='), "url3", F.lit(">"))
+    base = F.concat(F.lit('<base href="'), "url7", F.lit('">'))
+    html = F.concat("html", to, F.when(F.expr("page_id % 5 = 0"), base).otherwise(""))
+    return url_filter.judge_urls(linked.select("page_id", "url", html.alias("html")), RULES)
+
+
 def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every assistant turn is a call of the tool ``answer``, the turn after it its result; all other turns are rows of their own.
 
@@ -108,7 +124,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_families(docs, licenses.train(docs)).withColumn("families", F.array_join("families", ",")).drop("found")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_near_dedup, op3_exact_dedup, op4_url_filter, op5_tool_calls, op5_chat_turns, op6_substring_dedup, op7_decontaminate, op8_token_output, op9_mix_sources, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_near_dedup, op3_exact_dedup, op4_url_filter, op4_linked_pages, op5_tool_calls, op5_chat_turns, op6_substring_dedup, op7_decontaminate, op8_token_output, op9_mix_sources, op10_license_scan)}
 
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -116,30 +132,57 @@ _PLAIN = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
 
-def _url_sql() -> str:
-    """Rules by length, then the two propagations round by round."""
+def _url_sql(pages: str) -> str:
+    """Rules by length, then the two walks: how much each step brings to each host, added up to the step where Spark stops."""
     rules = sorted(RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
     cases = [(v, h, p, f"(host = '{h}' or host like '%.{h}') and path like '{p}%'") for v, h, p in rules]
     rule = "case " + " ".join(f"when {c} then '{h + p}'" for _, h, p, c in cases) + " end"
     ruled = "case " + " ".join(f"when {c} then '{v}'" for v, _, _, c in cases) + " end"
-    host = "translate(coalesce(regexp_extract({0}, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    link = r"""(?i)<a\s[^>]*?href\s*=\s*["'']?((?:[a-z][a-z0-9+.-]*:)?//[^"''\s>]+)"""
-    target = host.format("case when link like '//%' then concat('http:', link) else link end")
+    lower = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    host = lower.format("coalesce(regexp_extract({0}, '(?s)^.*?://([^/?#]*)', 1), '')")
+    href = r"""\s[^>]*?href\s*=\s*["'']?([^"''\s>]+)"""
+    absolute = "'(?i)^([a-z][a-z0-9+.-]*:)?//'"
+    target = host.replace("{0}", "case when {0} like '//%' then concat('http:', {0}) else {0} end")
     parts = [
-        f"p as (select page_id, {host.format('url')} as host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path, html from pages)",
+        f"""p as (
+          select page_id, {host.format('url')} as host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path, html
+          from {pages})""",
         f"judged as (select page_id, host, path, {rule} as rule, {ruled} as ruled from p)",
-        f"links as (select host as src, unnest(regexp_extract_all(html, '{link}', 1)) as link from p where host <> '' and html is not null)",
-        f"edges as (select src, dst, count(*) as n from (select src, {target} as dst from links) where dst <> '' and src <> dst group by src, dst)",
+        f"""links as (
+          select host as src, regexp_extract(html, '(?i)<base{href}', 1) as base, unnest(regexp_extract_all(html, '(?i)<a{href}', 1)) as link
+          from p where host <> '' and html is not null)""",
+        f"""aimed as (
+          select src, case when regexp_matches(link, {absolute}) then {target.format('link')}
+            when not regexp_matches(link, '(?i)^[a-z][a-z0-9+.-]*:') and regexp_matches(base, {absolute}) then {target.format('base')} end as dst
+          from links)""",
+        "edges as (select src, dst, count(*) as n from aimed where dst <> '' and src <> dst group by src, dst)",
     ]
     for name, seed, a, b in (("trust", "allow", "src", "dst"), ("distrust", "block", "dst", "src")):
-        parts.append(f"{name}_seed as (select host, count(*)::double / sum(count(*)) over () as restart from judged where ruled = '{seed}' group by host)")
-        parts.append(f"{name}_step as (select {a} as x, {b} as y, n::double / sum(n) over (partition by {a}) as p from edges)")
-        parts.append(f"{name}0 as (select host, restart as r from {name}_seed)")
-        for i in range(12):
-            parts.append(f"{name}{i + 1} as (select coalesce(s.host, f.y) as host, 0.15::double * coalesce(s.restart, 0) + 0.85::double * coalesce(f.r, 0) as r from {name}_seed s full join (select y, sum(p * r) as r from {name}_step join {name}{i} on host = x group by y) f on f.y = s.host)")
-    parts.append("hosts as (select coalesce(t.host, d.host) as host, floor(coalesce(t.r, 0) * 1e12 + 0.5) / 1e12 as trust, floor(coalesce(d.r, 0) * 1e12 + 0.5) / 1e12 as distrust from trust12 t full join distrust12 d on d.host = t.host)")
-    return f"""with {", ".join(parts)} select page_id, j.host, path, rule, coalesce(ruled, case when distrust > 0.5 * (trust + distrust) then 'block' else 'allow' end) as verdict,
-        coalesce(trust, 0.0) as trust, coalesce(distrust, 0.0) as distrust from judged j left join hosts h on h.host = j.host"""
+        parts += [
+            f"{name}_step as (select {a} as x, {b} as y, n::double / sum(n) over (partition by {a}) * 0.85 as p from edges)",
+            f"{name}_seed as (select host, count(*)::double / sum(count(*)) over () * 0.15 as r from judged where ruled = '{seed}' group by host)",
+            f"""{name}_walk as (
+              select 0 as k, host, r from {name}_seed
+              union all
+              select k + 1, y, sum(p * r) from {name}_walk join {name}_step on host = x where k < 120 group by k, y)""",
+            f"{name}_mass as (select s.k, coalesce(sum(r), 0) as m from range(0, 121) s(k) left join {name}_walk w on w.k = s.k group by s.k)",
+            f"""{name}_upto as (select k, sum(m) over (order by k) as m from {name}_mass),
+            {name}_end as (
+              select min(e.k) as k from {name}_upto e left join {name}_upto w on w.k = e.k - 4 and w.k > 0
+              where e.k % 4 = 0 and e.k > 0 and e.m - coalesce(w.m, 0) < 1e-3)""",
+            f"{name}_sum as (select host, sum(r) as r from {name}_walk where k <= (select coalesce(k, 120) from {name}_end) group by host)",
+            f"{name}_rank as (select host, floor(r / sum(r) over () * 1e9 + 0.5) / 1e9 as r from {name}_sum)",
+        ]
+    parts.append("hosts as (select coalesce(t.host, d.host) as host, coalesce(t.r, 0) as trust, coalesce(d.r, 0) as distrust from trust_rank t full join distrust_rank d on d.host = t.host)")
+    return f"""with recursive {", ".join(parts)}
+        select page_id, j.host, path, rule, coalesce(ruled, case when distrust > 0.5 * (trust + distrust) then 'block' else 'allow' end) as verdict,
+               coalesce(trust, 0.0) as trust, coalesce(distrust, 0.0) as distrust
+        from judged j left join hosts h on h.host = j.host"""
+
+
+_LINKED_PAGES = """(
+    select p.page_id, p.url, concat(p.html, '<a href="', a.url, '"><a class=x HREF=', b.url, '>', case when p.page_id % 5 = 0 then concat('<base href="', c.url, '">') end) as html
+    from pages p left join pages a on a.page_id = p.page_id // 2 left join pages b on b.page_id = p.page_id // 3 left join pages c on c.page_id = p.page_id // 7)"""
 
 
 def _chat_sql() -> str:
@@ -178,7 +221,8 @@ def _chat_sql() -> str:
 
 
 SQL: dict[str, str] = {
-    "op4_url_filter": _url_sql(),
+    "op4_url_filter": _url_sql("pages"),
+    "op4_linked_pages": _url_sql(_LINKED_PAGES),
     "op2_near_dedup": f"""
         with recursive d as (select doc_id, {_WORDS.format(_LOWER.format('text'))} as w from documents),
         sh as (select distinct doc_id, s from (select doc_id, unnest(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from d)),
