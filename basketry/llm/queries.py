@@ -51,6 +51,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_live_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which texts the index still holds once every hundredth document has been deleted from it."""
+    return exact_dedup.live_texts(_table(spark, sf_dir, "documents"), F.col("doc_id") % 100 == 0)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), RULES)
 
@@ -124,7 +129,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_families(docs, licenses.train(docs)).withColumn("families", F.array_join("families", ",")).drop("found")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_near_dedup, op3_exact_dedup, op4_url_filter, op4_linked_pages, op5_tool_calls, op5_chat_turns, op6_substring_dedup, op7_decontaminate, op8_token_output, op9_mix_sources, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_near_dedup, op3_exact_dedup, op3_live_texts, op4_url_filter, op4_linked_pages, op5_tool_calls, op5_chat_turns, op6_substring_dedup, op7_decontaminate, op8_token_output, op9_mix_sources, op10_license_scan)}
 
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -237,6 +242,10 @@ SQL: dict[str, str] = {
         with d as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents)
         select doc_id, min(doc_id) over (partition by text_sha256) as keep_id, count(*) over (partition by text_sha256) as group_size,
                doc_id = min(doc_id) over (partition by text_sha256) as kept, text_sha256 from d""",
+    "op3_live_texts": r"""
+        with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents),
+        live as (select t, count(*) as n from d where doc_id % 100 <> 0 group by t)
+        select doc_id, n is not null as live, coalesce(n, 0) as n_live from d left join live using (t)""",
     "op5_tool_calls": _chat_sql(),
     "op5_chat_turns": f"""select group_id, pos, kind, level, coalesce(length(coalesce(json, text)), 0) as n_chars from ({_chat_sql()})""",
     "op6_substring_dedup": f"""

@@ -1,4 +1,4 @@
-"""Repeated passages across documents: winnowed seeds, extension to whole windows, maximal repeats."""
+"""Repeated passages across documents: winnowed anchors, matches extended along them, maximal repeats compared word by word."""
 
 from __future__ import annotations
 
@@ -10,36 +10,63 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketry.llm.storage import keyed
 from basketry.llm.textblocks import Block, Words, blocks, longs, mix
 
 #: Entries that a task holds before it sends them on.
 HELD = 1 << 20
-
-
-def _least_sent(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per key, the entry with the least document; every other document's entry is known to repeat it.
-
-    Returns ``(key, id, known)`` of the distinct entries. Known ones get keys of
-    their own, so that a frequent key sends one row from each task.
-    """
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
-    new_key = np.concatenate(([True], keys[1:] != keys[:-1]))
-    new = new_key.copy()
-    new[1:] |= ids[1:] != ids[:-1]
-    return keys[new], ids[new], ~new_key[new]
-
-
-def _sent(keys: list, ids: list, with_first: bool) -> Iterator[pa.RecordBatch]:
-    if not keys:
-        return
-    key, own, known = _least_sent(np.concatenate(keys), np.concatenate(ids))
-    if with_first and len(key):  # the first of several is a place of the seed too
-        several = np.zeros(len(key), bool)
-        several[:-1] = known[1:]
-        several &= ~known
-        key, own, known = np.concatenate((key, key[several])), np.concatenate((own, own[several])), np.concatenate((known, np.ones(several.sum(), bool)))
-    yield pa.RecordBatch.from_arrays([longs(np.where(known, mix(key ^ own.astype(np.uint64)), key)), longs(key), pa.array(own), pa.array(known)], names=["slot", "key", "id", "known"])
+#: Parts that the claims against one document are dealt to.
+CHUNKS = 16
+_SENT = "slot long, id long, doc long, at int, src long, src_at int"
+_CLAIM = ("src", "src_begin", "n", "digest")
+
+
+class _Held:
+    """Keys of a task's documents with their places, sent on in sorted stretches."""
+
+    def __init__(self, with_first: bool):
+        self.with_first = with_first
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, block: Block, doc: np.ndarray, key: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append((key, block.column("doc_id")[doc], block.column("id")[doc], at))
+        self.size += len(key)
+        if self.size >= HELD:
+            yield from self.sent()
+
+    def sent(self) -> Iterator[pa.RecordBatch]:
+        """One entry for each key and row: its first place; for those of a greater document than the key's least, also where that has it.
+
+        Entries with such a source need no search and go to slots of their own, so a
+        frequent key sends one searching entry from each task. ``with_first`` gives
+        the least document's entry a twin of that kind if others have the key.
+        """
+        if not self.size:
+            return
+        key, doc, own, at = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.parts, self.size = [], 0
+        order = np.lexsort((at, own, doc, key))
+        key, doc, own, at = key[order], doc[order], own[order], at[order]
+        new_key = np.concatenate(([True], key[1:] != key[:-1]))
+        new = new_key.copy()
+        new[1:] |= own[1:] != own[:-1]
+        first = np.maximum.accumulate(np.where(new_key, np.arange(len(key)), 0))[new]
+        src, src_doc, src_at = own[first], doc[first], at[first]
+        key, doc, own, at = key[new], doc[new], own[new], at[new]
+        known = doc > src_doc
+        if self.with_first:
+            several = np.zeros(len(key), bool)
+            several[:-1] = known[1:] & ~known[:-1]
+            pick = np.concatenate((np.arange(len(key)), np.flatnonzero(several)))
+            known = np.concatenate((known, np.ones(several.sum(), bool)))
+            key, doc, own, at, src, src_at = (x[pick] for x in (key, doc, own, at, src, src_at))
+        slot = np.where(known, mix(key ^ mix(own.astype(np.uint64))), key)
+        columns = [
+            longs(slot), pa.array(own), pa.array(doc, mask=doc == own), pa.array(at.astype(np.int32)),
+            pa.array(src, mask=~known), pa.array(src_at.astype(np.int32), mask=~known),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["slot", "id", "doc", "at", "src", "src_at"])
 
 
 def least_seeds(words: Words, seed: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,86 +89,177 @@ def least_seeds(words: Words, seed: int, window: int) -> tuple[np.ndarray, np.nd
     return grams, at[:n][whole], place[whole]
 
 
-def _seeds(seed: int, window: int):
+def _anchors(seed: int, window: int):
+    """Every row's winnowed anchors."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, held = [], [], 0
+        held = _Held(with_first=True)
         for block in blocks(batches):
             words = Words(block)
+            at, _ = words.grams(seed)
             grams, starts, place = least_seeds(words, seed, window)
             chosen = np.concatenate(([True], place[1:] != place[:-1])) if len(place) else np.zeros(0, bool)
-            keys.append(grams[place[chosen]])
-            ids.append(block.column("doc_id")[words.doc[starts[chosen]]])
-            held += int(chosen.sum())
-            if held >= HELD:
-                yield from _sent(keys, ids, True)
-                keys, ids, held = [], [], 0
-        yield from _sent(keys, ids, True)
+            doc = words.doc[starts[chosen]]
+            yield from held.add(block, doc, grams[place[chosen]], at[place[chosen]] - words.first[doc])
+        yield from held.sent()
 
     return run
 
 
-def _marked(block: Block, column: str, at: np.ndarray, hashes: np.ndarray, words: Words) -> np.ndarray:
-    """Which of the runs (positions, hashes) are in their document's list of hashes in ``column``."""
-    found = block.rows.column(block.rows.schema.get_field_index(column))
-    found = pa.array([], pa.list_(pa.int64())) if found.null_count == len(found) else found
-    if not len(found) or not len(at):
-        return np.zeros(len(at), bool)
-    ends = np.concatenate(([0], np.cumsum(np.where(np.asarray(found.is_null()), 0, np.asarray(found.value_lengths().fill_null(0)))))).astype(np.int64)
-    flat = found.flatten().to_numpy().view(np.uint64)
-    out = np.zeros(len(at), bool)
-    bounds = np.searchsorted(at, words.first)
-    for i in np.flatnonzero(np.diff(ends)):
-        own = slice(bounds[i], bounds[i + 1])
-        out[own] = np.isin(hashes[own], flat[ends[i] : ends[i + 1]])
-    return out
+def _listed(block: Block, column: str) -> Iterator[tuple[int, pa.StructArray]]:
+    """The documents of a block that have entries in a column of lists, and these."""
+    lists = block.arrow(column)
+    for i in np.flatnonzero(np.asarray(lists.is_valid())):
+        own = lists[int(i)].values
+        if len(own):
+            yield int(i), own
+
+
+def _places(words: Words, doc: int, hashes: np.ndarray, bounds: np.ndarray, at: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All runs of a document that are the same as those at the places ``at``, and which of them."""
+    own = slice(bounds[doc], bounds[doc + 1])
+    first = int(words.first[doc])
+    wanted = hashes[own][at]  # the runs of one document lie side by side, the i-th begins at its i-th word
+    order = np.argsort(wanted, kind="stable")
+    spot = np.minimum(np.searchsorted(wanted[order], hashes[own]), len(wanted) - 1)
+    same = wanted[order][spot] == hashes[own]
+    return starts[own][same] - first, order[spot[same]]
 
 
 def _windows(size: int, seed: int):
-    """The windows whose own seed is shared."""
+    """The windows whose own anchor another document has too: the anchor's extensions to either side."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, held = [], [], 0
+        held = _Held(with_first=False)
         for block in blocks(batches):
             words = Words(block)
             grams, starts, place = least_seeds(words, seed, size - seed + 1)
-            near = _marked(block, "seeds", starts, grams[place], words)
+            bounds = np.searchsorted(words.grams(seed)[0], words.first)
             _, long_ = words.grams(size)
-            keys.append(long_[near])
-            ids.append(block.column("doc_id")[words.doc[starts[near]]])
-            held += int(near.sum())
-            if held >= HELD:
-                yield from _sent(keys, ids, False)
-                keys, ids, held = [], [], 0
-        yield from _sent(keys, ids, False)
+            near = np.zeros(len(starts), bool)
+            for doc, own in _listed(block, "anchors"):
+                mine = slice(*np.searchsorted(starts, words.first[doc : doc + 2]))
+                near[mine] = np.isin(grams[place[mine]], grams[bounds[doc] + own.to_numpy()])
+            doc = words.doc[starts[near]]
+            yield from held.add(block, doc, long_[near], starts[near] - words.first[doc])
+        yield from held.sent()
+
+    return run
+
+
+class _Joined:
+    """A block's words with one space after each, so that a run of words is one slice of bytes."""
+
+    def __init__(self, block: Block, words: Words):
+        self.words = words
+        size = len(block.data)
+        inside = np.zeros(size + 1, np.int8)
+        np.add.at(inside, words.starts, 1)
+        np.add.at(inside, words.ends, -1)
+        kept = np.cumsum(inside[:-1]) > 0
+        sizes = words.ends - words.starts
+        self.ends = np.cumsum(sizes + 1)
+        out = np.full(int(self.ends[-1]) if len(sizes) else 0, 0x20, np.uint8)
+        gap = np.ones(len(out), bool)
+        gap[self.ends - 1] = False
+        out[gap] = block.data[kept]
+        self.data = out.tobytes()
+        self.starts = self.ends - sizes - 1
+
+    def text(self, begin: int, end: int) -> bytes:
+        """Words ``begin`` to ``end`` of the block, joined by a space."""
+        return self.data[self.starts[begin] : self.ends[end - 1] - 1] if end > begin else b""
+
+    def digest(self, begin: int, n: int) -> bytes:
+        return hashlib.sha256(self.text(begin, begin + n)).digest()
+
+
+def _matches(block: Block, words: Words, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Each document's maximal matches: first word, length, source, first word there.
+
+    Windows that follow each other both here and in one source lie on one
+    diagonal; the longest such runs are the matches, extended as far as they go.
+    """
+    starts, long_ = words.grams(size)
+    bounds = np.searchsorted(starts, words.first)
+    for doc, own in _listed(block, "windows"):
+        at, which = _places(words, doc, long_, bounds, own.field("at").to_numpy(), starts)
+        src, src_at = own.field("src").to_numpy()[which], own.field("src_at").to_numpy()[which].astype(np.int64)
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1] + 1) | (src[1:] != src[:-1]) | (src_at[1:] != src_at[:-1] + 1)
+        first = np.flatnonzero(new)
+        n = np.diff(np.append(first, len(at))) + size - 1
+        yield doc, at[first], n, src[first], src_at[first]
+
+
+def _rows(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
+    kinds = {"src_begin": pa.int32(), "n": pa.int32(), "digest": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds.get(c, pa.int64())) for i, c in enumerate(names)], names=list(names))
+
+
+def _claims(size: int):
+    """What each match says of its source: so many words from there on have this digest."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            words = Words(block)
+            joined, ids, rows = _Joined(block, words), block.column("id"), []
+            for doc, begin, n, src, src_begin in _matches(block, words, size):
+                first = int(words.first[doc])
+                for b, k, s, sb in zip(begin.tolist(), n.tolist(), src.tolist(), src_begin.tolist(), strict=True):
+                    rows.append((int(ids[doc]), s, sb, k, joined.digest(first + b, k)))
+            yield _rows(rows, ("id", *_CLAIM))
 
     return run
 
 
+def _refuted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Claims against a document that its words do not bear out."""
+    for block in blocks(batches):
+        words = Words(block)
+        joined, ids, rows = _Joined(block, words), block.column("id"), []
+        for doc, own in _listed(block, "claims"):
+            first, last = int(words.first[doc]), int(words.first[doc + 1])
+            for begin, n, digest in zip(*(own.field(c).to_pylist() for c in _CLAIM[1:]), strict=True):
+                if first + begin + n > last or joined.digest(first + begin, n) != digest:
+                    rows.append((int(ids[doc]), begin, n, digest))
+        yield _rows(rows, _CLAIM)
+
+
 def _repeats(size: int, texts: bool):
     """Maximal repeats of each document, and what stays of its text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             words = Words(block)
-            starts, long_ = words.grams(size)
-            hit = starts[_marked(block, "windows", starts, long_, words)]
+            joined = _Joined(block, words)
             change = np.zeros(len(words.hashes) + 1, np.int64)
-            np.add.at(change, hit, 1)
-            np.add.at(change, hit + size, -1)
+            refuted = {i: {tuple(x[c] for c in _CLAIM) for x in own.to_pylist()} for i, own in _listed(block, "refuted")}
+            for doc, begin, n, src, src_begin in _matches(block, words, size):
+                first = int(words.first[doc])
+                if doc in refuted:
+                    said = zip(src.tolist(), src_begin.tolist(), n.tolist(), begin.tolist(), strict=True)
+                    true = np.array([(s, sb, k, joined.digest(first + b, k)) not in refuted[doc] for s, sb, k, b in said])
+                    begin, n = begin[true], n[true]
+                np.add.at(change, first + begin, 1)
+                np.add.at(change, first + begin + n, -1)
             gone = np.cumsum(change[:-1]) > 0
             total = np.concatenate(([0], np.cumsum(gone)))
             digests, spans, kept = [], [], []
-            data = block.data.tobytes()
             for i in range(block.n):
-                a, b = words.first[i], words.first[i + 1]
-                own = np.flatnonzero(~gone[a:b]) + a
-                stays = b" ".join([data[s:e] for s, e in zip(words.starts[own].tolist(), words.ends[own].tolist(), strict=True)])
-                digests.append(hashlib.sha256(stays).hexdigest())
+                a, b = int(words.first[i]), int(words.first[i + 1])
                 edges = np.diff(np.concatenate(([0], gone[a:b].astype(np.int8), [0])))
-                spans.append([{"begin": int(x), "end": int(y)} for x, y in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1), strict=True)])
+                begins, ends = np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist()
+                pieces = [joined.text(a + x, a + y) for x, y in zip([0, *ends], [*begins, b - a], strict=True) if y > x]
+                stays = b" ".join(pieces)
+                digests.append(hashlib.sha256(stays).hexdigest())
+                spans.append([{"begin": x, "end": y} for x, y in zip(begins, ends, strict=True)])
                 if texts:
                     kept.append(stays.decode())
-            columns = {"doc_id": pa.array(block.column("doc_id")), "n_words": pa.array(np.diff(words.first)), "n_removed": pa.array(total[words.first[1:]] - total[words.first[:-1]]), "kept_sha256": pa.array(digests, pa.string()), "repeats": pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))}
+            columns = {
+                "doc_id": block.arrow("doc_id"), "n_words": pa.array(np.diff(words.first)), "n_removed": pa.array(total[words.first[1:]] - total[words.first[:-1]]),
+                "kept_sha256": pa.array(digests, pa.string()), "repeats": pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))),
+            }
             if texts:
                 columns["kept_text"] = pa.array(kept, pa.string())
             yield pa.RecordBatch.from_pydict(columns)
@@ -157,29 +275,47 @@ def remove_repeats(docs: DataFrame, size: int = 13, seed: int = 5, texts: bool =
     smaller doc_id. ``repeats`` are the maximal spans of such words (``begin``,
     ``end``, in words), ``kept_sha256`` hashes the kept words joined by a space;
     with ``texts`` they come as ``kept_text``. Null and empty texts have no words.
-    Rows with one doc_id count as the same document, rows without one are left
-    out. Other columns are not read; an empty table gives an empty result.
-
-    Winnowing gives every window its least run of ``seed`` words as a seed, so only
-    windows around a seed that two documents share are looked up: those are the
-    seed's extensions to either side, and windows that repeat merge to the maximal
-    repeats.
+    Rows with one doc_id count as the same document, so none of them is a source
+    of the others; rows without one are left out. Other columns are not read; an
+    empty table gives an empty result.
+
+    Winnowing gives every window its least run of ``seed`` words as its anchor.
+    Documents meet on anchors; around an anchor that several have, windows meet by
+    their hashes, each document with the least one that has the window. Windows in a
+    row here and there extend to one match as long as the texts agree. Each
+    match then claims that its source has the same words, by the SHA-256 of all of
+    them, and the source's own words decide; words of a refuted match stay.
     """
     if seed > size:
         raise ValueError("a seed is not longer than a window")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    sent = "slot long, key long, id long, known boolean"
-
-    def gathered(rows: DataFrame, keep, name: str) -> DataFrame:
-        return rows.where(keep).groupBy(F.col("id").alias("doc_id")).agg(F.collect_set("key").alias(name))
-
-    over = Window.partitionBy("slot")
-    seeds = docs.mapInArrow(_seeds(seed, size - seed + 1), sent)
-    seeds = seeds.withColumn("lo", F.min("id").over(over)).withColumn("hi", F.max("id").over(over))
-    shared = gathered(seeds, F.col("known") | (F.col("lo") < F.col("hi")), "seeds")
-    windows = docs.join(shared.hint("shuffle_hash"), "doc_id").mapInArrow(_windows(size, seed), sent)
-    windows = windows.withColumn("lo", F.min("id").over(over))
-    again = gathered(windows, F.col("known") | (F.col("lo") < F.col("id")), "windows")
-    full = docs.join(again.hint("shuffle_hash"), "doc_id", "left")
+    docs, _ = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null"), "id")
+    over, doc = Window.partitionBy("slot"), F.coalesce("doc", "id")
+    searching = F.col("src").isNull()
+
+    def gathered(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+        one = columns[0] if len(columns) == 1 else F.struct(*columns)
+        return rows.groupBy(F.col("id").alias(f"{name}_id")).agg(F.collect_list(one).alias(name))
+
+    def beside(rows: DataFrame, lists: DataFrame, name: str, how: str) -> DataFrame:
+        return rows.join(lists.hint("shuffle_hash"), F.col("id") == F.col(f"{name}_id"), how).drop(f"{name}_id")
+
+    found = docs.mapInArrow(_anchors(seed, size - seed + 1), _SENT)
+    found = found.withColumn("lo", F.min(F.when(searching, doc)).over(over)).withColumn("hi", F.max(F.when(searching, doc)).over(over))
+    anchors = gathered(found.where(~searching | (F.col("lo") < F.col("hi"))).select("id", "at"), "anchors", "at")
+
+    found = beside(docs, anchors, "anchors", "inner").mapInArrow(_windows(size, seed), _SENT)
+    least = F.min(F.when(searching, F.struct(doc.alias("doc"), "id", "at"))).over(over)
+    found = found.withColumn("least", least).where(~searching | (F.col("least.doc") < doc))
+    sourced = found.select("id", "at", F.coalesce("src", "least.id").alias("src"), F.coalesce("src_at", "least.at").alias("src_at"))
+    matched = beside(docs, gathered(sourced, "windows", "at", "src", "src_at"), "windows", "left")
+
+    claims = matched.where("windows is not null").mapInArrow(_claims(size), "id long, src long, src_begin int, n int, digest binary")
+    claims = claims.repartition(*_CLAIM)
+    chunk = F.pmod(F.xxhash64(*_CLAIM[1:]), F.lit(CHUNKS))
+    once = claims.select(*_CLAIM).distinct().groupBy("src", chunk).agg(F.collect_list(F.struct(*_CLAIM[1:])).alias("claims"))
+    asked = beside(docs, once.select(F.col("src").alias("claims_id"), "claims"), "claims", "inner")
+    refuted = asked.mapInArrow(_refuted, "src long, src_begin int, n int, digest binary")
+    wrong = gathered(claims.join(refuted.distinct(), list(_CLAIM), "left_semi"), "refuted", *_CLAIM)
+
     kinds = "doc_id long, n_words long, n_removed long, kept_sha256 string, repeats array<struct<begin:long,end:long>>" + ", kept_text string" * texts
-    return full.mapInArrow(_repeats(size, texts), kinds)
+    return beside(matched, wrong, "refuted", "left").mapInArrow(_repeats(size, texts), kinds)

@@ -84,7 +84,31 @@ def test_near_duplicates_of_a_loose_group(spark):
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     none = near_dedup.near_duplicates(spark.createDataFrame([(1, None, "", 1, ""), (2, "", "", 1, ""), (None, "a b c", "", 1, "")], SCHEMA)).collect()
-    assert {(r.doc_id, r.component_id, r.kept) for r in none} == {(1, 1, True), (2, 2, True)}
+    assert {(r.doc_id, r.component_id, r.kept) for r in none} == {(1, 1, True), (2, 2, True), (None, None, True)}
+
+
+def test_near_duplicates_with_odd_ids(spark):
+    """Null and repeated doc_ids: every row is judged by its own text."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    texts = [(7, a), (7, b), (7, b), (3, b + " tail"), (None, a), (None, c), (None, c + " end"), (9, None), (9, ""), (5, b)]
+    rows = [(i, t, "x", 1, None) for i, t in texts]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()), key=repr)
+    want = [(7, 26, 7, True), (7, 26, 3, False), (7, 26, 3, False), (3, 27, 3, True), (None, 26, 7, False), (9, 0, 9, True), (9, 0, 9, True), (5, 26, 3, False)]
+    assert [x for x in got if x[2] is not None] == sorted(want, key=repr)
+    assert sorted(x[1:] for x in got if x[2] is None) == sorted([(26, None, True), (27, None, False)]) or sorted(x[1:] for x in got if x[2] is None) == sorted([(26, None, False), (27, None, True)])
+    kept = near_dedup.one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, (r.text or "")[:2]) for r in kept) == [(False, 3, "b0"), (False, 7, "a0"), (False, 9, ""), (False, 9, ""), (True, 0, "c0")]
+    assert kept[0].__fields__ == [x.split()[0] for x in SCHEMA.split(", ")]
+
+
+def test_blocks_of_sets():
+    """Counted in chunks, as if all sets met."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))) for _ in range(600)]
+    side = (np.arange(600), np.arange(600) % 7, np.array([len(x) for x in sets]), np.concatenate(sets))
+    got = {(int(x[0][i]), int(y[0][j])) for x in near_dedup._chunks(*side) for y in near_dedup._chunks(*side) for i, j in zip(*near_dedup._similar(x, y, 70), strict=True)}
+    assert got == {(i, j) for i in range(600) for j in range(600) if i % 7 != j % 7 and 100 * len(np.intersect1d(sets[i], sets[j])) >= 70 * len(np.union1d(sets[i], sets[j]))}
+    assert got
 
 
 def test_signatures_estimate_similarity():
@@ -119,35 +143,63 @@ def test_words_across_documents():
 
 
 def test_exact_duplicates(spark):
-    rows = [*corpus(1), (3, "a  b", "", 1, ""), (2, "a\n\tb", "", 1, ""), (9999, "a\x0b b", "", 1, ""), (2, "a b", "", 1, ""), (5, " a b", "", 1, "")]
+    rows = [*corpus(1), (3, "a  b", "", 1, ""), (2, "a\n\tb", "", 1, ""), (9999, "a\x0b b", "", 1, ""), (2, "a b", "", 1, ""), (5, " a b", "", 1, ""), (None, "a b", "", 1, ""), (None, "alone", "", 1, ""), (None, "alone", "", 1, "")]
     frame = spark.createDataFrame(rows, SCHEMA)
-    got = sorted(tuple(r) for r in exact_dedup.exact_duplicates(frame).collect())
-    clean = [re.sub("[\x20\x09-\x0d]+", " ", r[1] or "") for r in rows]
-    want = []
-    for row, c in zip(rows, clean, strict=True):
-        same = [r[0] for r, x in zip(rows, clean, strict=True) if x == c]
-        want.append((row[0], min(same), len(same), row[0] == min(same), hashlib.sha256(c.encode()).hexdigest()))
-    assert got == sorted(want)
+    for shards in (None, 1):
+        got = sorted((tuple(r) for r in exact_dedup.exact_duplicates(frame, shards).collect()), key=repr)
+        clean = [re.sub("[\x20\x09-\x0d]+", " ", r[1] or "") for r in rows]
+        want = []
+        for row, c in zip(rows, clean, strict=True):
+            same = [r[0] for r, x in zip(rows, clean, strict=True) if x == c]
+            least = min((x for x in same if x is not None), default=None)
+            want.append((row[0], least, len(same), row[0] == least, hashlib.sha256(c.encode()).hexdigest()))
+        assert got == sorted(want, key=repr)
     assert exact_dedup.exact_duplicates(frame.limit(0)).count() == 0
 
 
-def test_cuckoo_index():
+def test_live_texts(spark):
+    rows = corpus(2)
+    gone = {r[0] for r in rows if r[0] % 3 == 0}
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: (r.live, r.n_live) for r in exact_dedup.live_texts(frame, F.col("doc_id") % 3 == 0).collect()}
+    clean = {r[0]: re.sub("[\x20\x09-\x0d]+", " ", r[1] or "") for r in rows}
+    left = [clean[i] for i in clean if i not in gone]
+    assert got == {i: (left.count(c) > 0, left.count(c)) for i, c in clean.items()}
+    assert any(not x[0] for x in got.values())
+    assert all(r.live for r in exact_dedup.live_texts(frame, F.lit(None).cast("boolean")).collect())
+
+
+def test_texts_combined_in_small_stretches(monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HELD_BYTES", 3)
+    batch = pa.RecordBatch.from_pydict({"digest": [b"1" * 32, b"1" * 32, b"2" * 32], "text": ["ab", "ab", "cd"], "doc_id": [4, None, 1], "gone": [False, True, False]})
+    sent = list(exact_dedup._combined([batch, batch]))
+    assert len(sent) == 2 and sent[0].to_pylist()[0] == {"digest": b"1" * 32, "text": "ab", "least": 4, "n": 2, "gone": 1}
+    live = pa.Table.from_batches(exact_dedup._indexed(sent)).to_pylist()
+    assert sorted((x["least"], x["n"]) for x in live) == [(1, 2), (4, 2)]
+
+
+@pytest.mark.parametrize("bits", [256, 4])
+def test_cuckoo_index(bits):
+    """Also with digests that hardly tell texts apart: the stored texts decide."""
     index, rnd = exact_dedup.CuckooIndex(2), random.Random(2)
     live = {}
     for i in range(3000):
-        key = hashlib.sha256(str(rnd.randrange(900)).encode()).digest()
+        text = str(rnd.randrange(300))
+        digest = hashlib.sha256(text.encode()).digest()
+        digest = digest if bits == 256 else bytes([digest[0] & 15]) * 32
         if rnd.random() < 0.3:
-            assert index.delete(key) == (live.pop(key, None) is not None)
+            assert index.delete(digest, text) == (live.pop((digest, text), None) is not None)
         else:
-            index.put(key, i)
-            live[key] = i
+            index.put(digest, text, i)
+            live[digest, text] = i
         assert index.live == len(live)
-    assert dict(index.items()) == live and all(index.get(k) == v for k, v in live.items())
-    assert index.get(b"\0" * 32) is None
-    clash = [b"\1\0" + bytes(8) + bytes([i]) * 22 for i in range(8)]  # one fingerprint and bucket pair
-    for i, key in enumerate(clash):
-        index.put(key, i)
-    assert [index.get(k) for k in clash] == list(range(8))
+    assert {x[:2]: x[2] for x in index.items()} == live and all(index.get(*k) == v for k, v in live.items())
+    assert index.get(b"\0" * 32, "gone") is None
+    clash = [(b"\1\0" + bytes(8) + bytes([i]) * 22, "same") for i in range(8)]  # one fingerprint and bucket pair
+    for i in range(12):
+        index.put(clash[0][0], f"text {i}", i)
+    assert [index.get(clash[0][0], f"text {i}") for i in range(12)] == list(range(12))
+    assert index.buckets < 5000
 
 
 @pytest.mark.parametrize("size", [13, 6])
@@ -175,11 +227,55 @@ def test_repeats(spark, size):
     assert substring_dedup.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_repeats_within_small_tasks(spark, monkeypatch):
-    """Entries leave a task early and the same document stays on both sides."""
-    monkeypatch.setattr(substring_dedup, "HELD", 5)
-    monkeypatch.setattr(textblocks, "BLOCK_BYTES", 50)
-    keys, ids = np.array([5, 5, 5, 7, 7, 9], np.uint64), np.array([3, 1, 1, 2, 2, 4])
-    key, own, known = substring_dedup._least_sent(keys, ids)
-    assert sorted(zip(key.tolist(), own.tolist(), known.tolist(), strict=True)) == [(5, 1, False), (5, 3, True), (7, 2, False), (9, 4, False)]
-    assert spark.range(1).select(F.lit(1)).count() == 1
+@pytest.mark.parametrize("held", [5, 1 << 20])
+def test_repeats_of_odd_rows(spark, monkeypatch, held):
+    """Repeated and null ids, and entries that leave a task early (``held`` reaches tasks in this module's own workers only)."""
+    rnd = random.Random(11)
+    words = [f"w{i}" for i in range(50)]
+    shared = [rnd.choices(words, k=30) for _ in range(3)]
+    rows = []
+    for i in range(60):
+        own = rnd.choices(words, k=rnd.randint(0, 30))
+        for _ in range(rnd.choice([0, 1, 2])):
+            piece, at = rnd.choice(shared), rnd.randint(0, len(own))
+            own[at:at] = piece[rnd.randint(0, 5) : rnd.randint(20, 30)]
+        rows.append((rnd.choice([i, i // 4, None]), rnd.choice([" ", "\n ", "\t"]).join(own), "x", 1, None))
+    named = [r for r in rows if r[0] is not None]
+    windows = {}
+    for doc, text, *_ in named:
+        own = text.split()
+        for j in range(len(own) - 6):
+            windows.setdefault(tuple(own[j : j + 7]), set()).add(doc)
+    want = []
+    for doc, text, *_ in named:
+        own = text.split()
+        gone = {p for j in range(len(own) - 6) if min(windows[tuple(own[j : j + 7])]) < doc for p in range(j, j + 7)}
+        want.append((doc, len(own), len(gone), " ".join(x for p, x in enumerate(own) if p not in gone)))
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(len(named))), "doc_id": pa.array([r[0] for r in named]), "text": pa.array([r[1] for r in named])})
+    monkeypatch.setattr(substring_dedup, "HELD", held)
+    monkeypatch.setattr(textblocks, "BLOCK_BYTES", 200)
+    sent = [r for part in substring_dedup._anchors(3, 5)([batch]) for r in part.to_pylist()]
+    assert all((r["src"] is None) or named[r["src"]][0] <= named[r["id"]][0] for r in sent)
+    assert (len(sent) > 20) and (held > 5 or all(r["src"] is None for r in sent) or len(sent) > 100)
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA), size=7, seed=3, texts=True).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got) == sorted(want)
+
+
+def test_refuted_matches_stay():
+    """A match whose words the source does not have is found out, and its words stay."""
+    docs = pa.RecordBatch.from_pydict({"id": [1, 2], "doc_id": [1, 2], "text": ["a b c d e f g h", "x b c d e f q"]})
+    entry = pa.list_(pa.struct([("at", pa.int32()), ("src", pa.int64()), ("src_at", pa.int32())]))
+    matched = docs.append_column("windows", pa.array([None, [{"at": 0, "src": 1, "src_at": 0}, {"at": 1, "src": 1, "src_at": 1}, {"at": 2, "src": 1, "src_at": 2}]], entry))
+    claims = [r for part in substring_dedup._claims(4)([matched]) for r in part.to_pylist()]
+    assert [(r["id"], r["src"], r["src_begin"], r["n"]) for r in claims] == [(2, 1, 0, 6)]  # one of six words from "x" on: the source says "a"
+    entry = pa.list_(pa.struct([("src_begin", pa.int32()), ("n", pa.int32()), ("digest", pa.binary())]))
+    own = [{k: r[k] for k in ("src_begin", "n", "digest")} for r in claims]
+    true = {"src_begin": 1, "n": 2, "digest": hashlib.sha256(b"b c").digest()}
+    asked = docs.append_column("claims", pa.array([[*own, true], None], entry))
+    refuted = [r for part in substring_dedup._refuted([asked]) for r in part.to_pylist()]
+    assert refuted == [{k: claims[0][k] for k in ("src", "src_begin", "n", "digest")}]
+    entry = pa.list_(pa.struct([("src", pa.int64()), ("src_begin", pa.int32()), ("n", pa.int32()), ("digest", pa.binary())]))
+    for said, left in ((None, "q"), (refuted, "x b c d e f q")):
+        rows = matched.append_column("refuted", pa.array([None, said], entry))
+        out = [r for part in substring_dedup._repeats(4, True)([rows]) for r in part.to_pylist()]
+        assert [r["kept_text"] for r in out] == ["a b c d e f g h", left]

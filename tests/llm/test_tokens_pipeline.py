@@ -104,3 +104,33 @@ def test_pipeline_languages(spark):
     assert pipeline.language_id(spark, docs.limit(0), "").count() == 0
     lone = spark.createDataFrame([(1, "Avec.", "fr"), (2, "ξένο κείμενο", None)], "doc_id long, text string, lang string")
     assert [r.doc_id for r in pipeline.language_id(spark, lone, "").collect()] == [1]
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """No row is lost or multiplied by null or repeated ids, extra columns of any name stay, and empty tables pass through."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rnd = random.Random(8)
+    words = [a + b for a in ("stone", "river", "maple", "cloud", "ember", "frost") for b in ("grain", "haven", "inlet", "jewel", "knoll")]
+    item = " ".join(rnd.choices(words, k=15))
+    own = [" ".join(rnd.choices(words, k=50)) for _ in range(12)]
+    rows = [(i, t, "en", "s") for i, t in enumerate(own[:6])] + [(None, t, "en", None) for t in own[6:9]]
+    rows += [(5, own[5], "en", "s"), (5, own[9], "en", "s"), (None, own[6], "en", "s"), (None, item, "en", "s"), (3, item + " x", "en", "s"), (7, "", "en", "s"), (None, None, None, None)]
+    rows = [(*r, 1, "p", 2, "k") for r in rows]
+    schema = "doc_id long, text string, lang string, source string, copy_of_pass int, row string, passes int, id string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [x.split()[0] for x in schema.split(", ")]
+        texts = sorted(((r.doc_id is None, r.doc_id or 0, r.text) for r in docs.collect()), key=repr)
+        if name == "language_id":
+            assert len(texts) == len(rows) - 2
+        if name == "near_dedup":
+            assert sorted(t for _, _, t in texts) == sorted([*own[:10], item + " x"])
+        if name == "decontamination":
+            assert sorted(t for _, _, t in texts) == sorted(own[:10])
+    assert 13 <= len(texts) <= 17 and {t for _, _, t in texts} <= set(own[:10])
+    empty = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
