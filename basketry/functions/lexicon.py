@@ -7,16 +7,18 @@ from __future__ import annotations
 
 # Results depend on exactly these words.
 UNITS = (
-    "tsp teaspoon teaspoons tbsp tablespoon tablespoons cup cups oz ounce ounces lb lbs pound pounds g gram grams"
-    " kg kilogram kilograms ml l liter liters pinch pinches dash dashes clove cloves can cans package packages pkg pkgs"
-    " bunch bunches slice slices stick sticks piece pieces quart quarts pint pints sprig sprigs bag bags"
-).split()
+    "tsp", "teaspoon", "teaspoons", "tbsp", "tablespoon", "tablespoons", "cup", "cups", "oz", "ounce", "ounces", "lb", "lbs", "pound", "pounds", "g",
+    "gram", "grams", "kg", "kilogram", "kilograms", "ml", "l", "liter", "liters", "pinch", "pinches", "dash", "dashes", "clove", "cloves", "can",
+    "cans", "package", "packages", "pkg", "pkgs", "bunch", "bunches", "slice", "slices", "stick", "sticks", "piece", "pieces", "quart", "quarts",
+    "pint", "pints", "sprig", "sprigs", "bag", "bags",
+)
 
 PREP_WORDS = (
-    "chopped diced minced shredded grated sliced cubed peeled crushed freshly fresh softened melted room temperature"
-    " large small medium extra virgin optional to taste thinly roughly finely halved divided boneless skinless trimmed"
-    " cooked uncooked drained rinsed beaten packed frozen thawed lightly reduced sodium"
-).split()
+    "chopped", "diced", "minced", "shredded", "grated", "sliced", "cubed", "peeled", "crushed", "freshly", "fresh", "softened", "melted", "room",
+    "temperature", "large", "small", "medium", "extra", "virgin", "optional", "to", "taste", "thinly", "roughly", "finely", "halved", "divided",
+    "boneless", "skinless", "trimmed", "cooked", "uncooked", "drained", "rinsed", "beaten", "packed", "frozen", "thawed", "lightly", "reduced",
+    "sodium",
+)
 
 STOP_TOKENS = ("and", "or", "with", "of")
 
@@ -95,18 +97,21 @@ SKIP_CONTAINS = ("prepared according to", "according to package", "according to
 COOKWARE = ("baking dish", "sheet pan", "skillet", "saucepan", "stockpot", "pot", "pan", "bowl", "dish", "glass dish", "ceramic dish")
 
 PREP_ONLY = (
-    "divided melted optional room temperature plus more thinly sliced roughly finely chopped cored peeled cut into for"
-    " serving finishing beaten lightly stems removed"
-).split()
+    "divided", "melted", "optional", "room", "temperature", "plus", "more", "thinly", "sliced", "roughly", "finely", "chopped", "cored", "peeled",
+    "cut", "into", "for", "serving", "finishing", "beaten", "lightly", "stems", "removed",
+)
 
-BARE_ADJECTIVES = "dry wet hot cold warm large small medium fresh frozen whole ground raw cooked drained rinsed packed heaping".split()
+BARE_ADJECTIVES = (
+    "dry", "wet", "hot", "cold", "warm", "large", "small", "medium", "fresh", "frozen", "whole", "ground", "raw", "cooked", "drained", "rinsed",
+    "packed", "heaping",
+)
 
 TAIL_PHRASES = ("plus more", "for serving", "for finishing", "cut into", "torn into", "such as", "about", "storebought or homemade", "depending on")
 
 KEYWORD_STOPWORDS = (
-    "each bag pack packs can cans jar jars box boxes bottle bottles ct count deal value multipack variety bulk tray"
-    " shaker grinder set assorted longneck"
-).split()
+    "each", "bag", "pack", "packs", "can", "cans", "jar", "jars", "box", "boxes", "bottle", "bottles", "ct", "count", "deal", "value", "multipack",
+    "variety", "bulk", "tray", "shaker", "grinder", "set", "assorted", "longneck",
+)
 
 CLASSIFIER_CATEGORIES = {
     "PRODUCE": "Produce",

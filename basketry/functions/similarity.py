@@ -11,7 +11,10 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+#: The similarities that a score needs, of (ingredient, description, combined text, keyword).
+SCORES = ("ratio", "partial", "sorted_desc", "sorted_combined", "sorted_keyword")
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -84,3 +87,18 @@ def token_sort_ratio(a: Column, b: Column) -> Column:
 
 def partial_ratio(a: Column, b: Column) -> Column:
     return _pairwise(partial)(a, b)
+
+
+def _five(ing: str, desc: str, combined: str, keyword: str) -> tuple[float, ...]:
+    own = sorted_words(ing)
+    keyworded = indel(own, sorted_words(keyword)) if keyword else 0.0
+    return indel(ing, desc), partial(ing, desc), indel(own, sorted_words(desc)), indel(own, sorted_words(combined)), keyworded
+
+
+def scores(ing: Column, desc: Column, combined: Column, keyword: Column) -> Column:
+    """All of ``SCORES`` as one struct, so that each text goes to Python once; an empty keyword is unlike anything (0)."""
+
+    def run(*texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_five(*row) for row in zip(*texts, strict=True)], columns=SCORES, dtype="float64")
+
+    return F.pandas_udf(run, StructType([StructField(n, DoubleType()) for n in SCORES]))(ing, desc, combined, keyword)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions import lexicon as lx
 from basketry.functions import text as tx
+from basketry.sources.storage import written
 
 TOP = 500
 KEEP = 15
@@ -70,23 +71,51 @@ def safety_net(catalog: DataFrame, top: int = TOP, keep: int = KEEP) -> DataFram
     return first.select("pos", F.row_number().over(Window.orderBy("description_norm", "pos")).alias("block_rank"))
 
 
+def text_kinds(catalog: DataFrame, top: int = TOP) -> tuple[DataFrame, DataFrame]:
+    """What blocking needs of a catalog: ``(kind, combined_text, description_norm, bad, n)`` and ``(kind, pos)``.
+
+    A kind is all products with the same three; it is named by its least position.
+    Of its products the ``top`` least positions are listed, for no ingredient takes more.
+    """
+    texts = ["combined_text", "description_norm", "bad"]
+    marked = catalog.select("pos", "combined_text", "description_norm", is_bad().alias("bad"))
+    kinds = written(marked.groupBy(*texts).agg(F.min("pos").alias("kind"), F.count("*").alias("n")), "text-kinds")
+    order = Window.partitionBy(*texts).orderBy("pos")
+    first = marked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top).drop("place").alias("m")
+    same = [F.col(f"m.{c}").eqNullSafe(F.col(f"k.{c}")) for c in texts]
+    return kinds, first.join(kinds.alias("k"), same).select("kind", "pos")
+
+
 def candidates(ingredients: DataFrame, catalog: DataFrame, top: int = TOP, keep: int = KEEP) -> DataFrame:
     """``(ing, pos, overlap, block_rank)`` of ``ingredients (ing)`` in a normalised ``catalog`` with positions ``pos``.
 
+    Ingredients meet distinct product texts, not products. Those with the same
+    overlap and description form a group of at least one product, so the first
+    ``top`` groups hold all candidates; only they are opened up to products.
     Ingredients without tokens take the first ``top`` products in order of
     position; those whose tokens lead nowhere take the safety net. Both are lists
     of at most ``top`` rows, the same for each such ingredient.
     """
-    postings = token_postings(catalog)
+    kinds, products = text_kinds(catalog, top)
+    postings = token_postings(kinds.withColumnRenamed("kind", "pos"))
     tokens = ingredient_tokens(ingredients)
     exact = token_candidates(tokens, postings)
     found = exact.unionByName(prefix_candidates(tokens, postings).withColumn("overlap", F.lit(0).cast("long")))
-    found = found.groupBy("ing", "pos").agg(F.max("overlap").alias("overlap"))
-    marked = found.join(catalog.select("pos", "description_norm", is_bad().alias("bad")), "pos")
-    blocked = overlap_top(guard_categories(marked, keep), top).select("ing", "pos", "overlap", "block_rank")
+    found = found.groupBy("ing", F.col("pos").alias("kind")).agg(F.max("overlap").alias("overlap"))
+    marked = written(found.join(kinds.select("kind", "description_norm", "bad", "n"), "kind"), "kind-pairs")
+    good = marked.groupBy("ing").agg(F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("good"))
+    marked = marked.join(good, "ing").where(~F.col("bad") | (F.col("good") < keep))
+    groups = marked.groupBy("ing", "overlap", "description_norm").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("ing").orderBy(F.desc("overlap"), "description_norm")
+    groups = groups.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+    groups = groups.withColumn("before", F.sum("n").over(order) - F.col("n")).where(F.col("before") < top).select("ing", "overlap", "description_norm")
+    opened = marked.join(groups, ["ing", "overlap", "description_norm"]).join(products, "kind")
+    blocked = overlap_top(opened, top).select("ing", "pos", "overlap", "block_rank")
     zero = F.lit(0).cast("long").alias("overlap")
     bare = ingredients.join(tokens.select("ing").distinct(), "ing", "left_anti").select("ing", F.lit(1).alias("one"))
     head = catalog.orderBy("pos").limit(top).select("pos", F.row_number().over(Window.orderBy("pos")).alias("block_rank"), F.lit(1).alias("one"))
-    lost = tokens.select("ing").distinct().join(found.select("ing").distinct(), "ing", "left_anti").select("ing", F.lit(1).alias("one"))
+    lost = tokens.select("ing").distinct().join(marked.select("ing").distinct(), "ing", "left_anti").select("ing", F.lit(1).alias("one"))
     net = safety_net(catalog, top, keep).withColumn("one", F.lit(1))
-    return blocked.unionByName(bare.join(F.broadcast(head), "one").select("ing", "pos", zero, "block_rank")).unionByName(lost.join(F.broadcast(net), "one").select("ing", "pos", zero, "block_rank"))
+    bare_rows = bare.join(F.broadcast(head), "one").select("ing", "pos", zero, "block_rank")
+    lost_rows = lost.join(F.broadcast(net), "one").select("ing", "pos", zero, "block_rank")
+    return blocked.unionByName(bare_rows).unionByName(lost_rows)

@@ -13,7 +13,7 @@ from basketry.functions import text as tx
 from basketry.functions.text import round2
 from basketry.operators import blocking
 from basketry.operators import rules as rl
-from basketry.sources.storage import written
+from basketry.sources.storage import partitions, written
 
 
 @dataclass(frozen=True)
@@ -45,33 +45,29 @@ def confidence(score: Column) -> Column:
     return F.when(score >= 130, "high").when(score >= 100, "medium").otherwise("low")
 
 
-def text_scores(pairs: DataFrame) -> DataFrame:
-    """The string similarities of distinct ``(ing, desc, combined, keyword)`` texts."""
-    ing, desc, combined, keyword = (F.col(c) for c in ("ing", "desc", "combined", "keyword"))
-    return pairs.withColumns({
-        "ratio": sim.ratio(ing, desc),
-        "partial": sim.partial_ratio(ing, desc),
-        "sorted_desc": sim.token_sort_ratio(ing, desc),
-        "sorted_combined": sim.token_sort_ratio(ing, combined),
-        "keyword_ratio": sim.token_sort_ratio(ing, keyword),
-    }).withColumn("sorted_keyword", F.when(keyword == "", 0.0).otherwise(F.col("keyword_ratio"))).drop("keyword_ratio")
-
-
 def score_pairs(pairs: DataFrame, catalog: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
-    """``pairs (ing, pos, overlap, ...)`` with ``score`` and the parts it is made of.
+    """``pairs (ing, pos, overlap, ...)`` with ``total`` and the parts it is made of.
 
     Products with equal texts score alike, so similarities are computed once for
-    each pair of distinct texts, rules once for each text.
+    each pair of distinct texts, rules once for each text. Pairs of texts are dealt
+    evenly before they are compared, since they are few bytes but much work.
     """
     texts = ["description_norm", "combined_text", "search_keyword_norm", "categories_norm", "classifier_norm", "classifier"]
-    product = catalog.select("pos", F.xxhash64(*texts).alias("text_id"), *texts)
-    kinds = product.groupBy("text_id").agg(*[F.first(c).alias(c) for c in texts])
+    product = catalog.select("pos", *texts)
+    kinds = written(product.groupBy(*texts).agg(F.min("pos").alias("text_id")), "product-texts")
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"k.{c}")) for c in texts]
+    named = product.alias("p").join(kinds.alias("k"), same).select("pos", "text_id")
     side = rl.product_side(cfg.rules, {"D": F.col("description_norm"), "C": F.col("categories_norm"), "K": F.col("classifier_norm")})
-    kinds = kinds.select("text_id", F.col("description_norm").alias("desc"), F.col("combined_text").alias("combined"), F.col("search_keyword_norm").alias("keyword"), side.alias("p_rules"), F.when(F.upper("classifier").isin(*rl.GOOD_CLASSIFIERS), 4.0).otherwise(0.0).alias("good"))
-    rows = pairs.join(product.select("pos", "text_id"), "pos")
-    ings = pairs.select("ing").distinct().select("ing", F.size(tx.important_tokens("ing")).alias("n_tokens"), rl.ingredient_side(cfg.rules, F.col("ing")).alias("n_rules"))
-    distinct = rows.select("ing", "text_id", "overlap").distinct().join(kinds, "text_id").join(ings, "ing")
-    scored = text_scores(distinct)
+    good = F.when(F.upper("classifier").isin(*rl.GOOD_CLASSIFIERS), 4.0).otherwise(0.0).alias("good")
+    names = F.col("description_norm").alias("desc"), F.col("combined_text").alias("combined"), F.col("search_keyword_norm").alias("keyword")
+    sided = kinds.select("text_id", *names, side.alias("p_rules"), good)
+    rows = written(pairs.join(named, "pos"), "pairs")
+    n_tokens = F.size(tx.important_tokens("ing")).alias("n_tokens")
+    ings = rows.select("ing").distinct().select("ing", n_tokens, rl.ingredient_side(cfg.rules, F.col("ing")).alias("n_rules"))
+    distinct = rows.select("ing", "text_id", "overlap").distinct().join(sided, "text_id").join(ings, "ing")
+    distinct = distinct.repartition(partitions(catalog.sparkSession), "ing", "text_id")
+    scored = distinct.withColumn("alike", sim.scores(*[F.coalesce(c, F.lit("")) for c in ("ing", "desc", "combined", "keyword")]))
+    scored = scored.select("*", *[F.col(f"alike.{n}").alias(n) for n in sim.SCORES]).drop("alike")
     n, p = F.col("n_rules"), F.col("p_rules")
     scored = scored.withColumns({
         "overlap_part": overlap_score(F.col("overlap"), F.col("n_tokens")),
@@ -80,14 +76,18 @@ def score_pairs(pairs: DataFrame, catalog: DataFrame, cfg: MatchConfig = MatchCo
         "form_part": rl.channel_sum(cfg.rules, "form")(n, p),
         "penalty_part": rl.channel_sum(cfg.rules, "penalty")(n, p),
     })
-    total = F.expr("0.20 * ratio + 0.25 * partial + 0.25 * sorted_desc + 0.15 * sorted_combined + 0.15 * sorted_keyword + overlap_part + phrase_part + category_part + form_part - penalty_part")
+    likeness = "0.20 * ratio + 0.25 * partial + 0.25 * sorted_desc + 0.15 * sorted_combined + 0.15 * sorted_keyword"
+    total = F.expr(f"{likeness} + overlap_part + phrase_part + category_part + form_part - penalty_part")
     scored = scored.withColumn("total", total.cast("double")).drop("desc", "combined", "keyword", "p_rules", "n_rules", "good", "n_tokens")
     return rows.join(scored, ["ing", "text_id", "overlap"]).drop("text_id")
 
 
 def breakdown() -> Column:
     """The parts of a score, two decimals each, as one struct."""
-    parts = {"score_desc_ratio": "ratio", "score_desc_partial": "partial", "score_desc_token": "sorted_desc", "score_combined": "sorted_combined", "score_keyword": "sorted_keyword", "overlap_score": "overlap_part", "exact_phrase_boost": "phrase_part", "category_boost": "category_part", "form_boost": "form_part", "penalty": "penalty_part", "final_score": "total"}
+    parts = {
+        "score_desc_ratio": "ratio", "score_desc_partial": "partial", "score_desc_token": "sorted_desc", "score_combined": "sorted_combined", "score_keyword": "sorted_keyword",
+        "overlap_score": "overlap_part", "exact_phrase_boost": "phrase_part", "category_boost": "category_part", "form_boost": "form_part", "penalty": "penalty_part", "final_score": "total",
+    }
     return F.struct(*[round2(F.col(old)).alias(new) for new, old in parts.items()])
 
 
@@ -157,14 +157,70 @@ def normalized_lines(lines: DataFrame) -> DataFrame:
     raws = raws.withColumns({"line": tx.preprocess("raw"), "skip": tx.skip_reason("raw"), "ing": tx.normalize_ingredient("raw")})
     raws = raws.withColumn("skip", F.when((F.col("skip") == "") & (F.col("ing") == ""), "empty after normalization").otherwise(F.col("skip")))
     raws = raws.withColumn("ing", F.when(F.col("skip") == "", F.col("ing")).otherwise(""))
-    return lines.join(raws, "raw", "left")
+    known = raws.withColumnRenamed("raw", "known_raw")
+    return lines.join(known, F.col("raw").eqNullSafe(F.col("known_raw")), "left").drop("known_raw")
+
+
+#: What a match says of its product.
+MATCH = ("match_rank", "productId", "description", "brand", "min_price", "score", "confidence")
 
 
 def match_lines(lines: DataFrame, catalog: DataFrame, cfg: MatchConfig = MatchConfig(), decisions: DataFrame | None = None) -> DataFrame:
-    """Matches of every kept line of ``lines (line_id, raw)``; ingredients that repeat are matched once."""
+    """Every line of ``lines (line_id, raw, ...)`` in its state, once for each match.
+
+    ``state`` is ``skipped`` (with the reason in ``skip``), ``unmatched`` (with the
+    name in ``ing``) or ``matched``; only then the columns of ``MATCH`` and
+    ``breakdown`` are set. Ingredients that repeat are matched once. A null line
+    is skipped as empty. Columns of ``lines`` are kept.
+    """
     clean = normalized_lines(lines)
     matches = match_ingredients(clean.where("skip = ''").select("ing").distinct(), catalog, cfg, decisions)
-    return clean.where("skip = ''").join(matches, "ing")
+    found = clean.join(matches.select("ing", *MATCH, breakdown().alias("breakdown")), "ing", "left")
+    state = F.when(F.col("skip") != "", "skipped").when(F.col("match_rank").isNull(), "unmatched").otherwise("matched")
+    return found.select(*lines.columns, "line", "skip", "ing", state.alias("state"), *MATCH, "breakdown")
+
+
+def match_parts(lines: DataFrame, catalog: DataFrame, cfg: MatchConfig = MatchConfig(top_k=3)) -> DataFrame:
+    """The parts of every line of ``lines (line_id, raw)``, each in its state, once for each match.
+
+    A line of one part has ``n_parts`` 1. Alternatives ("a or b") and compounds are
+    parts of their own, numbered by ``part_no`` from 0, all under ``line``, the
+    pre-processed text. A line that is empty then comes as one skipped row of 0
+    parts, one whose parts are all empty as one unmatched row of 0 parts. Equal
+    parts are matched once in all lines.
+    """
+    parts = line_parts(lines.select("line_id", "raw").distinct())
+    texts = parts.select(F.col("part").alias("raw")).distinct()
+    found = match_lines(texts, catalog, cfg).drop("line").withColumnRenamed("raw", "part")
+    whole = lines.select("line_id", "raw").distinct()
+    rows = whole.withColumn("line", tx.preprocess("raw")).drop("raw")
+    rows = rows.join(parts, "line_id", "left").join(found, "part", "left")
+    empty = F.col("n_parts").isNull()
+    skip = F.when(empty, F.when(F.col("line") == "", "empty after preprocessing").otherwise("")).otherwise(F.col("skip"))
+    state = F.when(empty, F.when(F.col("line") == "", "skipped").otherwise("unmatched")).otherwise(F.col("state"))
+    return rows.select("line_id", "line", "part_no", F.coalesce("n_parts", F.lit(0).cast("long")).alias("n_parts"), "part", skip.alias("skip"), "ing", state.alias("state"), *MATCH, "breakdown")
+
+
+def nested_results(found: DataFrame) -> DataFrame:
+    """``match_parts`` as one row a line: ``matches`` of a line of one part; else ``alternatives``, each with its own, and no matches.
+
+    A part's ``matches`` are in order of rank, ``alternatives`` in that of parts;
+    both are as short as ``top_k`` and a line's text make them.
+    """
+    hits = F.array_sort(F.collect_list(F.when(F.col("match_rank").isNotNull(), F.struct(*MATCH)))).alias("matches")
+    parts = found.groupBy("line_id", "line", "part_no", "n_parts", "part", "skip", "ing", "state").agg(hits)
+    part = F.struct("part_no", "part", "ing", "state", "skip", "matches")
+    lines = parts.groupBy("line_id", "line", "n_parts").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    single = F.col("n_parts") == 1
+    first = F.element_at("parts", 1)
+    none = F.filter(first["matches"], lambda m: F.lit(False))
+    return lines.select(
+        "line_id", "line",
+        F.when(single, first["ing"]).otherwise("").alias("ing"),
+        F.when(F.col("n_parts") <= 1, first["skip"]).otherwise("").alias("skip"),
+        F.when(single, first["matches"]).otherwise(none).alias("matches"),
+        F.when(F.col("n_parts") > 1, F.col("parts")).alias("alternatives"),
+    )
 
 
 def line_parts(lines: DataFrame) -> DataFrame:
@@ -181,16 +237,16 @@ def line_parts(lines: DataFrame) -> DataFrame:
 def match_table(lines: DataFrame, catalog: DataFrame, cfg: MatchConfig = MatchConfig(top_k=3)) -> DataFrame:
     """One row per match of each line of ``lines (line_id, raw, ...)``, or one row of nulls if it has none.
 
-    A line_id stands for one text; its rows may repeat. Lines with one part are matched; skipped ones give no row. A line of several
-    parts, or of none, is kept as a row without a match.
+    A line_id stands for one text; its rows may repeat. Lines with one part are
+    matched; skipped ones give no row. A line of several parts, or of none, is kept
+    as a row without a match.
     """
     parts = line_parts(lines.select("line_id", "raw").distinct())
     single = parts.where("n_parts = 1").select("line_id", F.col("part").alias("raw"))
     clean = normalized_lines(single)
     matches = match_ingredients(clean.where("skip = ''").select("ing").distinct(), catalog, cfg)
     skipped = clean.where("skip <> ''").select("line_id").union(lines.where(tx.preprocess("raw") == "").select("line_id"))
-    about = ["match_rank", "productId", "description", "brand", "min_price", "score", "confidence"]
-    hits = clean.where("skip = ''").select("line_id", "ing").join(matches.select("ing", *about), "ing")
+    hits = clean.where("skip = ''").select("line_id", "ing").join(matches.select("ing", *MATCH), "ing")
     return lines.join(skipped, "line_id", "left_anti").join(hits, "line_id", "left")
 
 

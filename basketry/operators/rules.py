@@ -139,21 +139,73 @@ def _by_hint() -> dict[str, list[str]]:
 # Results depend on exactly these words and weights.
 HINT_BOOSTS = {"produce": 8.0, "meat": 8.0, "seafood": 8.0, "dairy": 8.0, "pantry": 5.0, "spices": 5.0, "condiment": 2.0, "bakery": 7.0, "bread": 7.0, "herb": 5.0, "beverage": 6.0, "adult beverage": 20.0}
 HINTS: dict[str, tuple[str, ...]] = {
-    **dict.fromkeys("spinach kale lettuce onion garlic tomato potato apple banana lime lemon cilantro parsley zucchini eggplant squash acorn".split(), ("produce",)),
-    **dict.fromkeys(("rosemary", "thyme", "sage"), ("produce", "spices", "herb")),
-    **dict.fromkeys(("chamomile", "tea"), ("beverage", "pantry")),
-    **dict.fromkeys(("chicken", "beef", "pork"), ("meat",)),
-    **dict.fromkeys(("salmon", "shrimp"), ("seafood",)),
-    **dict.fromkeys(("milk", "butter", "yogurt", "cheese", "cream", "egg"), ("dairy",)),
-    **dict.fromkeys(("cumin", "paprika", "salt", "pepper"), ("spices", "pantry")),
-    **dict.fromkeys(("oil", "flour", "rice", "pasta", "broth", "stock", "lentils"), ("pantry",)),
-    **dict.fromkeys(("bread", "loaf", "roll", "bun"), ("bakery", "bread")),
+    "spinach": ("produce",),
+    "kale": ("produce",),
+    "lettuce": ("produce",),
+    "onion": ("produce",),
+    "garlic": ("produce",),
+    "tomato": ("produce",),
+    "potato": ("produce",),
+    "apple": ("produce",),
+    "banana": ("produce",),
+    "lime": ("produce",),
+    "lemon": ("produce",),
+    "cilantro": ("produce",),
+    "parsley": ("produce",),
+    "zucchini": ("produce",),
+    "eggplant": ("produce",),
+    "squash": ("produce",),
+    "acorn": ("produce",),
+    "rosemary": ("produce", "spices", "herb"),
+    "thyme": ("produce", "spices", "herb"),
+    "sage": ("produce", "spices", "herb"),
+    "chamomile": ("beverage", "pantry"),
+    "tea": ("beverage", "pantry"),
+    "chicken": ("meat",),
+    "beef": ("meat",),
+    "pork": ("meat",),
+    "salmon": ("seafood",),
+    "shrimp": ("seafood",),
+    "milk": ("dairy",),
+    "butter": ("dairy",),
+    "yogurt": ("dairy",),
+    "cheese": ("dairy",),
+    "cream": ("dairy",),
+    "cumin": ("spices", "pantry"),
+    "paprika": ("spices", "pantry"),
+    "salt": ("spices", "pantry"),
+    "pepper": ("spices", "pantry"),
+    "oil": ("pantry",),
+    "flour": ("pantry",),
+    "rice": ("pantry",),
+    "pasta": ("pantry",),
+    "bread": ("bakery", "bread"),
+    "loaf": ("bakery", "bread"),
+    "roll": ("bakery", "bread"),
+    "bun": ("bakery", "bread"),
+    "egg": ("dairy",),
     "cider": ("beverage",),
     "wine": ("beverage", "pantry"),
-    **dict.fromkeys("bourbon rum tequila whiskey whisky vodka gin brandy champagne prosecco".split(), ("adult beverage",)),
-    **dict.fromkeys(("sherry", "vermouth"), ("adult beverage", "pantry")),
+    "bourbon": ("adult beverage",),
+    "rum": ("adult beverage",),
+    "tequila": ("adult beverage",),
+    "whiskey": ("adult beverage",),
+    "whisky": ("adult beverage",),
+    "vodka": ("adult beverage",),
+    "gin": ("adult beverage",),
+    "brandy": ("adult beverage",),
+    "sherry": ("adult beverage", "pantry"),
+    "champagne": ("adult beverage",),
+    "prosecco": ("adult beverage",),
+    "vermouth": ("adult beverage", "pantry"),
+    "broth": ("pantry",),
+    "stock": ("pantry",),
+    "lentils": ("pantry",),
 }
-SPIRITS = tuple("bourbon rum tequila whiskey whisky vodka gin brandy sherry mezcal scotch cognac champagne prosecco vermouth mescal".split())
+SPIRITS = (
+    "bourbon", "rum", "tequila", "whiskey", "whisky", "vodka", "gin", "brandy",
+    "sherry", "mezcal", "scotch", "cognac", "champagne", "prosecco", "vermouth", "mescal",
+)
 SPIRIT_FLAVOURS = ("bbq", "barbecue", "baked beans", "marinade", "seasoning", "salami", "cashews", "pulled pork", "raisin", "ice cream", "pudding", "morsels", "chips", "gummy", "gummies", "vinegar", "shampoo", "lipstick")
 FORMS = {
     "ground cumin": ("ground",),
@@ -186,17 +238,37 @@ OPPOSITES = {
 }
 BAD_CATEGORIES = {"personal care": 45.0, "beauty": 45.0, "household": 45.0, "cleaning": 45.0, "pet": 35.0, "pharmacy": 45.0, "baby care": 35.0}
 BAD_PRODUCTS = {
-    **dict.fromkeys(("cracker", "crackers", "chip", "chips"), 18.0),
-    **dict.fromkeys(("stick", "sticks"), 12.0),
-    **dict.fromkeys(("dip", "dressing"), 16.0),
+    "cracker": 18.0,
+    "crackers": 18.0,
+    "chip": 18.0,
+    "chips": 18.0,
+    "stick": 12.0,
+    "sticks": 12.0,
+    "dip": 16.0,
+    "dressing": 16.0,
     "kit": 14.0,
     "snack": 16.0,
-    **dict.fromkeys(("cookie", "cookies", "candy"), 18.0),
-    **dict.fromkeys(("bar", "bars"), 10.0),
-    **dict.fromkeys(("smoothie", "beverage", "drink"), 16.0),
-    **dict.fromkeys(("juice cocktail", "meal", "entree", "pizza", "sandwich", "wrap"), 18.0),
-    **dict.fromkeys(("soap", "lotion", "shampoo", "conditioner"), 25.0),
-    **dict.fromkeys(("gummies", "crisps", "peanuts"), 18.0),
+    "cookie": 18.0,
+    "cookies": 18.0,
+    "candy": 18.0,
+    "bar": 10.0,
+    "bars": 10.0,
+    "smoothie": 16.0,
+    "beverage": 16.0,
+    "drink": 16.0,
+    "juice cocktail": 18.0,
+    "meal": 18.0,
+    "entree": 18.0,
+    "pizza": 18.0,
+    "sandwich": 18.0,
+    "wrap": 18.0,
+    "soap": 25.0,
+    "lotion": 25.0,
+    "shampoo": 25.0,
+    "conditioner": 25.0,
+    "gummies": 18.0,
+    "crisps": 18.0,
+    "peanuts": 18.0,
     "nuts": 14.0,
     "sauce": 12.0,
 }
@@ -205,6 +277,7 @@ PREPARED = (
     "dessert", "ice cream", "drink", "beverage", "soda", "juice cocktail", "smoothie", "seasoned", "marinated", "breaded", "casserole", "dinner",
 )
 GOOD_CLASSIFIERS = ("PRODUCE", "MEAT", "SEAFOOD", "DAIRY", "DELI", "PANTRY", "BAKERY")
+# Fixed values as well, down to the end of the table.
 _LIQUORS = ("bourbon", "scotch", "mezcal", "gin", "tequila", "grand marnier", "amaro averna")
 _PURE_SPICES = (
     "allspice", "ground allspice", "cinnamon", "ground cinnamon", "nutmeg", "ground nutmeg", "cloves", "ground cloves", "cardamom", "ground cardamom", "turmeric",

@@ -25,7 +25,8 @@ VIEWS = {
         from {lineitem} join {part} on l_partkey = p_partkey""",
     "catalog_source": """
         select p_partkey as pos, cast(p_partkey as string) as "productId", p_name as description, p_brand as brand, p_type as categories,
-               case when p_size % 3 = 0 then 'PRODUCE' else p_type end as classifier, p_name as search_keyword,
+               case when p_size % 3 = 0 then 'PRODUCE' else p_type end as classifier,
+               case when p_partkey % 9 = 0 then '' else concat(split_part(p_name, ' ', 2), ' ', p_brand) end as search_keyword,
                cast(floor(p_retailprice * 100 + 0.5) / 100 as double) as min_price
         from {part}""",
     "stores": """

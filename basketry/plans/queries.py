@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,25 +12,11 @@ from basketry.operators import basket, blocking, catalog, matching, pages, servi
 from basketry.operators import rules as rl
 from basketry.plans import duck as dk
 from basketry.plans.fixtures import duck_sql, spark_sql, table
+from basketry.plans.registry import QUERIES, SQL, register
 from basketry.sources import tables
-from basketry.sources.storage import written
+from basketry.sources.storage import partitions, written
 from basketry.streaming import cart
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def register(sql: str | None) -> Callable[[Query], Query]:
-    def keep(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = duck_sql(sql)
-        return f
-
-    return keep
-
-
 def joined(x: Column) -> Column:
     return F.array_join(x, "|")
 
@@ -170,11 +154,11 @@ _KW = dk.spaces(dk.rep(dk.rep(dk.rep("lower(concat('Acme® ', name, ' (new) 12 o
 
 
 @register(f"""with k as (select distinct name, brand, {dk.words(dk.rep(f"concat(' ', {dk.spaces(dk.rep(_KW, '[^a-z ]'))})", f"( ({_STOP}))+$", ""))} as w from {{offers}})
-    select name, brand, array_to_string(case when len(w) > 3 then w[-3:] else w end, ' ') as keyword, 'Café® it''s' as fixed from k""")
+    select name, brand, array_to_string(case when len(w) > 3 then w[-3:] else w end, ' ') as keyword, replace(replace(concat(name, 'CafÃ©Â® itâ€™s'), 'Ã©', 'é'), 'Â®', '®').replace('â€™', '''') as fixed from k""")
 def keyword_synthesis(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "offers").select("name", "brand").distinct()
     name = F.concat(F.lit("Acme® "), "name", F.lit(" (new) 12 oz "), "brand", F.lit(" value pack"))
-    return rows.select("name", "brand", tx.search_keyword(name).alias("keyword"), tx.fix_mojibake(F.lit("CafÃ©Â® itâ€™s")).alias("fixed"))
+    return rows.select("name", "brand", tx.search_keyword(name).alias("keyword"), tx.fix_mojibake(F.concat("name", F.lit("CafÃ©Â® itâ€™s"))).alias("fixed"))
 
 
 # --- candidates -----------------------------------------------------------
@@ -236,24 +220,36 @@ def overlap_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- similarity and scores ------------------------------------------------
 
-_PAIRS = "select distinct a.p_name as a, concat(b.p_name, ' ', b.p_type) as b from {part} a join {part} b on a.p_size = b.p_size where a.p_partkey % 10 = b.p_partkey % 10"
+def dealt(pairs: DataFrame) -> DataFrame:
+    """Few bytes but much work: in as many parts as there are tasks."""
+    return pairs.repartition(partitions(pairs.sparkSession), "a", "b")
+
+
+_PAIRS = "select distinct a.p_name as a, concat(b.p_name, ' ', b.p_type) as b from {part} a join {part} b on a.p_size = b.p_size"
 
 
 @register(f"with x as ({_PAIRS}) select a, b, {dk.round2(dk.ratio('a', 'b'))} as ratio, {dk.round2(dk.ratio(dk.token_sort('a'), dk.token_sort('b')))} as sorted from x")
 def indel_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.col("a"), F.col("b")
-    rows = spark_sql(spark, sf_dir, _PAIRS)
+    rows = dealt(spark_sql(spark, sf_dir, _PAIRS))
     return rows.select("a", "b", tx.round2(sim.ratio(a, b)).cast("double").alias("ratio"), tx.round2(sim.token_sort_ratio(a, b)).cast("double").alias("sorted"))
 
 
 _WINDOWS = "select a, b, unnest(range(2 - length(a), length(b) + 1)) as i from x"
-_PARTIAL = f"""with x as (select a, b from ({_PAIRS}) where length(a) <= length(b)), w as (select a, b, substr(b, greatest(i, 1)::int, (least(i + length(a), length(b) + 1) - greatest(i, 1))::int) as piece from ({_WINDOWS})),
-    d as (select distinct a, piece from w), r as (select a, piece, {dk.ratio('a', 'piece')} as r from d) select a, b, {dk.round2('max(r)')} as partial from w join r using (a, piece) group by a, b"""
+_PIECES = f"select a, b, substr(b, greatest(i, 1)::int, (least(i + length(a), length(b) + 1) - greatest(i, 1))::int) as piece from ({_WINDOWS})"
+_PARTIAL = f"""
+    with pair as ({_PAIRS}),
+    x as (select distinct case when length(a) <= length(b) then a else b end as a, case when length(a) <= length(b) then b else a end as b from pair),
+    w as ({_PIECES}), d as (select distinct a, piece from w), r as (select a, piece, {dk.ratio('a', 'piece')} as r from d),
+    best as (select a, b, max(r) as partial from w join r using (a, piece) group by a, b)
+    select pair.a, pair.b, {dk.round2('partial')} as partial
+    from pair join best on best.a = case when length(pair.a) <= length(pair.b) then pair.a else pair.b end
+                       and best.b = case when length(pair.a) <= length(pair.b) then pair.b else pair.a end"""
 
 
 @register(_PARTIAL)
 def partial_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark_sql(spark, sf_dir, _PAIRS).where("length(a) <= length(b)")
+    rows = dealt(spark_sql(spark, sf_dir, _PAIRS))
     return rows.select("a", "b", tx.round2(sim.partial_ratio(F.col("a"), F.col("b"))).cast("double").alias("partial"))
 
 
@@ -272,20 +268,38 @@ _RULE_SQL = {
     "penalty_part": "case when ing like 'hot %' and description_norm like 'cold %' then 20.0 else 0.0 end + case when not contains(ing, 'plate') and contains(description_norm, 'plate') then 12.0 else 0.0 end + case when contains(ing, 'new') and contains(ing, 'ring') and not contains(description_norm, 'ring') and (contains(categories_norm, 'promo') or contains(categories_norm, 'small')) then 5.0 else 0.0 end",
 }
 CONFIG = matching.MatchConfig(top_k=3, rules=PART_RULES)
-_NAMES = "select distinct p_name as ing from {part} where p_partkey % 3 <> 0"
-_SCORE_BASE = f"""ings as ({_NAMES}), tokens as (select distinct ing, unnest({dk.words('ing')}) as token from ings), {_CATALOG}, {_POST}, {_EXACT}, {_PREFIX}, {_GUARD.replace(_BAD, 'false')}, {_TOP},
-    cand as (select t.ing, t.pos, t.overlap, t.block_rank, c.description_norm, c.combined_text, c.search_keyword_norm, c.categories_norm, c.classifier_norm, c.classifier, c.description, c.brand, c."productId", c.min_price from top t join catalog c on t.pos = c.pos where block_rank <= 500),
-    ta as (select distinct ing as a, description_norm as b from cand), r1 as (select a, b, {dk.ratio('a', 'b')} as ratio, {dk.ratio(dk.token_sort('a'), dk.token_sort('b'))} as sorted_desc from ta),
+_NAMES = "select distinct p_name as ing from {part}"
+
+
+def score_sql(rules: dict[str, str], bad: str = "false") -> str:
+    """Candidates of ``ings (ing)`` and their scores, down to ``scored``."""
+    n = f"len({dk.words('cand.ing')})"
+    product = "description_norm, combined_text, search_keyword_norm, categories_norm, classifier_norm, classifier, description, brand, \"productId\", min_price"
+    return f"""tokens as (select distinct ing, token from (select ing, unnest({dk.words('ing')}) as token from ings) where not list_contains({dk.words_list(lx.STOP_TOKENS)}, token) and length(token) > 1),
+    {_CATALOG}, {_POST}, {_EXACT}, {_PREFIX}, {_GUARD.replace(_BAD, bad)}, {_TOP}, {_CANDIDATES},
+    cand as materialized (select t.ing, t.pos, t.overlap, t.block_rank, {product} from candidates t join catalog c on t.pos = c.pos),
+    ta as (select distinct ing as a, description_norm as b from cand),
+    r1 as (select a, b, {dk.ratio('a', 'b')} as ratio, {dk.ratio(dk.token_sort('a'), dk.token_sort('b'))} as sorted_desc from ta),
     tc as (select distinct ing as a, combined_text as b from cand), r2 as (select a, b, {dk.ratio(dk.token_sort('a'), dk.token_sort('b'))} as sorted_combined from tc),
-    x as (select distinct case when length(a) <= length(b) then a else b end as a, case when length(a) <= length(b) then b else a end as b from ta), w as (select a, b, substr(b, greatest(i, 1)::int, (least(i + length(a), length(b) + 1) - greatest(i, 1))::int) as piece from ({_WINDOWS})), d as (select distinct a, piece from w), rp as (select a, piece, {dk.ratio('a', 'piece')} as r from d),
+    tk as (select distinct ing as a, search_keyword_norm as b from cand),
+    r4 as (select a, b, case when b = '' then 0.0::double else {dk.ratio(dk.token_sort('a'), dk.token_sort('b'))} end as sorted_keyword from tk),
+    x as (select distinct case when length(a) <= length(b) then a else b end as a, case when length(a) <= length(b) then b else a end as b from ta),
+    w as ({_PIECES}), d as (select distinct a, piece from w), rp as (select a, piece, {dk.ratio('a', 'piece')} as r from d),
     r3 as (select a, b, max(r) as partial from w join rp using (a, piece) group by a, b),
-    parts as (select cand.*, r1.ratio, r1.sorted_desc, r1.sorted_desc as sorted_keyword, r2.sorted_combined, r3.partial,
-        case when len({dk.words('cand.ing')}) = 1 then ln(1 + overlap) * 12.0::double else overlap / len({dk.words('cand.ing')})::double * 18.0::double + ln(1 + overlap) * 6.0::double end as overlap_part,
-        case when ing = description_norm then 25.0::double when contains(description_norm, ing) then 18.0::double when contains(combined_text, ing) then 10.0::double else 0.0::double end as phrase_part,
-        {', '.join(f'({v})::double as {k}' for k, v in _RULE_SQL.items())}
-        from cand join r1 on r1.a = cand.ing and r1.b = cand.description_norm join r2 on r2.a = cand.ing and r2.b = cand.combined_text
-        join r3 on (r3.a = cand.ing and r3.b = cand.description_norm and length(cand.ing) <= length(cand.description_norm)) or (r3.b = cand.ing and r3.a = cand.description_norm and length(cand.ing) > length(cand.description_norm))),
-    scored as (select *, 0.20::double * ratio + 0.25::double * partial + 0.25::double * sorted_desc + 0.15::double * sorted_combined + 0.15::double * sorted_keyword + overlap_part + phrase_part + category_part + form_part - penalty_part as total from parts)"""
+    parts_of_score as (
+      select cand.*, r1.ratio, r1.sorted_desc, r4.sorted_keyword, r2.sorted_combined, r3.partial,
+             case when {n} <= 1 then ln(1 + overlap) * 12.0::double else overlap / {n}::double * 18.0::double + ln(1 + overlap) * 6.0::double end as overlap_part,
+             case when ing = description_norm then 25.0::double when contains(description_norm, ing) then 18.0::double when contains(combined_text, ing) then 10.0::double else 0.0::double end as phrase_part,
+             {', '.join(f'({v})::double as {k}' for k, v in rules.items())}
+      from cand join r1 on r1.a = cand.ing and r1.b = cand.description_norm join r2 on r2.a = cand.ing and r2.b = cand.combined_text join r4 on r4.a = cand.ing and r4.b = cand.search_keyword_norm
+      join r3 on r3.a = case when length(cand.ing) <= length(cand.description_norm) then cand.ing else cand.description_norm end
+             and r3.b = case when length(cand.ing) <= length(cand.description_norm) then cand.description_norm else cand.ing end),
+    scored as materialized (
+      select *, 0.20::double * ratio + 0.25::double * partial + 0.25::double * sorted_desc + 0.15::double * sorted_combined + 0.15::double * sorted_keyword
+                + overlap_part + phrase_part + category_part + form_part - penalty_part as total from parts_of_score)"""
+
+
+_SCORE_BASE = f"ings as ({_NAMES}), {score_sql(_RULE_SQL)}"
 _RANK = f"""ranked0 as (select *, {dk.round2('total')} as score from scored where total >= 35), once as (select * from (select *, row_number() over (partition by ing, lower(description), lower(brand) order by score desc, block_rank) as again from ranked0) where again = 1),
     ranked as (select * exclude (again), row_number() over (partition by ing order by score desc, block_rank) as rank from once)"""
 _PICK = """leads as (select *, rank <= 15 and score >= greatest(max(case when rank = 1 then score end) over (partition by ing) - 40, 65) as lead from {src}),
@@ -334,19 +348,6 @@ def rerank_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("ing", "productId", F.col("rank").cast("long").alias("rank"), F.col("match_rank").cast("long").alias("match_rank"))
 
 
-def match_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "shopping_lines").select("line_id", "recipe_id", "raw")
-    return matching.match_table(lines, _catalog(spark, sf_dir), CONFIG)
-
-
-def match_run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.run_counters(match_table(spark, sf_dir))
-
-
-# no SQL: the whole chain of normalising, scoring and picking; its links are checked one by one above
-QUERIES |= {"match_table": match_table, "match_run_stats": match_run_stats}
-
-
 # --- pages ----------------------------------------------------------------
 
 
@@ -364,9 +365,16 @@ def name_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.name_filter(rows).select("offer_id", "name", "filter_word")
 
 
-@register("""select page_id, regexp_matches(lower(html), 'einung|ad 1') as blocked, contains(lower(html), 'menu') as location_wall, false as login_wall, contains(lower(html), '<article') as grid_found from {pages}""")
+_WALL = """concat(html, case when page_id % 7 = 0 then '<div role="dialog"><form><input name="e" type="email"></form></div>' when page_id % 7 = 1 then '<input type="email">' else '' end)"""
+
+
+@register(f"""
+    select page_id, regexp_matches(lower(h), 'einung|ad 1') as blocked, contains(lower(h), 'menu') as location_wall,
+           regexp_matches(lower(h), '(role="dialog"|aria-modal="true")(.|\\n)*<input[^>]*type="(email|password)"') as login_wall, contains(lower(h), '<article') as grid_found
+    from (select page_id, {_WALL} as h from {{pages}})""")
 def page_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", *[c.alias(n) for n, c in pages.gates("html", ("einung", "ad 1"), ("menu",)).items()])
+    rows = table(spark, sf_dir, "pages").select("page_id", F.expr(_WALL).alias("html"))
+    return rows.select("page_id", *[c.alias(n) for n, c in pages.gates("html", ("einung", "ad 1"), ("menu",)).items()])
 
 
 _CARDS = "c as (select * from (select *, row_number() over (partition by page_id, store, card_id order by carousel_page, seq) as again from {cards} where carousel_page <= 11) where again = 1)"
@@ -541,15 +549,17 @@ def cart_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return basket.cart_fold(table(spark, sf_dir, "cart_events"))
 
 
-@register(_FOLD.replace("{cart_events}", "(select cart_id, item, seq, case when action = 'clear' then 'remove' else action end as action, price, name from {cart_events})"))
+@register(_FOLD)
 def cart_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a file stream; a clear removes its own line only, as the stream sees it."""
+    """The events as a file stream, folded in keyed state."""
     schema = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    number = F.regexp_extract("props", "([0-9]+)", 1)
+    action = "case event_type when 'purchase' then 'add' when 'view' then 'increment' when 'click' then 'decrement' when 'error' then 'remove' else 'clear' end"
     rows = events.select(
-        F.col("user_id").alias("cart_id"), F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("item"), F.concat(F.col("ts").cast("string"), F.lit("-"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("seq"),
-        F.expr("case event_type when 'purchase' then 'add' when 'view' then 'increment' when 'click' then 'decrement' else 'remove' end").alias("action"),
-        F.col("value").alias("price"), F.concat(F.lit("item "), F.regexp_extract("props", "([0-9]+)", 1)).alias("name"),
+        F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("cart_id"), number.cast("long").alias("item"),
+        F.concat(F.col("ts").cast("string"), F.lit("-"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("seq"),
+        F.expr(action).alias("action"), F.col("value").alias("price"), F.concat(F.lit("item "), number).alias("name"),
     )
     return cart.run_to_table(spark, rows)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.text import display_price
+from basketry.sources.storage import written
 
 
 def read_csv_catalog(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -23,8 +24,21 @@ def first_rows(df: DataFrame, key: str, n: int) -> DataFrame:
 
 
 def row_range(df: DataFrame, key: str, start: int, count: int) -> DataFrame:
-    """Rows ``start`` (from 0) to ``start + count`` in order of the key."""
-    return df.orderBy(key).offset(start).limit(count)
+    """Rows ``start`` (from 0) to ``start + count`` in order of the key; rows with equal keys in any order among themselves.
+
+    Only keys are counted: how many rows lie in each of the sorted key ranges says
+    which ranges hold the slice, so no place ever holds the rows before it.
+    """
+    keys = df.select(F.col(key).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    ranged = written(keys.repartitionByRange("k").withColumn("part", F.spark_partition_id()), "key-ranges")
+    parts = ranged.groupBy("part").agg(F.sum("n").alias("n")).withColumn("base", F.sum("n").over(Window.orderBy("part")) - F.col("n"))
+    open_ = ranged.join(F.broadcast(parts.where((F.col("base") < start + count) & (F.col("base") + F.col("n") > start)).select("part", "base")), "part")
+    over = Window.partitionBy("part").orderBy("k")
+    before = open_.withColumn("before", F.col("base") + F.sum("n").over(over) - F.col("n"))
+    wanted = before.where((F.col("before") < start + count) & (F.col("before") + F.col("n") > start)).select("k", "before")
+    rows = df.join(wanted, F.col(key).eqNullSafe(F.col("k")))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("k").orderBy(F.lit(1))) - 1
+    return rows.withColumn("place", place).where(F.col("place").between(start, start + count - 1)).select(*[f"`{c}`" for c in df.columns])
 
 
 def not_done(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -61,3 +75,31 @@ def report_lines(matches: DataFrame) -> DataFrame:
 def write_report(matches: DataFrame, path: str) -> None:
     """The report as text files; a recipe's lines stay together and in order."""
     report_lines(matches).repartitionByRange("recipe_id").sortWithinPartitions("recipe_id", "line_no").select("text").write.text(path)
+
+
+def split_report(found: DataFrame) -> DataFrame:
+    """``(recipe_id, line_no, text)``: the report of ``found (recipe_id, title, line_id, line, part_no, n_parts, part, state, match_rank, brand, description, min_price, score)``.
+
+    A header for each recipe, then its lines: the text with its matches below, or
+    with ``No match found``. A line of several parts is headed ``[split]`` and has
+    its matched parts indented below; if none matched it has no match. Skipped
+    lines are left out, and so are skipped and unmatched parts.
+    """
+    text = F.col("line")
+    single, hit = F.col("n_parts") == 1, F.col("state") == "matched"
+    matched = F.max(hit.cast("int")).over(Window.partitionBy("recipe_id", "line_id")) == 1
+    rows = found.withColumn("matched", matched).where(~((F.col("n_parts") <= 1) & (F.col("state") == "skipped")))
+    own = F.when(single, F.col("part")).otherwise(text)
+    tail = F.when(~single & F.col("matched"), "  [split]").otherwise("")
+    head = F.concat(F.lit("Ingredient: "), own, tail)
+    price = F.when(F.coalesce("min_price", F.lit(0.0)) == 0, "price N/A").otherwise(F.format_string("$%.2f", "min_price"))
+    shown = F.concat(F.lit("-> ["), F.coalesce("brand", F.lit("")), F.lit("] "), "description", F.lit(" | "), price, F.lit(" | score: "), F.format_string("%.2f", "score"))
+    place = "recipe_id", "line_id"
+    heads = rows.select(*place, F.lit(-1).alias("part_no"), F.lit(-2).alias("rank"), head.alias("text")).distinct()
+    none = rows.where(~F.col("matched")).select(*place, F.lit(-1).alias("part_no"), F.lit(-1).alias("rank"), F.lit("  No match found").alias("text")).distinct()
+    parts = rows.where(~single & hit).select(*place, "part_no", F.lit(-1).alias("rank"), F.concat(F.lit("  Ingredient: "), "part").alias("text")).distinct()
+    hits = rows.where(hit).select(*place, "part_no", F.col("match_rank").alias("rank"), F.concat(F.when(single, "  ").otherwise("    "), shown).alias("text"))
+    titles = found.select("recipe_id", F.lit(None).cast(dict(found.dtypes)["line_id"]).alias("line_id"), F.lit(-1).alias("part_no"), F.lit(-3).alias("rank"), F.format_string("Recipe: %s", "title").alias("text")).distinct()
+    lines = titles.union(heads).union(none).union(parts).union(hits)
+    order = Window.partitionBy("recipe_id").orderBy(F.asc_nulls_first("line_id"), "part_no", "rank")
+    return lines.select("recipe_id", (F.row_number().over(order) - 1).alias("line_no"), "text")

@@ -1,7 +1,8 @@
-"""The cart as a stream: keyed state per cart line, the same fold as in batch."""
+"""The cart as a stream: keyed state, the same fold as in batch."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,8 +12,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from basketry.sources.storage import new_path
 
-OUT = "cart_id long, item long, quantity int, price double, name string, seq string, step long"
-STATE = "quantity int, price double, name string, step long"
+#: Parts that a cart's lines are dealt to; a clear goes to all of them.
+PARTS = 16
+OUT = "cart_id long, item long, quantity int, price double, name string, step long"
+STATE = "lines string, waiting string, applied string, step long"
 
 
 def fold_line(state: tuple, action: str, price: float | None, name: str | None) -> tuple:
@@ -28,33 +31,85 @@ def fold_line(state: tuple, action: str, price: float | None, name: str | None)
     return (quantity, own, label) if quantity > 0 else (0, None, None)
 
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    quantity, price, name, step = state.get if state.exists else (0, None, None, 0)
-    rows = pd.concat(list(batches)).sort_values("seq").drop_duplicates("seq")
-    for action, new_price, new_name in rows[["action", "price", "name"]].itertuples(index=False):
-        quantity, price, name = fold_line((quantity, price, name), action, new_price, new_name)
-    state.update((quantity, price, name, step + 1))
-    yield pd.DataFrame({"cart_id": [key[0]], "item": [key[1]], "quantity": [quantity], "price": [price], "name": [name], "seq": [rows["seq"].iloc[-1]], "step": [step + 1]})
+def fold_lines(lines: dict[int | None, tuple], events: list[tuple]) -> dict[int | None, tuple]:
+    """The live lines after ``events (item, action, price, name)``, in their order."""
+    out = dict(lines)
+    for item, action, price, name in events:
+        if action == "clear":
+            out = {}
+            continue
+        line = fold_line(out.get(item, (0, None, None)), action, price, name)
+        if line[0] > 0:
+            out[item] = line
+        else:
+            out.pop(item, None)
+    return out
+
+
+def _none(x):
+    return None if x is None or x != x else x
 
 
-def cart_changes(events: DataFrame) -> DataFrame:
-    """State changes of a stream ``(cart_id, item, seq, action, price, name)``; ``seq`` is text that sorts in time order.
+def _in_order(waiting: dict[str, list]) -> list[tuple]:
+    return [tuple(waiting[seq][1:]) for seq in sorted(waiting)]
 
-    Events are put in order within each line and micro-batch; across batches the
-    order of arrival counts. A repeated seq within a batch is dropped. Clearing a
-    cart reaches the stream as one remove for each of its lines.
+
+def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Take in new events, put those behind the watermark into the lines for good, and say which lines now look different."""
+    lines, waiting, applied, step = {}, {}, "", 0
+    if state.exists:
+        held = state.get
+        lines = {item: tuple(line) for item, *line in json.loads(held[0])}
+        waiting, applied, step = json.loads(held[1]), held[2], held[3]
+    before = fold_lines(lines, _in_order(waiting))
+    if not state.hasTimedOut:
+        for rows in batches:
+            for seq, at, item, action, price, name in rows[["seq", "at", "item", "action", "price", "name"]].itertuples(index=False):
+                if seq > applied:  # else it is in the lines already, or too late
+                    waiting[seq] = [int(at), None if _none(item) is None else int(item), action, _none(price), _none(name)]
+    upto = state.getCurrentWatermarkMs()
+    done = {seq: waiting.pop(seq) for seq in sorted(waiting) if waiting[seq][0] < upto}
+    if done:
+        lines, applied = fold_lines(lines, _in_order(done)), max(applied, *done)
+    after = fold_lines(lines, _in_order(waiting))
+    if waiting or lines:
+        state.update((json.dumps([(k, *v) for k, v in lines.items()]), json.dumps(waiting), applied, step + 1))
+        if waiting:
+            state.setTimeoutTimestamp(max(upto, max(x[0] for x in waiting.values())) + 1)
+    elif state.exists:  # an empty cart with nothing to come in order is forgotten
+        state.remove()
+    items = sorted(before.keys() | after.keys(), key=lambda x: (x is None, x or 0))
+    changed = [(item, *after.get(item, (0, None, None))) for item in items if before.get(item) != after.get(item)]
+    if changed:
+        columns = [pd.array([x[i] for x in changed], kind) for i, kind in enumerate(("Int64", "Int32", "Float64", object))]
+        about = {"cart_id": [key[0]] * len(changed)} | dict(zip(("item", "quantity", "price", "name"), columns, strict=True))
+        yield pd.DataFrame(about | {"step": [step + 1] * len(changed)})
+
+
+def cart_changes(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """State changes of a stream ``(ts, cart_id, item, seq, action, price, name)``; ``seq`` is text that sorts in the order of ``ts``.
+
+    Events wait until the watermark, ``delay`` behind the latest ``ts``, has passed
+    them, and are then folded in order of ``seq`` for good; what is shown in between
+    has the waiting ones folded in too, so it is always in order, however events
+    arrive within the delay. Later ones are dropped, and so is one whose seq has
+    been seen, in the same batch or another. A clear empties the whole cart.
+    A cart without lines and waiting events has no state.
     """
-    return events.groupBy("cart_id", "item").applyInPandasWithState(_advance, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    part = F.pmod(F.xxhash64("item"), F.lit(PARTS)).cast("int")
+    parts = F.when(F.col("action") == "clear", F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(part))
+    rows = events.withWatermark("ts", delay).withColumn("part", F.explode(parts)).withColumn("at", F.unix_millis("ts"))
+    return rows.groupBy("cart_id", "part").applyInPandasWithState(_advance, OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_to_table(spark: SparkSession, events: DataFrame) -> DataFrame:
+def run_to_table(spark: SparkSession, events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Run the stream over all input that is there and return the live lines, from the last change of each."""
     out, check = new_path(spark, "cart-changes"), new_path(spark, "cart-stream")
 
     def save(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("append").parquet(out)
+        rows.withColumn("batch", F.lit(batch).cast("long")).write.mode("append").parquet(out)
 
-    cart_changes(events).writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
-    changes = spark.read.schema(OUT).parquet(out)
-    last = changes.groupBy("cart_id", "item").agg(F.max_by(F.struct("quantity", "price", "name"), "step").alias("s"))
+    cart_changes(events, delay).writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    changes = spark.read.schema(OUT + ", batch long").parquet(out)
+    last = changes.groupBy("cart_id", "item").agg(F.max_by(F.struct("quantity", "price", "name"), F.struct("batch", "step")).alias("s"))
     return last.select("cart_id", "item", "s.quantity", "s.price", "s.name").where("quantity > 0")

@@ -34,6 +34,80 @@ def test_cart_clear(spark):
     assert [r["item"] for r in basket.cart_fold(rows).collect()] == [3]
 
 
+def test_plans_at_once_and_in_rounds(spark):
+    """The same plan whichever way a recipe is planned."""
+    import random
+
+    rnd = random.Random(5)
+    rows = [(r, i, f"i{i % 9}", f"S{rnd.randrange(6)}", rnd.choice([None, 1.0, 2.5, 3.25])) for r in range(12) for i in range(rnd.randint(1, 30))]
+    grouped = basket.group_matches(spark.createDataFrame(rows, "recipe_id int, seq int, raw string, store string, price double"))
+    plans = [sorted(map(tuple, basket.fewest_stops(grouped, most).collect())) for most in (0, 12, 100_000)]
+    assert plans[0] == plans[1] == plans[2] and len(plans[0]) > 24
+    assert basket.fewest_stops(grouped.limit(0)).count() == 0
+
+
+def test_cart_stream_in_any_order(spark, tmp_path):
+    """Files that arrive out of order and twice give what the batch fold gives."""
+    import random
+
+    rnd = random.Random(7)
+    actions = ["add", "add", "add", "increment", "decrement", "remove", "clear"]
+    rows = [(1_700_000_000 + 10 * i, rnd.randrange(3), rnd.choice([1, 2, 3, None]), f"{i:05d}", rnd.choice(actions), float(i), f"n{i}") for i in range(400)]
+    schema = "t long, cart_id long, item long, seq string, action string, price double, name string"
+    frame = spark.createDataFrame(rows, schema)
+    want = sorted(map(tuple, basket.cart_fold(frame.drop("t")).collect()), key=repr)
+    shuffled = [rows[i : i + 80] for i in range(0, 400, 80)]
+    for i, part in enumerate(shuffled):
+        late = part[:60] + (shuffled[i - 1][60:] if i else []) + part[10:20]  # the last of a file come with the next, some come twice
+        late += shuffled[i][60:] if i == 4 else []
+        rnd.shuffle(late)
+        spark.createDataFrame(late, schema).coalesce(1).write.parquet(str(tmp_path / f"in{i}"))
+    import shutil
+
+    (tmp_path / "all").mkdir()
+    for i in range(5):
+        (one,) = (tmp_path / f"in{i}").glob("*.parquet")
+        shutil.copy(one, tmp_path / "all" / f"{i}.parquet")
+        import os
+
+        os.utime(tmp_path / "all" / f"{i}.parquet", (1_000_000 + i, 1_000_000 + i))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "all")).withColumn("ts", F.timestamp_seconds("t"))
+    got = sorted(map(tuple, cart.run_to_table(spark, stream, "30 minutes").collect()), key=repr)
+    assert got == want and len(want) > 2
+
+
+def test_state_is_forgotten():
+    """Waiting events are folded for good behind the watermark, and an empty cart keeps no state."""
+    import pandas as pd
+
+    class State:
+        exists, hasTimedOut, get, removed, timeout = False, False, None, False, None
+
+        def __init__(self, mark):
+            self.mark = mark
+
+        def getCurrentWatermarkMs(self):
+            return self.mark
+
+        def update(self, value):
+            self.get, self.exists = value, True
+
+        def remove(self):
+            self.exists, self.removed = False, True
+
+        def setTimeoutTimestamp(self, at):
+            assert at > self.mark
+            self.timeout = at
+
+    state = State(0)
+    events = pd.DataFrame([("1", 10, 5, "add", 2.0, "x"), ("2", 20, 5, "remove", None, None)], columns=["seq", "at", "item", "action", "price", "name"])
+    list(cart._advance((1, 0), iter([events]), state))
+    assert state.timeout == 21
+    state.mark, state.hasTimedOut = 50, True
+    list(cart._advance((1, 0), iter([]), state))
+    assert state.removed
+
+
 CASES = [("$1.99 /lb", "per lb", "x", ("lb", None)), ("$3.99", "18 ct", "x", (None, "18 ct")), ("$9.07", "each", "x", (None, None)), ("$9.07", "each", "soda 12-count 8 oz", (None, "12-count")), ("$2", "", "milk 16 fl oz", (None, "16 fl oz")), ("$2 /3 lb", "", "x", (None, "3 lb")), ("$2 /foo", "", "x", (None, None)), ("$2", "per oz", "x", ("oz", None))]
 
 
@@ -65,3 +139,22 @@ def test_upsert_and_report(spark, tmp_path):
     rows = spark.createDataFrame([(1, "T", "b", 1, "S", "n", 2.0, 50.0), (1, "T", "a", None, None, None, None, None)], "recipe_id int, title string, raw string, match_rank int, store string, name string, price double, score double")
     tables.write_report(rows, str(tmp_path / "report"))
     assert [r.value for r in spark.read.text(str(tmp_path / "report")).collect()] == ["=== T ===", "a -> No match found", "b -> [S] n | $2.00 | 50.00"]
+
+
+def test_row_range(spark):
+    """Slices of a table with repeated keys, wherever they begin."""
+    rows = [(i // 3, i) for i in range(100)]
+    frame = spark.createDataFrame(rows, "k long, v long").repartition(5)
+    for start, count in ((0, 7), (5, 20), (97, 10), (200, 5)):
+        got = [r.k for r in tables.row_range(frame, "k", start, count).collect()]
+        assert sorted(got) == [k for k, _ in rows[start : start + count]]
+    assert sorted(tables.row_range(frame.limit(0), "k", 0, 5).collect()) == []
+
+
+def test_keyed_scan(spark, tmp_path):
+    """A database table read in ranges of its key."""
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    rows = spark.createDataFrame([(i, f"n{i}") for i in range(50)], "id long, name string")
+    rows.write.jdbc(url, "items", properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    got = tables.read_table_jdbc(spark, url, "items", "id", 0, 50, 4, driver="org.apache.derby.jdbc.EmbeddedDriver")
+    assert got.rdd.getNumPartitions() == 4 and sorted(map(tuple, got.collect())) == [(i, f"n{i}") for i in range(50)]

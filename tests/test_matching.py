@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from basketry.functions import similarity as sim
 from basketry.operators import blocking, catalog, matching
 from basketry.operators import rules as rl
+from basketry.sources import tables
 
 
 def plain_lcs(a, b):
@@ -90,3 +91,59 @@ def test_empty_tables(spark, products):
     assert matching.match_ingredients(none, products).count() == 0
     ings = spark.createDataFrame([("butter",)], "ing string")
     assert matching.match_ingredients(ings, products.limit(0)).count() == 0
+
+
+def test_states_of_lines(spark, products):
+    """A line is skipped with its reason, unmatched with its name, or matched with its breakdown."""
+    lines = spark.createDataFrame([("a", "1 cup unsalted butter, melted"), ("b", "divided"), ("d", "zzzz"), ("e", None), ("f", "1 cup unsalted butter")], "line_id string, raw string")
+    rows = matching.match_lines(lines, products).collect()
+    states = {r.line_id: r.state for r in rows}
+    assert states == {"a": "matched", "b": "skipped", "d": "unmatched", "e": "skipped", "f": "matched"}
+    assert {r.skip for r in rows if r.line_id == "b"} == {"non-ingredient fragment"} and {r.ing for r in rows if r.line_id == "d"} == {"zzzz"}
+    for r in rows:
+        assert (r.breakdown is None) == (r.state != "matched")
+        assert r.state != "matched" or abs(r.breakdown.final_score - r.score) < 0.011
+
+
+def test_parts_of_lines(spark, products):
+    """Alternatives are matched one by one; a line without parts is kept."""
+    lines = spark.createDataFrame([("a", "salted butter or red onion or zzzz"), ("b", "2 red onions"), ("c", ""), ("d", "1 or 2"), ("e", "divided or melted")], "line_id string, raw string")
+    found = matching.match_parts(lines, products)
+    rows = {(r.line_id, r.part_no, r.match_rank): r for r in found.collect()}
+    assert {k[:2]: r.state for k, r in rows.items() if k[0] == "a"} == {("a", 0): "matched", ("a", 1): "matched", ("a", 2): "unmatched"}
+    assert rows["a", 0, 1].productId == "2" and rows["a", 1, 1].productId == "4" and rows["b", 0, 1].n_parts == 1
+    assert rows["c", None, None].skip == "empty after preprocessing" and rows["c", None, None].n_parts == 0
+    nested = {r.line_id: r for r in matching.nested_results(found).collect()}
+    assert [p.state for p in nested["a"].alternatives] == ["matched", "matched", "unmatched"] and nested["a"].matches == []
+    assert nested["b"].alternatives is None and nested["b"].matches[0].productId == "4"
+    about = spark.createDataFrame([(x, 1, "T") for x in "abcde"], "line_id string, recipe_id int, title string")
+    report = [r.text for r in tables.split_report(found.join(about, "line_id")).orderBy("line_no").collect()]
+    assert report[0] == "Recipe: T" and report[1].endswith("  [split]") and report[2].startswith("  Ingredient: salted butter") and report[3].startswith("    -> [Farm] Salted Butter | $3.00 | score: ")
+
+
+def test_blocking_is_that_of_all_products(spark):
+    """Blocking over distinct texts takes the products that ranking every product would take."""
+    rnd = random.Random(2)
+    words = ["red", "hot", "rod", "bolt", "gear", "cap"]
+    rows = [(i, " ".join(rnd.choices(words, k=2)), "b", rnd.choice(["Pet", "Tools"]), "X", "", None) for i in range(300)]
+    products = catalog.normalized(spark.createDataFrame(rows, "pos long, description string, brand string, categories string, classifier string, search_keyword string, price string").withColumn("productId", F.col("pos").cast("string")))
+    texts = {r.pos: r for r in products.collect()}
+    ings = ["red rod", "bolt", "hot hot cap", "boltx", "qqqq"]
+    got = {}
+    for r in blocking.candidates(spark.createDataFrame([(x,) for x in ings], "ing string"), products, top=40, keep=15).collect():
+        got.setdefault(r.ing, {})[r.block_rank] = (r.pos, r.overlap)
+    for ing in ings:
+        tokens = set(ing.split())
+        have = {t for r in texts.values() for t in r.combined_text.split()}
+        found = {}
+        for pos, r in texts.items():
+            own = set(r.combined_text.split())
+            overlap = len(tokens & own)
+            prefixed = any(len(t) >= 4 and t not in have and any(len(w) >= 4 and w[:4] == t[:4] for w in own) for t in tokens)
+            if overlap or prefixed:
+                found[pos] = overlap
+        found = found or dict.fromkeys(texts, 0)
+        good = [p for p in found if "pet" not in texts[p].categories_norm]
+        pool = good if len(good) >= 15 else list(found)
+        order = sorted(pool, key=lambda p: (-found[p], texts[p].description_norm, p))[:40]
+        assert got[ing] == {i + 1: (p, found[p]) for i, p in enumerate(order)}
