@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DIMENSIONS = 1024
+#: More names than there are languages.
+MOST_LANGUAGES = 20_000
 #: Characters of a batch of documents that are bundled together.
 BATCH_CHARS = 1 << 18
 _LETTERS: dict[tuple[int, int], np.ndarray] = {}
@@ -120,8 +122,11 @@ def learn_profiles(labelled: DataFrame, dims: int = DIMENSIONS) -> Profiles:
 
     Every text weighs the same. Rows without lang are left out, null and empty
     texts add nothing. One vector for each language comes to the driver, so ``lang``
-    names languages, not rows.
+    must name languages, not rows: over ``MOST_LANGUAGES`` names are refused.
     """
+    names = labelled.where("lang is not null").select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
+    if names > MOST_LANGUAGES:
+        raise ValueError(f"lang has over {MOST_LANGUAGES} names")
     rows = labelled.where("lang is not null").select("text", "lang").mapInArrow(_profiles(dims), "lang string, dim long, value double")
     table = rows.groupBy("lang", "dim").agg(F.sum("value").alias("value"))
     found: dict[str, np.ndarray] = {}

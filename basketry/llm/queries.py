@@ -186,8 +186,10 @@ def _url_sql(pages: str) -> str:
 
 
 _LINKED_PAGES = """(
-    select p.page_id, p.url, concat(p.html, '<a href="', a.url, '"><a class=x HREF=', b.url, '>', case when p.page_id % 5 = 0 then concat('<base href="', c.url, '">') end) as html
-    from pages p left join pages a on a.page_id = p.page_id // 2 left join pages b on b.page_id = p.page_id // 3 left join pages c on c.page_id = p.page_id // 7)"""
+    select p.page_id, p.url, concat(p.html, '<a href="', a.url, '"><a class=x HREF=', b.url, '>',
+      case when p.page_id % 5 = 0 then concat('<base href="', c.url, '">') end) as html
+    from pages p left join pages a on a.page_id = p.page_id // 2 left join pages b on b.page_id = p.page_id // 3 left join pages c
+      on c.page_id = p.page_id // 7)"""
 
 
 def _chat_sql() -> str:
@@ -208,7 +210,8 @@ def _chat_sql() -> str:
         r as (select conv_id, turn - 1 as turn, text as result from conversations where role <> 'assistant' or role is null),
         called as (
           select a.conv_id, a.turn, r.turn is not null as answered, level, result, text, words,
-                 case when refs is not null then concat('"after":', to_json(list_transform(refs, lambda x: concat(a.conv_id, '-', x))), ',') else '' end as after,
+                 case when refs is not null then concat('"after":', to_json(list_transform(refs, lambda x: concat(a.conv_id, '-', x))),
+                   ',') else '' end as after,
                  nullif(concat_ws('; ',
                    case when length(text) < 1 then '$.text: too short' end,
                    case when words < 1 then '$.words: under minimum' end,
@@ -230,14 +233,16 @@ SQL: dict[str, str] = {
     "op4_linked_pages": _url_sql(_LINKED_PAGES),
     "op2_near_dedup": f"""
         with recursive d as (select doc_id, {_WORDS.format(_LOWER.format('text'))} as w from documents),
-        sh as (select distinct doc_id, s from (select doc_id, unnest(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from d)),
+        sh as (select distinct doc_id, s from (select doc_id, unnest(case when len(w) >= 4 then list_transform(range(1, len(w) - 2),
+          lambda i: array_to_string(w[i:i + 3], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from d)),
         n as (select doc_id, count(*) as n from sh group by doc_id),
         pairs as (select a.doc_id as a, b.doc_id as b, count(*) as same from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
         link as (select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * same >= 80 * (x.n + y.n - same)),
         way as (select a, b from link union all select b, a from link),
         reach as (select doc_id, doc_id as r from documents union select reach.doc_id, way.b from reach join way on way.a = reach.r),
         comp as (select doc_id, min(r) as component_id from reach group by doc_id)
-        select d.doc_id, coalesce(n.n, 0) as n_shingles, component_id, d.doc_id = component_id as kept from d left join n on n.doc_id = d.doc_id join comp on comp.doc_id = d.doc_id""",
+        select d.doc_id, coalesce(n.n, 0) as n_shingles, component_id, d.doc_id = component_id as kept from d left join n on n.doc_id = d.doc_id
+          join comp on comp.doc_id = d.doc_id""",
     "op3_exact_dedup": r"""
         with d as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents)
         select doc_id, min(doc_id) over (partition by text_sha256) as keep_id, count(*) over (partition by text_sha256) as group_size,
@@ -254,16 +259,21 @@ SQL: dict[str, str] = {
         hit as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by k) as f from win) where f < doc_id),
         gone as (select distinct doc_id, p from (select doc_id, unnest(range(i, i + 13)) as p from hit)),
         word as (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as p from d),
-        kept as (select word.doc_id, string_agg(x, ' ' order by word.p) as t, count(*) as n from word left join gone on gone.doc_id = word.doc_id and gone.p = word.p where gone.p is null group by word.doc_id)
-        select d.doc_id, len(w) as n_words, len(w) - coalesce(kept.n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join kept on kept.doc_id = d.doc_id""",
+        kept as (select word.doc_id, string_agg(x, ' ' order by word.p) as t, count(*) as n from word left join gone
+          on gone.doc_id = word.doc_id and gone.p = word.p where gone.p is null group by word.doc_id)
+        select d.doc_id, len(w) as n_words, len(w) - coalesce(kept.n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join kept
+          on kept.doc_id = d.doc_id""",
     "op7_decontaminate": f"""
         with d as (select doc_id, {_PLAIN.format(_LOWER.format('text'))} as w from documents),
         b as (select item_id, {_PLAIN.format(_LOWER.format('text'))} as w from benchmark),
-        iw as (select distinct item_id, least(len(w), 13) as n, array_to_string(w[i:i + 12], ' ') as k from (select item_id, w, unnest(range(1, greatest(len(w) - 11, 2))) as i from b where len(w) > 0)),
-        dw as (select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') as k from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from iw) where len(w) >= n)),
+        iw as (select distinct item_id, least(len(w), 13) as n, array_to_string(w[i:i + 12], ' ') as k from (select item_id, w, unnest(range(1,
+          greatest(len(w) - 11, 2))) as i from b where len(w) > 0)),
+        dw as (select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') as k from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i
+          from d, (select distinct n from iw) where len(w) >= n)),
         hit as (select doc_id, item_id, i, dw.n as n from dw join iw on iw.k = dw.k and iw.n = dw.n),
         words as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hit) group by doc_id),
-        items as (select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids from (select distinct doc_id, item_id::varchar as id from hit) group by doc_id)
+        items as (select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids from (select distinct doc_id, item_id::varchar as id
+          from hit) group by doc_id)
         select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
                coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
         from d left join words on words.doc_id = d.doc_id left join items on items.doc_id = d.doc_id""",

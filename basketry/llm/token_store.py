@@ -16,23 +16,72 @@ from pyspark.sql import functions as F
 
 from basketry.llm.storage import new_path, partitions, shared_dir
 
-MAGIC = b"WVM1"
-RANK_STEP = 64  # bits between rank counts
+MAGIC = b"WVM2"
+#: 64-bit words of a plane in one compressed frame.
+FRAME = 1024
 #: Ids of a shard before it is closed; a longer document is a shard alone.
 SHARD_IDS = 1 << 20
 CACHED_WORDS = 600_000
 
 
+class _Plane:
+    """Bits in frames, compressed until they are asked for, with the ones ahead of each frame."""
+
+    def __init__(self, frames: list, starts: np.ndarray):
+        self.frames, self.starts = frames, starts  # starts has the number of all ones as its last
+        self.open: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    @classmethod
+    def of(cls, words: np.ndarray) -> _Plane:
+        frames = [words[i : i + FRAME] for i in range(0, len(words), FRAME)]
+        ones = [int(np.bitwise_count(f).sum()) for f in frames]
+        return cls(frames, np.concatenate(([0], np.cumsum(ones, dtype=np.int64))))
+
+    def frame(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The words of a frame, and the ones ahead of each in the whole plane."""
+        if k not in self.open:
+            words = self.frames[k]
+            if not isinstance(words, np.ndarray):
+                words = np.frombuffer(zstandard.ZstdDecompressor().decompress(words, max_output_size=8 * FRAME), np.uint64)
+            ones = np.cumsum(np.bitwise_count(words), dtype=np.int64)
+            self.open[k] = words, self.starts[k] + np.concatenate(([0], ones[:-1]))
+        return self.open[k]
+
+    def at(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words at the given places, 0 beyond the end, and the ones ahead of each."""
+        out, ahead = np.zeros(word.shape, np.uint64), np.full(word.shape, self.starts[-1])
+        of = word // FRAME
+        for k in np.unique(of).tolist():
+            if k < len(self.frames):
+                words, ranks = self.frame(k)
+                mine = (of == k) & (word - k * FRAME < len(words))
+                out[mine], ahead[mine] = words[word[mine] - k * FRAME], ranks[word[mine] - k * FRAME]
+        return out, ahead
+
+    def nth(self, bit: int, nth: int) -> int:
+        """Place of the ``nth`` 0 or 1."""
+        before = self.starts[:-1] if bit else np.arange(len(self.frames)) * FRAME * 64 - self.starts[:-1]
+        k = int(np.searchsorted(before, nth, "right")) - 1
+        words, ranks = self.frame(k)
+        ahead = ranks if bit else (k * FRAME + np.arange(len(words))) * 64 - ranks
+        word = int(np.searchsorted(ahead, nth, "right")) - 1
+        bits = np.unpackbits(words[word : word + 1].view(np.uint8), bitorder="little")
+        return (k * FRAME + word) * 64 + int(np.flatnonzero(bits == bit)[nth - int(ahead[word])])
+
+    def whole(self) -> np.ndarray:
+        return np.concatenate([self.frame(k)[0] for k in range(len(self.frames))]) if self.frames else np.zeros(0, np.uint64)
+
+
 class WaveletMatrix:
-    """A sequence of non-negative integers as bit-planes, the highest first, each stably sorted by the ones before."""
+    """A sequence of non-negative integers as bit-planes, the highest first, each stably sorted by the ones before.
+
+    What is read back stays compressed: a question opens the one frame of each
+    plane that it touches.
+    """
 
-    def __init__(self, planes: list[np.ndarray], size: int):
-        self.size, self.planes = size, planes  # uint64 words, least bit first
-        self.ranks, self.zeros = [], []
-        for plane in planes:
-            ones = np.bitwise_count(plane).astype(np.int64)
-            self.ranks.append(np.concatenate(([0], np.cumsum(ones))))
-            self.zeros.append(size - int(self.ranks[-1][-1]))
+    def __init__(self, planes: list[_Plane], size: int):
+        self.size, self.planes = size, planes
+        self.zeros = [size - int(p.starts[-1]) for p in planes]
 
     @classmethod
     def build(cls, values: np.ndarray, bits: int | None = None) -> WaveletMatrix:
@@ -43,29 +92,25 @@ class WaveletMatrix:
             bit = (values & values.dtype.type(1 << level)) != 0
             packed = np.zeros(-(-len(values) // 64) * 8, np.uint8)
             packed[: -(-len(values) // 8)] = np.packbits(bit, bitorder="little")
-            planes.append(packed.view(np.uint64))
+            planes.append(_Plane.of(packed.view(np.uint64)))
             values = np.concatenate((np.compress(~bit, values), np.compress(bit, values)))
         return cls(planes, len(values))
 
-    def _bit(self, level: int, at: np.ndarray) -> np.ndarray:
-        return (self.planes[level][at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
-
-    def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
-        """Ones ahead of each position."""
+    def _ones(self, level: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ones ahead of each position, and the bits there."""
         at = np.asarray(at, np.int64)
-        word = at >> 6
-        mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        plane = self.planes[level]
-        inside = np.where(word < len(plane), plane[np.minimum(word, max(0, len(plane) - 1))], np.uint64(0)) if len(plane) else np.zeros(at.shape, np.uint64)
-        return self.ranks[level][word] + np.bitwise_count(inside & mask).astype(np.int64)
+        words, ahead = self.planes[level].at(at >> 6)
+        place = (at & 63).astype(np.uint64)
+        inside = np.bitwise_count(words & ((np.uint64(1) << place) - np.uint64(1))).astype(np.int64)
+        return ahead + inside, (words >> place) & np.uint64(1)
 
     def access(self, at) -> np.ndarray:
         """The values at the given positions."""
         at = np.asarray(at, np.int64).copy()
         out = np.zeros(at.shape, np.int64)
         for level, zeros in enumerate(self.zeros):
-            bit = self._bit(level, at).astype(bool)
-            ones = self._ones(level, at)
+            ones, bit = self._ones(level, at)
+            bit = bit.astype(bool)
             out = out << 1 | bit
             at = np.where(bit, zeros + ones, at - ones)
         return out
@@ -75,7 +120,7 @@ class WaveletMatrix:
         kind = np.uint16 if len(self.planes) <= 16 else np.uint32 if len(self.planes) <= 32 else np.uint64
         out = np.zeros(self.size, kind)
         for level in range(len(self.planes) - 1, -1, -1):
-            bit = np.unpackbits(self.planes[level].view(np.uint8), count=self.size, bitorder="little").view(bool)
+            bit = np.unpackbits(self.planes[level].whole().view(np.uint8), count=self.size, bitorder="little").view(bool)
             out[self.zeros[level] :] |= kind(1 << (len(self.planes) - 1 - level))
             up = np.empty(self.size, kind)
             up[np.flatnonzero(~bit)] = out[: self.zeros[level]]
@@ -89,7 +134,7 @@ class WaveletMatrix:
             return 0
         span = np.array([begin, end], np.int64)
         for level, zeros in enumerate(self.zeros):
-            ones = self._ones(level, span)
+            ones, _ = self._ones(level, span)
             span = zeros + ones if value >> (len(self.planes) - 1 - level) & 1 else span - ones
         return int(span[1] - span[0])
 
@@ -102,36 +147,40 @@ class WaveletMatrix:
             return -1
         begin = np.array([0], np.int64)
         for level, zeros in enumerate(self.zeros):
-            ones = self._ones(level, begin)
+            ones, _ = self._ones(level, begin)
             begin = zeros + ones if value >> (len(self.planes) - 1 - level) & 1 else begin - ones
         at = int(begin[0]) + nth
         for level in range(len(self.planes) - 1, -1, -1):
             bit = value >> (len(self.planes) - 1 - level) & 1
-            at = self._nth(level, bit, at - self.zeros[level] if bit else at)
+            at = self.planes[level].nth(bit, at - self.zeros[level] if bit else at)
         return at
 
-    def _nth(self, level: int, bit: int, nth: int) -> int:
-        """Position of the ``nth`` 0 or 1 of a plane."""
-        ahead = self.ranks[level] if bit else np.arange(len(self.ranks[level])) * RANK_STEP - self.ranks[level]
-        word = int(np.searchsorted(ahead, nth, "right")) - 1
-        bits = np.unpackbits(self.planes[level][word : word + 1].view(np.uint8), bitorder="little")
-        return word * RANK_STEP + int(np.flatnonzero(bits == bit)[nth - int(ahead[word])])
-
     def occurrences(self, value: int) -> list[int]:
         return [self.select(value, i) for i in range(self.count(value))]
 
     def to_bytes(self) -> bytes:
-        body = b"".join(p.tobytes() for p in self.planes)
-        return MAGIC + struct.pack("<QI", self.size, len(self.planes)) + zstandard.ZstdCompressor(level=1).compress(body)
+        """Header, the ones ahead of and the length of each frame, then the frames, each compressed alone."""
+        pack = zstandard.ZstdCompressor(level=1).compress
+        frames = [pack(np.ascontiguousarray(p.frame(k)[0]).tobytes()) for p in self.planes for k in range(len(p.frames))]
+        starts = np.concatenate([p.starts for p in self.planes]) if self.planes else np.zeros(0, np.int64)
+        sizes = np.array([len(f) for f in frames], np.uint32)
+        return b"".join((MAGIC, struct.pack("<QII", self.size, len(self.planes), FRAME), starts.astype("<i8").tobytes(), sizes.astype("<u4").tobytes(), *frames))
 
     @classmethod
     def from_bytes(cls, data: bytes) -> WaveletMatrix:
         if data[:4] != MAGIC:
             raise ValueError("not a wavelet matrix")
-        size, bits = struct.unpack_from("<QI", data, 4)
-        words = -(-size // 64)
-        body = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[16:], max_output_size=words * bits * 8 + 1), np.uint64)
-        return cls([body[i * words : (i + 1) * words] for i in range(bits)], size)
+        size, bits, frame = struct.unpack_from("<QII", data, 4)
+        if frame != FRAME:
+            raise ValueError(f"frames of {frame} words")
+        n = -(-(-(-size // 64)) // FRAME)  # frames of a plane
+        starts = np.frombuffer(data, "<i8", bits * (n + 1), 20).reshape(bits, n + 1)
+        ends = np.cumsum(np.frombuffer(data, "<u4", bits * n, 20 + 8 * bits * (n + 1)), dtype=np.int64)
+        begin = 20 + 8 * bits * (n + 1) + 4 * bits * n
+        bounds = np.concatenate(([0], ends)) + begin
+        view = memoryview(data)
+        planes = [_Plane([view[bounds[i * n + k] : bounds[i * n + k + 1]] for k in range(n)], starts[i]) for i in range(bits)]
+        return cls(planes, size)
 
 
 class _Kept(dict):

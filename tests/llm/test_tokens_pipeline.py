@@ -27,6 +27,20 @@ def test_wavelet_matrix(bits):
         ts.WaveletMatrix.from_bytes(b"nope")
 
 
+def test_access_opens_one_frame_a_plane(monkeypatch):
+    monkeypatch.setattr(ts, "FRAME", 4)
+    x = np.random.default_rng(0).integers(0, 2**16, 5000).astype(np.uint16)
+    stored = ts.WaveletMatrix.build(x, 16).to_bytes()
+    for at in (0, 77, 4999):
+        w = ts.WaveletMatrix.from_bytes(stored)
+        assert w.access([at])[0] == x[at] and all(len(p.open) == 1 for p in w.planes)
+    w = ts.WaveletMatrix.from_bytes(stored)
+    value = int(x[1234])
+    places = np.flatnonzero(x == value)
+    assert w.occurrences(value) == places.tolist() and w.rank(value, 3000, 1000) == ((places >= 1000) & (places < 3000)).sum()
+    assert (w.all() == x).all()
+
+
 def odd_texts():
     rnd = random.Random(1)
     pieces = ["Hello", "don't", "it's'll", "<|startoftext|>", "<|endoftext|>x", "Ünïcode", "ΣΑΣ", "İstanbul", "e\u0301", "中文字", "a1b22", "😀!", "x\u00a0y", "\u2003", "a\x1cb", "tab\tnl\n", "...!!", "ß", "ŒUVRE", "1/2", "|", "÷×", "\ufeff", "’s", "ﬁ", "_x_"]
