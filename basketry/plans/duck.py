@@ -97,7 +97,8 @@ def skip_steps() -> list[tuple[str, str]]:
             when {any_of('t', ('plus more', 'for serving', 'for finishing'))} then 'serving note'
             when {any_of('t', lx.SKIP_CONTAINS)} then 'prep instruction fragment'
             when t like 'plus %' and {any_of('t', ('room temperature', 'optional'))} then 'leftover modifier fragment'
-            when bare in ('hot water', 'warm water', 'cold water', 'water') then 'skip water' when contains(bare, 'lemon wheel') then 'garnish fragment' else '' end""",
+            when bare in ('hot water', 'warm water', 'cold water', 'water') then 'skip water' when contains(bare,
+              'lemon wheel') then 'garnish fragment' else '' end""",
         ),
     ]
 
@@ -127,8 +128,10 @@ def normalize_steps() -> list[tuple[str, str]]:
         ("n8", f"case when {has(' (wheel|wedge|twist)$', 'n7')} then regexp_extract(n7, '^(\\S+)', 1) else n7 end"),
         (
             "ing",
-            f"""case when contains(rc, 'dal') and contains(rc, 'masoor') then 'red lentils' when contains(rc, 'dal') then 'lentils' when contains(rc, 'giblet stock') then 'chicken broth'
-            when {any_of('rc', ('jasmine rice', 'long grain rice'))} then 'rice' when contains(rc, 'new potato') then 'potato' when contains(rc, 'acorn') and contains(rc, 'squash') then 'acorn squash'
+            f"""case when contains(rc, 'dal') and contains(rc, 'masoor') then 'red lentils' when contains(rc, 'dal') then 'lentils' when contains(rc,
+    'giblet stock') then 'chicken broth'
+            when {any_of('rc', ('jasmine rice', 'long grain rice'))} then 'rice' when contains(rc, 'new potato') then 'potato' when contains(rc,
+              'acorn') and contains(rc, 'squash') then 'acorn squash'
             when {any_of('rc', ('pink lady', 'gala'))} and (contains(n8, 'apple') or contains(rc, 'apple')) then 'apple' else {spaces('n8')} end""",
         ),
     ]

@@ -34,7 +34,9 @@ def singular_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.normalize_catalog("text").alias("words"))
 
 
-@register(f"select doc_id, array_to_string(list_filter(w, lambda x, i: i = 1 or x <> w[i - 1]), ' ') as words from (select doc_id, {dk.words('text')} as w from {{documents}})")
+@register(f"""
+    select doc_id, array_to_string(list_filter(w, lambda x, i: i = 1 or x <> w[i - 1]), ' ') as words from (select doc_id, {dk.words('text')} as w
+    from {{documents}})""")
 def dedupe_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = tx.let(F.filter(F.split("text", "\\s+"), lambda w: w != ""), tx.dedupe_adjacent)
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(words, " ").alias("words"))
@@ -45,10 +47,12 @@ def strip_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", tx.normalize_spaces(tx.remove_numbers("url")).alias("bare"), tx.strip(tx.strip_brackets("html")).alias("plain"))
 
 
-_PRICES = "concat(case when p_partkey % 5 = 0 then '' else cast(floor(p_retailprice) as bigint)::varchar || ';' end, case when p_partkey % 7 = 0 then '$3.99;0' else p_size::varchar || '.5; ' || (p_size % 4)::varchar end)"
+_PRICES = """concat(case when p_partkey % 5 = 0 then '' else cast(floor(p_retailprice) as bigint)::varchar || ';' end,
+    case when p_partkey % 7 = 0 then '$3.99;0' else p_size::varchar || '.5; ' || (p_size % 4)::varchar end)"""
 
 
-@register(f"""select p_partkey, list_min(list_filter(list_transform(list_filter(string_split({_PRICES}, ';'), lambda p: regexp_matches(p, '^\\s*[0-9]+(\\.[0-9]+)?\\s*$')), lambda p: try_cast(trim(p) as double)), lambda v: v > 0)) as min_price,
+@register(f"""select p_partkey, list_min(list_filter(list_transform(list_filter(string_split({_PRICES}, ';'), lambda p: regexp_matches(p,
+    '^\\s*[0-9]+(\\.[0-9]+)?\\s*$')), lambda p: try_cast(trim(p) as double)), lambda v: v > 0)) as min_price,
     try_cast(nullif(regexp_extract(concat('$', p_size, '.', p_partkey % 90 + 10, ' /lb'), '([0-9]+(\\.[0-9]+)?)', 1), '') as double) as price from {{part}}""")
 def min_price_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.expr("concat(if(p_partkey % 5 = 0, '', concat(cast(floor(p_retailprice) as string), ';')), if(p_partkey % 7 = 0, '$3.99;0', concat(p_size, '.5; ', p_size % 4)))")
@@ -56,7 +60,9 @@ def min_price_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", tx.parse_min_price(text).alias("min_price"), tx.to_price(tag).alias("price"))
 
 
-@register("select offer_id, case when price is null then 'Price N/A' else printf('$%.2f', floor(price * 100 + 0.5) / 100) end as shown, array_to_string(list_filter([trim(store), trim(brand), trim(taxonomy)], lambda x: x <> ''), ', ') as place from {offers}")
+@register("""
+    select offer_id, case when price is null then 'Price N/A' else printf('$%.2f', floor(price * 100 + 0.5) / 100) end as shown,
+    array_to_string(list_filter([trim(store), trim(brand), trim(taxonomy)], lambda x: x <> ''), ', ') as place from {offers}""")
 def display_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "offers").select("offer_id", tx.display_price("price").alias("shown"), tx.join_address("store", "brand", "taxonomy").alias("place"))
 
@@ -82,8 +88,11 @@ def normalize_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
      ("alts", f"list_filter(list_transform(string_split_regex(simple, '(?i)\\s+(?:and/or|or)\\s+'), lambda p: {dk.rep('p', '^[ ,]+|[ ,]+$', '')}), lambda p: length(p) > 1)"),
      ("named", f"list_transform(alts, lambda p: case when {dk.any_of('p', ('jasmine rice', 'long grain rice'))} then 'rice' when contains(p, 'giblet stock') then 'chicken broth' when contains(p, 'dal') then 'lentils' else p end)"),
      ("lc", dk.basic_clean("line"))],
-    f"""select raw, case when line = '' then '' when contains(simple, ' or ') and len(named) > 0 then array_to_string(list_filter(named, lambda p, i: list_position(named, p) = i), '|') else garn end as alternatives,
-        case when line = '' then '' when contains(lc, 'salt') and contains(lc, 'pepper') and contains(lc, ' and ') then array_to_string(list_filter(list_transform(string_split_regex(line, '(?i)\\s+and\\s+'), lambda p: {dk.rep('p', '^[ ,]+|[ ,]+$', '')}), lambda p: p <> ''), '|') else line end as compounds from last""",
+    f"""select raw, case when line = '' then '' when contains(simple, ' or ') and len(named) > 0 then array_to_string(list_filter(named, lambda p,
+    i: list_position(named, p) = i), '|') else garn end as alternatives,
+        case when line = '' then '' when contains(lc, 'salt') and contains(lc, 'pepper') and contains(lc,
+          ' and ') then array_to_string(list_filter(list_transform(string_split_regex(line, '(?i)\\s+and\\s+'),
+          lambda p: {dk.rep('p', '^[ ,]+|[ ,]+$', '')}), lambda p: p <> ''), '|') else line end as compounds from last""",
 ))
 def split_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "shopping_lines").select("raw").distinct()
@@ -91,11 +100,15 @@ def split_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MORE, _NOTE = "(?i)^(" + "|".join(lx.CONTINUATION_WORDS) + ")", "(?i)^(" + "|".join(lx.PREP_FRAGMENTS) + ")"
-_GLUE = f"(length({dk.rep('list_extract(a, -1)', '[^(]', '')}) > length({dk.rep('list_extract(a, -1)', '[^)]', '')}) or regexp_matches(x[1], {dk.q(_MORE)}) or (regexp_matches(x[1], {dk.q(_NOTE)}) and len({dk.words('x[1]')}) <= 4))"
+_GLUE = f"""(length({dk.rep('list_extract(a, -1)', '[^(]', '')}) > length({dk.rep('list_extract(a, -1)', '[^)]', '')}) or regexp_matches(x[1],
+    {dk.q(_MORE)}) or (regexp_matches(x[1], {dk.q(_NOTE)}) and len({dk.words('x[1]')}) <= 4))"""
 
 
-@register(f"""select recipe_id, array_to_string(case when len(items) = 0 then [] else list_reduce(list_transform(items[2:], lambda i: [i]), lambda a, x: case when {_GLUE} then list_concat(a[1:len(a) - 1], [concat(list_extract(a, -1), ', ', x[1])]) else list_concat(a, x) end, [items[1]]) end, '|') as items,
-    array_to_string(items, '|') as quoted from (select recipe_id, list(part order by line_no, part) as items from (select recipe_id, line_no, concat(case when line_no % 3 = 2 then 'cherry ' else '' end, raw) as part from {{shopping_lines}}) group by recipe_id)""")
+@register(f"""select recipe_id, array_to_string(case when len(items) = 0 then [] else list_reduce(list_transform(items[2:], lambda i: [i]), lambda a,
+    x: case when {_GLUE} then list_concat(a[1:len(a) - 1], [concat(list_extract(a, -1), ', ', x[1])]) else list_concat(a, x) end, [items[1]]) end,
+    '|') as items,
+    array_to_string(items, '|') as quoted from (select recipe_id, list(part order by line_no, part) as items from (select recipe_id, line_no,
+      concat(case when line_no % 3 = 2 then 'cherry ' else '' end, raw) as part from {{shopping_lines}}) group by recipe_id)""")
 def parse_list_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.concat(F.when(F.col("line_no") % 3 == 2, "cherry ").otherwise(""), "raw")
     lists = table(spark, sf_dir, "shopping_lines").groupBy("recipe_id").agg(F.array_sort(F.collect_list(F.struct("line_no", part.alias("part")))).alias("l"))
@@ -103,9 +116,16 @@ def parse_list_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.select("recipe_id", joined(tx.parse_list_string(text)).alias("items"), joined(tx.quoted_items(text)).alias("quoted"))
 
 
-@register(f"""select conv_id, turn, case when len(lines) >= 2 then lines else sentences end as steps_list, array_to_string(case when len(lines) >= 2 then lines else sentences end, '|') as steps
-    from (select conv_id, turn, list_filter(list_transform(string_split({dk.rep("text", "\\r\\n|\\r", chr(10))}, chr(10)), lambda p: {dk.strip('p')}), lambda p: p <> '') as lines,
-    list_filter(list_transform(string_split_regex({dk.rep("text", "\\r\\n|\\r", chr(10))}, '[.!?]'), lambda p: {dk.strip('p')}), lambda p: p <> '') as sentences from {{conversations}})""".replace("case when len(lines) >= 2 then lines else sentences end as steps_list, ", ""))
+_UNIX = dk.rep("text", "\\r\\n|\\r", chr(10))
+
+
+@register(f"""
+    with parts as (
+      select conv_id, turn,
+             list_filter(list_transform(string_split({_UNIX}, chr(10)), lambda p: {dk.strip('p')}), lambda p: p <> '') as lines,
+             list_filter(list_transform(string_split_regex({_UNIX}, '[.!?]'), lambda p: {dk.strip('p')}), lambda p: p <> '') as sentences
+      from {{conversations}})
+    select conv_id, turn, array_to_string(case when len(lines) >= 2 then lines else sentences end, '|') as steps from parts""")
 def instruction_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", joined(tx.instruction_steps("text")).alias("steps"))
 
@@ -123,7 +143,8 @@ def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NORM = {c: dk.catalog_norm(c) for c in ("description", "brand", "categories", "classifier", "search_keyword")}
-_CATALOG = f"""catalog as (select *, {dk.spaces("concat_ws(' ', description_norm, brand_norm, categories_norm, classifier_norm, search_keyword_norm)")} as combined_text
+_CATALOG = f"""catalog as (select *,
+    {dk.spaces("concat_ws(' ', description_norm, brand_norm, categories_norm, classifier_norm, search_keyword_norm)")} as combined_text
     from (select *, {', '.join(f'{v} as {c}_norm' for c, v in _NORM.items())} from {{catalog_source}}))"""
 
 
@@ -135,8 +156,10 @@ def normalized_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LABELS = "case l_partkey % 4 when 0 then '[\"PRODUCE\", \"DAIRY\", \"SPICE\"]' when 1 then '[\"OIL_FAT\"]' when 2 then '[]' else 'no json' end"
 
 
-@register("""select offer_id::varchar as "productId", name as description, case l_partkey % 4 when 0 then 'Produce; Spices & Seasonings' when 1 then 'Pantry' else '' end as categories,
-    case l_partkey % 4 when 0 then 'PRODUCE' when 1 then 'OIL_FAT' else '' end as classifier, array_to_string(list_filter(string_split(name, ' '), lambda w: w <> ''), ' ') as search_keyword, store as store_ids
+@register("""select offer_id::varchar as "productId", name as description,
+    case l_partkey % 4 when 0 then 'Produce; Spices & Seasonings' when 1 then 'Pantry' else '' end as categories,
+    case l_partkey % 4 when 0 then 'PRODUCE' when 1 then 'OIL_FAT' else '' end as classifier, array_to_string(list_filter(string_split(name, ' '),
+      lambda w: w <> ''), ' ') as search_keyword, store as store_ids
     from (select *, part_id as l_partkey from {offers})""")
 def adapt_json_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = table(spark, sf_dir, "offers").select(F.col("offer_id").alias("id"), "name", "brand", F.col("store").alias("store_id"), "price", F.expr(_LABELS.replace("l_partkey", "part_id")).alias("classifiers"))
@@ -153,8 +176,10 @@ _STOP = "|".join(lx.KEYWORD_STOPWORDS)
 _KW = dk.spaces(dk.rep(dk.rep(dk.rep("lower(concat('Acme® ', name, ' (new) 12 oz ', brand, ' value pack'))", "[®™°–]"), r"\([^)]*\)"), r"[0-9]+[0-9./]*\s*(?:oz|lb|lbs|g|kg|ml|fl|ct|pk|ea)").replace("'g')", "'g')"))
 
 
-@register(f"""with k as (select distinct name, brand, {dk.words(dk.rep(f"concat(' ', {dk.spaces(dk.rep(_KW, '[^a-z ]'))})", f"( ({_STOP}))+$", ""))} as w from {{offers}})
-    select name, brand, array_to_string(case when len(w) > 3 then w[-3:] else w end, ' ') as keyword, replace(replace(concat(name, 'CafÃ©Â® itâ€™s'), 'Ã©', 'é'), 'Â®', '®').replace('â€™', '''') as fixed from k""")
+@register(f"""with k as (select distinct name, brand, {dk.words(dk.rep(f"concat(' ', {dk.spaces(dk.rep(_KW, '[^a-z ]'))})", f"( ({_STOP}))+$", ""))} as w
+    from {{offers}})
+    select name, brand, array_to_string(case when len(w) > 3 then w[-3:] else w end, ' ') as keyword, replace(replace(concat(name, 'CafÃ©Â® itâ€™s'),
+      'Ã©', 'é'), 'Â®', '®').replace('â€™', '''') as fixed from k""")
 def keyword_synthesis(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "offers").select("name", "brand").distinct()
     name = F.concat(F.lit("Acme® "), "name", F.lit(" (new) 12 oz "), "brand", F.lit(" value pack"))
@@ -164,13 +189,19 @@ def keyword_synthesis(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- candidates -----------------------------------------------------------
 
 # three in a hundred documents' words make ingredients that no product holds
-_INGS = "select distinct concat(case when p_partkey % 3 = 0 then 'boltless ' when p_partkey % 3 = 1 then 'zzyx' else '' end, case when p_partkey % 3 = 1 then '' else p_name end) as ing from {part} union select 'zz' as ing union select 'of' as ing"
+_INGS = """select distinct concat(case when p_partkey % 3 = 0 then 'boltless ' when p_partkey % 3 = 1 then 'zzyx' else '' end,
+    case when p_partkey % 3 = 1 then '' else p_name end) as ing from {part} union select 'zz' as ing union select 'of' as ing"""
 _POST = "postings as (select distinct pos, token from (select pos, unnest(string_split(combined_text, ' ')) as token from catalog) where length(token) >= 2)"
-_TOKENS = f"ings as ({_INGS}), tokens as (select distinct ing, token from (select ing, unnest({dk.words('ing')}) as token from ings) where not list_contains({dk.words_list(lx.STOP_TOKENS)}, token) and length(token) > 1)"
+_TOKENS = f"""ings as ({_INGS}), tokens as (select distinct ing, token from (select ing, unnest({dk.words('ing')}) as token from ings)
+    where not list_contains({dk.words_list(lx.STOP_TOKENS)}, token) and length(token) > 1)"""
 _EXACT = "exact as (select ing, pos, count(*) as overlap from tokens join postings using (token) group by ing, pos)"
-_PREFIX = "prefixed as (select distinct ing, pos from (select ing, substr(token, 1, 4) as prefix from tokens where length(token) >= 4 and token not in (select token from postings)) join (select distinct pos, substr(token, 1, 4) as prefix from postings where length(token) >= 4) using (prefix))"
+_PREFIX = """prefixed as (select distinct ing, pos from (select ing, substr(token, 1, 4) as prefix from tokens
+    where length(token) >= 4 and token not in (select token from postings)) join (select distinct pos, substr(token, 1, 4) as prefix from postings
+    where length(token) >= 4) using (prefix))"""
 _BAD = "regexp_matches(categories_norm, 'small|promo')"
-_GUARD = f"pairs as (select ing, pos, max(overlap) as overlap from (select * from exact union all select ing, pos, 0 from prefixed) group by ing, pos), marked as (select ing, p.pos, overlap, description_norm, {_BAD} as bad from pairs p join catalog c on p.pos = c.pos), guarded as (select * from (select *, sum(case when bad then 0 else 1 end) over (partition by ing) as good from marked) where not bad or good < 15)"
+_GUARD = f"""pairs as (select ing, pos, max(overlap) as overlap from (select * from exact union all select ing, pos, 0 from prefixed) group by ing, pos),
+    marked as (select ing, p.pos, overlap, description_norm, {_BAD} as bad from pairs p join catalog c on p.pos = c.pos), guarded as (select *
+    from (select *, sum(case when bad then 0 else 1 end) over (partition by ing) as good from marked) where not bad or good < 15)"""
 _TOP = "top as (select ing, pos, overlap, row_number() over (partition by ing order by overlap desc, description_norm, pos) as block_rank from guarded)"
 
 
@@ -206,7 +237,8 @@ def bad_category_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocking.guard_categories(marked).select("ing", "pos", "overlap")
 
 
-_NET = "select ing, pos, 0 as overlap, n as block_rank from (select distinct ing from {0}) cross join (select pos, row_number() over (order by {1}) as n from catalog) where n <= 500"
+_NET = """select ing, pos, 0 as overlap, n as block_rank from (select distinct ing from {0}) cross join (select pos, row_number() over (order by {1}) as n
+    from catalog) where n <= 500"""
 _ALL = f"{_CATALOG}, {_POST}, {_TOKENS}, {_EXACT}, {_PREFIX}, {_GUARD.replace(_BAD, 'false')}, {_TOP}"
 _CANDIDATES = f"""candidates as (select ing, pos, overlap, block_rank from top where block_rank <= 500
     union all {_NET.format('(select ing from ings where ing not in (select ing from tokens))', 'pos')}
@@ -228,7 +260,9 @@ def dealt(pairs: DataFrame) -> DataFrame:
 _PAIRS = "select distinct a.p_name as a, concat(b.p_name, ' ', b.p_type) as b from {part} a join {part} b on a.p_size = b.p_size"
 
 
-@register(f"with x as ({_PAIRS}) select a, b, {dk.round2(dk.ratio('a', 'b'))} as ratio, {dk.round2(dk.ratio(dk.token_sort('a'), dk.token_sort('b')))} as sorted from x")
+@register(f"""
+    with x as ({_PAIRS}) select a, b, {dk.round2(dk.ratio('a', 'b'))} as ratio, {dk.round2(dk.ratio(dk.token_sort('a'), dk.token_sort('b')))} as sorted
+    from x""")
 def indel_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     rows = dealt(spark_sql(spark, sf_dir, _PAIRS))
@@ -275,12 +309,14 @@ def score_sql(rules: dict[str, str], bad: str = "false") -> str:
     """Candidates of ``ings (ing)`` and their scores, down to ``scored``."""
     n = f"len({dk.words('cand.ing')})"
     product = "description_norm, combined_text, search_keyword_norm, categories_norm, classifier_norm, classifier, description, brand, \"productId\", min_price"
-    return f"""tokens as (select distinct ing, token from (select ing, unnest({dk.words('ing')}) as token from ings) where not list_contains({dk.words_list(lx.STOP_TOKENS)}, token) and length(token) > 1),
+    return f"""tokens as (select distinct ing, token from (select ing, unnest({dk.words('ing')}) as token from ings)
+    where not list_contains({dk.words_list(lx.STOP_TOKENS)}, token) and length(token) > 1),
     {_CATALOG}, {_POST}, {_EXACT}, {_PREFIX}, {_GUARD.replace(_BAD, bad)}, {_TOP}, {_CANDIDATES},
     cand as materialized (select t.ing, t.pos, t.overlap, t.block_rank, {product} from candidates t join catalog c on t.pos = c.pos),
     ta as (select distinct ing as a, description_norm as b from cand),
     r1 as (select a, b, {dk.ratio('a', 'b')} as ratio, {dk.ratio(dk.token_sort('a'), dk.token_sort('b'))} as sorted_desc from ta),
-    tc as (select distinct ing as a, combined_text as b from cand), r2 as (select a, b, {dk.ratio(dk.token_sort('a'), dk.token_sort('b'))} as sorted_combined from tc),
+    tc as (select distinct ing as a, combined_text as b from cand), r2 as (select a, b,
+      {dk.ratio(dk.token_sort('a'), dk.token_sort('b'))} as sorted_combined from tc),
     tk as (select distinct ing as a, search_keyword_norm as b from cand),
     r4 as (select a, b, case when b = '' then 0.0::double else {dk.ratio(dk.token_sort('a'), dk.token_sort('b'))} end as sorted_keyword from tk),
     x as (select distinct case when length(a) <= length(b) then a else b end as a, case when length(a) <= length(b) then b else a end as b from ta),
@@ -289,9 +325,11 @@ def score_sql(rules: dict[str, str], bad: str = "false") -> str:
     parts_of_score as (
       select cand.*, r1.ratio, r1.sorted_desc, r4.sorted_keyword, r2.sorted_combined, r3.partial,
              case when {n} <= 1 then ln(1 + overlap) * 12.0::double else overlap / {n}::double * 18.0::double + ln(1 + overlap) * 6.0::double end as overlap_part,
-             case when ing = description_norm then 25.0::double when contains(description_norm, ing) then 18.0::double when contains(combined_text, ing) then 10.0::double else 0.0::double end as phrase_part,
+             case when ing = description_norm then 25.0::double when contains(description_norm, ing) then 18.0::double when contains(combined_text,
+               ing) then 10.0::double else 0.0::double end as phrase_part,
              {', '.join(f'({v})::double as {k}' for k, v in rules.items())}
-      from cand join r1 on r1.a = cand.ing and r1.b = cand.description_norm join r2 on r2.a = cand.ing and r2.b = cand.combined_text join r4 on r4.a = cand.ing and r4.b = cand.search_keyword_norm
+      from cand join r1 on r1.a = cand.ing and r1.b = cand.description_norm join r2 on r2.a = cand.ing and r2.b = cand.combined_text join r4
+        on r4.a = cand.ing and r4.b = cand.search_keyword_norm
       join r3 on r3.a = case when length(cand.ing) <= length(cand.description_norm) then cand.ing else cand.description_norm end
              and r3.b = case when length(cand.ing) <= length(cand.description_norm) then cand.description_norm else cand.ing end),
     scored as materialized (
@@ -300,11 +338,14 @@ def score_sql(rules: dict[str, str], bad: str = "false") -> str:
 
 
 _SCORE_BASE = f"ings as ({_NAMES}), {score_sql(_RULE_SQL)}"
-_RANK = f"""ranked0 as (select *, {dk.round2('total')} as score from scored where total >= 35), once as (select * from (select *, row_number() over (partition by ing, lower(description), lower(brand) order by score desc, block_rank) as again from ranked0) where again = 1),
+_RANK = f"""ranked0 as (select *, {dk.round2('total')} as score from scored where total >= 35), once as (select * from (select *,
+    row_number() over (partition by ing, lower(description), lower(brand) order by score desc, block_rank) as again from ranked0) where again = 1),
     ranked as (select * exclude (again), row_number() over (partition by ing order by score desc, block_rank) as rank from once)"""
 _PICK = """leads as (select *, rank <= 15 and score >= greatest(max(case when rank = 1 then score end) over (partition by ing) - 40, 65) as lead from {src}),
-    marked2 as (select *, bool_or(lead) over (partition by ing) as any_lead from leads), pool as (select * from marked2 where lead or (not any_lead and rank = 1)),
-    picked as (select * from (select *, row_number() over (partition by ing order by min_price asc nulls last, rank) as match_rank from pool) where match_rank <= 3)"""
+    marked2 as (select *, bool_or(lead) over (partition by ing) as any_lead from leads), pool as (select * from marked2
+      where lead or (not any_lead and rank = 1)),
+    picked as (select * from (select *, row_number() over (partition by ing order by min_price asc nulls last, rank) as match_rank from pool)
+      where match_rank <= 3)"""
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,7 +358,9 @@ def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.rank_matches(_scored(spark, sf_dir).join(about, "pos"), CONFIG.floor)
 
 
-@register(f"with {_SCORE_BASE} select ing, pos, {dk.round2('overlap_part')} as overlap_part, phrase_part, category_part, form_part, penalty_part, {dk.round2('total')} as score, case when total >= 130 then 'high' when total >= 100 then 'medium' else 'low' end as confidence from scored")
+@register(f"""
+    with {_SCORE_BASE} select ing, pos, {dk.round2('overlap_part')} as overlap_part, phrase_part, category_part, form_part, penalty_part,
+    {dk.round2('total')} as score, case when total >= 130 then 'high' when total >= 100 then 'medium' else 'low' end as confidence from scored""")
 def score_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _scored(spark, sf_dir)
     return rows.select("ing", "pos", tx.round2(F.col("overlap_part")).cast("double").alias("overlap_part"), "phrase_part", "category_part", "form_part", "penalty_part", tx.round2(F.col("total")).cast("double").alias("score"), matching.confidence(F.col("total")).alias("confidence"))
@@ -337,8 +380,11 @@ def match_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("ing", "productId", "description", "brand", "min_price", F.col("score").cast("double").alias("score"), F.col("match_rank").cast("long").alias("match_rank"))
 
 
-_DECIDE = "decisions as (select distinct p_name as ing, case when p_name like 'red%' then null when p_name like 'hot%' then 2 else 999 end as choice from {part} where p_name like 'red%' or p_name like 'hot%' or p_name like 'old%')"
-_APPLIED = "applied as (select r.* exclude (rank), row_number() over (partition by r.ing order by case when d.choice >= 0 and d.choice < n and r.rank = d.choice + 1 then 0 else 1 end, r.rank) as rank from (select *, count(*) over (partition by ing) as n from ranked) r left join decisions d on d.ing = r.ing where d.ing is null or d.choice is not null)"
+_DECIDE = """decisions as (select distinct p_name as ing, case when p_name like 'red%' then null when p_name like 'hot%' then 2 else 999 end as choice from {part}
+    where p_name like 'red%' or p_name like 'hot%' or p_name like 'old%')"""
+_APPLIED = """applied as (select r.* exclude (rank), row_number() over (partition by r.ing
+    order by case when d.choice >= 0 and d.choice < n and r.rank = d.choice + 1 then 0 else 1 end, r.rank) as rank from (select *,
+    count(*) over (partition by ing) as n from ranked) r left join decisions d on d.ing = r.ing where d.ing is null or d.choice is not null)"""
 
 
 @register(f'with {_SCORE_BASE}, {_RANK}, {_DECIDE}, {_APPLIED}, {_PICK.format(src="applied")} select ing, "productId", rank, match_rank from picked')
@@ -352,14 +398,17 @@ def rerank_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(f"""with t as (select distinct concat(p_type, case when p_size % 2 = 0 then concat(', ', split_part(p_name, ' ', 1)) else '' end) as term from {{part}})
-    select term, trim(term) as search, case when contains(term, ',') then nullif(trim(regexp_extract(term, '^[^,]*,(.*)$', 1)), '') end as filter_word from t""")
+    select term, trim(term) as search, case when contains(term, ',') then nullif(trim(regexp_extract(term, '^[^,]*,(.*)$', 1)),
+      '') end as filter_word from t""")
 def taxonomy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = table(spark, sf_dir, "part").select(F.expr("concat(p_type, if(p_size % 2 = 0, concat(', ', split_part(p_name, ' ', 1)), ''))").alias("term")).distinct()
     search, word = pages.taxonomy_term("term")
     return terms.select("term", search.alias("search"), word.alias("filter_word"))
 
 
-@register("select offer_id, name, filter_word from (select *, case when part_id % 3 = 0 then null else 'GEAR' end as filter_word from {offers}) where filter_word is null or contains(lower(name), lower(filter_word))")
+@register("""
+    select offer_id, name, filter_word from (select *, case when part_id % 3 = 0 then null else 'GEAR' end as filter_word from {offers})
+    where filter_word is null or contains(lower(name), lower(filter_word))""")
 def name_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "offers").withColumn("filter_word", F.expr("if(part_id % 3 = 0, null, 'GEAR')"))
     return pages.name_filter(rows).select("offer_id", "name", "filter_word")
@@ -370,40 +419,52 @@ _WALL = """concat(html, case when page_id % 7 = 0 then '<div role="dialog"><form
 
 @register(f"""
     select page_id, regexp_matches(lower(h), 'einung|ad 1') as blocked, contains(lower(h), 'menu') as location_wall,
-           regexp_matches(lower(h), '(role="dialog"|aria-modal="true")(.|\\n)*<input[^>]*type="(email|password)"') as login_wall, contains(lower(h), '<article') as grid_found
+           regexp_matches(lower(h), '(role="dialog"|aria-modal="true")(.|\\n)*<input[^>]*type="(email|password)"') as login_wall, contains(lower(h),
+             '<article') as grid_found
     from (select page_id, {_WALL} as h from {{pages}})""")
 def page_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages").select("page_id", F.expr(_WALL).alias("html"))
     return rows.select("page_id", *[c.alias(n) for n, c in pages.gates("html", ("einung", "ad 1"), ("menu",)).items()])
 
 
-_CARDS = "c as (select * from (select *, row_number() over (partition by page_id, store, card_id order by carousel_page, seq) as again from {cards} where carousel_page <= 11) where again = 1)"
-_NAMED = "coalesce(nullif(trim(regexp_extract(coalesce(name, ''), '(?i)([0-9]+(?:[./][0-9]+)?[\\s-]*(?:ct|count|pk|pack)\\b)', 1)), ''), nullif(trim(regexp_extract(coalesce(name, ''), '(?i)([0-9]+(?:[./][0-9]+)?[\\s-]*(?:oz|fl\\.?\\s*oz|lb|lbs|g|kg|ml|L|gal)\\b)', 1)), ''))"
+_CARDS = """c as (select * from (select *, row_number() over (partition by page_id, store, card_id order by carousel_page, seq) as again from {cards}
+    where carousel_page <= 11) where again = 1)"""
+_NAMED = """coalesce(nullif(trim(regexp_extract(coalesce(name, ''), '(?i)([0-9]+(?:[./][0-9]+)?[\\s-]*(?:ct|count|pk|pack)\\b)', 1)), ''),
+    nullif(trim(regexp_extract(coalesce(name, ''), '(?i)([0-9]+(?:[./][0-9]+)?[\\s-]*(?:oz|fl\\.?\\s*oz|lb|lbs|g|kg|ml|L|gal)\\b)', 1)), ''))"""
 
 
-@register(f"""with {_CARDS} select replace(card_id, 'item_list_item_', '') as id, case when html is not null then name end as name, nullif(regexp_extract(html, '<span>(\\$[0-9.,]+)', 1), '') as price,
-    case when contains(html, ' /lb</span>') then 'lb' end as price_unit, case when html is null or contains(html, ' /lb</span>') then null when contains(html, '18 ct') then '18 ct' else {_NAMED} end as quantity,
-    case when not contains(html, 'missing-item') then regexp_extract(html, 'src="([^"]*)"', 1) end as image_url, nullif(trim(regexp_extract(html, '<h2>Details</h2><p>([^<]*)</p>', 1)), '') as description, coalesce(contains(html, 'Out of stock'), false) as out_of_stock from c""")
+@register(f"""with {_CARDS} select replace(card_id, 'item_list_item_', '') as id, case when html is not null then name end as name, nullif(regexp_extract(html,
+    '<span>(\\$[0-9.,]+)', 1), '') as price,
+    case when contains(html, ' /lb</span>') then 'lb' end as price_unit, case when html is null or contains(html,
+      ' /lb</span>') then null when contains(html, '18 ct') then '18 ct' else {_NAMED} end as quantity,
+    case when not contains(html, 'missing-item') then regexp_extract(html, 'src="([^"]*)"', 1) end as image_url, nullif(trim(regexp_extract(html,
+      '<h2>Details</h2><p>([^<]*)</p>', 1)), '') as description, coalesce(contains(html, 'Out of stock'), false) as out_of_stock from c""")
 def page_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.parse_cards(pages.dedupe_cards(table(spark, sf_dir, "cards"))).drop("page_id", "store", "card_id")
 
 
-@register(f"""with {_CARDS}, p as (select page_id % 10 as query, html is null as no_name, not coalesce(contains(html, '<span>$'), false) as no_price, coalesce(contains(html, 'Out of stock'), false) as oos from c)
-    select query, count(*) as products, count(*) filter (where not no_name and not no_price) as complete, count(*) filter (where no_name) as no_name, count(*) filter (where no_price) as no_price, count(*) filter (where oos) as out_of_stock from p group by query""")
+@register(f"""with {_CARDS}, p as (select page_id % 10 as query, html is null as no_name, not coalesce(contains(html, '<span>$'), false) as no_price,
+    coalesce(contains(html, 'Out of stock'), false) as oos from c)
+    select query, count(*) as products, count(*) filter (where not no_name and not no_price) as complete, count(*) filter (where no_name) as no_name,
+      count(*) filter (where no_price) as no_price, count(*) filter (where oos) as out_of_stock from p group by query""")
 def page_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     offers = pages.parse_cards(pages.dedupe_cards(table(spark, sf_dir, "cards")))
     return pages.completeness(offers.withColumn("query", F.col("page_id") % 10))
 
 
-@register("""select query, bool_or(login_wall) as any_login_wall, bool_or(location_wall) as any_location_wall, bool_or(blocked) as any_blocked, bool_and(grid_found) as all_grids_found, sum(card_count)::double as total_cards
-    from (select page_id % 7 as query, false as login_wall, contains(lower(html), 'menu') as location_wall, regexp_matches(lower(html), 'einung|ad 1') as blocked, contains(lower(html), '<article') as grid_found, length(url) as card_count from {pages}) group by rollup(query)""")
+@register("""select query, bool_or(login_wall) as any_login_wall, bool_or(location_wall) as any_location_wall, bool_or(blocked) as any_blocked,
+    bool_and(grid_found) as all_grids_found, sum(card_count)::double as total_cards
+    from (select page_id % 7 as query, false as login_wall, contains(lower(html), 'menu') as location_wall, regexp_matches(lower(html),
+      'einung|ad 1') as blocked, contains(lower(html), '<article') as grid_found, length(url) as card_count from {pages}) group by rollup(query)""")
 def page_summary_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = pages.gates("html", ("einung", "ad 1"), ("menu",))
     rows = table(spark, sf_dir, "pages").select((F.col("page_id") % 7).alias("query"), F.length("url").alias("card_count"), *[c.alias(n) for n, c in flags.items()])
     return pages.run_summary(rows).withColumn("total_cards", F.col("total_cards").cast("double"))
 
 
-@register("select doc_id, coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')[1], 'Unknown Store') as store from {documents}")
+@register("""
+    select doc_id, coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')),
+    lambda x: x <> '')[1], 'Unknown Store') as store from {documents}""")
 def store_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", pages.store_name("text").alias("store"))
 
@@ -421,18 +482,23 @@ def price_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.price_compare(table(spark, sf_dir, "offers"), "PROMO").select("offer_id", "price")
 
 
-@register("select offer_id, name, price from {offers} where contains(lower(name), 'gear') or contains(lower(taxonomy), 'gear') order by price asc nulls last, offer_id limit 50 offset 100")
+@register("""
+    select offer_id, name, price from {offers} where contains(lower(name), 'gear') or contains(lower(taxonomy), 'gear') order by price asc nulls last,
+    offer_id limit 50 offset 100""")
 def offer_search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.offer_search(table(spark, sf_dir, "offers"), "Gear", offset=100).select("offer_id", "name", "price")
 
 
-@register("select o_orderkey as recipe_id, o_orderpriority as title from {orders} where contains(lower(o_orderpriority), 'urgent') order by o_orderkey limit 20 offset 20")
+@register("""
+    select o_orderkey as recipe_id, o_orderpriority as title from {orders} where contains(lower(o_orderpriority), 'urgent')
+    order by o_orderkey limit 20 offset 20""")
 def recipe_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.recipe_search(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("recipe_id"), F.col("o_orderpriority").alias("title")), "Urgent", offset=20)
 
 
 @register("""select o_custkey as user_id, o_orderkey as recipe_id from {orders} o join {preferences} p on o.o_custkey = p.user_id
-    where not exists (select 1 from {lineitem} l join {part} on l_partkey = p_partkey where l_orderkey = o_orderkey and split_part(p_name, ' ', 2) = p.allergy)""")
+    where not exists (select 1 from {lineitem} l join {part} on l_partkey = p_partkey where l_orderkey = o_orderkey and split_part(p_name, ' ',
+      2) = p.allergy)""")
 def preference_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     recipes = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("recipe_id"))
     items = spark_sql(spark, sf_dir, "select l_orderkey as recipe_id, split_part(p_name, ' ', 2) as term from {lineitem} join {part} on l_partkey = p_partkey")
@@ -446,7 +512,9 @@ def match_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.match_lookup(rows, 7).select("raw", "store", "price", "seq")
 
 
-@register("""select store_id, floor(miles * 1000 + 0.5) / 1000 as miles from (select store_id, 2 * 6371008.8 / 1609.34 * asin(sqrt(pow(sin(radians(lat - 34.0) / 2), 2) + cos(radians(34.0)) * cos(radians(lat)) * pow(sin(radians(lon + 117.5) / 2), 2))) as miles
+@register("""select store_id, floor(miles * 1000 + 0.5) / 1000 as miles from (select store_id,
+    2 * 6371008.8 / 1609.34 * asin(sqrt(pow(sin(radians(lat - 34.0) / 2),
+    2) + cos(radians(34.0)) * cos(radians(lat)) * pow(sin(radians(lon + 117.5) / 2), 2))) as miles
     from {stores} where lat between 33.8 and 34.2 and lon between -117.7 and -117.3) order by miles, store_id limit 50""")
 def nearby_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     stores = table(spark, sf_dir, "stores").withColumns({"lat": F.col("lat").cast("double"), "lon": F.col("lon").cast("double")})
@@ -462,8 +530,10 @@ def chain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- baskets --------------------------------------------------------------
 
-_GROUPED = f"""keyed as (select *, {dk.strip(dk.rep(f"regexp_replace(lower({dk.strip('raw')}), {dk.q(tx.DISPLAY_QUANTITY)}, '')", ',.*$', ''))} as key from {{recipe_matches}}),
-    named as (select *, first_value(raw) over (partition by recipe_id, key order by seq) as item, min(seq) over (partition by recipe_id, key) as item_order, row_number() over (partition by recipe_id, key, store, price order by seq) as again from keyed),
+_GROUPED = f"""keyed as (select *, {dk.strip(dk.rep(f"regexp_replace(lower({dk.strip('raw')}), {dk.q(tx.DISPLAY_QUANTITY)}, '')", ',.*$', ''))} as key
+    from {{recipe_matches}}),
+    named as (select *, first_value(raw) over (partition by recipe_id, key order by seq) as item, min(seq) over (partition by recipe_id,
+      key) as item_order, row_number() over (partition by recipe_id, key, store, price order by seq) as again from keyed),
     grouped as (select *, row_number() over (partition by recipe_id, key order by seq) - 1 as alt from named where again = 1)"""
 
 
@@ -476,7 +546,9 @@ def group_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grouped(spark, sf_dir).select("recipe_id", "item", "item_order", F.col("alt").cast("long").alias("alt"), "store", "price")
 
 
-@register(f"with {_GROUPED} select recipe_id, store, row_number() over (partition by recipe_id order by first_at, store) as stop from (select recipe_id, store, min(item_order) as first_at from grouped where alt = 0 group by recipe_id, store)")
+@register(f"""
+    with {_GROUPED} select recipe_id, store, row_number() over (partition by recipe_id order by first_at, store) as stop from (select recipe_id, store,
+    min(item_order) as first_at from grouped where alt = 0 group by recipe_id, store)""")
 def value_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return basket.value_plan(_grouped(spark, sf_dir)).withColumn("stop", F.col("stop").cast("long"))
 
@@ -485,8 +557,10 @@ def _plan_sql(rounds: int) -> str:
     """The greedy cover, round by round, as far as the items of a recipe reach."""
     text = f"{_GROUPED}, left1 as (select recipe_id, item, store, min(coalesce(price, 'inf'::double)) as price from grouped group by recipe_id, item, store)"
     for i in range(1, rounds + 1):
-        text += f""", best{i} as (select recipe_id, store from (select recipe_id, store, row_number() over (partition by recipe_id order by count(*) desc, sum(price), store) as n from left{i} group by recipe_id, store) where n = 1),
-            left{i + 1} as (select * from left{i} where (recipe_id, item) not in (select l.recipe_id, l.item from left{i} l join best{i} b on l.recipe_id = b.recipe_id and l.store = b.store))"""
+        text += f""", best{i} as (select recipe_id, store from (select recipe_id, store, row_number() over (partition by recipe_id order by count(*) desc, sum(price),
+    store) as n from left{i} group by recipe_id, store) where n = 1),
+            left{i + 1} as (select * from left{i} where (recipe_id, item) not in (select l.recipe_id, l.item from left{i} l join best{i} b
+              on l.recipe_id = b.recipe_id and l.store = b.store))"""
     return text + ", plan as (" + " union all ".join(f"select recipe_id, {i} as stop, store from best{i}" for i in range(1, rounds + 1)) + ")"
 
 
@@ -495,16 +569,19 @@ def fewest_stops_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return basket.fewest_stops(_grouped(spark, sf_dir))
 
 
-@register(f"""with {_plan_sql(7)}, o as (select g.*, p.store is not null as planned, row_number() over (partition by g.recipe_id, g.item order by case when p.store is not null then 0 else 1 end, case when p.store is not null then coalesce(g.price, 'inf'::double) end, g.alt) as n
+@register(f"""with {_plan_sql(7)}, o as (select g.*, p.store is not null as planned, row_number() over (partition by g.recipe_id, g.item
+    order by case when p.store is not null then 0 else 1 end, case when p.store is not null then coalesce(g.price, 'inf'::double) end, g.alt) as n
     from grouped g left join plan p on p.recipe_id = g.recipe_id and p.store = g.store) select recipe_id, item, store, price, planned from o where n = 1""")
 def plan_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = _grouped(spark, sf_dir)
     return basket.plan_assignment(grouped, basket.fewest_stops(grouped)).select("recipe_id", "item", "store", "price", "planned")
 
 
-@register(f"""with {_GROUPED}, items as (select recipe_id, title, item, count(*) as n from grouped group by recipe_id, title, item union all select distinct recipe_id, title, 'extra item', 0 from grouped),
+@register(f"""with {_GROUPED}, items as (select recipe_id, title, item, count(*) as n from grouped group by recipe_id, title, item
+    union all select distinct recipe_id, title, 'extra item', 0 from grouped),
     kept as (select *, case when length(item) % 3 < n then length(item) % 3 else 0 end as alt from items where recipe_id % 5 <> 0 or item not like '1%')
-    select concat(k.recipe_id, '::', coalesce(g.name, k.item)) as line_id, k.title, coalesce(g.name, k.item) as name, coalesce(g.price, 0.0::double) as price, g.store, 1 as quantity from kept k left join grouped g on g.recipe_id = k.recipe_id and g.item = k.item and g.alt = k.alt""")
+    select concat(k.recipe_id, '::', coalesce(g.name, k.item)) as line_id, k.title, coalesce(g.name, k.item) as name, coalesce(g.price,
+      0.0::double) as price, g.store, 1 as quantity from kept k left join grouped g on g.recipe_id = k.recipe_id and g.item = k.item and g.alt = k.alt""")
 def recipe_to_cart(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = _grouped(spark, sf_dir)
     items = grouped.select("recipe_id", "title", "item").distinct().unionByName(grouped.select("recipe_id", "title", F.lit("extra item").alias("item")).distinct())
@@ -521,26 +598,39 @@ def cart_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["cart_totals"] = SQL["cart_totals"].replace("sum(price * quantity)", "sum(price::decimal(18,2) * quantity)::double")
 
 
-@register("select group_id, coalesce(min(group_title), 'Recipe') as title, sum(quantity)::bigint as items, floor(sum(price::decimal(18,2) * quantity)::double * 100 + 0.5) / 100 as subtotal from {cart_lines} where group_id is not null and group_id <> '' group by group_id")
+@register("""
+    select group_id, coalesce(min(group_title), 'Recipe') as title, sum(quantity)::bigint as items,
+    floor(sum(price::decimal(18,2) * quantity)::double * 100 + 0.5) / 100 as subtotal from {cart_lines} where group_id is not null and group_id <> ''
+    group by group_id""")
 def cart_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return basket.by_recipe(table(spark, sf_dir, "cart_lines").withColumn("price", F.col("price").cast("decimal(18,2)"))).withColumn("subtotal", F.col("subtotal").cast("double"))
 
 
-@register("select coalesce(nullif(trim(store), ''), 'Unknown Store') as store, sum(quantity)::bigint as items, floor(sum(price::decimal(18,2) * quantity)::double * 100 + 0.5) / 100 as subtotal from {cart_lines} group by 1")
+@register("""
+    select coalesce(nullif(trim(store), ''), 'Unknown Store') as store, sum(quantity)::bigint as items,
+    floor(sum(price::decimal(18,2) * quantity)::double * 100 + 0.5) / 100 as subtotal from {cart_lines} group by 1""")
 def cart_by_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return basket.by_store(table(spark, sf_dir, "cart_lines").withColumn("price", F.col("price").cast("decimal(18,2)"))).withColumn("subtotal", F.col("subtotal").cast("double"))
 
 
-@register("select count(*) as lines, floor(sum(price::decimal(18,2) * quantity)::double * 100 + 0.5) / 100 as subtotal from {cart_lines} where line_id in (select concat(l_orderkey, '::', p_name, '-', l_partkey, '-', l_suppkey) from {lineitem} join {part} on l_partkey = p_partkey where l_returnflag = 'R')")
+@register("""
+    select count(*) as lines, floor(sum(price::decimal(18,2) * quantity)::double * 100 + 0.5) / 100 as subtotal from {cart_lines}
+    where line_id in (select concat(l_orderkey, '::', p_name, '-', l_partkey, '-', l_suppkey) from {lineitem} join {part} on l_partkey = p_partkey
+    where l_returnflag = 'R')""")
 def checked_subtotal(spark: SparkSession, sf_dir: str) -> DataFrame:
     checked = spark_sql(spark, sf_dir, "select concat(l_orderkey, '::', p_name, '-', l_partkey, '-', l_suppkey) as line_id from {lineitem} join {part} on l_partkey = p_partkey where l_returnflag = 'R'")
     return basket.checked_subtotal(table(spark, sf_dir, "cart_lines").withColumn("price", F.col("price").cast("decimal(18,2)")), checked).withColumn("subtotal", F.col("subtotal").cast("double"))
 
 
 _FOLD = """with e as (select * from {cart_events}), cleared as (select cart_id, max(seq) as at from e where action = 'clear' group by cart_id),
-    own as (select e.*, row_number() over (partition by e.cart_id, item order by seq) as n from e left join cleared c on c.cart_id = e.cart_id where action <> 'clear' and (c.at is null or seq > c.at)),
-    r as (select cart_id, item, list([case action when 'add' then 1.0::double when 'increment' then 2.0::double when 'decrement' then 3.0::double else 4.0::double end, price] order by n) as steps from own group by cart_id, item),
-    f as (select cart_id, item, list_reduce(steps, lambda s, x: case when x[1] = 4 then [0.0::double, 0.0::double] when x[1] = 1 and s[1] > 0 then [s[1] + 1, s[2]] when x[1] = 1 then [1.0::double, x[2]] when s[1] > 0 and x[1] = 2 then [s[1] + 1, s[2]] when s[1] > 0 then [s[1] - 1, s[2]] else s end, [0.0::double, 0.0::double]) as s from r)
+    own as (select e.*, row_number() over (partition by e.cart_id, item order by seq) as n from e left join cleared c on c.cart_id = e.cart_id
+      where action <> 'clear' and (c.at is null or seq > c.at)),
+    r as (select cart_id, item,
+      list([case action when 'add' then 1.0::double when 'increment' then 2.0::double when 'decrement' then 3.0::double else 4.0::double end, price]
+      order by n) as steps from own group by cart_id, item),
+    f as (select cart_id, item, list_reduce(steps, lambda s, x: case when x[1] = 4 then [0.0::double,
+      0.0::double] when x[1] = 1 and s[1] > 0 then [s[1] + 1, s[2]] when x[1] = 1 then [1.0::double, x[2]] when s[1] > 0 and x[1] = 2 then [s[1] + 1,
+      s[2]] when s[1] > 0 then [s[1] - 1, s[2]] else s end, [0.0::double, 0.0::double]) as s from r)
     select cart_id, item, s[1]::int as quantity, s[2] as price, concat('item ', item) as name from f where s[1] > 0"""
 
 
@@ -567,7 +657,10 @@ def cart_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- keyed tables ---------------------------------------------------------
 
 
-@register("select offer_id, price, version from (select *, row_number() over (partition by offer_id order by version desc) as n from (select offer_id, price, 0 as version from {offers} where offer_id % 3 <> 0 union all select offer_id, price + 1, 1 + offer_id % 2 from {offers} where offer_id % 4 = 0)) where n = 1")
+@register("""
+    select offer_id, price, version from (select *, row_number() over (partition by offer_id order by version desc) as n from (select offer_id, price,
+    0 as version from {offers} where offer_id % 3 <> 0 union all select offer_id, price + 1, 1 + offer_id % 2 from {offers} where offer_id % 4 = 0))
+    where n = 1""")
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     offers = table(spark, sf_dir, "offers")
     old = offers.where("offer_id % 3 <> 0").select("offer_id", "price", F.lit(0).cast("long").alias("version"))
@@ -592,8 +685,10 @@ def row_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.row_range(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 200, 300)
 
 
-@register("""with m as (select recipe_id, title, raw, store, name, price, seq as match_rank from {recipe_matches}), l as (select recipe_id, title, '' as raw, 0 as match_rank, concat('=== ', title, ' ===') as text from m group by recipe_id, title
-    union all select recipe_id, title, raw, match_rank, concat(raw, ' -> [', store, '] ', name, ' | ', case when price is null or price = 0 then 'Price N/A' else printf('$%.2f', price) end, ' | 50.00') from m)
+@register("""with m as (select recipe_id, title, raw, store, name, price, seq as match_rank from {recipe_matches}), l as (select recipe_id, title, '' as raw,
+    0 as match_rank, concat('=== ', title, ' ===') as text from m group by recipe_id, title
+    union all select recipe_id, title, raw, match_rank, concat(raw, ' -> [', store, '] ', name, ' | ',
+      case when price is null or price = 0 then 'Price N/A' else printf('$%.2f', price) end, ' | 50.00') from m)
     select recipe_id, row_number() over (partition by recipe_id order by raw, match_rank, text) - 1 as line_no, text from l""")
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "recipe_matches").withColumn("score", F.lit(50.0)).withColumn("match_rank", F.col("seq"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from basketry.functions import similarity as sim
 from basketry.operators import blocking, catalog, matching
 from basketry.operators import rules as rl
-from basketry.sources import tables
+from basketry.sources import storage, tables
 
 
 def plain_lcs(a, b):
@@ -147,3 +147,18 @@ def test_blocking_is_that_of_all_products(spark):
         pool = good if len(good) >= 15 else list(found)
         order = sorted(pool, key=lambda p: (-found[p], texts[p].description_norm, p))[:40]
         assert got[ing] == {i + 1: (p, found[p]) for i, p in enumerate(order)}
+
+
+def test_scratch_tables_go(spark):
+    """Tables of a scope are there within it and gone after it; others stay."""
+    outer = storage.written(spark.range(3), "stays")
+    with storage.scratch(spark):
+        inner = storage.written(spark.range(5), "goes")
+        with storage.scratch(spark):
+            deepest = storage.written(spark.range(7), "goes")
+            assert deepest.count() == 7
+        assert inner.count() == 5
+    assert outer.count() == 3
+    for gone in (inner, deepest):
+        path = spark._jvm.org.apache.hadoop.fs.Path(gone.inputFiles()[0]).getParent()
+        assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
