@@ -76,7 +76,8 @@ def _shingle_filter(shingles: DataFrame) -> _Filter:
     n = shingles.count()
     bits = min(MOST_BITS, max(LEAST_BITS, int(64 * n).bit_length()))
     place = F.shiftrightunsigned("h", 64 - bits)
-    cells = shingles.groupBy(F.shiftrightunsigned(place, 6).alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(shiftrightunsigned(h, {64 - bits}) & 63))")).alias("mask"))
+    cells = shingles.groupBy(F.shiftrightunsigned(place,
+        6).alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(shiftrightunsigned(h, {64 - bits}) & 63))")).alias("mask"))
     return _Filter(bits, ((r.cell, r.mask) for r in cells.toLocalIterator()))
 
 
@@ -124,7 +125,8 @@ def _prefix_hits(known: _Filter, orders: list[int], size: int):
                     a, b = max(int(words.first[doc]), i - size + k), min(int(words.first[doc + 1]), i + size)
                     place = i - int(words.first[doc])
                     hits[doc].append({"h": int(grams[j].view(np.int64)), "at": place, "before": i - a, "words": _lowered(words, data, a, b)})
-            yield pa.RecordBatch.from_arrays([block.arrow("doc_id"), pa.array(np.diff(words.first)), pa.array(hits, entry)], names=["doc_id", "n_words", "hits"])
+            yield pa.RecordBatch.from_arrays([block.arrow("doc_id"), pa.array(np.diff(words.first)), pa.array(hits, entry)],
+                names=["doc_id", "n_words", "hits"])
 
     return run
 
@@ -159,7 +161,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> Data
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     own = windows.select(F.explode("shingles").alias("h")).distinct()
-    counts = texts.mapInArrow(_counted(_shingle_filter(own), orders), "h long, n long") if orders else own.select("h", F.lit(0).cast("long").alias("n")).limit(0)
+    counts = texts.mapInArrow(_counted(_shingle_filter(own), orders), "h long, n long") if orders else own.select("h",
+        F.lit(0).cast("long").alias("n")).limit(0)
     rarity = own.join(counts.groupBy("h").agg(F.sum("n").alias("found")), "h", "left")
     places = windows.select("words", "n", F.posexplode("shingles").alias("offset", "h")).join(rarity, "h")
     first = F.min(F.struct(F.coalesce("found", F.lit(0)).alias("found"), "h", "offset")).alias("p")
@@ -170,7 +173,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> Data
     found = texts.mapInArrow(_prefix_hits(prefixes, orders, size), hits).withColumn("row", F.monotonically_increasing_id())
     found = written(found, "prefix-hits")
 
-    met = found.select("row", F.explode("hits").alias("at")).select("row", F.col("at.h").alias("h"), F.col("at.at").alias("place"), F.col("at.before").alias("before"), F.col("at.words").alias("around"))
+    met = found.select("row", F.explode("hits").alias("at")).select("row", F.col("at.h").alias("h"), F.col("at.at").alias("place"),
+        F.col("at.before").alias("before"), F.col("at.words").alias("around"))
     window = prefixed.select("h", "offset", "n", F.col("words").alias("window"))
     if prefixed.count() <= BROADCAST_WINDOWS:
         window = F.broadcast(window)
@@ -192,7 +196,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> Data
 
     out = found.drop("hits").join(spans, "row", "left").join(named, "row", "left")
     no_spans, no_items = F.expr(f"cast(array() as {_SPAN})"), F.expr("cast(array() as array<long>)")
-    out = out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", no_items).alias("items"), F.coalesce("spans", no_spans).alias("spans"))
+    out = out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", no_items).alias("items"),
+        F.coalesce("spans", no_spans).alias("spans"))
     joined = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     contaminated = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
     return out.select(

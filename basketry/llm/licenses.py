@@ -418,7 +418,8 @@ def _entries(model: Classifier, units: Units, least: float, cover: float) -> lis
 
 def _found(model: Classifier, least: float, cover: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("paragraph", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("template_share", pa.float64()), ("confirmed", pa.bool_())
+        names = ("paragraph", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("family", pa.string()), ("probability",
+            pa.float64()), ("template_share", pa.float64()), ("confirmed", pa.bool_())
         kind = pa.list_(pa.struct(names))
         for block in blocks(batches, size=1 << 18):
             units = _units(block)

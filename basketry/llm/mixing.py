@@ -153,7 +153,8 @@ def _source_key(name: str | None) -> tuple[bool, bytes]:
     return name is None, (name or "").encode()
 
 
-def with_passes(docs: DataFrame, memberships: Column, weights: Mapping[str | None, float] | Sequence[float], share: float = 1.5, cap: float = 2.0, seed: int = 0) -> DataFrame:
+def with_passes(docs: DataFrame, memberships: Column, weights: Mapping[str | None, float] | Sequence[float], share: float = 1.5, cap: float = 2.0,
+    seed: int = 0) -> DataFrame:
     """``docs (doc_id, text, ...)`` with one more column, the struct ``mix``: ``size, source_size, target, passes``.
 
     No row is lost or repeated: what the mix takes is worked out from sums, and each
@@ -201,7 +202,8 @@ def with_passes(docs: DataFrame, memberships: Column, weights: Mapping[str | Non
         wanted = F.broadcast(wanted)
     answer = wanted.select(F.col("pattern").alias("mix_pattern"), F.struct(*wanted.columns).alias("mix_answer"))
     found = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("k"))
-    found = found.join(answer, F.col("k.pattern") == F.col("mix_pattern"), "left").select("row", "k.*", "mix_answer.source_size", "mix_answer.target", "mix_answer.whole", "mix_answer.need", "mix_answer.last_b1", "mix_answer.last_b2", "mix_answer.last", "mix_answer.more")
+    found = found.join(answer, F.col("k.pattern") == F.col("mix_pattern"), "left").select("row", "k.*", "mix_answer.source_size", "mix_answer.target",
+        "mix_answer.whole", "mix_answer.need", "mix_answer.last_b1", "mix_answer.last_b2", "mix_answer.last", "mix_answer.more")
     extra = f"need > 0 and ({TAKEN} or (doc_id <=> more.doc_id and u = more.u and size = more.size))"
     passes = F.expr(f"if(size > 0, whole + if(coalesce({extra}, false), 1, 0), 0)").cast("long").alias("passes")
     return found.select("row.*", F.struct("size", "source_size", "target", passes).alias("mix"))
@@ -231,7 +233,8 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | Sequence[float],
     return named.select(F.col("doc_id").cast("long").alias("doc_id"), "mix.size", "mix.source_size", "mix.target", taken, "mix.passes")
 
 
-def repeated(docs: DataFrame, memberships: Column, weights: Mapping[str | None, float] | Sequence[float], share: float = 1.5, cap: float = 2.0, seed: int = 0) -> DataFrame:
+def repeated(docs: DataFrame, memberships: Column, weights: Mapping[str | None, float] | Sequence[float], share: float = 1.5, cap: float = 2.0,
+    seed: int = 0) -> DataFrame:
     """Each row of ``docs`` as often as the mix takes it, with all of its columns; rows of no pass go."""
     named = with_passes(docs.select(F.struct("*").alias("row"), "doc_id", "text", memberships.alias("of")), F.col("of"), weights, share, cap, seed)
     turns = F.explode(F.sequence(F.lit(1), F.col("mix.passes").cast("int")))

@@ -55,7 +55,8 @@ def _signatures(k: int, bands: int, rows: int):
             for j in range(rows):
                 keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + wide[:, :, j])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(block.column("id")), pa.array(np.diff(ends)), longs(sums[ends[1:]] - sums[ends[:-1]]), longs(more[ends[1:]] - more[ends[:-1]]), lists(keys.ravel(), np.arange(block.n + 1) * bands)],
+                [pa.array(block.column("id")), pa.array(np.diff(ends)), longs(sums[ends[1:]] - sums[ends[:-1]]),
+                    longs(more[ends[1:]] - more[ends[:-1]]), lists(keys.ravel(), np.arange(block.n + 1) * bands)],
                 names=["id", "n", "d1", "d2", "bands"],
             )
 
@@ -148,7 +149,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     own, plain = keyed(docs.select("doc_id", "text"), "id")
     groups = near_groups(own.select("id", "text"), k, percent, bands, rows)
     if plain:
-        return groups.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("rep").alias("component_id"), (F.col("id") == F.col("rep")).alias("kept"))
+        return groups.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("rep").alias("component_id"),
+            (F.col("id") == F.col("rep")).alias("kept"))
     groups = written(groups.join(own.select("id", F.col("doc_id").cast("long").alias("doc_id")), "id"), "groups")
     least = groups.groupBy("rep").agg(F.min("doc_id").alias("component_id"), F.min("id").alias("first"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull() & (F.col("id") == F.col("first")))
@@ -175,7 +177,8 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 def _crowded(firsts: DataFrame) -> DataFrame:
     """Buckets with two members or more, and their least member."""
-    return firsts.select("id", F.explode("bands").alias("bucket")).groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").select("bucket", "leader")
+    return firsts.select("id", F.explode("bands").alias("bucket")).groupBy("bucket").agg(F.min("id").alias("leader"),
+        F.max("id").alias("last")).where("leader < last").select("bucket", "leader")
 
 
 def _chunks(ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, grams: np.ndarray, most: int = 256) -> Iterator[tuple[np.ndarray, ...]]:
@@ -239,11 +242,13 @@ def _rest(spread: DataFrame, texts: DataFrame, pairs: DataFrame, links: DataFram
     now = _open(spread, links)
     grams = texts.join(now.select("id").distinct(), "id", "left_semi").mapInArrow(_shingle_rows(k), "h long, id long")
     alone = grams.groupBy("h").agg(F.count("*").alias("df"), F.min("id").alias("id")).where("df = 1").groupBy("id").agg(F.count("*").alias("own"))
-    able = now.join(alone, "id", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).where(f"100 * most >= {percent} * (n + greatest(least, most) - most)")
+    able = now.join(alone, "id", "left").withColumn("most", F.col("n") - F.coalesce("own",
+        F.lit(0))).where(f"100 * most >= {percent} * (n + greatest(least, most) - most)")
     able = written(able.select("bucket", "id", "n", "c", "most"), "able")
     hub = able.groupBy("bucket").agg(F.min(F.struct((F.col("n") - F.col("most")).alias("own"), "id", "n", "most", "c")).alias("h")).select("bucket", "h.*")
     bound = f"x.c <> y.c and 100 * least(x.most, y.most) >= {percent} * (x.n + y.n - least(x.most, y.most))"
-    new = hub.alias("x").join(able.alias("y"), "bucket").where(bound).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    new = hub.alias("x").join(able.alias("y"), "bucket").where(bound).select(F.least("x.id", "y.id").alias("a"),
+        F.greatest("x.id", "y.id").alias("b")).distinct()
     links = written(links.union(verified_links(new.join(pairs, ["a", "b"], "left_anti"), texts, k, percent)), "links")
 
     left = _open(able.select("bucket", "id", "n"), links).select("bucket", "id", "n", "c")
@@ -252,7 +257,8 @@ def _rest(spread: DataFrame, texts: DataFrame, pairs: DataFrame, links: DataFram
     texts_of = written(texts_of, "unsettled")
     if texts_of.isEmpty():
         return links
-    main = texts_of.groupBy("cluster", "c").agg(F.count("*").alias("m")).groupBy("cluster").agg(F.max(F.struct("m", "c")).alias("m")).select("cluster", F.col("m.c").alias("main"))
+    main = texts_of.groupBy("cluster", "c").agg(F.count("*").alias("m")).groupBy("cluster").agg(F.max(F.struct("m",
+        "c")).alias("m")).select("cluster", F.col("m.c").alias("main"))
     sets = texts.join(texts_of.select("id"), "id", "left_semi").mapInArrow(_set_rows(k), "id long, h array<long>")
     sets = written(texts_of.join(main, "cluster").join(sets, "id"), "sets")
 

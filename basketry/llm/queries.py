@@ -20,7 +20,8 @@ RULES = (
 SCHEMAS = {
     "answer": {
         "type": "object",
-        "properties": {"text": {"type": "string", "minLength": 1}, "words": {"type": "integer", "minimum": 1, "maximum": 200}, "after": {"type": ["array", "null"], "items": {"type": "string"}}},
+        "properties": {"text": {"type": "string", "minLength": 1}, "words": {"type": "integer", "minimum": 1, "maximum": 200},
+            "after": {"type": ["array", "null"], "items": {"type": "string"}}},
         "required": ["text", "words"],
         "additionalProperties": False,
     }
@@ -129,7 +130,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_families(docs, licenses.train(docs)).withColumn("families", F.array_join("families", ",")).drop("found")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_near_dedup, op3_exact_dedup, op3_live_texts, op4_url_filter, op4_linked_pages, op5_tool_calls, op5_chat_turns, op6_substring_dedup, op7_decontaminate, op8_token_output, op9_mix_sources, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_near_dedup, op3_exact_dedup, op3_live_texts, op4_url_filter, op4_linked_pages, op5_tool_calls,
+    op5_chat_turns, op6_substring_dedup, op7_decontaminate, op8_token_output, op9_mix_sources, op10_license_scan)}
 
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -257,7 +257,8 @@ def _repeats(size: int, texts: bool):
                 if texts:
                     kept.append(stays.decode())
             columns = {
-                "doc_id": block.arrow("doc_id"), "n_words": pa.array(np.diff(words.first)), "n_removed": pa.array(total[words.first[1:]] - total[words.first[:-1]]),
+                "doc_id": block.arrow("doc_id"), "n_words": pa.array(np.diff(words.first)),
+                    "n_removed": pa.array(total[words.first[1:]] - total[words.first[:-1]]),
                 "kept_sha256": pa.array(digests, pa.string()), "repeats": pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))),
             }
             if texts:

@@ -164,7 +164,8 @@ class WaveletMatrix:
         frames = [pack(np.ascontiguousarray(p.frame(k)[0]).tobytes()) for p in self.planes for k in range(len(p.frames))]
         starts = np.concatenate([p.starts for p in self.planes]) if self.planes else np.zeros(0, np.int64)
         sizes = np.array([len(f) for f in frames], np.uint32)
-        return b"".join((MAGIC, struct.pack("<QII", self.size, len(self.planes), FRAME), starts.astype("<i8").tobytes(), sizes.astype("<u4").tobytes(), *frames))
+        return b"".join((MAGIC, struct.pack("<QII", self.size, len(self.planes), FRAME), starts.astype("<i8").tobytes(),
+            sizes.astype("<u4").tobytes(), *frames))
 
     @classmethod
     def from_bytes(cls, data: bytes) -> WaveletMatrix:
@@ -266,7 +267,9 @@ def _shards(path: str, end_id: int):
         def closed() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(parts), kind)
             matrix = WaveletMatrix.build(ids, 32 if encoder.wide else 16)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([matrix.to_bytes()], pa.binary())], names=["part", "shard", "ids", "doc_ids", "sizes", "matrix"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(ids)], pa.int64()),
+                pa.array([docs], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([matrix.to_bytes()], pa.binary())],
+                names=["part", "shard", "ids", "doc_ids", "sizes", "matrix"])
 
         for batch in batches:
             for p, doc, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -312,7 +315,9 @@ def _decoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.cumsum(sizes)
             crcs = [zlib.crc32(ids[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
             k = len(sizes)
-            yield pa.RecordBatch.from_arrays([pa.array([part.as_py()] * k, pa.int32()), pa.array([shard.as_py()] * k, pa.int32()), docs.values, pa.array(ends - sizes), pa.array(sizes), pa.array(crcs, pa.int64())], names=["part", "shard", "doc_id", "at", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array([part.as_py()] * k, pa.int32()), pa.array([shard.as_py()] * k, pa.int32()), docs.values,
+                pa.array(ends - sizes), pa.array(sizes), pa.array(crcs, pa.int64())],
+                names=["part", "shard", "doc_id", "at", "n_tokens", "ids_crc32"])
 
 
 def read_tokens(spark, path: str) -> DataFrame:

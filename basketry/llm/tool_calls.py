@@ -114,7 +114,8 @@ def _depths(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 groups.append(group)
                 calls.append(call)
                 levels.append(None if open_[call] else level[call])
-        yield pa.RecordBatch.from_arrays([pa.array(groups, batch.schema.types[0]), pa.array(calls, pa.string()), pa.array(levels, pa.int64())], names=["group_id", "call_id", "level"])
+        yield pa.RecordBatch.from_arrays([pa.array(groups, batch.schema.types[0]), pa.array(calls, pa.string()), pa.array(levels, pa.int64())],
+            names=["group_id", "call_id", "level"])
 
 
 def _levels(edges: DataFrame) -> DataFrame:
@@ -177,18 +178,22 @@ def _linked(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping]
     own = calls.where("first").drop("first")
     answers = results.where("first").select("group_id", "call_id", "result", F.lit(True).alias("answered"))
     one = F.get_json_object("arguments", f"$.{ref_field}")
-    refs = own.select("group_id", "call_id", F.explode(F.coalesce(F.from_json(one, "array<string>"), F.array(one))).alias("ref")).where("ref is not null").distinct()
+    refs = own.select("group_id", "call_id", F.explode(F.coalesce(F.from_json(one, "array<string>"),
+        F.array(one))).alias("ref")).where("ref is not null").distinct()
     edges = refs.join(own.select("group_id", F.col("call_id").alias("ref")), ["group_id", "ref"], "left_semi")
-    linked = own.join(answers.hint("shuffle_hash"), ["group_id", "call_id"], "left").join(_levels(edges.select("group_id", "call_id", "ref")).withColumn("refers", F.lit(True)), ["group_id", "call_id"], "left")
+    linked = own.join(answers.hint("shuffle_hash"), ["group_id", "call_id"],
+        "left").join(_levels(edges.select("group_id", "call_id", "ref")).withColumn("refers", F.lit(True)), ["group_id", "call_id"], "left")
     level = F.when(F.col("refers").isNull(), F.lit(0).cast("long")).otherwise(F.col("level")).alias("level")
     no_text = F.lit(None).cast("string")
-    linked = linked.select("group_id", "call_id", "pos", F.lit("call").alias("kind"), "name", F.coalesce("answered", F.lit(False)).alias("answered"), level, no_text.alias("text"), "arguments", "result")
+    linked = linked.select("group_id", "call_id", "pos", F.lit("call").alias("kind"), "name", F.coalesce("answered", F.lit(False)).alias("answered"),
+        level, no_text.alias("text"), "arguments", "result")
     if spare:
         free = results.where("not first").unionByName(results.where("first").join(own.select("group_id", "call_id"), ["group_id", "call_id"], "left_anti"))
         rest = [(calls.where("not first"), F.lit("spare call"), F.col("name"), F.col("arguments")), (free, F.col("kind"), no_text, F.col("result"))]
         for rows, kind, name, text in rest:
             none = F.lit(None)
-            linked = linked.union(rows.select("group_id", "call_id", "pos", kind.alias("kind"), name.alias("name"), none.cast("boolean"), none.cast("long"), text.alias("text"), no_text, no_text))
+            linked = linked.union(rows.select("group_id", "call_id", "pos", kind.alias("kind"), name.alias("name"), none.cast("boolean"),
+                none.cast("long"), text.alias("text"), no_text, no_text))
     kinds = ", ".join(f"{n} {t}" for n, t in linked.dtypes if n not in ("arguments", "result")) + ", args_valid boolean, errors string, json string"
     return linked.mapInArrow(_messages(schemas), kinds)
 

@@ -54,7 +54,8 @@ def host_edges(pages: DataFrame) -> DataFrame:
         return url_host(F.when(address.startswith("//"), F.concat(F.lit("http:"), address)).otherwise(address))
 
     found = pages.where("host <> '' and html is not null")
-    found = found.select(F.col("host").alias("src"), F.when(base.rlike(absolute), host_of(base)).alias("base"), F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("link"))
+    found = found.select(F.col("host").alias("src"), F.when(base.rlike(absolute), host_of(base)).alias("base"),
+        F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("link"))
     dst = F.when(link.rlike(absolute), host_of(link)).when(~link.rlike("(?i)^[a-z][a-z0-9+.-]*:"), F.col("base"))
     return found.select("src", dst.alias("dst")).where("dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
@@ -116,4 +117,5 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], damping: float = 0.85, t
     hosts = written(trust.join(distrust, "host", "full").na.fill(0.0), "host-ranks").withColumn("said", F.when(blocked, "block").otherwise("allow"))
     found = judged.join(hosts, "host", "left")
     verdict = F.coalesce("ruled", "said", F.lit("allow")).alias("verdict")
-    return found.select("page_id", "host", "path", "rule", verdict, F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    return found.select("page_id", "host", "path", "rule", verdict, F.coalesce("trust", F.lit(0.0)).alias("trust"),
+        F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

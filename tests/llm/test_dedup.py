@@ -92,12 +92,15 @@ def test_near_duplicates_with_odd_ids(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
     texts = [(7, a), (7, b), (7, b), (3, b + " tail"), (None, a), (None, c), (None, c + " end"), (9, None), (9, ""), (5, b)]
     rows = [(i, t, "x", 1, None) for i, t in texts]
-    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()), key=repr)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(spark.createDataFrame(rows,
+        SCHEMA)).collect()), key=repr)
     want = [(7, 26, 7, True), (7, 26, 3, False), (7, 26, 3, False), (3, 27, 3, True), (None, 26, 7, False), (9, 0, 9, True), (9, 0, 9, True), (5, 26, 3, False)]
     assert [x for x in got if x[2] is not None] == sorted(want, key=repr)
-    assert sorted(x[1:] for x in got if x[2] is None) == sorted([(26, None, True), (27, None, False)]) or sorted(x[1:] for x in got if x[2] is None) == sorted([(26, None, False), (27, None, True)])
+    assert sorted(x[1:] for x in got if x[2] is None) == sorted([(26, None, True), (27, None, False)]) or sorted(x[1:] for x in got
+        if x[2] is None) == sorted([(26, None, False), (27, None, True)])
     kept = near_dedup.one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert sorted((r.doc_id is None, r.doc_id or 0, (r.text or "")[:2]) for r in kept) == [(False, 3, "b0"), (False, 7, "a0"), (False, 9, ""), (False, 9, ""), (True, 0, "c0")]
+    assert sorted((r.doc_id is None, r.doc_id or 0, (r.text or "")[:2]) for r in kept) == [(False, 3, "b0"), (False, 7, "a0"), (False, 9, ""),
+        (False, 9, ""), (True, 0, "c0")]
     assert kept[0].__fields__ == [x.split()[0] for x in SCHEMA.split(", ")]
 
 
@@ -106,8 +109,10 @@ def test_blocks_of_sets():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))) for _ in range(600)]
     side = (np.arange(600), np.arange(600) % 7, np.array([len(x) for x in sets]), np.concatenate(sets))
-    got = {(int(x[0][i]), int(y[0][j])) for x in near_dedup._chunks(*side) for y in near_dedup._chunks(*side) for i, j in zip(*near_dedup._similar(x, y, 70), strict=True)}
-    assert got == {(i, j) for i in range(600) for j in range(600) if i % 7 != j % 7 and 100 * len(np.intersect1d(sets[i], sets[j])) >= 70 * len(np.union1d(sets[i], sets[j]))}
+    got = {(int(x[0][i]), int(y[0][j])) for x in near_dedup._chunks(*side) for y in near_dedup._chunks(*side) for i,
+        j in zip(*near_dedup._similar(x, y, 70), strict=True)}
+    assert got == {(i, j) for i in range(600) for j in range(600) if i % 7 != j % 7
+        and 100 * len(np.intersect1d(sets[i], sets[j])) >= 70 * len(np.union1d(sets[i], sets[j]))}
     assert got
 
 
@@ -143,7 +148,8 @@ def test_words_across_documents():
 
 
 def test_exact_duplicates(spark):
-    rows = [*corpus(1), (3, "a  b", "", 1, ""), (2, "a\n\tb", "", 1, ""), (9999, "a\x0b b", "", 1, ""), (2, "a b", "", 1, ""), (5, " a b", "", 1, ""), (None, "a b", "", 1, ""), (None, "alone", "", 1, ""), (None, "alone", "", 1, "")]
+    rows = [*corpus(1), (3, "a  b", "", 1, ""), (2, "a\n\tb", "", 1, ""), (9999, "a\x0b b", "", 1, ""), (2, "a b", "", 1, ""), (5, " a b", "", 1, ""),
+        (None, "a b", "", 1, ""), (None, "alone", "", 1, ""), (None, "alone", "", 1, "")]
     frame = spark.createDataFrame(rows, SCHEMA)
     for shards in (None, 1):
         got = sorted((tuple(r) for r in exact_dedup.exact_duplicates(frame, shards).collect()), key=repr)
@@ -171,7 +177,8 @@ def test_live_texts(spark):
 
 def test_texts_combined_in_small_stretches(monkeypatch):
     monkeypatch.setattr(exact_dedup, "HELD_BYTES", 3)
-    batch = pa.RecordBatch.from_pydict({"digest": [b"1" * 32, b"1" * 32, b"2" * 32], "text": ["ab", "ab", "cd"], "doc_id": [4, None, 1], "gone": [False, True, False]})
+    batch = pa.RecordBatch.from_pydict({"digest": [b"1" * 32, b"1" * 32, b"2" * 32], "text": ["ab", "ab", "cd"], "doc_id": [4, None, 1],
+        "gone": [False, True, False]})
     sent = list(exact_dedup._combined([batch, batch]))
     assert len(sent) == 2 and sent[0].to_pylist()[0] == {"digest": b"1" * 32, "text": "ab", "least": 4, "n": 2, "gone": 1}
     live = pa.Table.from_batches(exact_dedup._indexed(sent)).to_pylist()
@@ -265,7 +272,8 @@ def test_refuted_matches_stay():
     """A match whose words the source does not have is found out, and its words stay."""
     docs = pa.RecordBatch.from_pydict({"id": [1, 2], "doc_id": [1, 2], "text": ["a b c d e f g h", "x b c d e f q"]})
     entry = pa.list_(pa.struct([("at", pa.int32()), ("src", pa.int64()), ("src_at", pa.int32())]))
-    matched = docs.append_column("windows", pa.array([None, [{"at": 0, "src": 1, "src_at": 0}, {"at": 1, "src": 1, "src_at": 1}, {"at": 2, "src": 1, "src_at": 2}]], entry))
+    matched = docs.append_column("windows", pa.array([None, [{"at": 0, "src": 1, "src_at": 0}, {"at": 1, "src": 1, "src_at": 1},
+        {"at": 2, "src": 1, "src_at": 2}]], entry))
     claims = [r for part in substring_dedup._claims(4)([matched]) for r in part.to_pylist()]
     assert [(r["id"], r["src"], r["src_begin"], r["n"]) for r in claims] == [(2, 1, 0, 6)]  # one of six words from "x" on: the source says "a"
     entry = pa.list_(pa.struct([("src_begin", pa.int32()), ("n", pa.int32()), ("digest", pa.binary())]))

@@ -25,7 +25,8 @@ def test_language(spark):
     train = [doc(i, SAMPLES[lang] * (1 + i % 3), lang=lang) for i, lang in enumerate(list(SAMPLES) * 5)] + [doc(90, None), doc(91, "", lang=None)]
     profiles = language.learn_profiles(spark.createDataFrame(train, DOCS), dims=512)
     assert set(profiles.langs) == set(SAMPLES)
-    rows = [doc(1, "PANAMA banana!"), doc(2, "the greek sheep"), doc(3, "1234 ... \n"), doc(4, None), doc(5, ""), doc(6, "moon " * 50000), doc(6, "moon"), doc(7, "中文")]
+    rows = [doc(1, "PANAMA banana!"), doc(2, "the greek sheep"), doc(3, "1234 ... \n"), doc(4, None), doc(5, ""), doc(6, "moon " * 50000),
+        doc(6, "moon"), doc(7, "中文")]
     got = [(r.doc_id, r.lang_pred, r.score) for r in language.identify(spark.createDataFrame(rows, DOCS), profiles, ("doc_id", "source")).collect()]
     assert [g[:2] for g in got][:5] == [(1, "aa"), (2, "ee"), (3, "und"), (4, "und"), (5, "und")]
     assert all(0 <= g[2] <= 1 for g in got) and {g[1] for g in got if g[0] == 6} == {"oo"} and got[-1][1] != "und"
@@ -68,7 +69,8 @@ def brute(rows, items, size=13):
                 if got:
                     hit |= set(range(j, j + n))
                     found |= got
-        out[r[0], r[1]] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w))
+        out[r[0], r[1]] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(),
+            len(hit) > 0 and 20 * len(hit) >= len(w))
     return out
 
 
@@ -78,7 +80,8 @@ def test_contamination(spark, monkeypatch, few):
     monkeypatch.setattr(decontaminate, "HELD", 1 + few)
     rnd = random.Random(few)
     words = [f"k{i}ß" for i in range(60)]
-    items = [(i, " ".join(rnd.choices(words, k=k))) for i, k in enumerate([1, 2, 3, 5, 12, 13, 14, 30, 30])] + [(20, None), (21, "?!"), (7, "again " * 3), (3, "k1ß K2ß")]
+    items = [(i, " ".join(rnd.choices(words, k=k))) for i, k in enumerate([1, 2, 3, 5, 12, 13, 14, 30, 30])] + [(20, None), (21, "?!"),
+        (7, "again " * 3), (3, "k1ß K2ß")]
     rows = [doc(1, None), doc(2, ""), doc(3, " ".join(rnd.choices(words, k=2000)))]
     for i in range(30):
         source = plain_words(rnd.choice(items[:9])[1])
@@ -176,7 +179,8 @@ def mixed(spark, rows, **more):
 
 def test_mix(spark):
     rnd = random.Random(8)
-    rows = [doc(i, " ".join("w" * rnd.choice([0, 1, 5, 40])), rnd.choice(["a", "b", "b", "b", "Z", None])) for i in range(600)] + [doc(1000, None, "b"), doc(1001, "", None)]
+    rows = [doc(i, " ".join("w" * rnd.choice([0, 1, 5, 40])), rnd.choice(["a", "b", "b", "b", "Z", None]))
+        for i in range(600)] + [doc(1000, None, "b"), doc(1001, "", None)]
     got = mixed(spark, rows)
     source = {r[0]: r[4] for r in rows}
     names = ["Z", "a", "b", None]
@@ -232,8 +236,10 @@ def python_rule(host, path):
 
 
 URLS = [
-    "https://Example.COM/en/7?x", "http://a.example.com/en/8#t", "https://notcom/en/7", "http://x.net/de/", "http://example.net/de/81", "http://my.example.net/de/8/a", "http://myexample.net/de/8",
-    "ftp://a.org/es/", "http://a.org/es", "nothing", None, "", "http://", "a://b://c/d", "http://org/es/x\ny", "http://h.com?q=/en/", "http://h.com#/en/", "http://com/en/",
+    "https://Example.COM/en/7?x", "http://a.example.com/en/8#t", "https://notcom/en/7", "http://x.net/de/", "http://example.net/de/81",
+        "http://my.example.net/de/8/a", "http://myexample.net/de/8",
+    "ftp://a.org/es/", "http://a.org/es", "nothing", None, "", "http://", "a://b://c/d", "http://org/es/x\ny", "http://h.com?q=/en/",
+        "http://h.com#/en/", "http://com/en/",
 ]
 
 
@@ -253,9 +259,11 @@ def test_url_rules(spark):
 
 def test_link_graph(spark):
     """Against the recurrence written out with dictionaries."""
-    links = {"good.net": ["mid.io", "far.io"], "mid.io": ["far.io"], "spam.io": ["bad.org", "bad.org"], "spammer.io": ["spam.io"], "bad.org": ["mid.io"], "far.io": [], "alone.io": []}
+    links = {"good.net": ["mid.io", "far.io"], "mid.io": ["far.io"], "spam.io": ["bad.org", "bad.org"], "spammer.io": ["spam.io"],
+        "bad.org": ["mid.io"], "far.io": [], "alone.io": []}
     paths = {"good.net": "/de/", "bad.org": "/es/"}
-    rows = [(i, f"http://{h}{paths.get(h, '/x')}", "".join(f'<a class="k" href="//{x}/p">t</a><a href="/own">o</a>' for x in to)) for i, (h, to) in enumerate(links.items())]
+    rows = [(i, f"http://{h}{paths.get(h, '/x')}", "".join(f'<a class="k" href="//{x}/p">t</a><a href="/own">o</a>' for x in to)) for i,
+        (h, to) in enumerate(links.items())]
     got = {r.host: r for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES).collect()}
 
     def rank(edges, seed, d=0.85):
@@ -277,7 +285,8 @@ def test_link_graph(spark):
     for h, r in got.items():
         assert r.trust == pytest.approx(trust.get(h, 0), abs=2e-3) and r.distrust == pytest.approx(distrust.get(h, 0), abs=2e-3)
     assert sum(r.trust for r in got.values()) == pytest.approx(1, abs=1e-6)
-    assert {h: r.verdict for h, r in got.items()} == {"good.net": "allow", "mid.io": "allow", "far.io": "allow", "spam.io": "block", "spammer.io": "block", "bad.org": "block", "alone.io": "allow"}
+    assert {h: r.verdict for h, r in got.items()} == {"good.net": "allow", "mid.io": "allow", "far.io": "allow", "spam.io": "block",
+        "spammer.io": "block", "bad.org": "block", "alone.io": "allow"}
 
 
 def test_links_and_bases(spark):
@@ -304,13 +313,17 @@ def test_links_change_verdicts(spark):
 
 # --- tool calls -----------------------------------------------------------------
 
-SCHEMA = {"add": {"type": "object", "properties": {"x": {"type": "integer", "minimum": 0}, "tag": {"enum": ["p", "q"]}, "l": {"type": "array", "items": {"type": "number"}}, "after": {}}, "required": ["x"], "additionalProperties": False}}
+SCHEMA = {"add": {"type": "object", "properties": {"x": {"type": "integer", "minimum": 0}, "tag": {"enum": ["p", "q"]},
+    "l": {"type": "array", "items": {"type": "number"}}, "after": {}}, "required": ["x"], "additionalProperties": False}}
 
 
 def test_tool_calls(spark):
     calls = [
-        (1, "a", 0, "add", '{"tag": "p", "x": 1.0}'), (1, "b", 1, "add", '{"x": 2, "after": "c"}'), (1, "c", 2, "add", '{"x": -1, "after": ["a", "gone"]}'), (1, "d", 3, "add", '{"after": "e"}'), (1, "e", 4, "add", '{"x": 1, "after": "d"}'),
-        (2, "a", 0, "sub", "{}"), (2, "b", 5, "add", "no json"), (2, "b", 6, "add", '{"x": 1}'), (2, None, 7, "add", "{}"), (3, "n", 0, "add", None), (4, "é", 0, "add", '{"x": 1, "z": "ü\\n", "l": [1, "2"]}'), (4, "f", 1, "add", '{"x": 3, "after": "é"}'),
+        (1, "a", 0, "add", '{"tag": "p", "x": 1.0}'), (1, "b", 1, "add", '{"x": 2, "after": "c"}'),
+            (1, "c", 2, "add", '{"x": -1, "after": ["a", "gone"]}'), (1, "d", 3, "add", '{"after": "e"}'),
+            (1, "e", 4, "add", '{"x": 1, "after": "d"}'),
+        (2, "a", 0, "sub", "{}"), (2, "b", 5, "add", "no json"), (2, "b", 6, "add", '{"x": 1}'), (2, None, 7, "add", "{}"), (3, "n", 0, "add", None),
+            (4, "é", 0, "add", '{"x": 1, "z": "ü\\n", "l": [1, "2"]}'), (4, "f", 1, "add", '{"x": 3, "after": "é"}'),
     ]
     results = [(1, "a", 1, "three"), (1, "a", 0, "first"), (1, "zz", 0, "lost"), (2, "b", 1, None)]
     c = spark.createDataFrame([(*x, "extra") for x in calls], "group_id long, call_id string, pos int, name string, arguments string, level string")
@@ -322,7 +335,8 @@ def test_tool_calls(spark):
     assert got[4, "é"].level < got[4, "f"].level
     assert got[1, "a"].json == '{"call":{"arguments":{"tag":"p","x":1},"id":"a","name":"add"},"result":"first"}'
     assert {k: x.errors for k, x in got.items() if not x.args_valid} == {
-        (1, "c"): "$.x: under minimum", (1, "d"): "$.x: missing", (2, "a"): "$: no schema", (2, "b"): "$: not JSON", (3, "n"): "$: not object", (4, "é"): "$.z: unknown; $.l[1]: not number",
+        (1, "c"): "$.x: under minimum", (1, "d"): "$.x: missing", (2, "a"): "$: no schema", (2, "b"): "$: not JSON", (3, "n"): "$: not object",
+            (4, "é"): "$.z: unknown; $.l[1]: not number",
     }
     assert got[2, "b"].answered and not got[1, "b"].answered
     assert json.loads(got[4, "é"].json)["call"]["arguments"]["z"] == "ü\n"
@@ -332,9 +346,11 @@ def test_tool_calls(spark):
 def test_odd_arguments(spark):
     """Half a surrogate pair, deep nesting, long texts and null groups fail no job."""
     deep, long_ = "[" * 100_000 + "]" * 100_000, json.dumps({"x": 1, "after": "y" * 200_000})
-    calls = [(1, "s", 0, "add", '{"x": 1, "after": "\\ud800"}'), (1, "d", 1, "add", deep), (1, "l", 2, "add", long_), (None, "n", 3, "add", "{}"), (1, "i", 4, "add", '{"x": 1e999}'), (1, "p", 5, "add", '{"\\ud800": 1, "x": 2}')]
+    calls = [(1, "s", 0, "add", '{"x": 1, "after": "\\ud800"}'), (1, "d", 1, "add", deep), (1, "l", 2, "add", long_), (None, "n", 3, "add", "{}"),
+        (1, "i", 4, "add", '{"x": 1e999}'), (1, "p", 5, "add", '{"\\ud800": 1, "x": 2}')]
     frame = spark.createDataFrame(calls, "group_id long, call_id string, pos int, name string, arguments string")
-    got = {r.call_id: r for r in tool_calls.link_calls(frame, spark.createDataFrame([], "group_id long, call_id string, pos int, result string"), SCHEMA).collect()}
+    got = {r.call_id: r for r in tool_calls.link_calls(frame, spark.createDataFrame([], "group_id long, call_id string, pos int, result string"),
+        SCHEMA).collect()}
     assert sorted(got) == ["d", "i", "l", "p", "s"]
     assert {k: r.errors for k, r in got.items()} == {"d": "$: not JSON", "i": "$: not JSON", "l": None, "p": "$: not JSON", "s": "$: not JSON"}
     assert json.loads(got["d"].json)["call"]["arguments"] == deep
@@ -358,7 +374,8 @@ def test_levels(spark, monkeypatch, small):
 
     calls = [(g, c, 1, "add", json.dumps({"x": 1, "after": own})) for (g, c), own in refs.items()]
     frame = spark.createDataFrame(calls, "group_id long, call_id string, pos int, name string, arguments string")
-    got = {(r.group_id, r.call_id): r.level for r in tool_calls.link_calls(frame, spark.createDataFrame([], "group_id long, call_id string, pos int, result string"), SCHEMA).collect()}
+    got = {(r.group_id, r.call_id): r.level for r in tool_calls.link_calls(frame,
+        spark.createDataFrame([], "group_id long, call_id string, pos int, result string"), SCHEMA).collect()}
     assert got == {key: level(key) for key in refs}
     assert None in got.values() and max(x for x in got.values() if x is not None) > 2
 
@@ -385,7 +402,9 @@ def test_repeated_calls(spark):
 def test_chat_turns_are_all_kept(spark, tmp_path):
     from basketry.llm.queries import op5_chat_turns, op5_tool_calls
 
-    chat = [(1, 0, "system", "be kind"), (1, 1, "user", "hi"), (1, 2, "assistant", "yes"), (1, 3, "user", "so"), (1, 4, None, "lost"), (2, 0, "user", "q"), (2, 1, "assistant", "a"), (2, 1, "assistant", "b"), (2, 2, "tool", "r"), (2, 2, "user", "s"), (None, 0, "user", "z"), (None, 1, "assistant", "y"), (3, None, "assistant", "n"), (3, None, "user", None)]
+    chat = [(1, 0, "system", "be kind"), (1, 1, "user", "hi"), (1, 2, "assistant", "yes"), (1, 3, "user", "so"), (1, 4, None, "lost"),
+        (2, 0, "user", "q"), (2, 1, "assistant", "a"), (2, 1, "assistant", "b"), (2, 2, "tool", "r"), (2, 2, "user", "s"), (None, 0, "user", "z"),
+        (None, 1, "assistant", "y"), (3, None, "assistant", "n"), (3, None, "user", None)]
     spark.createDataFrame(chat, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     for sf, n in ((str(tmp_path), len(chat)), ("/root/testdata/sf0.01", 536)):
         rows = op5_tool_calls(spark, sf).collect()
@@ -397,7 +416,8 @@ def test_chat_turns_are_all_kept(spark, tmp_path):
             assert sorted((r.kind, r.n_chars) for r in short) == sorted((r.kind, len(r.json or r.text or "")) for r in rows)
         else:
             own = sorted((r.kind, r.text or "") for r in rows if r.kind != "call")
-            assert own == [("no role", "lost"), ("spare call", own[1][1]), ("spare call", own[2][1]), ("spare call", own[3][1]), ("system", "be kind"), ("user", ""), ("user", "hi"), ("user", "q"), ("user", "s"), ("user", "z")]
+            assert own == [("no role", "lost"), ("spare call", own[1][1]), ("spare call", own[2][1]), ("spare call", own[3][1]),
+                ("system", "be kind"), ("user", ""), ("user", "hi"), ("user", "q"), ("user", "s"), ("user", "z")]
             assert sorted(json.loads(x)["text"] for kind, x in own if kind == "spare call") == ["b", "n", "y"]
 
 
@@ -405,9 +425,12 @@ def test_chat_turns_are_all_kept(spark, tmp_path):
 
 
 def test_licenses(spark):
-    prose = ["the quick brown fox jumps over a lazy dog near the river", "released last week, the new version of the work was read by any person", "license plates of the public were under the car", "this program of music is free for the public"]
+    prose = ["the quick brown fox jumps over a lazy dog near the river", "released last week, the new version of the work was read by any person",
+        "license plates of the public were under the car", "this program of music is free for the public"]
     rows = [doc(i, f"{prose[i % 4]}\n{prose[(i + 1) % 4]} {i}") for i in range(60)]
-    rows += [doc(100, "Intro text\n\nReleased under the MIT License."), doc(101, "licensed under the apache license, version 2.0."), doc(102, prose[1]), doc(103, None), doc(104, ""), doc(105, "x\n" * 3 + "This work is licensed under the GNU General Public License, version 3.\n" + "SPDX-License-Identifier: MIT")]
+    rows += [doc(100, "Intro text\n\nReleased under the MIT License."), doc(101, "licensed under the apache license, version 2.0."),
+        doc(102, prose[1]), doc(103, None), doc(104, ""),
+        doc(105, "x\n" * 3 + "This work is licensed under the GNU General Public License, version 3.\n" + "SPDX-License-Identifier: MIT")]
     docs = spark.createDataFrame(rows, DOCS)
     model = licenses.train(docs, sample=100)
     got = {r.doc_id: r for r in licenses.license_families(docs, model).collect()}
@@ -432,9 +455,12 @@ def test_wrapped_and_hidden_licenses(spark):
     bsd = """# Redistribution and use in source and binary forms, with or without
 # modification, are permitted provided that the following conditions are met:"""
     notices = {
-        100: (["mit"], mit), 101: (["bsd"], bsd), 102: (["lgpl"], "Licensed under the GNU Lesser General Public License v2.1."), 103: (["agpl"], "Released under the GNU Affero General Public License."),
-        104: (["mit"], " ".join(rnd.choices(words, k=3000)) + " Released under the MIT License. " + " ".join(rnd.choices(words, k=3000))), 105: (["isc"], "SPDX-License-Identifier: ISC"),
-        106: (["apache-2.0", "mit"], "Released under the MIT License.\n\nLicensed under the Apache License,\nVersion 2.0."), 107: ([], "license to read any book"), 108: ([], None), 109: ([], ""),
+        100: (["mit"], mit), 101: (["bsd"], bsd), 102: (["lgpl"], "Licensed under the GNU Lesser General Public License v2.1."),
+            103: (["agpl"], "Released under the GNU Affero General Public License."),
+        104: (["mit"], " ".join(rnd.choices(words, k=3000)) + " Released under the MIT License. " + " ".join(rnd.choices(words, k=3000))),
+            105: (["isc"], "SPDX-License-Identifier: ISC"),
+        106: (["apache-2.0", "mit"], "Released under the MIT License.\n\nLicensed under the Apache License,\nVersion 2.0."),
+            107: ([], "license to read any book"), 108: ([], None), 109: ([], ""),
     }
     rows = [doc(i, "\n".join(prose[i : i + 3])) for i in range(78)] + [doc(i, f"{prose[0]}\n\n{t}" if t else t) for i, (_, t) in notices.items()]
     rows += [doc(None, "Released under the MIT License."), doc(100, mit)]
@@ -451,7 +477,8 @@ def test_wrapped_and_hidden_licenses(spark):
 def test_licenses_of_the_given_documents(spark):
     """Every stated licence of the given documents, and nothing else, by plain search for the sentences in them."""
     stated = {
-        "Licensed under the Apache License, Version 2.0.": "apache-2.0", "Released under the MIT License.": "mit", "All rights reserved.": "all-rights-reserved", "Licensed under CC BY-NC 4.0.": "cc-by-nc",
+        "Licensed under the Apache License, Version 2.0.": "apache-2.0", "Released under the MIT License.": "mit",
+            "All rights reserved.": "all-rights-reserved", "Licensed under CC BY-NC 4.0.": "cc-by-nc",
         "This work is licensed under the GNU General Public License, version 3.": "gpl",
     }
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -461,11 +488,13 @@ def test_licenses_of_the_given_documents(spark):
 
 def test_restrictive_licenses(spark):
     """Notices that grant less are named as such and never as the permissive family whose words they hold."""
-    prose = ["the quick brown fox jumps over a lazy dog near the river", "all of the rights of way were reserved by the town", "the book was by nobody and cost 4.0 pounds"]
+    prose = ["the quick brown fox jumps over a lazy dog near the river", "all of the rights of way were reserved by the town",
+        "the book was by nobody and cost 4.0 pounds"]
     rows = [doc(i, f"{prose[i % 3]}\n{prose[(i + 1) % 3]} {i}") for i in range(60)]
     notices = {
         "cc-by": ["Licensed under CC BY 4.0."],
-        "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "SPDX-License-Identifier: CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+        "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "SPDX-License-Identifier: CC-BY-NC-4.0",
+            "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
         "cc-by-nc-sa": ["Licensed under CC BY-NC-SA 4.0."],
         "cc-by-nc-nd": ["Licensed under CC BY-NC-ND 4.0."],
         "cc-by-nd": ["Licensed under CC BY-ND 4.0."],

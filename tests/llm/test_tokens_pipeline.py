@@ -43,7 +43,8 @@ def test_access_opens_one_frame_a_plane(monkeypatch):
 
 def odd_texts():
     rnd = random.Random(1)
-    pieces = ["Hello", "don't", "it's'll", "<|startoftext|>", "<|endoftext|>x", "Ünïcode", "ΣΑΣ", "İstanbul", "e\u0301", "中文字", "a1b22", "😀!", "x\u00a0y", "\u2003", "a\x1cb", "tab\tnl\n", "...!!", "ß", "ŒUVRE", "1/2", "|", "÷×", "\ufeff", "’s", "ﬁ", "_x_"]
+    pieces = ["Hello", "don't", "it's'll", "<|startoftext|>", "<|endoftext|>x", "Ünïcode", "ΣΑΣ", "İstanbul", "e\u0301", "中文字", "a1b22", "😀!",
+        "x\u00a0y", "\u2003", "a\x1cb", "tab\tnl\n", "...!!", "ß", "ŒUVRE", "1/2", "|", "÷×", "\ufeff", "’s", "ﬁ", "_x_"]
     return [None, "", " \n", "a" * 5000, *pieces, *[rnd.choice([" ", "", "\n"]).join(rnd.choices(pieces, k=12)) for _ in range(200)]]
 
 
@@ -82,7 +83,8 @@ def test_pipeline(spark, tmp_path):
     item = " ".join(rnd.choices(words, k=20))
     texts = [" ".join(rnd.choices(words, k=60)) for _ in range(40)]
     rows = [(i, t, "en", f"s{i % 3}", len(t), 7) for i, t in enumerate(texts)]
-    rows += [(100, texts[0], "en", "s0", 1, 7), (101, texts[1] + " tail", "en", "s1", 1, 7), (102, "123 !!", "en", "s0", 1, 7), (103, None, None, None, None, None), (104, item, "en", "s1", 1, 7)]
+    rows += [(100, texts[0], "en", "s0", 1, 7), (101, texts[1] + " tail", "en", "s1", 1, 7), (102, "123 !!", "en", "s0", 1, 7),
+        (103, None, None, None, None, None), (104, item, "en", "s1", 1, 7)]
     schema = "doc_id long, text string, lang string, source string, n_chars long, passes int"
     spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
@@ -128,7 +130,8 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
     item = " ".join(rnd.choices(words, k=15))
     own = [" ".join(rnd.choices(words, k=50)) for _ in range(12)]
     rows = [(i, t, "en", "s") for i, t in enumerate(own[:6])] + [(None, t, "en", None) for t in own[6:9]]
-    rows += [(5, own[5], "en", "s"), (5, own[9], "en", "s"), (None, own[6], "en", "s"), (None, item, "en", "s"), (3, item + " x", "en", "s"), (7, "", "en", "s"), (None, None, None, None)]
+    rows += [(5, own[5], "en", "s"), (5, own[9], "en", "s"), (None, own[6], "en", "s"), (None, item, "en", "s"), (3, item + " x", "en", "s"),
+        (7, "", "en", "s"), (None, None, None, None)]
     rows = [(*r, 1, "p", 2, "k") for r in rows]
     schema = "doc_id long, text string, lang string, source string, copy_of_pass int, row string, passes int, id string"
     spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
