@@ -69,7 +69,8 @@ SPIRIT_SYNONYMS = {
     "anejo": "tequila",
 }
 
-SKIP_EXACT = ("divided", "melted", "plus more", "room temperature", "for finishing", "for serving", "to taste", "optional", "hot water", "warm water", "cold water", "water")
+SKIP_EXACT = ("divided", "melted", "plus more", "room temperature", "for finishing", "for serving", "to taste", "optional", "hot water", "warm water",
+    "cold water", "water")
 
 SKIP_PHRASES = (
     "plus more",

@@ -175,9 +175,11 @@ def garnish_core(x: Column | str) -> Column:
 
     def core(text: Column) -> Column:
         def named(rest: Column) -> Column:
-            return F.when(rest.contains("cinnamon"), "cinnamon").when(rest.contains("peppercorn"), "peppercorns").when(rest.contains("lemon"), "lemon").when(rest.contains("orange"), "orange").otherwise(rest)
+            return F.when(rest.contains("cinnamon"), "cinnamon").when(rest.contains("peppercorn"), "peppercorns").when(rest.contains("lemon"),
+                "lemon").when(rest.contains("orange"), "orange").otherwise(rest)
 
-        return let(basic_clean(text), lambda clean: F.when(clean.startswith("garnish"), let(strip(F.regexp_replace(clean, r"^garnish\s*", "")), named)).otherwise(text))
+        return let(basic_clean(text), lambda clean: F.when(clean.startswith("garnish"),
+            let(strip(F.regexp_replace(clean, r"^garnish\s*", "")), named)).otherwise(text))
 
     return let(safe_str(x), core)
 
@@ -189,7 +191,8 @@ def split_alternatives(x: Column | str) -> Column:
     def parts_of(simple: Column) -> Column:
         parts = F.transform(F.split(simple, r"(?i)\s+(?:and/or|or)\s+"), lambda p: F.regexp_replace(p, r"^[ ,]+|[ ,]+$", ""))
         parts = F.filter(parts, lambda p: F.length(p) > 1)
-        parts = F.transform(parts, lambda p: F.when(_any(p, ("jasmine rice", "long grain rice")), "rice").when(p.contains("giblet stock"), "chicken broth").when(p.contains("dal"), "lentils").otherwise(p))
+        parts = F.transform(parts, lambda p: F.when(_any(p, ("jasmine rice", "long grain rice")), "rice").when(p.contains("giblet stock"),
+            "chicken broth").when(p.contains("dal"), "lentils").otherwise(p))
         return F.when(simple.contains(" or "), F.array_distinct(parts)).otherwise(none)
 
     def split(line: Column) -> Column:
@@ -210,7 +213,8 @@ def split_compound(x: Column | str) -> Column:
     return let(preprocess(x), split)
 
 
-def normalize_ingredient(x: Column | str, units: Sequence[str] = lx.UNITS, prep: Sequence[str] = lx.PREP_WORDS, synonyms: Mapping[str, str] = lx.SYNONYMS) -> Column:
+def normalize_ingredient(x: Column | str, units: Sequence[str] = lx.UNITS, prep: Sequence[str] = lx.PREP_WORDS,
+    synonyms: Mapping[str, str] = lx.SYNONYMS) -> Column:
     """The canonical name of a shopping line's ingredient."""
     drop = _array([*units, *prep])
 
@@ -230,7 +234,8 @@ def normalize_ingredient(x: Column | str, units: Sequence[str] = lx.UNITS, prep:
         out = F.array_join(F.filter(F.transform(words, token), lambda w: w != "of"), " ")
         out = let(out, lambda o: F.coalesce(_lookup(synonyms, o), o))
         out = F.array_join(let(_words(out), dedupe_adjacent), " ")
-        out = let(out, lambda o: F.when(o.contains("round italian loaf"), "italian bread").when(o.endswith(" loaf"), F.replace(o, F.lit(" loaf"), F.lit(" bread"))).otherwise(o))
+        out = let(out, lambda o: F.when(o.contains("round italian loaf"), "italian bread").when(o.endswith(" loaf"),
+            F.replace(o, F.lit(" loaf"), F.lit(" bread"))).otherwise(o))
         out = let(out, lambda o: F.when(o.rlike(" (wheel|wedge|twist)$"), F.regexp_extract(o, r"^(\S+)", 1)).otherwise(o))
 
         def override(o: Column) -> Column:

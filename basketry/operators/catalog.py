@@ -39,15 +39,18 @@ def adapt_labels(df: DataFrame, table: Mapping[str, str] = lx.CLASSIFIER_CATEGOR
     known = F.filter(F.transform(labels, lambda x: F.try_element_at(names, x)), lambda x: x.isNotNull())
     return df.select(
         F.col("id").cast("string").alias("productId"), _text("name", have).alias("description"), _text("brand", have).alias("brand"),
-        F.array_join(known, "; ").alias("categories"), F.coalesce(F.get(labels, F.lit(0)), F.lit("")).alias("classifier"), tx.search_keyword("name").alias("search_keyword"),
-        _text("price", have).alias("price"), _text("size", have).alias("size"), _text("image", have).alias("image_url"), _text("store_id", have).alias("store_ids"),
+        F.array_join(known, "; ").alias("categories"), F.coalesce(F.get(labels, F.lit(0)), F.lit("")).alias("classifier"),
+            tx.search_keyword("name").alias("search_keyword"),
+        _text("price", have).alias("price"), _text("size", have).alias("size"), _text("image", have).alias("image_url"),
+            _text("store_id", have).alias("store_ids"),
     )
 
 
 def adapt_lists(df: DataFrame) -> DataFrame:
     """A catalog with prices and stores as lists joined by ``;``."""
     have = set(df.columns)
-    names = {"productId": "productId", "description": "name", "brand": "brand", "categories": "categories", "classifier": "classifier", "search_keyword": "search_keyword", "price": "price", "size": "size", "image_url": "image_url", "store_ids": "store_ids", "upc": "upc"}
+    names = {"productId": "productId", "description": "name", "brand": "brand", "categories": "categories", "classifier": "classifier",
+        "search_keyword": "search_keyword", "price": "price", "size": "size", "image_url": "image_url", "store_ids": "store_ids", "upc": "upc"}
     return df.select(*[_text(old, have).alias(new) for new, old in names.items()])
 
 
@@ -56,8 +59,10 @@ def adapt_offers(df: DataFrame) -> DataFrame:
     have = set(df.columns)
     term, store = _text("taxonomy", have), _text("store", have)
     return df.select(
-        _text("id", have).alias("productId"), _text("name", have).alias("description"), store.alias("brand"), term.alias("categories"), term.alias("classifier"), term.alias("search_keyword"),
-        _text("price", have).alias("price"), F.col("price").try_cast("double").alias("min_price"), _text("quantity", have).alias("size"), _text("image_url", have).alias("image_url"), store.alias("store_ids"),
+        _text("id", have).alias("productId"), _text("name", have).alias("description"), store.alias("brand"), term.alias("categories"),
+            term.alias("classifier"), term.alias("search_keyword"),
+        _text("price", have).alias("price"), F.col("price").try_cast("double").alias("min_price"), _text("quantity", have).alias("size"),
+            _text("image_url", have).alias("image_url"), store.alias("store_ids"),
     )
 
 

@@ -85,8 +85,10 @@ def score_pairs(pairs: DataFrame, catalog: DataFrame, cfg: MatchConfig = MatchCo
 def breakdown() -> Column:
     """The parts of a score, two decimals each, as one struct."""
     parts = {
-        "score_desc_ratio": "ratio", "score_desc_partial": "partial", "score_desc_token": "sorted_desc", "score_combined": "sorted_combined", "score_keyword": "sorted_keyword",
-        "overlap_score": "overlap_part", "exact_phrase_boost": "phrase_part", "category_boost": "category_part", "form_boost": "form_part", "penalty": "penalty_part", "final_score": "total",
+        "score_desc_ratio": "ratio", "score_desc_partial": "partial", "score_desc_token": "sorted_desc", "score_combined": "sorted_combined",
+            "score_keyword": "sorted_keyword",
+        "overlap_score": "overlap_part", "exact_phrase_boost": "phrase_part", "category_boost": "category_part", "form_boost": "form_part",
+            "penalty": "penalty_part", "final_score": "total",
     }
     return F.struct(*[round2(F.col(old)).alias(new) for new, old in parts.items()])
 
@@ -113,7 +115,8 @@ def cheapest_of_best(ranked: DataFrame, cfg: MatchConfig) -> DataFrame:
     first and not under ``pool_floor``; if none is, the first alone.
     """
     top = F.max(F.when(F.col("rank") == 1, F.col("score"))).over(Window.partitionBy("ing"))
-    rows = ranked.withColumn("lead", (F.col("rank") <= max(3 * cfg.top_k, cfg.pool)) & (F.col("score") >= F.greatest(top - cfg.pool_gap, F.lit(cfg.pool_floor))))
+    rows = ranked.withColumn("lead", (F.col("rank") <= max(3 * cfg.top_k, cfg.pool)) & (F.col("score") >= F.greatest(top - cfg.pool_gap,
+        F.lit(cfg.pool_floor))))
     some = F.max("lead").over(Window.partitionBy("ing"))
     rows = rows.withColumn("some", some).where(F.col("lead") | (~F.col("some") & (F.col("rank") == 1))).drop("lead", "some")
     order = Window.partitionBy("ing").orderBy(F.asc_nulls_last("min_price"), "rank")
@@ -132,7 +135,8 @@ def apply_decisions(ranked: DataFrame, decisions: DataFrame) -> DataFrame:
     valid = F.coalesce((F.col("choice") >= 0) & (F.col("choice") < F.col("n")), F.lit(False))
     chosen = valid & (F.col("rank") == F.col("choice") + 1)
     order = Window.partitionBy("ing").orderBy(F.when(chosen, 0).otherwise(1), "rank")
-    return rows.select(*[c for c in ranked.columns if c != "rank"], F.row_number().over(order).alias("rank"), F.when(valid, chosen).alias("reranker_choice"), F.when(chosen, F.col("reason")).alias("reranker_reason"))
+    return rows.select(*[c for c in ranked.columns if c != "rank"], F.row_number().over(order).alias("rank"),
+        F.when(valid, chosen).alias("reranker_choice"), F.when(chosen, F.col("reason")).alias("reranker_reason"))
 
 
 def match_ingredients(ingredients: DataFrame, catalog: DataFrame, cfg: MatchConfig = MatchConfig(), decisions: DataFrame | None = None) -> DataFrame:
@@ -141,7 +145,8 @@ def match_ingredients(ingredients: DataFrame, catalog: DataFrame, cfg: MatchConf
     scored = score_pairs(found, catalog, cfg)
     have = set(catalog.columns)
     price = F.col("min_price") if "min_price" in have else tx.parse_min_price("price") if "price" in have else F.lit(None).cast("double")
-    about = catalog.withColumn("min_price", price).select("pos", "productId", "description", "brand", "min_price", *[c for c in ("size", "image_url", "store_ids") if c in have])
+    about = catalog.withColumn("min_price", price).select("pos", "productId", "description", "brand", "min_price",
+        *[c for c in ("size", "image_url", "store_ids") if c in have])
     ranked = rank_matches(scored.join(about, "pos"), cfg.floor)
     ranked = accept(ranked, cfg.accept) if decisions is None else apply_decisions(ranked, decisions)
     return cheapest_of_best(ranked, cfg).withColumn("confidence", confidence(F.col("total")))
@@ -198,7 +203,8 @@ def match_parts(lines: DataFrame, catalog: DataFrame, cfg: MatchConfig = MatchCo
     empty = F.col("n_parts").isNull()
     skip = F.when(empty, F.when(F.col("line") == "", "empty after preprocessing").otherwise("")).otherwise(F.col("skip"))
     state = F.when(empty, F.when(F.col("line") == "", "skipped").otherwise("unmatched")).otherwise(F.col("state"))
-    return rows.select("line_id", "line", "part_no", F.coalesce("n_parts", F.lit(0).cast("long")).alias("n_parts"), "part", skip.alias("skip"), "ing", state.alias("state"), *MATCH, "breakdown")
+    return rows.select("line_id", "line", "part_no", F.coalesce("n_parts", F.lit(0).cast("long")).alias("n_parts"), "part", skip.alias("skip"), "ing",
+        state.alias("state"), *MATCH, "breakdown")
 
 
 def nested_results(found: DataFrame) -> DataFrame:
@@ -230,7 +236,8 @@ def line_parts(lines: DataFrame) -> DataFrame:
     parts = alts.select("raw", "a", F.posexplode(tx.split_compound("alt")).alias("b", "part")).withColumn("key", tx.basic_clean("part")).where("key <> ''")
     first = Window.partitionBy("raw", "key").orderBy("a", "b")
     parts = parts.withColumn("again", F.row_number().over(first)).where("again = 1")
-    parts = parts.withColumn("part_no", F.row_number().over(Window.partitionBy("raw").orderBy("a", "b")) - 1).withColumn("n_parts", F.count("*").over(Window.partitionBy("raw")))
+    parts = parts.withColumn("part_no", F.row_number().over(Window.partitionBy("raw").orderBy("a", "b")) - 1).withColumn("n_parts",
+        F.count("*").over(Window.partitionBy("raw")))
     return lines.select("line_id", "raw").join(parts.select("raw", "part_no", "n_parts", "part"), "raw").drop("raw")
 
 
@@ -252,4 +259,5 @@ def match_table(lines: DataFrame, catalog: DataFrame, cfg: MatchConfig = MatchCo
 
 def run_counters(table: DataFrame) -> DataFrame:
     """How many lines a match table holds, and how many have no match."""
-    return table.agg(F.countDistinct("line_id").alias("lines"), F.count(F.when(F.col("match_rank").isNull(), 1)).alias("no_match"), F.count("match_rank").alias("matches"))
+    return table.agg(F.countDistinct("line_id").alias("lines"), F.count(F.when(F.col("match_rank").isNull(), 1)).alias("no_match"),
+        F.count("match_rank").alias("matches"))

@@ -137,7 +137,8 @@ def _by_hint() -> dict[str, list[str]]:
 
 
 # Results depend on exactly these words and weights.
-HINT_BOOSTS = {"produce": 8.0, "meat": 8.0, "seafood": 8.0, "dairy": 8.0, "pantry": 5.0, "spices": 5.0, "condiment": 2.0, "bakery": 7.0, "bread": 7.0, "herb": 5.0, "beverage": 6.0, "adult beverage": 20.0}
+HINT_BOOSTS = {"produce": 8.0, "meat": 8.0, "seafood": 8.0, "dairy": 8.0, "pantry": 5.0, "spices": 5.0, "condiment": 2.0, "bakery": 7.0, "bread": 7.0,
+    "herb": 5.0, "beverage": 6.0, "adult beverage": 20.0}
 HINTS: dict[str, tuple[str, ...]] = {
     "spinach": ("produce",),
     "kale": ("produce",),
@@ -206,7 +207,8 @@ SPIRITS = (
     "bourbon", "rum", "tequila", "whiskey", "whisky", "vodka", "gin", "brandy",
     "sherry", "mezcal", "scotch", "cognac", "champagne", "prosecco", "vermouth", "mescal",
 )
-SPIRIT_FLAVOURS = ("bbq", "barbecue", "baked beans", "marinade", "seasoning", "salami", "cashews", "pulled pork", "raisin", "ice cream", "pudding", "morsels", "chips", "gummy", "gummies", "vinegar", "shampoo", "lipstick")
+SPIRIT_FLAVOURS = ("bbq", "barbecue", "baked beans", "marinade", "seasoning", "salami", "cashews", "pulled pork", "raisin", "ice cream", "pudding",
+    "morsels", "chips", "gummy", "gummies", "vinegar", "shampoo", "lipstick")
 FORMS = {
     "ground cumin": ("ground",),
     "ground paprika": ("ground",),
@@ -280,8 +282,10 @@ GOOD_CLASSIFIERS = ("PRODUCE", "MEAT", "SEAFOOD", "DAIRY", "DELI", "PANTRY", "BA
 # Fixed values as well, down to the end of the table.
 _LIQUORS = ("bourbon", "scotch", "mezcal", "gin", "tequila", "grand marnier", "amaro averna")
 _PURE_SPICES = (
-    "allspice", "ground allspice", "cinnamon", "ground cinnamon", "nutmeg", "ground nutmeg", "cloves", "ground cloves", "cardamom", "ground cardamom", "turmeric",
-    "ground turmeric", "paprika", "smoked paprika", "cumin", "ground cumin", "coriander", "ground coriander", "oregano", "thyme", "rosemary", "sage", "bay leaf",
+    "allspice", "ground allspice", "cinnamon", "ground cinnamon", "nutmeg", "ground nutmeg", "cloves", "ground cloves", "cardamom", "ground cardamom",
+        "turmeric",
+    "ground turmeric", "paprika", "smoked paprika", "cumin", "ground cumin", "coriander", "ground coriander", "oregano", "thyme", "rosemary", "sage",
+        "bay leaf",
     "bay leaves", "ginger", "ground ginger", "cayenne", "cayenne pepper", "chili powder",
 )
 _MEATS = ("chicken", "beef", "bison", "pork", "turkey", "lamb", "veal", "venison", "hamburger")
@@ -317,7 +321,8 @@ _SPECIAL: list[tuple[str, str, float, Test, dict[str, Test]]] = [
     ("R10", "category", 6, _OLIVE, {"C": _t("pantry", "baking")}),
     ("R11", "penalty", 24, _t("cheese"), {"D": _t("cracker", "dip", "snack", "stick")}),
     ("R11", "category", 10, _t("cheese"), {"C": _t("dairy")}),
-    ("R12", "penalty", 40, _BUTTER, {"D": _t("peanut butter", "almond butter", "cashew butter", "sunflower butter", "nut butter", "cookie butter", "butter cup", "butter pecan", "butter bean", "butter flavor", "shea butter", "cocoa butter", "body butter")}),
+    ("R12", "penalty", 40, _BUTTER, {"D": _t("peanut butter", "almond butter", "cashew butter", "sunflower butter", "nut butter", "cookie butter",
+        "butter cup", "butter pecan", "butter bean", "butter flavor", "shea butter", "cocoa butter", "body butter")}),
     ("R12", "penalty", 50, _BUTTER, {"D": _t("shampoo", "moisturizing", "healing balm", "skin protectant")}),
     ("R12", "category", 10, _BUTTER, {"CK": _t("dairy")}),
     ("R13", "category", 10, _is("garlic"), _PRODUCE),
@@ -347,9 +352,11 @@ _SPECIAL: list[tuple[str, str, float, Test, dict[str, Test]]] = [
     ("R23", "category", 8, _is("salt"), {"C": _t("spices", "pantry")}),
     ("R24", "penalty", 35, _t("sugar"), {"D": _t(*_NO_SUGAR)}),
     ("R24", "penalty", 45, _t("sugar"), {"D": _t("garlic", none=("sugar",))}),
-    ("R24", "penalty", 40, _is(*_PLAIN_SUGARS), {"D": _t("onion", "chili", "pepper", "seasoning", "bbq", "rub", "sauce", "marinade", none=("sugar", "garlic"))}),
+    ("R24", "penalty", 40, _is(*_PLAIN_SUGARS), {"D": _t("onion", "chili", "pepper", "seasoning", "bbq", "rub", "sauce", "marinade",
+        none=("sugar", "garlic"))}),
     ("R25", "penalty", 35, _is("egg", "egg white", "egg yolk"), {"D": _t("peanut", "noodle", "snack")}),
-    ("R25", "penalty", 45, _is("egg", "egg white", "egg yolk"), {"D": _t("chocolate", "candy", "marshmallow", "creme egg", "cream egg", "easter", "jelly bean", "fondant")}),
+    ("R25", "penalty", 45, _is("egg", "egg white", "egg yolk"), {"D": _t("chocolate", "candy", "marshmallow", "creme egg", "cream egg", "easter",
+        "jelly bean", "fondant")}),
     ("R25", "penalty", 30, _is("egg"), {"D": _t("liquid egg white")}),
     ("R25", "penalty", 35, _is("egg"), {"D": _t("plant based")}),
     ("R25", "penalty", 20, _is("egg"), {"D": Test(word=("bites", "sandwich"))}),
@@ -385,8 +392,10 @@ _SPECIAL: list[tuple[str, str, float, Test, dict[str, Test]]] = [
     ("R36", "penalty", 60, _is("salt"), {"D": _UNSALTED}),
     ("R36", "penalty", 45, Test(end=" salt"), {"D": _SALTY}),
     ("R36", "penalty", 60, Test(end=" salt"), {"D": _UNSALTED}),
-    ("R37", "penalty", 40, _t("carrot", "celery", "zucchini", "squash", "beet", "parsnip", "turnip", "sweet potato", "yam"), {"D": _t("cake", "muffin", "cookie", "loaf", "bread", "bar", "brownie", "dessert", "smoothie", "juice blend")}),
-    ("R38", "penalty", 50, _is("egg white", "egg whites"), {"D": _t("ham", "sausage", "bacon", "gruyere", "bite", "sandwich", "wrap", "burrito", "meal", "entree")}),
+    ("R37", "penalty", 40, _t("carrot", "celery", "zucchini", "squash", "beet", "parsnip", "turnip", "sweet potato", "yam"),
+        {"D": _t("cake", "muffin", "cookie", "loaf", "bread", "bar", "brownie", "dessert", "smoothie", "juice blend")}),
+    ("R38", "penalty", 50, _is("egg white", "egg whites"), {"D": _t("ham", "sausage", "bacon", "gruyere", "bite", "sandwich", "wrap", "burrito",
+        "meal", "entree")}),
     ("R39", "penalty", 200, Test(), {"D": _t(*_NON_FOOD)}),
     ("R40", "penalty", 100, _t("scotch bonnet"), {"D": _t("whiskey", "whisky", "bourbon", "spirit", "liquor")}),
     ("R40", "penalty", 100, Test(all=("scotch", "pepper"), none=("scotch bonnet",)), {"D": _t("whiskey", "whisky", "bourbon", "spirit", "liquor")}),
@@ -400,18 +409,22 @@ _SPECIAL: list[tuple[str, str, float, Test, dict[str, Test]]] = [
     ("R45", "form", 20, _t("miso"), {"D": _t("miso")}),
     ("R46", "penalty", 40, _t("flour", none=("tortilla",)), {"D": _t("tortilla", "chip", "bread crumb", "breadcrumb", "breading")}),
     ("R47", "penalty", 45, _t("rice", none=("flour",)), {"D": _t("rice flour", "rice cake", "rice cracker", "rice crisp", "rice puff", "rice syrup")}),
-    ("R48", "penalty", 70, _t("evaporated milk", "condensed milk"), {"D": _t("oat milk", "oatmilk", "almond milk", "soy milk", "plant milk", "rice milk", "cashew milk", "hemp milk", "oat beverage")}),
+    ("R48", "penalty", 70, _t("evaporated milk", "condensed milk"), {"D": _t("oat milk", "oatmilk", "almond milk", "soy milk", "plant milk",
+        "rice milk", "cashew milk", "hemp milk", "oat beverage")}),
     ("R49", "penalty", 65, Test(all=("vanilla", "extract")), {"D": _t("oatmilk", "oat milk", "almond milk", "soy milk", "coconut milk", "plant milk")}),
     ("R50", "penalty", 60, _t("yogurt"), {"D": _t("almond milk", "oat milk", "oatmilk", "soy milk", "rice milk", "coconut milk beverage", none=("yogurt",))}),
-    ("R51", "penalty", 50, _is("whole milk", "milk", "skim milk", "lowfat milk"), {"D": _t("cheese", "mozzarella", "shredded", "chocolate egg", "candy", "ice cream", "peanut butter", "frozen dessert")}),
-    ("R51", "penalty", 80, _is("whole milk", "milk", "skim milk", "lowfat milk"), {"D": _t("deodorant", "shampoo", "lotion", "sunscreen", "body spray", "conditioner")}),
+    ("R51", "penalty", 50, _is("whole milk", "milk", "skim milk", "lowfat milk"),
+        {"D": _t("cheese", "mozzarella", "shredded", "chocolate egg", "candy", "ice cream", "peanut butter", "frozen dessert")}),
+    ("R51", "penalty", 80, _is("whole milk", "milk", "skim milk", "lowfat milk"),
+        {"D": _t("deodorant", "shampoo", "lotion", "sunscreen", "body spray", "conditioner")}),
     ("R52", "penalty", 40, _t("onion powder"), {"D": _t("diced", "fresh", "whole onion", "onion bag", "fajita", "bell pepper")}),
     ("R53", "penalty", 45, _t("brown sugar"), {"D": _t("pearl")}),
     ("R53", "penalty", 30, _t("brown sugar"), {"D": _t("coffee pod", "bbq", "marinade")}),
     ("R54", "penalty", 45, Test(all=("cumin", "seed")), {"D": _t("pumpkin", "sesame", "chia", "sunflower", "poppy", "hemp", "flax")}),
     ("R54", "penalty", 45, Test(all=("cumin", "seed")), {"D": Test(none=("cumin",))}),
     ("R55", "penalty", 40, _CREAM, {"D": _t("dairy free", "vegan", "non dairy", "nondairy")}),
-    ("R55", "penalty", 40, _CREAM, {"D": _t("cinnamon roll", "carrot cake", "icing", "frosting", "imitation crab", "toaster strudel", "pastry", "cake", "sushi", "strudel")}),
+    ("R55", "penalty", 40, _CREAM, {"D": _t("cinnamon roll", "carrot cake", "icing", "frosting", "imitation crab", "toaster strudel", "pastry",
+        "cake", "sushi", "strudel")}),
     ("R55", "penalty", 50, _CREAM, {"D": _t("feta")}),
     ("R56", "penalty", 40, _t("scallion", "green onion"), {"D": _t("noodle", "pasta", "ramen", "stir fry", "sauce", "seasoning", "dip", "cream cheese")}),
     ("R57", "penalty", 50, _CHICKEN, {"D": _t("lunch meat", "deli", "buddig", "chicken salad kit", "chicken snack")}),
@@ -419,7 +432,8 @@ _SPECIAL: list[tuple[str, str, float, Test, dict[str, Test]]] = [
     ("R57", "penalty", 50, _CHICKEN, {"D": _t("ground chicken")}),
     ("R57", "penalty", 55, _CHICKEN, {"D": _t("wing", "tender", "nugget", "strip", "patty", "patties", "cutlet", "baked", "breaded", "popcorn chicken")}),
     ("R58", "penalty", 50, Test(all=("italian",), any=("loaf", "bread")), {"D": _t("crumb")}),
-    ("R59", "penalty", 60, _is("sugar", "granulated sugar", "white sugar", "cane sugar", "pure cane sugar"), {"D": _t("egg white", "liquid egg", "arepa", "corn meal", "cornmeal")}),
+    ("R59", "penalty", 60, _is("sugar", "granulated sugar", "white sugar", "cane sugar", "pure cane sugar"),
+        {"D": _t("egg white", "liquid egg", "arepa", "corn meal", "cornmeal")}),
     ("R60", "form", 20, Test(all=("lentil", "soup")), {"D": _t("soup")}),
     ("R60", "penalty", 35, Test(all=("lentil", "soup")), {"D": _t("lentil", none=("soup",))}),
 ]

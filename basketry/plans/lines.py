@@ -171,8 +171,10 @@ def match_run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BREAKDOWN = {
-    "score_desc_ratio": "ratio", "score_desc_partial": "partial", "score_desc_token": "sorted_desc", "score_combined": "sorted_combined", "score_keyword": "sorted_keyword",
-    "overlap_score": "overlap_part", "exact_phrase_boost": "phrase_part", "category_boost": "category_part", "form_boost": "form_part", "penalty": "penalty_part", "final_score": "total",
+    "score_desc_ratio": "ratio", "score_desc_partial": "partial", "score_desc_token": "sorted_desc", "score_combined": "sorted_combined",
+        "score_keyword": "sorted_keyword",
+    "overlap_score": "overlap_part", "exact_phrase_boost": "phrase_part", "category_boost": "category_part", "form_boost": "form_part",
+        "penalty": "penalty_part", "final_score": "total",
 }
 _LINE_PARTS = f"""
     with {_FOUND},

@@ -44,7 +44,8 @@ def dedupe_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"select page_id, {dk.spaces(dk.numbers('url'))} as bare, {dk.strip(dk.rep(dk.rep('html', r'\([^)]*\)'), r'\[[^\]]*\]'))} as plain from {{pages}}")
 def strip_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", tx.normalize_spaces(tx.remove_numbers("url")).alias("bare"), tx.strip(tx.strip_brackets("html")).alias("plain"))
+    return table(spark, sf_dir, "pages").select("page_id", tx.normalize_spaces(tx.remove_numbers("url")).alias("bare"),
+        tx.strip(tx.strip_brackets("html")).alias("plain"))
 
 
 _PRICES = """concat(case when p_partkey % 5 = 0 then '' else cast(floor(p_retailprice) as bigint)::varchar || ';' end,
@@ -64,7 +65,8 @@ def min_price_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     select offer_id, case when price is null then 'Price N/A' else printf('$%.2f', floor(price * 100 + 0.5) / 100) end as shown,
     array_to_string(list_filter([trim(store), trim(brand), trim(taxonomy)], lambda x: x <> ''), ', ') as place from {offers}""")
 def display_price(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "offers").select("offer_id", tx.display_price("price").alias("shown"), tx.join_address("store", "brand", "taxonomy").alias("place"))
+    return table(spark, sf_dir, "offers").select("offer_id", tx.display_price("price").alias("shown"),
+        tx.join_address("store", "brand", "taxonomy").alias("place"))
 
 
 _RAW = "select distinct raw from {shopping_lines}"
@@ -76,7 +78,8 @@ def skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("raw", tx.preprocess("raw").alias("line"), tx.skip_reason("raw").alias("skip"))
 
 
-@register(dk.chain(_RAW, [*dk.preprocess_steps(), *dk.normalize_steps()], f"select raw, ing, array_to_string(list_filter({dk.words('ing')}, lambda w: not list_contains({dk.words_list(lx.STOP_TOKENS)}, w) and length(w) > 1), '|') as tokens from last"))
+@register(dk.chain(_RAW, [*dk.preprocess_steps(), *dk.normalize_steps()],
+    f"select raw, ing, array_to_string(list_filter({dk.words('ing')}, lambda w: not list_contains({dk.words_list(lx.STOP_TOKENS)}, w) and length(w) > 1), '|') as tokens from last"))
 def normalize_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "shopping_lines").select("raw").distinct().withColumn("ing", tx.normalize_ingredient("raw"))
     return lines.select("raw", "ing", joined(tx.important_tokens("ing")).alias("tokens"))
@@ -162,7 +165,8 @@ _LABELS = "case l_partkey % 4 when 0 then '[\"PRODUCE\", \"DAIRY\", \"SPICE\"]'
       lambda w: w <> ''), ' ') as search_keyword, store as store_ids
     from (select *, part_id as l_partkey from {offers})""")
 def adapt_json_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = table(spark, sf_dir, "offers").select(F.col("offer_id").alias("id"), "name", "brand", F.col("store").alias("store_id"), "price", F.expr(_LABELS.replace("l_partkey", "part_id")).alias("classifiers"))
+    source = table(spark, sf_dir, "offers").select(F.col("offer_id").alias("id"), "name", "brand", F.col("store").alias("store_id"), "price",
+        F.expr(_LABELS.replace("l_partkey", "part_id")).alias("classifiers"))
     return catalog.adapt(source).select("productId", "description", "categories", "classifier", "search_keyword", "store_ids")
 
 
@@ -173,7 +177,8 @@ def adapt_offer_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STOP = "|".join(lx.KEYWORD_STOPWORDS)
-_KW = dk.spaces(dk.rep(dk.rep(dk.rep("lower(concat('Acme® ', name, ' (new) 12 oz ', brand, ' value pack'))", "[®™°–]"), r"\([^)]*\)"), r"[0-9]+[0-9./]*\s*(?:oz|lb|lbs|g|kg|ml|fl|ct|pk|ea)").replace("'g')", "'g')"))
+_KW = dk.spaces(dk.rep(dk.rep(dk.rep("lower(concat('Acme® ', name, ' (new) 12 oz ', brand, ' value pack'))", "[®™°–]"), r"\([^)]*\)"),
+    r"[0-9]+[0-9./]*\s*(?:oz|lb|lbs|g|kg|ml|fl|ct|pk|ea)").replace("'g')", "'g')"))
 
 
 @register(f"""with k as (select distinct name, brand, {dk.words(dk.rep(f"concat(' ', {dk.spaces(dk.rep(_KW, '[^a-z ]'))})", f"( ({_STOP}))+$", ""))} as w
@@ -232,7 +237,8 @@ def prefix_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bad_category_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     products = _catalog(spark, sf_dir)
     postings, tokens = blocking.token_postings(products), blocking.ingredient_tokens(_ings(spark, sf_dir))
-    pairs = blocking.token_candidates(tokens, postings).unionByName(blocking.prefix_candidates(tokens, postings).withColumn("overlap", F.lit(0).cast("long"))).groupBy("ing", "pos").agg(F.max("overlap").alias("overlap"))
+    pairs = blocking.token_candidates(tokens, postings).unionByName(blocking.prefix_candidates(tokens, postings).withColumn("overlap",
+        F.lit(0).cast("long"))).groupBy("ing", "pos").agg(F.max("overlap").alias("overlap"))
     marked = pairs.join(products.select("pos", blocking.is_bad(words=("small", "promo")).alias("bad")), "pos")
     return blocking.guard_categories(marked).select("ing", "pos", "overlap")
 
@@ -363,7 +369,8 @@ def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     {dk.round2('total')} as score, case when total >= 130 then 'high' when total >= 100 then 'medium' else 'low' end as confidence from scored""")
 def score_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _scored(spark, sf_dir)
-    return rows.select("ing", "pos", tx.round2(F.col("overlap_part")).cast("double").alias("overlap_part"), "phrase_part", "category_part", "form_part", "penalty_part", tx.round2(F.col("total")).cast("double").alias("score"), matching.confidence(F.col("total")).alias("confidence"))
+    return rows.select("ing", "pos", tx.round2(F.col("overlap_part")).cast("double").alias("overlap_part"), "phrase_part", "category_part",
+        "form_part", "penalty_part", tx.round2(F.col("total")).cast("double").alias("score"), matching.confidence(F.col("total")).alias("confidence"))
 
 
 @register(f"with {_SCORE_BASE}, {_RANK} select ing, pos, score, rank from ranked")
@@ -377,7 +384,8 @@ _BEST = "good as (select * from (select *, max(score) over (partition by ing) as
 @register(f'with {_SCORE_BASE}, {_RANK}, {_BEST}, {_PICK.format(src="good")} select ing, "productId", description, brand, min_price, score, match_rank from picked')
 def match_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = matching.match_ingredients(spark_sql(spark, sf_dir, _NAMES), _catalog(spark, sf_dir), CONFIG)
-    return found.select("ing", "productId", "description", "brand", "min_price", F.col("score").cast("double").alias("score"), F.col("match_rank").cast("long").alias("match_rank"))
+    return found.select("ing", "productId", "description", "brand", "min_price", F.col("score").cast("double").alias("score"),
+        F.col("match_rank").cast("long").alias("match_rank"))
 
 
 _DECIDE = """decisions as (select distinct p_name as ing, case when p_name like 'red%' then null when p_name like 'hot%' then 2 else 999 end as choice from {part}
@@ -401,7 +409,8 @@ def rerank_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     select term, trim(term) as search, case when contains(term, ',') then nullif(trim(regexp_extract(term, '^[^,]*,(.*)$', 1)),
       '') end as filter_word from t""")
 def taxonomy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = table(spark, sf_dir, "part").select(F.expr("concat(p_type, if(p_size % 2 = 0, concat(', ', split_part(p_name, ' ', 1)), ''))").alias("term")).distinct()
+    terms = table(spark, sf_dir,
+        "part").select(F.expr("concat(p_type, if(p_size % 2 = 0, concat(', ', split_part(p_name, ' ', 1)), ''))").alias("term")).distinct()
     search, word = pages.taxonomy_term("term")
     return terms.select("term", search.alias("search"), word.alias("filter_word"))
 
@@ -458,7 +467,8 @@ def page_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
       'einung|ad 1') as blocked, contains(lower(html), '<article') as grid_found, length(url) as card_count from {pages}) group by rollup(query)""")
 def page_summary_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = pages.gates("html", ("einung", "ad 1"), ("menu",))
-    rows = table(spark, sf_dir, "pages").select((F.col("page_id") % 7).alias("query"), F.length("url").alias("card_count"), *[c.alias(n) for n, c in flags.items()])
+    rows = table(spark, sf_dir, "pages").select((F.col("page_id") % 7).alias("query"), F.length("url").alias("card_count"),
+        *[c.alias(n) for n, c in flags.items()])
     return pages.run_summary(rows).withColumn("total_cards", F.col("total_cards").cast("double"))
 
 
@@ -493,7 +503,8 @@ def offer_search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     select o_orderkey as recipe_id, o_orderpriority as title from {orders} where contains(lower(o_orderpriority), 'urgent')
     order by o_orderkey limit 20 offset 20""")
 def recipe_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return serving.recipe_search(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("recipe_id"), F.col("o_orderpriority").alias("title")), "Urgent", offset=20)
+    return serving.recipe_search(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("recipe_id"),
+        F.col("o_orderpriority").alias("title")), "Urgent", offset=20)
 
 
 @register("""select o_custkey as user_id, o_orderkey as recipe_id from {orders} o join {preferences} p on o.o_custkey = p.user_id
@@ -524,7 +535,8 @@ def nearby_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("select chain, count(*) as stores, count(case when chain in ('ALGERIA', 'BRAZIL') then 1 end) as known from {stores} group by chain")
 def chain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     stores = table(spark, sf_dir, "stores")
-    known = stores.select("chain", serving.chain_key("chain", {"a": ("ALGERIA",), "b": ("BRAZIL", "BRASIL")}).alias("k")).groupBy("chain").agg(F.count("k").alias("known"))
+    known = stores.select("chain", serving.chain_key("chain", {"a": ("ALGERIA",),
+        "b": ("BRAZIL", "BRASIL")}).alias("k")).groupBy("chain").agg(F.count("k").alias("known"))
     return serving.chain_counts(stores).join(known, "chain")
 
 
@@ -584,7 +596,8 @@ def plan_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
       0.0::double) as price, g.store, 1 as quantity from kept k left join grouped g on g.recipe_id = k.recipe_id and g.item = k.item and g.alt = k.alt""")
 def recipe_to_cart(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = _grouped(spark, sf_dir)
-    items = grouped.select("recipe_id", "title", "item").distinct().unionByName(grouped.select("recipe_id", "title", F.lit("extra item").alias("item")).distinct())
+    items = grouped.select("recipe_id", "title", "item").distinct().unionByName(grouped.select("recipe_id", "title",
+        F.lit("extra item").alias("item")).distinct())
     excluded = items.where("recipe_id % 5 = 0 and item like '1%'").select("recipe_id", "item")
     chosen = items.select("recipe_id", "item", (F.length("item") % 3).alias("idx"))
     return basket.recipe_to_cart(items, grouped, excluded, chosen).drop("recipe_id")
@@ -592,7 +605,8 @@ def recipe_to_cart(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("select cart_id, sum(quantity)::bigint as items, floor(sum(price * quantity) * 100 + 0.5) / 100 as total from {cart_lines} group by cart_id")
 def cart_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return basket.cart_totals(table(spark, sf_dir, "cart_lines").withColumn("price", F.col("price").cast("decimal(18,2)"))).withColumn("total", F.col("total").cast("double"))
+    return basket.cart_totals(table(spark, sf_dir, "cart_lines").withColumn("price", F.col("price").cast("decimal(18,2)"))).withColumn("total",
+        F.col("total").cast("double"))
 
 
 SQL["cart_totals"] = SQL["cart_totals"].replace("sum(price * quantity)", "sum(price::decimal(18,2) * quantity)::double")
@@ -603,14 +617,16 @@ SQL["cart_totals"] = SQL["cart_totals"].replace("sum(price * quantity)", "sum(pr
     floor(sum(price::decimal(18,2) * quantity)::double * 100 + 0.5) / 100 as subtotal from {cart_lines} where group_id is not null and group_id <> ''
     group by group_id""")
 def cart_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return basket.by_recipe(table(spark, sf_dir, "cart_lines").withColumn("price", F.col("price").cast("decimal(18,2)"))).withColumn("subtotal", F.col("subtotal").cast("double"))
+    return basket.by_recipe(table(spark, sf_dir, "cart_lines").withColumn("price", F.col("price").cast("decimal(18,2)"))).withColumn("subtotal",
+        F.col("subtotal").cast("double"))
 
 
 @register("""
     select coalesce(nullif(trim(store), ''), 'Unknown Store') as store, sum(quantity)::bigint as items,
     floor(sum(price::decimal(18,2) * quantity)::double * 100 + 0.5) / 100 as subtotal from {cart_lines} group by 1""")
 def cart_by_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return basket.by_store(table(spark, sf_dir, "cart_lines").withColumn("price", F.col("price").cast("decimal(18,2)"))).withColumn("subtotal", F.col("subtotal").cast("double"))
+    return basket.by_store(table(spark, sf_dir, "cart_lines").withColumn("price", F.col("price").cast("decimal(18,2)"))).withColumn("subtotal",
+        F.col("subtotal").cast("double"))
 
 
 @register("""
@@ -618,8 +634,10 @@ def cart_by_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     where line_id in (select concat(l_orderkey, '::', p_name, '-', l_partkey, '-', l_suppkey) from {lineitem} join {part} on l_partkey = p_partkey
     where l_returnflag = 'R')""")
 def checked_subtotal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checked = spark_sql(spark, sf_dir, "select concat(l_orderkey, '::', p_name, '-', l_partkey, '-', l_suppkey) as line_id from {lineitem} join {part} on l_partkey = p_partkey where l_returnflag = 'R'")
-    return basket.checked_subtotal(table(spark, sf_dir, "cart_lines").withColumn("price", F.col("price").cast("decimal(18,2)")), checked).withColumn("subtotal", F.col("subtotal").cast("double"))
+    checked = spark_sql(spark, sf_dir,
+        "select concat(l_orderkey, '::', p_name, '-', l_partkey, '-', l_suppkey) as line_id from {lineitem} join {part} on l_partkey = p_partkey where l_returnflag = 'R'")
+    return basket.checked_subtotal(table(spark, sf_dir, "cart_lines").withColumn("price", F.col("price").cast("decimal(18,2)")),
+        checked).withColumn("subtotal", F.col("subtotal").cast("double"))
 
 
 _FOLD = """with e as (select * from {cart_events}), cleared as (select cart_id, max(seq) as at from e where action = 'clear' group by cart_id),

@@ -36,8 +36,10 @@ def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from {part}""")
 def adapt_list_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("productId"), F.col("p_name").alias("name"), F.expr("if(p_size % 2 = 0, p_brand, null)").alias("brand"), F.col("p_type").alias("categories"),
-        F.expr("if(p_size % 3 = 0, 'PRODUCE', null)").alias("classifier"), F.col("p_name").alias("search_keyword"), F.expr("concat(p_size, '.5;', p_size, '.25')").alias("price"),
+        F.col("p_partkey").alias("productId"), F.col("p_name").alias("name"), F.expr("if(p_size % 2 = 0, p_brand, null)").alias("brand"),
+            F.col("p_type").alias("categories"),
+        F.expr("if(p_size % 3 = 0, 'PRODUCE', null)").alias("classifier"), F.col("p_name").alias("search_keyword"),
+            F.expr("concat(p_size, '.5;', p_size, '.25')").alias("price"),
         F.expr("concat('s', p_size % 7, ';s', p_size % 5)").alias("store_ids"), F.concat(F.lit("00"), "p_partkey").alias("upc"),
     )
     return catalog.adapt(source).drop("size", "image_url")

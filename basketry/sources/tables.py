@@ -16,7 +16,8 @@ def read_csv_catalog(spark: SparkSession, path: str, columns: list[str]) -> Data
 
 def read_table_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, parts: int, **options: str) -> DataFrame:
     """A keyed table of a database, read in ``parts`` ranges of its key at once."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=key, lowerBound=str(low), upperBound=str(high), numPartitions=str(parts), **options).load()
+    return spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=key, lowerBound=str(low), upperBound=str(high),
+        numPartitions=str(parts), **options).load()
 
 
 def first_rows(df: DataFrame, key: str, n: int) -> DataFrame:
@@ -67,7 +68,8 @@ def report_lines(matches: DataFrame) -> DataFrame:
     title: Column = F.format_string("=== %s ===", "title")
     heads = matches.select("recipe_id", title.alias("text"), F.lit("").alias("raw"), F.lit(0).alias("match_rank")).distinct()
     hit = F.format_string("%s -> [%s] %s | %s | %.2f", "raw", "store", "name", display_price("price", zero_is_missing=True), "score")
-    items = matches.select("recipe_id", F.when(F.col("name").isNull(), F.concat("raw", F.lit(" -> No match found"))).otherwise(hit).alias("text"), "raw", F.coalesce("match_rank", F.lit(1)).alias("match_rank"))
+    items = matches.select("recipe_id", F.when(F.col("name").isNull(), F.concat("raw", F.lit(" -> No match found"))).otherwise(hit).alias("text"),
+        "raw", F.coalesce("match_rank", F.lit(1)).alias("match_rank"))
     order = Window.partitionBy("recipe_id").orderBy("raw", "match_rank", "text")
     return heads.unionByName(items).select("recipe_id", (F.row_number().over(order) - 1).alias("line_no"), "text")
 
@@ -93,13 +95,15 @@ def split_report(found: DataFrame) -> DataFrame:
     tail = F.when(~single & F.col("matched"), "  [split]").otherwise("")
     head = F.concat(F.lit("Ingredient: "), own, tail)
     price = F.when(F.coalesce("min_price", F.lit(0.0)) == 0, "price N/A").otherwise(F.format_string("$%.2f", "min_price"))
-    shown = F.concat(F.lit("-> ["), F.coalesce("brand", F.lit("")), F.lit("] "), "description", F.lit(" | "), price, F.lit(" | score: "), F.format_string("%.2f", "score"))
+    shown = F.concat(F.lit("-> ["), F.coalesce("brand", F.lit("")), F.lit("] "), "description", F.lit(" | "), price, F.lit(" | score: "),
+        F.format_string("%.2f", "score"))
     place = "recipe_id", "line_id"
     heads = rows.select(*place, F.lit(-1).alias("part_no"), F.lit(-2).alias("rank"), head.alias("text")).distinct()
     none = rows.where(~F.col("matched")).select(*place, F.lit(-1).alias("part_no"), F.lit(-1).alias("rank"), F.lit("  No match found").alias("text")).distinct()
     parts = rows.where(~single & hit).select(*place, "part_no", F.lit(-1).alias("rank"), F.concat(F.lit("  Ingredient: "), "part").alias("text")).distinct()
     hits = rows.where(hit).select(*place, "part_no", F.col("match_rank").alias("rank"), F.concat(F.when(single, "  ").otherwise("    "), shown).alias("text"))
-    titles = found.select("recipe_id", F.lit(None).cast(dict(found.dtypes)["line_id"]).alias("line_id"), F.lit(-1).alias("part_no"), F.lit(-3).alias("rank"), F.format_string("Recipe: %s", "title").alias("text")).distinct()
+    titles = found.select("recipe_id", F.lit(None).cast(dict(found.dtypes)["line_id"]).alias("line_id"), F.lit(-1).alias("part_no"),
+        F.lit(-3).alias("rank"), F.format_string("Recipe: %s", "title").alias("text")).distinct()
     lines = titles.union(heads).union(none).union(parts).union(hits)
     order = Window.partitionBy("recipe_id").orderBy(F.asc_nulls_first("line_id"), "part_no", "rank")
     return lines.select("recipe_id", (F.row_number().over(order) - 1).alias("line_no"), "text")

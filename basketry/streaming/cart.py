@@ -109,7 +109,8 @@ def run_to_table(spark: SparkSession, events: DataFrame, delay: str = "1 hour")
     def save(rows: DataFrame, batch: int) -> None:
         rows.withColumn("batch", F.lit(batch).cast("long")).write.mode("append").parquet(out)
 
-    cart_changes(events, delay).writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    cart_changes(events, delay).writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation",
+        check).trigger(availableNow=True).start().awaitTermination()
     changes = spark.read.schema(OUT + ", batch long").parquet(out)
     last = changes.groupBy("cart_id", "item").agg(F.max_by(F.struct("quantity", "price", "name"), F.struct("batch", "step")).alias("s"))
     return last.select("cart_id", "item", "s.quantity", "s.price", "s.name").where("quantity > 0")

@@ -7,7 +7,8 @@ from basketry.streaming import cart
 
 
 def test_fewest_stops_ties(spark):
-    rows = [(1, 1, "a", "B", 1.0), (1, 2, "b", "B", 5.0), (1, 3, "a", "A", 2.0), (1, 4, "b", "A", 3.0), (1, 5, "c", "C", 1.0), (2, 1, "x", "Z", 1.0), (2, 2, "x", "Y", 1.0), (3, 1, "q", "S", None)]
+    rows = [(1, 1, "a", "B", 1.0), (1, 2, "b", "B", 5.0), (1, 3, "a", "A", 2.0), (1, 4, "b", "A", 3.0), (1, 5, "c", "C", 1.0), (2, 1, "x", "Z", 1.0),
+        (2, 2, "x", "Y", 1.0), (3, 1, "q", "S", None)]
     grouped = basket.group_matches(spark.createDataFrame(rows, "recipe_id int, seq int, raw string, store string, price double"))
     plan = {(r.recipe_id, r.stop): r.store for r in basket.fewest_stops(grouped).collect()}
     assert plan == {(1, 1): "A", (1, 2): "C", (2, 1): "Y", (3, 1): "S"}
@@ -15,7 +16,8 @@ def test_fewest_stops_ties(spark):
     assert chosen[1, "a"] == "A" and chosen[1, "c"] == "C" and chosen[2, "x"] == "Y"
 
 
-EVENTS = [(1, "add", 2.0), (2, "add", 9.0), (3, "decrement", 0.0), (4, "decrement", 0.0), (5, "decrement", 0.0), (6, "add", 3.0), (7, "increment", 0.0), (8, "remove", 0.0), (9, "increment", 0.0), (10, "add", 4.0)]
+EVENTS = [(1, "add", 2.0), (2, "add", 9.0), (3, "decrement", 0.0), (4, "decrement", 0.0), (5, "decrement", 0.0), (6, "add", 3.0),
+    (7, "increment", 0.0), (8, "remove", 0.0), (9, "increment", 0.0), (10, "add", 4.0)]
 
 
 @pytest.mark.parametrize("n", range(1, len(EVENTS) + 1))
@@ -24,13 +26,15 @@ def test_cart_fold_agrees_with_stream_step(spark, n):
     for _, action, price in EVENTS[:n]:
         state = cart.fold_line(state, action, price, "i")
     if n in (1, 3, 4, 7, 10):
-        rows = spark.createDataFrame([(1, 1, f"{s:03d}", a, p, "i") for s, a, p in EVENTS[:n]], "cart_id long, item long, seq string, action string, price double, name string")
+        rows = spark.createDataFrame([(1, 1, f"{s:03d}", a, p, "i") for s, a, p in EVENTS[:n]],
+            "cart_id long, item long, seq string, action string, price double, name string")
         got = [(r.quantity, r.price, r.name) for r in basket.cart_fold(rows).collect()]
         assert got == ([state] if state[0] else [])
 
 
 def test_cart_clear(spark):
-    rows = spark.createDataFrame([(1, 1, "1", "add", 1.0, "a"), (1, 2, "2", "clear", 0.0, ""), (1, 3, "3", "add", 2.0, "c")], "cart_id long, item long, seq string, action string, price double, name string")
+    rows = spark.createDataFrame([(1, 1, "1", "add", 1.0, "a"), (1, 2, "2", "clear", 0.0, ""), (1, 3, "3", "add", 2.0, "c")],
+        "cart_id long, item long, seq string, action string, price double, name string")
     assert [r["item"] for r in basket.cart_fold(rows).collect()] == [3]
 
 
@@ -108,7 +112,9 @@ def test_state_is_forgotten():
     assert state.removed
 
 
-CASES = [("$1.99 /lb", "per lb", "x", ("lb", None)), ("$3.99", "18 ct", "x", (None, "18 ct")), ("$9.07", "each", "x", (None, None)), ("$9.07", "each", "soda 12-count 8 oz", (None, "12-count")), ("$2", "", "milk 16 fl oz", (None, "16 fl oz")), ("$2 /3 lb", "", "x", (None, "3 lb")), ("$2 /foo", "", "x", (None, None)), ("$2", "per oz", "x", ("oz", None))]
+CASES = [("$1.99 /lb", "per lb", "x", ("lb", None)), ("$3.99", "18 ct", "x", (None, "18 ct")), ("$9.07", "each", "x", (None, None)),
+    ("$9.07", "each", "soda 12-count 8 oz", (None, "12-count")), ("$2", "", "milk 16 fl oz", (None, "16 fl oz")),
+    ("$2 /3 lb", "", "x", (None, "3 lb")), ("$2 /foo", "", "x", (None, None)), ("$2", "per oz", "x", ("oz", None))]
 
 
 def test_unit_or_quantity(spark):
@@ -119,12 +125,14 @@ def test_unit_or_quantity(spark):
 
 def test_page_pieces(spark):
     html = F.lit('<div aria-modal="true"><input type="email"></div><span>Current price: $4.50</span><span>$9.00</span><span>each</span><h2>OUT OF STOCK</h2>')
-    row = spark.range(1).select(pages.page_price(html), pages.out_of_stock(html), pages.gates(html)["login_wall"], pages.page_price(F.lit(None).cast("string")), pages.store_name(F.lit("\n \n A \nB")), *pages.taxonomy_term(F.lit("cabbage, red"))).first()
+    row = spark.range(1).select(pages.page_price(html), pages.out_of_stock(html), pages.gates(html)["login_wall"],
+        pages.page_price(F.lit(None).cast("string")), pages.store_name(F.lit("\n \n A \nB")), *pages.taxonomy_term(F.lit("cabbage, red"))).first()
     assert tuple(row) == ("$4.50", True, True, None, "A", "cabbage, red", "red")
 
 
 def test_serving(spark):
-    offers = spark.createDataFrame([(i, f"Thing 5{'%' if i == 3 else 'x'}", "t", "s", None if i == 0 else 1.0) for i in range(6)], "offer_id int, name string, taxonomy string, store string, price double")
+    offers = spark.createDataFrame([(i, f"Thing 5{'%' if i == 3 else 'x'}", "t", "s", None if i == 0 else 1.0) for i in range(6)],
+        "offer_id int, name string, taxonomy string, store string, price double")
     assert [r.offer_id for r in serving.offer_search(offers, "5%").collect()] == [3]
     pages_ = [[r.offer_id for r in serving.offer_search(offers, "thing", limit=3, offset=o).collect()] for o in (0, 3)]
     assert pages_ == [[1, 2, 3], [4, 5, 0]]
@@ -136,7 +144,8 @@ def test_upsert_and_report(spark, tmp_path):
     old = spark.createDataFrame([(1, 1.0, 5), (2, 1.0, 5)], "id int, v double, seq int")
     new = spark.createDataFrame([(2, 2.0, 1), (2, 3.0, 2), (3, 4.0, 1)], "id int, v double, seq int")
     assert {(r.id, r.v) for r in tables.upsert(old, new, "id", "seq").collect()} == {(1, 1.0), (2, 3.0), (3, 4.0)}
-    rows = spark.createDataFrame([(1, "T", "b", 1, "S", "n", 2.0, 50.0), (1, "T", "a", None, None, None, None, None)], "recipe_id int, title string, raw string, match_rank int, store string, name string, price double, score double")
+    rows = spark.createDataFrame([(1, "T", "b", 1, "S", "n", 2.0, 50.0), (1, "T", "a", None, None, None, None, None)],
+        "recipe_id int, title string, raw string, match_rank int, store string, name string, price double, score double")
     tables.write_report(rows, str(tmp_path / "report"))
     assert [r.value for r in spark.read.text(str(tmp_path / "report")).collect()] == ["=== T ===", "a -> No match found", "b -> [S] n | $2.00 | 50.00"]
 

@@ -42,7 +42,8 @@ PRODUCTS = [
 
 @pytest.fixture(scope="module")
 def products(spark):
-    df = spark.createDataFrame(PRODUCTS, "pos long, description string, brand string, categories string, classifier string, search_keyword string, price string")
+    df = spark.createDataFrame(PRODUCTS,
+        "pos long, description string, brand string, categories string, classifier string, search_keyword string, price string")
     return catalog.normalized(df.withColumn("productId", F.col("pos").cast("string")))
 
 
@@ -60,7 +61,8 @@ def test_rules_and_scores(spark, products):
 
 
 def test_match_lines(spark, products):
-    lines = spark.createDataFrame([("a", "1 cup unsalted butter, melted"), ("b", "divided"), ("c", "2 red onions"), ("d", "zzzz")], "line_id string, raw string")
+    lines = spark.createDataFrame([("a", "1 cup unsalted butter, melted"), ("b", "divided"), ("c", "2 red onions"), ("d", "zzzz")],
+        "line_id string, raw string")
     rows = matching.match_table(lines, products).orderBy("line_id", "match_rank").collect()
     got = [(r.line_id, r.match_rank, r.productId) for r in rows]
     assert ("a", 1, "1") in got and not [g for g in got if g[0] == "b"]
@@ -69,7 +71,8 @@ def test_match_lines(spark, products):
 
 
 def test_price_pool_and_decisions(spark):
-    rows = [("x", i, f"d{i}", "b", s, p, i + 1) for i, (s, p) in enumerate([(120.0, 5.0), (118.0, None), (100.0, 1.0), (70.0, 0.1)])] + [("y", 0, "d", "b", 62.0, 2.0, 1), ("y", 1, "e", "b", 61.0, 1.0, 2)]
+    rows = [("x", i, f"d{i}", "b", s, p, i + 1) for i, (s, p) in enumerate([(120.0, 5.0), (118.0, None), (100.0, 1.0), (70.0, 0.1)])] + [("y", 0, "d",
+        "b", 62.0, 2.0, 1), ("y", 1, "e", "b", 61.0, 1.0, 2)]
     ranked = spark.createDataFrame(rows, "ing string, pos long, description string, brand string, score double, min_price double, rank int")
     cfg = matching.MatchConfig(top_k=3)
     picked = [(r.ing, r.pos) for r in matching.cheapest_of_best(ranked, cfg).orderBy("ing", "match_rank").collect()]
@@ -95,7 +98,8 @@ def test_empty_tables(spark, products):
 
 def test_states_of_lines(spark, products):
     """A line is skipped with its reason, unmatched with its name, or matched with its breakdown."""
-    lines = spark.createDataFrame([("a", "1 cup unsalted butter, melted"), ("b", "divided"), ("d", "zzzz"), ("e", None), ("f", "1 cup unsalted butter")], "line_id string, raw string")
+    lines = spark.createDataFrame([("a", "1 cup unsalted butter, melted"), ("b", "divided"), ("d", "zzzz"), ("e", None),
+        ("f", "1 cup unsalted butter")], "line_id string, raw string")
     rows = matching.match_lines(lines, products).collect()
     states = {r.line_id: r.state for r in rows}
     assert states == {"a": "matched", "b": "skipped", "d": "unmatched", "e": "skipped", "f": "matched"}
@@ -107,7 +111,8 @@ def test_states_of_lines(spark, products):
 
 def test_parts_of_lines(spark, products):
     """Alternatives are matched one by one; a line without parts is kept."""
-    lines = spark.createDataFrame([("a", "salted butter or red onion or zzzz"), ("b", "2 red onions"), ("c", ""), ("d", "1 or 2"), ("e", "divided or melted")], "line_id string, raw string")
+    lines = spark.createDataFrame([("a", "salted butter or red onion or zzzz"), ("b", "2 red onions"), ("c", ""), ("d", "1 or 2"),
+        ("e", "divided or melted")], "line_id string, raw string")
     found = matching.match_parts(lines, products)
     rows = {(r.line_id, r.part_no, r.match_rank): r for r in found.collect()}
     assert {k[:2]: r.state for k, r in rows.items() if k[0] == "a"} == {("a", 0): "matched", ("a", 1): "matched", ("a", 2): "unmatched"}
@@ -126,7 +131,8 @@ def test_blocking_is_that_of_all_products(spark):
     rnd = random.Random(2)
     words = ["red", "hot", "rod", "bolt", "gear", "cap"]
     rows = [(i, " ".join(rnd.choices(words, k=2)), "b", rnd.choice(["Pet", "Tools"]), "X", "", None) for i in range(300)]
-    products = catalog.normalized(spark.createDataFrame(rows, "pos long, description string, brand string, categories string, classifier string, search_keyword string, price string").withColumn("productId", F.col("pos").cast("string")))
+    products = catalog.normalized(spark.createDataFrame(rows,
+        "pos long, description string, brand string, categories string, classifier string, search_keyword string, price string").withColumn("productId", F.col("pos").cast("string")))
     texts = {r.pos: r for r in products.collect()}
     ings = ["red rod", "bolt", "hot hot cap", "boltx", "qqqq"]
     got = {}

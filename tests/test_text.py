@@ -41,7 +41,8 @@ def test_min_price(spark, text, want):
     assert one(spark, tx.parse_min_price(F.lit(text).cast("string"))) == want
 
 
-@pytest.mark.parametrize(("word", "want"), [("tomatoes", "tomato"), ("berries", "berry"), ("cookies", "cooky"), ("glass", "glass"), ("egg", "egg"), ("gas", "gas")])
+@pytest.mark.parametrize(("word", "want"), [("tomatoes", "tomato"), ("berries", "berry"), ("cookies", "cooky"), ("glass", "glass"), ("egg", "egg"),
+    ("gas", "gas")])
 def test_singular(spark, word, want):
     assert one(spark, tx.singularize(F.lit(word))) == want
 
