@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.components import components
+from basketry.llm.components import components, contracted, labels
 from basketry.llm.storage import keyed, written
 from basketry.llm.textblocks import Words, blocks, lists, longs, mix, shingle_sets
 
@@ -128,8 +128,7 @@ def near_groups(docs: DataFrame, k: int, percent: int, bands: int = BANDS, rows:
     texts = written(docs.join(wanted, "id", "left_semi"), "texts")
     pairs = spread.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     links = written(verified_links(pairs, texts, k, percent), "links")
-    links = _rest(spread, texts, pairs, links, k, percent)
-    comp = components(links)
+    comp = components(_rest(spread, texts, pairs, links, k, percent))
     named = member.join(comp, member.rep == comp.node, "left").select("id", F.coalesce("component", "rep").alias("rep"))
     return signed.select("id", "n").join(named, "id", "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
 
@@ -222,15 +221,16 @@ def _blocks_compared(percent: int):
     return run
 
 
-def _open(spread: DataFrame, links: DataFrame) -> DataFrame:
-    """Members of the buckets that hold more than one component, with their component."""
-    now = spread.join(components(links), F.col("id") == F.col("node"), "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("c"))
+def _open(spread: DataFrame, edges: DataFrame) -> DataFrame:
+    """Members of the buckets that hold more than one component, as far as ``edges`` show them, with their component."""
+    label = labels(edges)
+    now = spread.join(label, F.col("id") == F.col("node"), "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("c"))
     mixed = now.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("least")).where("lo < hi").select("bucket", "least")
     return written(now.join(mixed, "bucket"), "open")
 
 
 def _rest(spread: DataFrame, texts: DataFrame, pairs: DataFrame, links: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between components that still meet in a bucket, without the pairs inside components.
+    """Edges with the same components as all links: those given, and those between components that still meet in a bucket.
 
     A shingle that no other text of the unsettled buckets has cannot be shared,
     so a text with many of them reaches no partner of its bucket and leaves. In
@@ -239,26 +239,29 @@ def _rest(spread: DataFrame, texts: DataFrame, pairs: DataFrame, links: DataFram
     share texts form a cluster, and the texts outside a cluster's largest
     component meet all texts of the cluster, a block of sets with a block of sets.
     """
-    now = _open(spread, links)
+    edges = contracted(links)
+    now = _open(spread, edges)
     grams = texts.join(now.select("id").distinct(), "id", "left_semi").mapInArrow(_shingle_rows(k), "h long, id long")
     alone = grams.groupBy("h").agg(F.count("*").alias("df"), F.min("id").alias("id")).where("df = 1").groupBy("id").agg(F.count("*").alias("own"))
-    able = now.join(alone, "id", "left").withColumn("most", F.col("n") - F.coalesce("own",
-        F.lit(0))).where(f"100 * most >= {percent} * (n + greatest(least, most) - most)")
+    most = F.col("n") - F.coalesce("own", F.lit(0))
+    able = now.join(alone, "id", "left").withColumn("most", most).where(f"100 * most >= {percent} * (n + greatest(least, most) - most)")
     able = written(able.select("bucket", "id", "n", "c", "most"), "able")
     hub = able.groupBy("bucket").agg(F.min(F.struct((F.col("n") - F.col("most")).alias("own"), "id", "n", "most", "c")).alias("h")).select("bucket", "h.*")
     bound = f"x.c <> y.c and 100 * least(x.most, y.most) >= {percent} * (x.n + y.n - least(x.most, y.most))"
-    new = hub.alias("x").join(able.alias("y"), "bucket").where(bound).select(F.least("x.id", "y.id").alias("a"),
-        F.greatest("x.id", "y.id").alias("b")).distinct()
-    links = written(links.union(verified_links(new.join(pairs, ["a", "b"], "left_anti"), texts, k, percent)), "links")
-
-    left = _open(able.select("bucket", "id", "n"), links).select("bucket", "id", "n", "c")
-    cluster = components(left.join(left.groupBy("bucket").agg(F.min("id").alias("first")), "bucket").select(F.col("first").alias("a"), F.col("id").alias("b")))
+    ends = F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")
+    new = hub.alias("x").join(able.alias("y"), "bucket").where(bound).select(*ends).distinct()
+    more = verified_links(new.join(pairs, ["a", "b"], "left_anti"), texts, k, percent)
+    edges = contracted(edges.union(more))
+
+    left = _open(able.select("bucket", "id", "n"), edges).select("bucket", "id", "n", "c")
+    if left.isEmpty():
+        return edges
+    first = left.groupBy("bucket").agg(F.min("id").alias("first"))
+    cluster = components(left.join(first, "bucket").select(F.col("first").alias("a"), F.col("id").alias("b")))
     texts_of = left.select("id", "n", "c").distinct().join(cluster, F.col("id") == F.col("node")).select("id", "n", "c", F.col("component").alias("cluster"))
     texts_of = written(texts_of, "unsettled")
-    if texts_of.isEmpty():
-        return links
-    main = texts_of.groupBy("cluster", "c").agg(F.count("*").alias("m")).groupBy("cluster").agg(F.max(F.struct("m",
-        "c")).alias("m")).select("cluster", F.col("m.c").alias("main"))
+    main = texts_of.groupBy("cluster", "c").agg(F.count("*").alias("m")).groupBy("cluster").agg(F.max(F.struct("m", "c")).alias("m"))
+    main = main.select("cluster", F.col("m.c").alias("main"))
     sets = texts.join(texts_of.select("id"), "id", "left_semi").mapInArrow(_set_rows(k), "id long, h array<long>")
     sets = written(texts_of.join(main, "cluster").join(sets, "id"), "sets")
 
@@ -273,4 +276,4 @@ def _rest(spread: DataFrame, texts: DataFrame, pairs: DataFrame, links: DataFram
     (x, x_blocks), (y, y_blocks) = blocked(sets.where("c <> main"), "block_x", "x"), blocked(sets, "block_y", "y")
     pairs_of_blocks = x_blocks.join(y_blocks, "cluster")  # numbers alone meet by cluster, sets by cluster and block
     met = pairs_of_blocks.join(x, ["cluster", "block_x"]).join(y, ["cluster", "block_y"]).select("x", "y")
-    return written(links.union(met.mapInArrow(_blocks_compared(percent), "a long, b long")), "links")
+    return written(edges.union(met.mapInArrow(_blocks_compared(percent), "a long, b long")), "links")

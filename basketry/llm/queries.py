@@ -125,13 +125,19 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, WEIGHTS, share=1.5, cap=2.0).drop("passes")
 
 
+def op9_mix_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same mix where a document also belongs to its language, so that sources overlap and the flow shares documents out."""
+    docs = _table(spark, sf_dir, "documents").withColumn("memberships", F.array("source", F.concat(F.lit("in "), F.coalesce("lang", F.lit("none")))))
+    return mixing.mix(docs, WEIGHTS, share=0.8, cap=2.0)
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return licenses.license_families(docs, licenses.train(docs)).withColumn("families", F.array_join("families", ",")).drop("found")
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_near_dedup, op3_exact_dedup, op3_live_texts, op4_url_filter, op4_linked_pages, op5_tool_calls,
-    op5_chat_turns, op6_substring_dedup, op7_decontaminate, op8_token_output, op9_mix_sources, op10_license_scan)}
+    op5_chat_turns, op6_substring_dedup, op7_decontaminate, op8_token_output, op9_mix_sources, op9_mix_overlapping, op10_license_scan)}
 
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
