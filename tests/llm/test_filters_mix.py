@@ -202,6 +202,27 @@ def test_mix_overlapping(spark):
     assert sum(r.taken for r in got) == 2000 and all(r.taken == 0 for r in got if r.doc_id % 4 == 3)
 
 
+def test_mix_of_overlapping_sources(spark):
+    """What the given documents' mix takes is the greatest flow, at the least repetition, up to a document for each pattern."""
+    from basketry.llm.queries import WEIGHTS, op9_mix_overlapping
+
+    given = {r.doc_id: (r.source, "in " + (r.lang or "none")) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    got = op9_mix_overlapping(spark, "/root/testdata/sf0.01").collect()
+    capacity, taken = {}, {}
+    for r in got:
+        key = given[r.doc_id]
+        capacity[key] = capacity.get(key, 0) + r["size"]
+        taken[key] = taken.get(key, 0) + r.taken
+    names = sorted({n for key in capacity for n in key}, key=lambda n: (n is None, (n or "").encode()))
+    sizes = {n: sum(x for key, x in capacity.items() if n in key) for n in names}
+    targets = mixing.capped_targets(sizes, {n: WEIGHTS[i % 3] for i, n in enumerate(names)}, 0.8 * sum(capacity.values()), 2.0)
+    keys = sorted(capacity, key=repr)
+    whole, _ = cheapest([capacity[k] for k in keys], [[names.index(n) for n in k] for k in keys], [round(targets[n]) for n in names], 2)
+    most = max(r["size"] for r in got)
+    assert len(keys) > len(names) and abs(sum(taken.values()) - whole) <= most * len(keys) * 0.2
+    assert all(taken[k] <= 2 * capacity[k] for k in keys)
+
+
 def test_mix_keeps_every_row(spark):
     """Memberships that differ only in nulls, null and repeated ids, and columns named like the operator's own."""
     sets = [["a"], ["a", None], [None], [], None]
