@@ -383,6 +383,18 @@ def train(docs: DataFrame, sample: int = 3000, seed: int = 0) -> Classifier:
     return fit([r.line for r in ordinary], [(r.line, r.family) for r in known], seed)
 
 
+def _widened(units: Units, a: int, b: int, more: int = 8) -> tuple[int, int]:
+    """Words ``a`` to ``b`` with up to ``more`` words of their paragraph on either side."""
+    doc, paragraph = units.words.doc, units.paragraph
+    same = (doc[a], paragraph[a])
+    low, high = a, b
+    while low > max(0, a - more) and (doc[low - 1], paragraph[low - 1]) == same:
+        low -= 1
+    while high < min(len(doc), b + more) and (doc[high], paragraph[high]) == same:
+        high += 1
+    return low, high
+
+
 def _entries(model: Classifier, units: Units, least: float, cover: float) -> list[list[dict]]:
     """The predictions of each document, the best of those that overlap."""
     words, unknown = units.words, len(model.classes) - 1
@@ -403,6 +415,9 @@ def _entries(model: Classifier, units: Units, least: float, cover: float) -> lis
         covered = float(max(0.0, own[top]))
         confirmed = covered >= cover and covered >= shares.max()
         span = (a + int(begin[top]), a + int(end[top]) + 2) if covered > 0 else (a, b)
+        if confirmed:  # a window may cut off what makes it another family's notice
+            wide = _widened(units, *span)
+            confirmed = covered >= model.templates.compare(pairs[wide[0] : wide[1] - 1])[0][model.templates.family != c].max()
         found[words.doc[a]].append((not confirmed, -covered, -float(sure[i]), b - a, span, c))
     for doc, own in enumerate(found):
         taken: list[tuple[int, int]] = []
@@ -438,7 +453,8 @@ def license_families(docs: DataFrame, model: Classifier, least: float = 0.6, cov
     likeliest class is a licence family, with a calibrated probability of ``least``
     or more, is a prediction; it is confirmed if one of the family's templates
     fits it by ``cover`` or more (see ``Templates.compare``) and no template of
-    another family fits better: CC BY-NC is not CC BY. Of predictions that overlap
+    another family fits it, or it with the eight words around it, better: CC BY-NC
+    is not CC BY. Of predictions that overlap
     the best counts. ``found`` lists them with their words, ``families`` (sorted) and
     ``n_licenses`` those confirmed; the unknown class is not listed. Null and empty
     texts have no paragraphs. Whole texts are read, however long. Other columns are
