@@ -38,7 +38,7 @@ class _Held:
     def sent(self) -> Iterator[pa.RecordBatch]:
         """One entry for each key and row: its first place; for those of a greater document than the key's least, also where that has it.
 
-        Entries with such a source need no search and go to slots of their own, so a
+        Entries with such a source need no search and go to a slot of their row, so a
         frequent key sends one searching entry from each task. ``with_first`` gives
         the least document's entry a twin of that kind if others have the key.
         """
@@ -61,7 +61,9 @@ class _Held:
             pick = np.concatenate((np.arange(len(key)), np.flatnonzero(several)))
             known = np.concatenate((known, np.ones(several.sum(), bool)))
             key, doc, own, at, src, src_at = (x[pick] for x in (key, doc, own, at, src, src_at))
-        slot = np.where(known, mix(key ^ mix(own.astype(np.uint64))), key)
+        slot = np.where(known, mix(own.astype(np.uint64)), key)
+        order = np.lexsort((at, own))  # neighbours that are alike take fewer bytes
+        slot, known, doc, own, at, src, src_at = (x[order] for x in (slot, known, doc, own, at, src, src_at))
         columns = [
             longs(slot), pa.array(own), pa.array(doc, mask=doc == own), pa.array(at.astype(np.int32)),
             pa.array(src, mask=~known), pa.array(src_at.astype(np.int32), mask=~known),
@@ -181,10 +183,11 @@ def _matches(block: Block, words: Words, size: int) -> Iterator[tuple[int, np.nd
     diagonal; the longest such runs are the matches, extended as far as they go.
     """
     starts, long_ = words.grams(size)
-    bounds = np.searchsorted(starts, words.first)
+    bounds, sources = np.searchsorted(starts, words.first), block.arrow("sources")
     for doc, own in _listed(block, "windows"):
-        at, which = _places(words, doc, long_, bounds, own.field("at").to_numpy(), starts)
-        src, src_at = own.field("src").to_numpy()[which], own.field("src_at").to_numpy()[which].astype(np.int64)
+        both, src = own.to_numpy(), sources[doc].values.to_numpy()
+        at, which = _places(words, doc, long_, bounds, both >> 32, starts)
+        src, src_at = src[which], (both & 0xFFFFFFFF)[which]
         new = np.ones(len(at), bool)
         new[1:] = (at[1:] != at[:-1] + 1) | (src[1:] != src[:-1]) | (src_at[1:] != src_at[:-1] + 1)
         first = np.flatnonzero(new)
@@ -307,11 +310,13 @@ def remove_repeats(docs: DataFrame, size: int = 13, seed: int = 5, texts: bool =
     found = beside(docs, anchors, "anchors", "inner").mapInArrow(_windows(size, seed), _SENT)
     least = F.min(F.when(searching, F.struct(doc.alias("doc"), "id", "at"))).over(over)
     found = found.withColumn("least", least).where(~searching | (F.col("least.doc") < doc))
-    sourced = found.select("id", "at", F.coalesce("src", "least.id").alias("src"), F.coalesce("src_at", "least.at").alias("src_at"))
-    matched = beside(docs, gathered(sourced, "windows", "at", "src", "src_at"), "windows", "left")
+    src, src_at = F.coalesce("src", "least.id").alias("src"), F.coalesce("src_at", "least.at")
+    sourced = found.select("id", src, (F.shiftleft(F.col("at").cast("long"), 32) + src_at).alias("places"))
+    windows = sourced.groupBy(F.col("id").alias("windows_id")).agg(F.collect_list("places").alias("windows"), F.collect_list("src").alias("sources"))
+    matched = beside(docs, windows, "windows", "left")
 
     claims = matched.where("windows is not null").mapInArrow(_claims(size), "id long, src long, src_begin int, n int, digest binary")
-    claims = claims.repartition(*_CLAIM)
+    claims = claims.repartition("id")  # a match that many rows share is spread over them, and claimed once
     chunk = F.pmod(F.xxhash64(*_CLAIM[1:]), F.lit(CHUNKS))
     once = claims.select(*_CLAIM).distinct().groupBy("src", chunk).agg(F.collect_list(F.struct(*_CLAIM[1:])).alias("claims"))
     asked = beside(docs, once.select(F.col("src").alias("claims_id"), "claims"), "claims", "inner")

@@ -271,9 +271,8 @@ def test_repeats_of_odd_rows(spark, monkeypatch, held):
 def test_refuted_matches_stay():
     """A match whose words the source does not have is found out, and its words stay."""
     docs = pa.RecordBatch.from_pydict({"id": [1, 2], "doc_id": [1, 2], "text": ["a b c d e f g h", "x b c d e f q"]})
-    entry = pa.list_(pa.struct([("at", pa.int32()), ("src", pa.int64()), ("src_at", pa.int32())]))
-    matched = docs.append_column("windows", pa.array([None, [{"at": 0, "src": 1, "src_at": 0}, {"at": 1, "src": 1, "src_at": 1},
-        {"at": 2, "src": 1, "src_at": 2}]], entry))
+    matched = docs.append_column("windows", pa.array([None, [i << 32 | i for i in range(3)]], pa.list_(pa.int64())))
+    matched = matched.append_column("sources", pa.array([None, [1, 1, 1]], pa.list_(pa.int64())))
     claims = [r for part in substring_dedup._claims(4)([matched]) for r in part.to_pylist()]
     assert [(r["id"], r["src"], r["src_begin"], r["n"]) for r in claims] == [(2, 1, 0, 6)]  # one of six words from "x" on: the source says "a"
     entry = pa.list_(pa.struct([("src_begin", pa.int32()), ("n", pa.int32()), ("digest", pa.binary())]))
