@@ -30,16 +30,16 @@ def row_range(df: DataFrame, key: str, start: int, count: int) -> DataFrame:
     Only keys are counted: how many rows lie in each of the sorted key ranges says
     which ranges hold the slice, so no place ever holds the rows before it.
     """
-    keys = df.select(F.col(key).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
-    ranged = written(keys.repartitionByRange("k").withColumn("part", F.spark_partition_id()), "key-ranges")
+    keys = df.select(F.col(key).alias("_key")).groupBy("_key").agg(F.count("*").alias("n"))
+    ranged = written(keys.repartitionByRange("_key").withColumn("part", F.spark_partition_id()), "key-ranges")
     parts = ranged.groupBy("part").agg(F.sum("n").alias("n")).withColumn("base", F.sum("n").over(Window.orderBy("part")) - F.col("n"))
     open_ = ranged.join(F.broadcast(parts.where((F.col("base") < start + count) & (F.col("base") + F.col("n") > start)).select("part", "base")), "part")
-    over = Window.partitionBy("part").orderBy("k")
-    before = open_.withColumn("before", F.col("base") + F.sum("n").over(over) - F.col("n"))
-    wanted = before.where((F.col("before") < start + count) & (F.col("before") + F.col("n") > start)).select("k", "before")
-    rows = df.join(wanted, F.col(key).eqNullSafe(F.col("k")))
-    place = F.col("before") + F.row_number().over(Window.partitionBy("k").orderBy(F.lit(1))) - 1
-    return rows.withColumn("place", place).where(F.col("place").between(start, start + count - 1)).select(*[f"`{c}`" for c in df.columns])
+    over = Window.partitionBy("part").orderBy("_key")
+    before = open_.withColumn("_before", F.col("base") + F.sum("n").over(over) - F.col("n"))
+    wanted = before.where((F.col("_before") < start + count) & (F.col("_before") + F.col("n") > start)).select("_key", "_before")
+    rows = df.join(wanted, F.col(key).eqNullSafe(F.col("_key")))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1))) - 1
+    return rows.withColumn("_place", place).where(F.col("_place").between(start, start + count - 1)).select(*[f"`{c}`" for c in df.columns])
 
 
 def not_done(df: DataFrame, done: DataFrame, key: str) -> DataFrame:

@@ -28,9 +28,8 @@ def test_entry(spark):
 def test_every_rule_fires_and_does_not(spark):
     """Each grocery rule holds for some of the registered pairs and not for others."""
     rows = QUERIES["grocery_rules"](spark, "/root/testdata/sf0.01").select("fired").toPandas()["fired"].str.split(",")
-    names = {f"R{i:02d}" for i in range(2, 61)}
     fired = {n: sum(n in r for r in rows) for n in set().union(*rows) - {""}}
-    assert set(fired) == names - (names - set(fired)) and all(0 < k < len(rows) for k in fired.values())
+    assert all(0 < k < len(rows) for k in fired.values())
     from basketry.operators import rules as rl
 
     assert set(fired) == {r.name for r in rl.default_rules()}
