@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import decontaminate, exact_dedup, language, licenses, mixing, near_dedup, substring_dedup, token_store, tool_calls, url_filter
+from basketry.llm import bpe, centroids, decontaminate, divergence, exact_dedup, language, licenses, mixing, near_dedup, substring_dedup
+from basketry.llm import token_store, tool_calls, url_filter
 
-TOKENIZER = "word_bpe_49k.json"
+TOKENIZER, BYTE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
 END_ID = 1
 WEIGHTS = (5.0, 2.0, 1.0)
 RULES = (
@@ -28,10 +29,10 @@ SCHEMAS = {
 }
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -136,8 +137,25 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_families(docs, licenses.train(docs)).withColumn("families", F.array_join("families", ",")).drop("found")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"), least_docs=30, top=50)
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path(BYTE_TOKENIZER)
+    ids = bpe.encoded(_table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    digits = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return bpe.decoded(ids, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(_table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, scale=256, seed="2:")
+
+
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_near_dedup, op3_exact_dedup, op3_live_texts, op4_url_filter, op4_linked_pages, op5_tool_calls,
-    op5_chat_turns, op6_substring_dedup, op7_decontaminate, op8_token_output, op9_mix_sources, op9_mix_overlapping, op10_license_scan)}
+    op5_chat_turns, op6_substring_dedup, op7_decontaminate, op8_token_output, op9_mix_sources, op9_mix_overlapping, op10_license_scan, op11_source_divergence,
+    op12_byte_bpe, op13_centroids)}
 
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -236,7 +254,64 @@ def _chat_sql() -> str:
         where (role is null or role <> 'assistant') and a.turn is null"""
 
 
+def _divergence_sql() -> str:
+    """All kept terms of a language against each two of its sources, one by one."""
+    share = "1 + (1000000000::hugeint * (coalesce({0}, 0) + 5)) // greatest({1} + 5 * v, 1)"
+    return rf"""
+        with d as (
+          select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                 regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w
+          from documents),
+        t as (select id, lang, source, unnest(w) as term from d),
+        kept as (select lang, term, count(*) as n from t group by lang, term having count(distinct id) >= 30),
+        langs as (select lang, count(kept.term) as v, coalesce(sum(kept.n), 0) as size from (select distinct lang from d) left join kept using (lang) group by lang),
+        cell as (select lang, source, term, count(*) as n from t join kept using (lang, term) group by lang, source, term),
+        grp as (
+          select g.lang, g.source, coalesce(s.size, 0) as size, v, langs.size as size_lang
+          from (select distinct lang, source from d) g join langs using (lang)
+          left join (select lang, source, sum(n) as size from cell group by lang, source) s on s.lang = g.lang and s.source = g.source),
+        p as (
+          select g.lang, g.source, k.term, c.n, {share.format('c.n', 'g.size')} as p, {share.format('k.n', 'size_lang')} as q
+          from grp g join kept k using (lang) left join cell c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+        apart as (
+          select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value
+          from p a join p b on b.lang = a.lang and b.term = a.term and b.source <> a.source group by a.lang, a.source, b.source),
+        found as (
+          select a.lang, a.source, 'pair' as part, b.source as item, coalesce(x.value, 0)::bigint as value
+          from grp a join grp b on b.lang = a.lang and b.source <> a.source
+          left join apart x on x.lang = a.lang and x.source = a.source and x.item = b.source
+          union all select lang, source, 'term', term, (p - q)::bigint from p where n > 0 and p > q)
+        select * from (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from found)
+        where part = 'pair' or rank <= 50"""
+
+
+def _centroids_sql(k: int = 40, rounds: int = 5) -> str:
+    """Every round as three tables: all distances, the nearest, and the means."""
+    parts = [
+        """x as materialized (
+          select row_number() over () as id, vec_id, list_transform(embedding, lambda e: floor(256 * e::double)::bigint) as x from embeddings
+          where len(embedding) = 64 and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0)""",
+        f"c0 as materialized (select (row_number() over (order by sha256(concat('2:', vec_id)), x) - 1)::int as cluster, x as c from x order by cluster limit {k})",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} as materialized (
+          select id, vec_id, x, arg_min(cluster, (d, cluster)) as cluster, min(d) as d
+          from (select id, vec_id, x, cluster, list_sum(list_transform(list_zip(x, c), lambda e: (e[1] - e[2]) * (e[1] - e[2])))::bigint as d from x, c{r})
+          group by id, vec_id, x)""")
+        parts.append(f"""c{r + 1} as materialized (
+          select c{r}.cluster, coalesce(m.c, c{r}.c) as c from c{r} left join (
+            select cluster, list(v order by i) as c from (
+              select cluster, i, ((sum(e) - ((sum(e) % count(*)) + count(*)) % count(*)) // count(*))::bigint as v
+              from (select cluster, unnest(x) as e, unnest(range(1, 65)) as i from a{r}) group by cluster, i) group by cluster) m using (cluster))""")
+    return f"""with {", ".join(parts[:-1])}
+        select vec_id, cluster, d as distance, sum(d) over (partition by cluster)::bigint as cluster_inertia, sum(d) over ()::bigint as inertia,
+               sha256(array_to_string(c, ',')) as centroid_sha256
+        from a{rounds} join c{rounds} using (cluster)"""
+
+
 SQL: dict[str, str] = {
+    "op11_source_divergence": _divergence_sql(),
+    "op13_centroids": _centroids_sql(),
     "op4_url_filter": _url_sql("pages"),
     "op4_linked_pages": _url_sql(_LINKED_PAGES),
     "op2_near_dedup": f"""

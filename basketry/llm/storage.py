@@ -1,11 +1,17 @@
 """Where the operators keep tables that cut lineage, and keys for rows whose ids cannot tell them apart."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.sources.storage import new_path, partitions, shared_dir, written
 
-__all__ = ["keyed", "new_path", "partitions", "shared_dir", "written"]
+__all__ = ["deleted", "keyed", "new_path", "partitions", "shared_dir", "written"]
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that no result reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def keyed(docs: DataFrame, key: str) -> tuple[DataFrame, bool]:
