@@ -8,21 +8,27 @@ import sys
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 #: How byte-level vocabularies cut a text into words.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Bytes up to which a word is short: its ranks are scanned, those of a longer one lie in a heap.
-SHORT = 256
+#: Bytes up to which a word is a row of an array with others, and up to which its ranks are scanned alone; those of a longer one lie in a heap.
+TINY, SHORT = 48, 256
+#: Words of an array.
+ROWS = 1 << 13
 #: Distinct words whose ids a task keeps, twice over.
 CACHED_WORDS = 150_000
 #: Characters and words handled at a time.
 BATCH_CHARS, PIECES = 1 << 20, 1 << 16
 _NEVER = sys.maxsize
+_ID = 24  # bits of an id beside its rank
+_LOW = (1 << _ID) - 1
 
 
 def byte_letters() -> dict[str, int]:
@@ -55,7 +61,10 @@ class Bpe:
         self.ids = {bytes(letters[c] for c in word): i for word, i in model["vocab"].items()}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.ranks = {tuple(bytes(letters[c] for c in part) for part in pair): rank for rank, pair in enumerate(pairs)}
-        self.first = {a + b: rank for (a, b), rank in self.ranks.items() if len(a) == len(b) == 1}
+        byte = np.array([self.ids[bytes([b])] for b in range(256)], np.int64)
+        found = sorted((self.ids[a] << _ID | self.ids[b], rank << _ID | self.ids[a + b]) for (a, b), rank in self.ranks.items())
+        self.keys, self.values = (np.array(x, np.int64) for x in zip(*found, strict=True))
+        self.byte, self.byte_pairs = byte, self._look(np.repeat(byte, 256), np.tile(byte, 256))
         self.words = {i: word for word, i in self.ids.items()}
         self.special = {t["content"]: t["id"] for t in stored["added_tokens"]}
         self.words |= {i: text.encode() for text, i in self.special.items()}
@@ -64,18 +73,69 @@ class Bpe:
         self.apart = regex.compile(f"({apart})") if apart else None
         self.path, self.kept, self.older, self._unsure, self._library = path, {}, {}, None, None
 
-    def merged(self, word: bytes) -> list[int]:
-        """Ids of one word: the adjacent parts of least rank, leftmost first, become one until no two have a rank."""
-        if word in self.ids and len(word) == 1:
-            return [self.ids[word]]
-        bounds = self._scanned(word) if len(word) <= SHORT else self._heaped(word)
-        return [self.ids[word[a:b]] for a, b in zip(bounds, bounds[1:], strict=False)]
+    def _look(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For pairs of ids the rank of their merge and, in the low bits, the id it makes; ``_NEVER`` if they do not merge."""
+        key = a << _ID | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.values[at], _NEVER)
+
+    def _arrays(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of many short words, each a row of ranks: every step finds the least rank of each row, deletes the boundary inside and looks up the ranks around it."""
+        n, size = len(words), np.array([len(w) for w in words], np.int64)
+        wide = int(size.max()) + 1
+        text = np.zeros((n, wide), np.uint8)
+        held = np.arange(wide) < size[:, None]  # the boundaries at which a part begins
+        text[held] = np.frombuffer(b"".join(words), np.uint8)
+        parts = self.byte[text]
+        ranks = np.full((n, wide), _NEVER)
+        ranks[:, :-1] = np.where(held[:, 1:], self.byte_pairs[text[:, :-1].astype(np.int64) << 8 | text[:, 1:]], _NEVER)
+        after, before = np.tile(np.arange(1, wide + 1), (n, 1)), np.tile(np.arange(-1, wide - 1), (n, 1))
+        row = np.arange(n)
+        while True:
+            at = ranks[row].argmin(1)
+            least = ranks[row, at]
+            row, at, least = (x[least != _NEVER] for x in (row, at, least))
+            if not len(row):
+                break
+            gone = after[row, at]
+            new, on, back = least & _LOW, after[row, gone], before[row, at]
+            parts[row, at], held[row, gone], ranks[row, gone] = new, False, _NEVER
+            after[row, at] = on
+            before[row, np.minimum(on, wide - 1)] = at  # the last column holds no part
+            there = on < size[row]
+            ranks[row, at] = np.where(there, self._look(new, parts[row, np.minimum(on, wide - 1)]), _NEVER)
+            some = back >= 0
+            r, at_back = row[some], back[some]
+            ranks[r, at_back] = self._look(parts[r, at_back], new[some])
+        flat, ends = parts[held].tolist(), np.cumsum(held.sum(1)).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def merged(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of words: the adjacent parts of least rank, leftmost first, become one until no two have a rank."""
+        out: list[list[int]] = [[]] * len(words)
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        at = 0
+        while at < len(order):
+            n = len(words[order[at]])
+            if n > TINY:  # few: one by one
+                word = words[order[at]]
+                bounds = self._scanned(word) if n <= SHORT else self._heaped(word)
+                out[order[at]] = [self.ids[word[a:b]] for a, b in zip(bounds, bounds[1:], strict=False)]
+                at += 1
+                continue
+            to = at
+            while to < len(order) and to - at < ROWS and len(words[order[to]]) <= min(TINY, max(8, 2 * n)):
+                to += 1
+            for i, ids in zip(order[at:to], self._arrays([words[i] for i in order[at:to]]), strict=True):
+                out[i] = ids
+            at = to
+        return out
 
     def _scanned(self, word: bytes) -> list[int]:
         """Part boundaries beside the ranks of neighbours: find the least, delete the boundary inside, look up the two ranks around it."""
-        rank, first = self.ranks.get, self.first.get
+        rank = self.ranks.get
         bounds = list(range(len(word) + 1))
-        ranks = [first(word[i : i + 2], _NEVER) for i in range(len(word) - 1)]
+        ranks = [rank((word[i : i + 1], word[i + 1 : i + 2]), _NEVER) for i in range(len(word) - 1)]
         while ranks:
             least = min(ranks)
             if least == _NEVER:
@@ -142,31 +202,54 @@ class Bpe:
             return iter(self.pattern.findall(text))
         return (m.group() for m in self.pattern.finditer(text))
 
-    def _word(self, piece: str) -> list[int]:
-        """Ids of a word that is not among the last ones; frequent words outlast a full table."""
-        ids = self.older.get(piece)
-        if ids is None:
-            ids = self.merged(piece.encode())
-        if len(piece) <= SHORT:
-            if len(self.kept) >= CACHED_WORDS:
-                self.older = dict(self.kept)
-                self.kept.clear()
-            self.kept[piece] = ids
-        return ids
+    def _known(self, pieces: list[str]) -> dict[str, list[int]]:
+        """A table that holds the ids of all the pieces; frequent words outlast a full table."""
+        if len(self.kept) >= CACHED_WORDS:
+            self.older, self.kept = self.kept, {}
+        new = []
+        for piece in set(pieces).difference(self.kept):
+            ids = self.older.get(piece)
+            if ids is None:
+                new.append(piece)
+            else:
+                self.kept[piece] = ids
+        found = dict(zip(new, self.merged([p.encode() for p in new]), strict=True))
+        long_ = {p: ids for p, ids in found.items() if len(p) > SHORT}
+        for piece in long_:
+            del found[piece]
+        self.kept.update(found)
+        return self.kept | long_ if long_ else self.kept
+
+    def encode_all(self, texts: list[str]) -> list[array]:
+        """Ids of whole texts. Strings of special tokens become their ids. Words of many short texts are looked up together."""
+        out = [array("i") for _ in texts]
+        pieces: list[str] = []
+        spans: list[tuple[array, int, int]] = []  # whose pieces lie where
+
+        def settle() -> None:
+            ids = self._known(pieces).__getitem__
+            for to, a, b in spans:
+                to.extend(chain.from_iterable(map(ids, pieces[a:b])))
+            pieces.clear()
+            spans.clear()
+
+        for text, to in zip(texts, out, strict=True):
+            for part in self.apart.split(text) if self.apart and self.apart.search(text) else [text]:
+                if part in self.special:
+                    settle()
+                    to.append(self.special[part])
+                    continue
+                rest = self._pieces(part)
+                while chunk := list(islice(rest, PIECES)):
+                    spans.append((to, len(pieces), len(pieces) + len(chunk)))
+                    pieces += chunk
+                    if len(pieces) >= PIECES:
+                        settle()
+        settle()
+        return out
 
     def encode(self, text: str) -> array:
-        """Ids of a whole text. Strings of special tokens become their ids."""
-        out, get = array("i"), self.kept.get
-        for part in self.apart.split(text) if self.apart else [text]:
-            if part in self.special:
-                out.append(self.special[part])
-                continue
-            pieces = self._pieces(part)
-            while chunk := list(islice(pieces, PIECES)):
-                for piece in chunk:
-                    ids = get(piece)
-                    out.extend(self._word(piece) if ids is None else ids)
-        return out
+        return self.encode_all([text])[0]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids, special ones included; bytes that are no UTF-8 come as replacement characters, unknown ids as nothing."""
@@ -201,9 +284,10 @@ def _mapped(name: str, to: str, kind: pa.DataType, each):
         for batch in batches:
             place = batch.schema.get_field_index(name)
             column = batch.column(place)
-            sizes = [len(x.as_py()) if pa.types.is_string(column.type) and x.is_valid else len(x) if x.is_valid else 0 for x in column]
+            length = pc.binary_length if pa.types.is_string(column.type) else pc.list_value_length
+            sizes = length(column).fill_null(0).to_pylist()
             for part in _runs(batch, sizes, BATCH_CHARS):
-                made = pa.array([each(x) for x in part.column(place)], kind)
+                made = pa.array(each(part.column(place)), kind)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns) if i != place), made],
                     names=[*(f for f in part.schema.names if f != name), to])
 
@@ -223,8 +307,8 @@ def encoded(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
         raise ValueError(f"the table has a column {ids} already")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text]
 
-    def each(x: pa.Scalar) -> array | list:
-        return vocabulary(path).encode(x.as_py()) if x.is_valid else []
+    def each(texts: pa.Array) -> list[array]:
+        return vocabulary(path).encode_all([t or "" for t in texts.to_pylist()])
 
     return docs.select(*[f"`{f.name}`" for f in docs.schema if f.name != text], f"`{text}`").mapInArrow(
         _mapped(text, ids, pa.list_(pa.int32()), each), ", ".join([*fields, f"`{ids}` array<int>"]))
@@ -240,8 +324,8 @@ def decoded(rows: DataFrame, path: str, ids: str = "ids", text: str = "text") ->
         raise ValueError(f"the table has a column {text} already")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema]
 
-    def each(x: pa.Scalar) -> str | None:
-        return vocabulary(path).decode(x.values.to_numpy().tolist()) if x.is_valid else None
+    def each(ids: pa.Array) -> list[str | None]:
+        return [vocabulary(path).decode(x.values.to_numpy().tolist()) if x.is_valid else None for x in ids]
 
     copy = "decoded_from"
     while copy in rows.columns:
