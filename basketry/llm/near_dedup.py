@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,12 +12,13 @@ from pyspark.sql import functions as F
 
 from basketry.llm.components import components, contracted, labels
 from basketry.llm.storage import keyed, written
-from basketry.llm.textblocks import Words, blocks, lists, longs, mix, shingle_sets
+from basketry.llm.textblocks import Joined, Words, blocks, lists, longs, mix, shingle_sets
 
 BANDS, ROWS = 32, 4
 #: Up to so many clusters have their numbers of blocks broadcast.
 BROADCAST_CLUSTERS = 50_000
-_ALL = ", ".join(("id long", "n long", "d1 long", "d2 long", "bands array<long>"))
+_ALL = "id long, n long, words binary, bands array<long>"
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def _permute(x: np.ndarray) -> np.ndarray:
@@ -47,24 +49,32 @@ def circulant_signatures(shingles: np.ndarray, ends: np.ndarray, size: int) -> n
 def _signatures(k: int, bands: int, rows: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, size=1 << 18):
-            shingles, ends = shingle_sets(Words(block, lower=True), block.n, k)
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(shingles), dtype=np.uint64)))
-            more = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(shingles + np.uint64(0x632BE59BD9B4E019)), dtype=np.uint64)))
+            words = Words(block, lower=True)
+            shingles, ends = shingle_sets(words, block.n, k)
+            joined = Joined(block, words, lower=True)
+            digests = [joined.digest(a, b - a) for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)]
             wide = circulant_signatures(shingles, ends, bands * rows).astype(np.uint64).reshape(block.n, bands, rows)
             keys = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (block.n, bands)).copy()
             for j in range(rows):
                 keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + wide[:, :, j])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(block.column("id")), pa.array(np.diff(ends)), longs(sums[ends[1:]] - sums[ends[:-1]]),
-                    longs(more[ends[1:]] - more[ends[:-1]]), lists(keys.ravel(), np.arange(block.n + 1) * bands)],
-                names=["id", "n", "d1", "d2", "bands"],
+                [pa.array(block.column("id")), pa.array(np.diff(ends)), pa.array(digests, pa.binary()), lists(keys.ravel(), np.arange(block.n + 1) * bands)],
+                names=["id", "n", "words", "bands"],
             )
 
     return run
 
 
+def word_shingles(text: bytes, k: int) -> set[tuple[bytes, ...]]:
+    """The distinct ``k``-word shingles of a text, as words."""
+    words = _WORD.findall(text.lower())  # of bytes: A-Z alone
+    if len(words) < k:
+        return {tuple(words)} if words else set()
+    return set(zip(*(words[i:] for i in range(k)), strict=False))
+
+
 def _overlaps(k: int, percent: int):
-    """Pairs of texts whose full shingle sets reach the Jaccard similarity."""
+    """Pairs of texts whose full shingle sets, word by word, reach the Jaccard similarity."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,11 +85,18 @@ def _overlaps(k: int, percent: int):
                 for name in ("text_a", "text_b"):
                     parts = [(shingle_sets(Words(b, lower=True), b.n, k), b.n) for b in blocks([rows], name)]
                     sides.append([s[e[i] : e[i + 1]] for (s, e), n in parts for i in range(n)])
-                keep = []
+                texts = [rows.column(rows.schema.get_field_index(x)).cast(pa.binary()) for x in ("text_a", "text_b")]
+                keep, last, own = [], None, set()
                 for i, (x, y) in enumerate(zip(*sides, strict=True)):
                     both = len(np.intersect1d(x, y, assume_unique=True))
-                    if both and 100 * both >= percent * (len(x) + len(y) - both):
-                        keep.append(i)
+                    if both and 100 * both >= percent * (len(x) + len(y) - both):  # by hashes; now by the words
+                        a, b = (t[i].as_py() for t in texts)
+                        if a != last:
+                            last, own = a, word_shingles(a, k)
+                        other = word_shingles(b, k)
+                        both = len(own & other)
+                        if both and 100 * both >= percent * (len(own) + len(other) - both):
+                            keep.append(i)
                 yield rows.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     return run
@@ -113,15 +130,15 @@ def verified_links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) ->
 def near_groups(docs: DataFrame, k: int, percent: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``(id, n, rep)`` for every row of ``docs (id, text)``, ids being unique: set size and the least id of the row's component.
 
-    Equal sets are merged first. Within a bucket of a band, members are compared
+    Rows of the same words are merged first, by the SHA-256 of all of them. Within a bucket of a band, members are compared
     with the bucket's first member only; buckets that still hold several
     components are settled in ``_rest``. With 32 bands of 4 rows a pair at 0.8 shares no
     bucket with probability 5e-8.
     """
     signed = written(docs.mapInArrow(_signatures(k, bands, rows), _ALL), "signatures")
     full = signed.where("n > 0")
-    classes = full.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"))
-    member = full.select("id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"]).select("id", "rep")
+    classes = full.groupBy("words").agg(F.min("id").alias("rep"))
+    member = full.select("id", "words").join(classes, "words").select("id", "rep")
     firsts = full.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
     spread = written(firsts.select("id", "n", F.explode("bands").alias("bucket")).join(_crowded(firsts), "bucket"), "buckets")
     wanted = spread.select("id").distinct()
@@ -216,6 +233,8 @@ def _blocks_compared(percent: int):
                 for x in _chunks(*sides[0]):
                     for y in _chunks(*sides[1]):
                         i, j = _similar(x, y, percent)
+                        _, once = np.unique(np.stack((i, y[1][j])), axis=1, return_index=True)  # one link from a text to a component
+                        i, j = i[once], j[once]
                         yield pa.RecordBatch.from_arrays([pa.array(x[0][i]), pa.array(y[0][j])], names=["a", "b"])
 
     return run
@@ -276,4 +295,5 @@ def _rest(spread: DataFrame, texts: DataFrame, pairs: DataFrame, links: DataFram
     (x, x_blocks), (y, y_blocks) = blocked(sets.where("c <> main"), "block_x", "x"), blocked(sets, "block_y", "y")
     pairs_of_blocks = x_blocks.join(y_blocks, "cluster")  # numbers alone meet by cluster, sets by cluster and block
     met = pairs_of_blocks.join(x, ["cluster", "block_x"]).join(y, ["cluster", "block_y"]).select("x", "y")
-    return written(edges.union(met.mapInArrow(_blocks_compared(percent), "a long, b long")), "links")
+    alike = met.mapInArrow(_blocks_compared(percent), "a long, b long").distinct()
+    return written(edges.union(verified_links(alike, texts, k, percent)), "links")

@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.llm.storage import keyed
-from basketry.llm.textblocks import Block, Words, blocks, longs, mix
+from basketry.llm.textblocks import Block, Joined, Words, blocks, longs, mix
 
 #: Entries that a task holds before it sends them on.
 HELD = 1 << 20
 #: Parts that the claims against one document are dealt to.
 CHUNKS = 16
+#: Where rows without doc_id stand in the order of documents: last, side by side.
+NO_ID = (1 << 63) - 1
 _SENT = "slot long, id long, doc long, at int, src long, src_at int"
 _CLAIM = ("src", "src_begin", "n", "digest")
 
@@ -149,33 +151,6 @@ def _windows(size: int, seed: int):
     return run
 
 
-class _Joined:
-    """A block's words with one space after each, so that a run of words is one slice of bytes."""
-
-    def __init__(self, block: Block, words: Words):
-        self.words = words
-        size = len(block.data)
-        inside = np.zeros(size + 1, np.int8)
-        np.add.at(inside, words.starts, 1)
-        np.add.at(inside, words.ends, -1)
-        kept = np.cumsum(inside[:-1]) > 0
-        sizes = words.ends - words.starts
-        self.ends = np.cumsum(sizes + 1)
-        out = np.full(int(self.ends[-1]) if len(sizes) else 0, 0x20, np.uint8)
-        gap = np.ones(len(out), bool)
-        gap[self.ends - 1] = False
-        out[gap] = block.data[kept]
-        self.data = out.tobytes()
-        self.starts = self.ends - sizes - 1
-
-    def text(self, begin: int, end: int) -> bytes:
-        """Words ``begin`` to ``end`` of the block, joined by a space."""
-        return self.data[self.starts[begin] : self.ends[end - 1] - 1] if end > begin else b""
-
-    def digest(self, begin: int, n: int) -> bytes:
-        return hashlib.sha256(self.text(begin, begin + n)).digest()
-
-
 def _matches(block: Block, words: Words, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Each document's maximal matches: first word, length, source, first word there.
 
@@ -206,7 +181,7 @@ def _claims(size: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             words = Words(block)
-            joined, ids, rows = _Joined(block, words), block.column("id"), []
+            joined, ids, rows = Joined(block, words), block.column("id"), []
             for doc, begin, n, src, src_begin in _matches(block, words, size):
                 first = int(words.first[doc])
                 for b, k, s, sb in zip(begin.tolist(), n.tolist(), src.tolist(), src_begin.tolist(), strict=True):
@@ -220,7 +195,7 @@ def _refuted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Claims against a document that its words do not bear out."""
     for block in blocks(batches):
         words = Words(block)
-        joined, ids, rows = _Joined(block, words), block.column("id"), []
+        joined, ids, rows = Joined(block, words), block.column("id"), []
         for doc, own in _listed(block, "claims"):
             first, last = int(words.first[doc]), int(words.first[doc + 1])
             for begin, n, digest in zip(*(own.field(c).to_pylist() for c in _CLAIM[1:]), strict=True):
@@ -235,7 +210,7 @@ def _repeats(size: int, texts: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             words = Words(block)
-            joined = _Joined(block, words)
+            joined = Joined(block, words)
             change = np.zeros(len(words.hashes) + 1, np.int64)
             refuted = {i: {tuple(x[c] for c in _CLAIM) for x in own.to_pylist()} for i, own in _listed(block, "refuted")}
             for doc, begin, n, src, src_begin in _matches(block, words, size):
@@ -260,7 +235,7 @@ def _repeats(size: int, texts: bool):
                 if texts:
                     kept.append(stays.decode())
             columns = {
-                "doc_id": block.arrow("doc_id"), "n_words": pa.array(np.diff(words.first)),
+                "doc_id": block.arrow("named"), "n_words": pa.array(np.diff(words.first)),
                     "n_removed": pa.array(total[words.first[1:]] - total[words.first[:-1]]),
                 "kept_sha256": pa.array(digests, pa.string()), "repeats": pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))),
             }
@@ -280,8 +255,8 @@ def remove_repeats(docs: DataFrame, size: int = 13, seed: int = 5, texts: bool =
     ``end``, in words), ``kept_sha256`` hashes the kept words joined by a space;
     with ``texts`` they come as ``kept_text``. Null and empty texts have no words.
     Rows with one doc_id count as the same document, so none of them is a source
-    of the others; rows without one are left out. Other columns are not read; an
-    empty table gives an empty result.
+    of the others; rows without one come after all others, and none of them is a
+    source. Other columns are not read; an empty table gives an empty result.
 
     Winnowing gives every window its least run of ``seed`` words as its anchor.
     Documents meet on anchors; around an anchor that several have, windows meet by
@@ -292,7 +267,8 @@ def remove_repeats(docs: DataFrame, size: int = 13, seed: int = 5, texts: bool =
     """
     if seed > size:
         raise ValueError("a seed is not longer than a window")
-    docs, _ = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null"), "id")
+    docs, _ = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "id")
+    docs = docs.select("id", F.col("doc_id").alias("named"), F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
     over, doc = Window.partitionBy("slot"), F.coalesce("doc", "id")
     searching = F.col("src").isNull()
 

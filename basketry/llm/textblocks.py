@@ -6,6 +6,7 @@ on every machine, so they can be joined on between tasks.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -13,8 +14,8 @@ import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
 _RNG = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_LANE, _LENGTH, _RUN = _RNG.integers(1, 2**63, 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_TAIL = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)  # the first i bytes of a lane
 
 SPACES = np.ones(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = False
@@ -25,20 +26,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse modulo 2**64, for i under n."""
-    have = _POWERS.get(base)
-    if have is None or len(have[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        up = np.full(size, base, np.uint64)
-        down = np.full(size, pow(base, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        have = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        if size <= 1 << 22:
-            _POWERS[base] = have
-    return have
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = x ^ (x >> np.uint64(30))
@@ -49,6 +36,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges: eight bytes at a time go through ``mix``, so that no arithmetic of bytes carries over."""
+    sizes = ends - starts
+    out = mix(sizes.astype(np.uint64) * _LENGTH)
+    if not len(out):
+        return out
+    lanes = np.lib.stride_tricks.sliding_window_view(np.concatenate((data, np.zeros(8, np.uint8))), 8)
+    at, left, which = starts, sizes, None
+    while len(at):
+        lane = lanes[at].view("<u8").ravel() & _TAIL[np.minimum(left, 8)]
+        if which is None:
+            out = mix((out ^ lane) * _LANE)
+        else:
+            out[which] = mix((out[which] ^ lane) * _LANE)
+        more = left > 8
+        which = np.flatnonzero(more) if which is None else which[more]
+        at, left = at[more] + 8, left[more] - 8
+    return out
+
+
 class Block:
     """Documents side by side: ``data`` holds their bytes, ``offsets`` where each begins and ends."""
 
@@ -108,10 +115,7 @@ class Words:
         self.starts = np.flatnonzero(word & ~before)
         self.ends = np.flatnonzero(word & ~after) + 1
         self.first = np.searchsorted(self.starts, offsets)
-        up, down = _powers(0x9E3779B97F4A7C15, size + 1)
-        sums = np.zeros(size + 1, np.uint64)
-        np.cumsum(_BYTE[LOWER[data] if lower else data] * up[:size], out=sums[1:])
-        self.hashes = mix((sums[self.ends] - sums[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        self.hashes = hash_words(LOWER[data] if lower else data, self.starts, self.ends)
         self.doc = np.repeat(np.arange(block.n), np.diff(self.first))
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,10 +126,10 @@ class Words:
         at = np.flatnonzero(self.doc[: n - k + 1] == self.doc[k - 1 :])
         if k == 1:
             return at, self.hashes
-        up, down = _powers(0xD1342543DE82EF95, n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.hashes * up[:n], out=sums[1:])
-        return at, mix((sums[at + k] - sums[at]) * down[at] + np.uint64(k))
+        out = np.full(len(at), k, np.uint64)
+        for j in range(k):
+            out = mix((out ^ self.hashes[at + j]) * _RUN)
+        return at, out
 
 
 def shingle_sets(words: Words, n_docs: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,11 +157,36 @@ def shingle_sets(words: Words, n_docs: int, k: int) -> tuple[np.ndarray, np.ndar
 
 
 def _folded(hashes: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        total = np.uint64(len(hashes))
-        for h in hashes:
-            total = total * np.uint64(0xD1342543DE82EF95) + h
-    return np.array([total], np.uint64)
+    total = np.array([len(hashes)], np.uint64)
+    for h in hashes:
+        total = mix((total ^ h) * _RUN)
+    return total
+
+
+class Joined:
+    """A block's words with one space after each, so that a run of words is one slice of bytes."""
+
+    def __init__(self, block: Block, words: Words, lower: bool = False):
+        size = len(block.data)
+        inside = np.zeros(size + 1, np.int8)
+        np.add.at(inside, words.starts, 1)
+        np.add.at(inside, words.ends, -1)
+        kept = np.cumsum(inside[:-1]) > 0
+        sizes = words.ends - words.starts
+        self.ends = np.cumsum(sizes + 1)
+        out = np.full(int(self.ends[-1]) if len(sizes) else 0, 0x20, np.uint8)
+        gap = np.ones(len(out), bool)
+        gap[self.ends - 1] = False
+        out[gap] = LOWER[block.data[kept]] if lower else block.data[kept]
+        self.data = out.tobytes()
+        self.starts = self.ends - sizes - 1
+
+    def text(self, begin: int, end: int) -> bytes:
+        """Words ``begin`` to ``end`` of the block, joined by a space."""
+        return self.data[self.starts[begin] : self.ends[end - 1] - 1] if end > begin else b""
+
+    def digest(self, begin: int, n: int) -> bytes:
+        return hashlib.sha256(self.text(begin, begin + n)).digest()
 
 
 def longs(x: np.ndarray) -> pa.Array:
