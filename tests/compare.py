@@ -1,6 +1,7 @@
 """Compares a registered query with its SQL on the given tables."""
 
 import duckdb
+import numpy as np
 import pandas as pd
 
 from basketry.plans.fixtures import TABLES
@@ -18,9 +19,12 @@ def connect():
 def canonical(df):
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
-        if df[c].dtype == object or str(df[c].dtype).startswith("str"):
+        known = df[c].dropna()
+        if len(known) and known.map(lambda v: isinstance(v, (bool, np.bool_))).all():
+            df[c] = df[c].map(lambda v: None if pd.isna(v) else str(bool(v))).astype(object)
+        elif df[c].dtype == object or str(df[c].dtype).startswith("str"):
             df[c] = df[c].map(lambda v: None if v is None or v is pd.NA or v != v else str(v)).astype(object)
-        elif df[c].dtype != bool:
+        else:
             df[c] = pd.to_numeric(df[c]).astype(float).round(9)
     return sorted([tuple("NULL" if v is None or v != v else v for v in r) for r in df.itertuples(index=False, name=None)], key=str)
 
