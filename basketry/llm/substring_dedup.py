@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+from abc import ABC, abstractmethod
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.llm.storage import keyed
@@ -19,58 +20,89 @@ HELD = 1 << 20
 CHUNKS = 16
 #: Where rows without doc_id stand in the order of documents: last, side by side.
 NO_ID = (1 << 63) - 1
-_SENT = "slot long, id long, doc long, at int, src long, src_at int"
+_ANCHOR = "slot long, id long, doc long, at int, known boolean"
+_WINDOW = "slot long, id long, doc long, at int, run long, src long, src_at int, hashes array<long>"
 _CLAIM = ("src", "src_begin", "n", "digest")
 
 
-class _Held:
+class _Held(ABC):
     """Keys of a task's documents with their places, sent on in sorted stretches."""
 
-    def __init__(self, with_first: bool):
-        self.with_first = with_first
+    def __init__(self):
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.size = 0
 
-    def add(self, block: Block, doc: np.ndarray, key: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.parts.append((key, block.column("doc_id")[doc], block.column("id")[doc], at))
+    def add(self, block: Block, doc: np.ndarray, key: np.ndarray, at: np.ndarray, *more: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append((key, block.column("doc_id")[doc], block.column("id")[doc], at, *more))
         self.size += len(key)
         if self.size >= HELD:
             yield from self.sent()
 
-    def sent(self) -> Iterator[pa.RecordBatch]:
-        """One entry for each key and row: its first place; for those of a greater document than the key's least, also where that has it.
-
-        Entries with such a source need no search and go to a slot of their row, so a
-        frequent key sends one searching entry from each task. ``with_first`` gives
-        the least document's entry a twin of that kind if others have the key.
-        """
-        if not self.size:
-            return
-        key, doc, own, at = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+    def taken(self) -> list[np.ndarray]:
+        """Of each key and row the first place: key, document, row, place, further columns, and the row and place of the key's least document."""
+        columns = [np.concatenate(x) for x in zip(*self.parts, strict=True)]
         self.parts, self.size = [], 0
-        order = np.lexsort((at, own, doc, key))
-        key, doc, own, at = key[order], doc[order], own[order], at[order]
+        order = np.lexsort((columns[3], columns[2], columns[1], columns[0]))
+        columns = [x[order] for x in columns]
+        key, own = columns[0], columns[2]
         new_key = np.concatenate(([True], key[1:] != key[:-1]))
         new = new_key.copy()
         new[1:] |= own[1:] != own[:-1]
         first = np.maximum.accumulate(np.where(new_key, np.arange(len(key)), 0))[new]
-        src, src_doc, src_at = own[first], doc[first], at[first]
-        key, doc, own, at = key[new], doc[new], own[new], at[new]
+        return [*(x[new] for x in columns), columns[1][first], own[first], columns[3][first]]
+
+    @abstractmethod
+    def sent(self) -> Iterator[pa.RecordBatch]:
+        """What the held keys come to; none are held after."""
+
+
+class _HeldAnchors(_Held):
+    def sent(self) -> Iterator[pa.RecordBatch]:
+        """An entry for each key and row. Those that know a lesser document need no search and go to a slot of their row.
+
+        So a frequent key sends one searching entry from each task, and the least
+        document's has a twin that needs no search if others have the key.
+        """
+        if not self.size:
+            return
+        key, doc, own, at, src_doc, _, _ = self.taken()
         known = doc > src_doc
-        if self.with_first:
-            several = np.zeros(len(key), bool)
-            several[:-1] = known[1:] & ~known[:-1]
-            pick = np.concatenate((np.arange(len(key)), np.flatnonzero(several)))
-            known = np.concatenate((known, np.ones(several.sum(), bool)))
-            key, doc, own, at, src, src_at = (x[pick] for x in (key, doc, own, at, src, src_at))
+        several = np.zeros(len(key), bool)
+        several[:-1] = known[1:] & ~known[:-1]
+        pick = np.concatenate((np.arange(len(key)), np.flatnonzero(several)))
+        known = np.concatenate((known, np.ones(several.sum(), bool)))
+        key, doc, own, at = (x[pick] for x in (key, doc, own, at))
         slot = np.where(known, mix(own.astype(np.uint64)), key)
         order = np.lexsort((at, own))  # neighbours that are alike take fewer bytes
-        slot, known, doc, own, at, src, src_at = (x[order] for x in (slot, known, doc, own, at, src, src_at))
-        columns = [
-            longs(slot), pa.array(own), pa.array(doc, mask=doc == own), pa.array(at.astype(np.int32)),
-            pa.array(src, mask=~known), pa.array(src_at.astype(np.int32), mask=~known),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, names=["slot", "id", "doc", "at", "src", "src_at"])
+        slot, known, doc, own, at = (x[order] for x in (slot, known, doc, own, at))
+        columns = [longs(slot), pa.array(own), pa.array(doc, mask=doc == own), pa.array(at.astype(np.int32)), pa.array(known)]
+        yield pa.RecordBatch.from_arrays(columns, names=["slot", "id", "doc", "at", "known"])
+
+
+class _HeldWindows(_Held):
+    def sent(self) -> Iterator[pa.RecordBatch]:
+        """Windows that no lesser document of the task has, one row for each anchor with its windows' hashes; all others as runs along one source."""
+        if not self.size:
+            return
+        key, doc, own, at, anchor, src_doc, src, src_at = self.taken()
+        order = np.lexsort((at, own))
+        key, doc, own, at, anchor, src_doc, src, src_at = (x[order] for x in (key, doc, own, at, anchor, src_doc, src, src_at))
+        for known in (False, True):
+            mine = (doc > src_doc) == known
+            k, d, o, p, a, s, sp = (x[mine] for x in (key, doc, own, at, anchor, src, src_at))
+            if not len(k):
+                continue
+            new = np.ones(len(k), bool)
+            new[1:] = (o[1:] != o[:-1]) | (p[1:] != p[:-1] + 1)
+            new[1:] |= (s[1:] != s[:-1]) | (sp[1:] != sp[:-1] + 1) if known else a[1:] != a[:-1]
+            first = np.flatnonzero(new)
+            ends = np.append(first, len(k))
+            none = np.ones(len(first), bool) & (not known)
+            hashes = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), longs(k)) if not known else pa.nulls(len(first), pa.list_(pa.int64()))
+            slot = mix(o[first].astype(np.uint64)) if known else a[first]
+            yield pa.RecordBatch.from_arrays([longs(slot), pa.array(o[first]), pa.array(d[first], mask=d[first] == o[first]), pa.array(p[first].astype(np.int32)),
+                pa.array(np.diff(ends)), pa.array(s[first], mask=none), pa.array(sp[first].astype(np.int32), mask=none), hashes],
+                names=["slot", "id", "doc", "at", "run", "src", "src_at", "hashes"])
 
 
 def least_seeds(words: Words, seed: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,7 +129,7 @@ def _anchors(seed: int, window: int):
     """Every row's winnowed anchors."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Held(with_first=True)
+        held = _HeldAnchors()
         for block in blocks(batches):
             words = Words(block)
             at, _ = words.grams(seed)
@@ -134,7 +166,7 @@ def _windows(size: int, seed: int):
     """The windows whose own anchor another document has too: the anchor's extensions to either side."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Held(with_first=False)
+        held = _HeldWindows()
         for block in blocks(batches):
             words = Words(block)
             grams, starts, place = least_seeds(words, seed, size - seed + 1)
@@ -145,12 +177,23 @@ def _windows(size: int, seed: int):
                 mine = slice(*np.searchsorted(starts, words.first[doc : doc + 2]))
                 near[mine] = np.isin(grams[place[mine]], grams[bounds[doc] + own.to_numpy()])
             doc = words.doc[starts[near]]
-            yield from held.add(block, doc, long_[near], starts[near] - words.first[doc])
+            yield from held.add(block, doc, long_[near], starts[near] - words.first[doc], grams[place[near]])
         yield from held.sent()
 
     return run
 
 
+def _opened(places: np.ndarray, src: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One entry for each window of entries that stand for several: ``run`` is how many follow the first in a row, or, if negative, bits of which do."""
+    many = run > 0
+    n = np.where(many, run, 64)
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    bits = np.repeat(np.where(many, 0, -run), n)
+    there = np.repeat(many, n) | ((bits >> np.minimum(step, 63)) & 1).astype(bool)
+    step = step[there]
+    return np.repeat(places, n)[there] + (step << 32) + step, np.repeat(src, n)[there]
+
+
 def _matches(block: Block, words: Words, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Each document's maximal matches: first word, length, source, first word there.
 
@@ -158,9 +201,9 @@ def _matches(block: Block, words: Words, size: int) -> Iterator[tuple[int, np.nd
     diagonal; the longest such runs are the matches, extended as far as they go.
     """
     starts, long_ = words.grams(size)
-    bounds, sources = np.searchsorted(starts, words.first), block.arrow("sources")
+    bounds = np.searchsorted(starts, words.first)
     for doc, own in _listed(block, "windows"):
-        both, src = own.to_numpy(), sources[doc].values.to_numpy()
+        both, src = _opened(*(own.field(c).to_numpy() for c in ("places", "src", "run")))
         at, which = _places(words, doc, long_, bounds, both >> 32, starts)
         src, src_at = src[which], (both & 0xFFFFFFFF)[which]
         new = np.ones(len(at), bool)
@@ -259,18 +302,17 @@ def remove_repeats(docs: DataFrame, size: int = 13, seed: int = 5, texts: bool =
     source. Other columns are not read; an empty table gives an empty result.
 
     Winnowing gives every window its least run of ``seed`` words as its anchor.
-    Documents meet on anchors; around an anchor that several have, windows meet by
-    their hashes, each document with the least one that has the window. Windows in a
+    Documents meet on anchors; the windows around an anchor that several have meet
+    in its task by their hashes, each document with the least one that has the window. Windows in a
     row here and there extend to one match as long as the texts agree. Each
     match then claims that its source has the same words, by the SHA-256 of all of
     them, and the source's own words decide; words of a refuted match stay.
     """
-    if seed > size:
-        raise ValueError("a seed is not longer than a window")
+    if not seed <= size < seed + 60:
+        raise ValueError("a seed is not longer than a window, nor over 59 words shorter")
     docs, _ = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "id")
     docs = docs.select("id", F.col("doc_id").alias("named"), F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
     over, doc = Window.partitionBy("slot"), F.coalesce("doc", "id")
-    searching = F.col("src").isNull()
 
     def gathered(rows: DataFrame, name: str, *columns: str) -> DataFrame:
         one = columns[0] if len(columns) == 1 else F.struct(*columns)
@@ -279,16 +321,25 @@ def remove_repeats(docs: DataFrame, size: int = 13, seed: int = 5, texts: bool =
     def beside(rows: DataFrame, lists: DataFrame, name: str, how: str) -> DataFrame:
         return rows.join(lists.hint("shuffle_hash"), F.col("id") == F.col(f"{name}_id"), how).drop(f"{name}_id")
 
-    found = docs.mapInArrow(_anchors(seed, size - seed + 1), _SENT)
-    found = found.withColumn("lo", F.min(F.when(searching, doc)).over(over)).withColumn("hi", F.max(F.when(searching, doc)).over(over))
-    anchors = gathered(found.where(~searching | (F.col("lo") < F.col("hi"))).select("id", "at"), "anchors", "at")
-
-    found = beside(docs, anchors, "anchors", "inner").mapInArrow(_windows(size, seed), _SENT)
-    least = F.min(F.when(searching, F.struct(doc.alias("doc"), "id", "at"))).over(over)
-    found = found.withColumn("least", least).where(~searching | (F.col("least.doc") < doc))
-    src, src_at = F.coalesce("src", "least.id").alias("src"), F.coalesce("src_at", "least.at")
-    sourced = found.select("id", src, (F.shiftleft(F.col("at").cast("long"), 32) + src_at).alias("places"))
-    windows = sourced.groupBy(F.col("id").alias("windows_id")).agg(F.collect_list("places").alias("windows"), F.collect_list("src").alias("sources"))
+    found = docs.mapInArrow(_anchors(seed, size - seed + 1), _ANCHOR)
+    found = found.withColumn("lo", F.min(F.when(~F.col("known"), doc)).over(over)).withColumn("hi", F.max(F.when(~F.col("known"), doc)).over(over))
+    anchors = gathered(found.where(F.col("known") | (F.col("lo") < F.col("hi"))).select("id", "at"), "anchors", "at")
+
+    found = beside(docs, anchors, "anchors", "inner").mapInArrow(_windows(size, seed), _WINDOW).repartition("slot")  # all windows of an anchor are in one task
+    opened = found.select("slot", "id", doc.alias("doc"), "at", "run", "src", "src_at", F.posexplode_outer("hashes").alias("i", "hash"))
+    least = F.min(F.when(F.col("src").isNull(), F.struct("doc", "id", (F.col("at") + F.col("i")).alias("at")))).over(Window.partitionBy("slot", "hash"))
+    opened = opened.withColumn("least", least).where(F.col("src").isNotNull() | (F.col("least.doc") < F.col("doc")))
+
+    def places(at: Column, src_at: Column) -> Column:
+        return F.shiftleft(at.cast("long"), 32) + src_at
+
+    known, i = F.col("src").isNotNull(), F.coalesce("i", F.lit(0))
+    back = F.coalesce("src_at", F.col("least.at") - i)  # where the row's first window lies there, or would
+    rows = opened.select("slot", "id", "at", F.coalesce("src", "least.id").alias("src"), back.alias("back"), known.alias("known"), "run", i.alias("i"))
+    rows = rows.groupBy("slot", "id", "at", "src", "back", "known").agg(F.min("i").alias("i"), F.max("run").alias("run"),
+        F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("i"))).alias("bits"))
+    run = F.when(F.col("known"), F.col("run")).otherwise(-F.expr("shiftright(bits, i)")).alias("run")
+    windows = gathered(rows.select("id", places(F.col("at") + F.col("i"), F.col("back") + F.col("i")).alias("places"), "src", run), "windows", "places", "src", "run")
     matched = beside(docs, windows, "windows", "left")
 
     claims = matched.where("windows is not null").mapInArrow(_claims(size), "id long, src long, src_begin int, n int, digest binary")

@@ -288,8 +288,18 @@ def test_repeats_of_odd_rows(spark, monkeypatch, held):
     monkeypatch.setattr(substring_dedup, "HELD", held)
     monkeypatch.setattr(textblocks, "BLOCK_BYTES", 200)
     sent = [r for part in substring_dedup._anchors(3, 5)([batch]) for r in part.to_pylist()]
-    assert all((r["src"] is None) or named[r["src"]][0] <= named[r["id"]][0] for r in sent)
-    assert (len(sent) > 20) and (held > 5 or all(r["src"] is None for r in sent) or len(sent) > 100)
+    assert {r["known"] for r in sent} == {True, False} and len(sent) > 100
+    size = {True: 0, False: 0}
+    listed = {r["id"]: sorted(x["at"] for x in sent if x["id"] == r["id"]) for r in sent}
+    rows_ = batch.append_column("anchors", pa.array([listed.get(i) for i in range(len(named))], pa.list_(pa.int32())))
+    for r in (r for part in substring_dedup._windows(7, 3)([rows_]) for r in part.to_pylist()):
+        assert (r["src"] is None) == (r["hashes"] is not None) and r["run"] == (len(r["hashes"]) if r["hashes"] else r["run"]) > 0
+        own, known = named[r["id"]][1].split(), r["src"] is not None
+        assert not known or named[r["src"]][0] < named[r["id"]][0]
+        if known:
+            assert own[r["at"] : r["at"] + r["run"] + 6] == named[r["src"]][1].split()[r["src_at"] : r["src_at"] + r["run"] + 6]
+        size[known] += r["run"]
+    assert size[False] > 100 and size[True] > (5 if held < 9 else 100)
     got = substring_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA), size=7, seed=3, texts=True).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got), key=repr) == sorted(want, key=repr)
 
@@ -297,8 +307,12 @@ def test_repeats_of_odd_rows(spark, monkeypatch, held):
 def test_refuted_matches_stay():
     """A match whose words the source does not have is found out, and its words stay."""
     docs = pa.RecordBatch.from_pydict({"id": [1, 2], "doc_id": [1, 2], "named": [1, 2], "text": ["a b c d e f g h", "x b c d e f q"]})
-    matched = docs.append_column("windows", pa.array([None, [i << 32 | i for i in range(3)]], pa.list_(pa.int64())))
-    matched = matched.append_column("sources", pa.array([None, [1, 1, 1]], pa.list_(pa.int64())))
+    kind = pa.list_(pa.struct([("places", pa.int64()), ("src", pa.int64()), ("run", pa.int64())]))
+    for entries in ([(0, 3)], [(i << 32 | i, 1) for i in range(3)], [(0, -0b111)], [(0, -0b101), (1 << 32 | 1, 1)]):
+        refute(docs, docs.append_column("windows", pa.array([None, [{"places": p, "src": 1, "run": r} for p, r in entries]], kind)))
+
+
+def refute(docs, matched):
     claims = [r for part in substring_dedup._claims(4)([matched]) for r in part.to_pylist()]
     assert [(r["id"], r["src"], r["src_begin"], r["n"]) for r in claims] == [(2, 1, 0, 6)]  # one of six words from "x" on: the source says "a"
     entry = pa.list_(pa.struct([("src_begin", pa.int32()), ("n", pa.int32()), ("digest", pa.binary())]))
