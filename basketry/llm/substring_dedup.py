@@ -337,7 +337,7 @@ def remove_repeats(docs: DataFrame, size: int = 13, seed: int = 5, texts: bool =
     back = F.coalesce("src_at", F.col("least.at") - i)  # where the row's first window lies there, or would
     rows = opened.select("slot", "id", "at", F.coalesce("src", "least.id").alias("src"), back.alias("back"), known.alias("known"), "run", i.alias("i"))
     rows = rows.groupBy("slot", "id", "at", "src", "back", "known").agg(F.min("i").alias("i"), F.max("run").alias("run"),
-        F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("i"))).alias("bits"))
+        F.bit_or(F.expr("shiftleft(1L, i)")).alias("bits"))
     run = F.when(F.col("known"), F.col("run")).otherwise(-F.expr("shiftright(bits, i)")).alias("run")
     windows = gathered(rows.select("id", places(F.col("at") + F.col("i"), F.col("back") + F.col("i")).alias("places"), "src", run), "windows", "places", "src", "run")
     matched = beside(docs, windows, "windows", "left")
