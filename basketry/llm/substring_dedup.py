@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.llm.storage import keyed
+from basketry.llm.storage import keyed, written
 from basketry.llm.textblocks import Block, Joined, Words, blocks, longs, mix
 
 #: Entries that a task holds before it sends them on.
@@ -312,6 +312,7 @@ def remove_repeats(docs: DataFrame, size: int = 13, seed: int = 5, texts: bool =
         raise ValueError("a seed is not longer than a window, nor over 59 words shorter")
     docs, _ = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "id")
     docs = docs.select("id", F.col("doc_id").alias("named"), F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
+    docs = docs.where("id is not null")  # true of all; said here, so that every join below reads one and the same shuffle of the texts
     over, doc = Window.partitionBy("slot"), F.coalesce("doc", "id")
 
     def gathered(rows: DataFrame, name: str, *columns: str) -> DataFrame:
@@ -343,7 +344,7 @@ def remove_repeats(docs: DataFrame, size: int = 13, seed: int = 5, texts: bool =
     matched = beside(docs, windows, "windows", "left")
 
     claims = matched.where("windows is not null").mapInArrow(_claims(size), "id long, src long, src_begin int, n int, digest binary")
-    claims = claims.repartition("id")  # a match that many rows share is spread over them, and claimed once
+    claims = written(claims, "claims")  # a match that many rows share is claimed once
     chunk = F.pmod(F.xxhash64(*_CLAIM[1:]), F.lit(CHUNKS))
     once = claims.select(*_CLAIM).distinct().groupBy("src", chunk).agg(F.collect_list(F.struct(*_CLAIM[1:])).alias("claims"))
     asked = beside(docs, once.select(F.col("src").alias("claims_id"), "claims"), "claims", "inner")
