@@ -221,8 +221,41 @@ STORE_ALIASES = {
     "major": ("Major Market",),
 }
 
-DIETS = ("Vegan", "Vegetarian", "Pescatarian", "Dairy-Free")
-ALLERGENS = ("Peanuts", "Tree Nuts", "Dairy", "Egg", "Fish", "Shellfish", "Soy", "Wheat")
+#: What each diet leaves out and what each allergen is, as food groups.
+DIET_GROUPS = {
+    "Vegan": ("meat", "fish", "shellfish", "dairy", "egg", "honey"),
+    "Vegetarian": ("meat", "fish", "shellfish"),
+    "Pescatarian": ("meat",),
+    "Dairy-Free": ("dairy",),
+}
+ALLERGEN_GROUPS = {
+    "Peanuts": ("peanut",), "Tree Nuts": ("tree nut",), "Dairy": ("dairy",), "Egg": ("egg",), "Fish": ("fish",), "Shellfish": ("shellfish",),
+    "Soy": ("soy",), "Wheat": ("wheat",),
+}
+#: Singular phrases by which an ingredient belongs to a food group, and longer ones that only sound like it.
+FOOD_PHRASES = {
+    "dairy": "milk, cheese, butter, cream, yogurt, ghee, whey, custard, kefir, buttermilk, mozzarella, cheddar, parmesan, ricotta, feta, half and half",
+    "egg": "egg, egg white, egg yolk, mayonnaise, meringue",
+    "fish": "fish, salmon, tuna, cod, anchovy, trout, halibut, sardine, tilapia, fish sauce",
+    "shellfish": "shrimp, prawn, crab, lobster, clam, mussel, oyster, scallop",
+    "soy": "soy, soybean, soy sauce, tofu, tempeh, edamame, miso",
+    "wheat": "wheat, flour, bread, pasta, noodle, couscou, semolina, seitan, cracker",
+    "peanut": "peanut, peanut butter",
+    "tree nut": "almond, walnut, pecan, cashew, pistachio, hazelnut, macadamia",
+    "meat": "beef, pork, chicken, turkey, lamb, bacon, ham, sausage, veal, duck, prosciutto, salami, gelatin, lard",
+    "honey": "honey",
+}
+NOT_FOOD_PHRASES = {
+    "dairy": "coconut milk, coconut cream, almond milk, oat milk, soy milk, rice milk, peanut butter, almond butter, cashew butter, apple butter, cocoa butter, "
+    "cream of tartar, butter bean, butter lettuce, vegan cheese, vegan butter",
+    "egg": "egg noodle free, eggplant, vegan mayonnaise",
+    "fish": "fish free",
+    "shellfish": "oyster mushroom",
+    "soy": "soy free",
+    "wheat": "almond flour, coconut flour, rice flour, corn flour, tapioca flour, chickpea flour, rice noodle, rice cracker, gluten free bread, gluten free pasta",
+    "meat": "turkey tail, beef tomato, vegan sausage, vegan bacon, chicken of the wood",
+    "honey": "honey mushroom, honeydew",
+}
 
 BLOCK_PATTERNS = ("access denied", "403", "robot", "captcha", "verify you are human", "unusual traffic", "too many requests", "rate limit")
 LOCATION_PATTERNS = ("enter your address", "enter a zip", "set your location", "choose a store", "select a store")

@@ -45,41 +45,115 @@ def confidence(score: Column) -> Column:
     return F.when(score >= 130, "high").when(score >= 100, "medium").otherwise("low")
 
 
-def score_pairs(pairs: DataFrame, catalog: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
-    """``pairs (ing, pos, overlap, ...)`` with ``total`` and the parts it is made of.
+@dataclass(frozen=True)
+class Prepared:
+    """Candidate pairs with all that costs little.
+
+    ``rows`` are the pairs of ingredients and products, each with its ``text_id``; ``pairs`` are
+    the distinct pairs of texts with the parts of the score that need no comparison and ``bound``, which no score exceeds.
+    """
+
+    rows: DataFrame
+    pairs: DataFrame
+
+
+_PARTS = ("overlap_part", "phrase_part", "category_part", "form_part", "penalty_part")
+_LIKENESS = "0.20 * ratio + 0.25 * partial + 0.25 * sorted_desc + 0.15 * sorted_combined + 0.15 * sorted_keyword"
+
+
+def likeness_bound(ing: Column, desc: Column, combined: Column, keyword: Column) -> Column:
+    """What the five similarities can add up to at most, by the texts' lengths: an LCS is no longer than the shorter text.
+
+    Words in order may lose white space at the ends or between them, so their
+    lengths are those of the joined words. A partial ratio can always be 100.
+    """
+
+    def joined(x: Column) -> Column:
+        return F.length(F.array_join(F.filter(F.split(x, r"\s+"), lambda w: w != ""), " "))
+
+    def most(x: Column, y: Column) -> Column:
+        return F.when((x == 0) & (y == 0), 100.0).otherwise(200.0 * F.least(x, y) / F.greatest(x + y, F.lit(1)))
+
+    own = joined(ing)
+    keyworded = F.when(F.length(keyword) > 0, most(own, joined(keyword))).otherwise(0.0)
+    return 0.20 * most(F.length(ing), F.length(desc)) + 25.0 + 0.25 * most(own, joined(desc)) + 0.15 * most(own, joined(combined)) + 0.15 * keyworded
+
+
+def prepare_pairs(pairs: DataFrame, catalog: DataFrame, cfg: MatchConfig = MatchConfig()) -> Prepared:
+    """What is known of ``pairs (ing, pos, overlap, ...)`` before texts are compared; both tables are written.
 
-    Products with equal texts score alike, so similarities are computed once for
-    each pair of distinct texts, rules once for each text. Pairs of texts are dealt
-    evenly before they are compared, since they are few bytes but much work.
+    Products with equal texts score alike, so rules are evaluated once for each
+    text and parts once for each pair of distinct texts.
     """
     texts = ["description_norm", "combined_text", "search_keyword_norm", "categories_norm", "classifier_norm", "classifier"]
     product = catalog.select("pos", *texts)
-    kinds = written(product.groupBy(*texts).agg(F.min("pos").alias("text_id")), "product-texts")
-    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"k.{c}")) for c in texts]
-    named = product.alias("p").join(kinds.alias("k"), same).select("pos", "text_id")
+    kinds = product.groupBy(*texts).agg(F.min("pos").alias("text_id"))
     side = rl.product_side(cfg.rules, {"D": F.col("description_norm"), "C": F.col("categories_norm"), "K": F.col("classifier_norm")})
     good = F.when(F.upper("classifier").isin(*rl.GOOD_CLASSIFIERS), 4.0).otherwise(0.0).alias("good")
     names = F.col("description_norm").alias("desc"), F.col("combined_text").alias("combined"), F.col("search_keyword_norm").alias("keyword")
-    sided = kinds.select("text_id", *names, side.alias("p_rules"), good)
+    sided = written(kinds.select("text_id", *texts, *names, side.alias("p_rules"), good), "product-texts")
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"k.{c}")) for c in texts]
+    named = product.alias("p").join(sided.alias("k"), same).select("pos", "text_id")
     rows = written(pairs.join(named, "pos"), "pairs")
     n_tokens = F.size(tx.important_tokens("ing")).alias("n_tokens")
     ings = rows.select("ing").distinct().select("ing", n_tokens, rl.ingredient_side(cfg.rules, F.col("ing")).alias("n_rules"))
-    distinct = rows.select("ing", "text_id", "overlap").distinct().join(sided, "text_id").join(ings, "ing")
-    distinct = distinct.repartition(partitions(catalog.sparkSession), "ing", "text_id")
-    scored = distinct.withColumn("alike", sim.scores(*[F.coalesce(c, F.lit("")) for c in ("ing", "desc", "combined", "keyword")]))
-    scored = scored.select("*", *[F.col(f"alike.{n}").alias(n) for n in sim.SCORES]).drop("alike")
+    distinct = rows.groupBy("ing", "text_id", "overlap").agg(F.count("*").alias("n_products")).join(sided.drop(*texts), "text_id").join(ings, "ing")
     n, p = F.col("n_rules"), F.col("p_rules")
-    scored = scored.withColumns({
+    known = distinct.withColumns({
         "overlap_part": overlap_score(F.col("overlap"), F.col("n_tokens")),
         "phrase_part": phrase_boost(F.col("ing"), F.col("desc"), F.col("combined")),
         "category_part": F.col("good") + rl.channel_sum(cfg.rules, "category")(n, p),
         "form_part": rl.channel_sum(cfg.rules, "form")(n, p),
         "penalty_part": rl.channel_sum(cfg.rules, "penalty")(n, p),
     })
-    likeness = "0.20 * ratio + 0.25 * partial + 0.25 * sorted_desc + 0.15 * sorted_combined + 0.15 * sorted_keyword"
-    total = F.expr(f"{likeness} + overlap_part + phrase_part + category_part + form_part - penalty_part")
-    scored = scored.withColumn("total", total.cast("double")).drop("desc", "combined", "keyword", "p_rules", "n_rules", "good", "n_tokens")
-    return rows.join(scored, ["ing", "text_id", "overlap"]).drop("text_id")
+    others = F.coalesce("overlap_part", F.lit(0.0)) + F.col("phrase_part") + F.col("category_part") + F.col("form_part") - F.col("penalty_part")
+    bound = others + likeness_bound(*[F.coalesce(c, F.lit("")) for c in ("ing", "desc", "combined", "keyword")])
+    known = known.withColumn("bound", F.coalesce(bound, F.lit(float("inf")))).drop("p_rules", "n_rules", "good", "n_tokens")
+    return Prepared(rows, written(known, "text-pairs"))
+
+
+def compare_texts(pairs: DataFrame) -> DataFrame:
+    """``pairs`` of texts with their similarities and ``total``, dealt evenly first, since they are few bytes but much work."""
+    dealt = pairs.repartition(partitions(pairs.sparkSession), "ing", "text_id")
+    scored = dealt.withColumn("alike", sim.scores(*[F.coalesce(c, F.lit("")) for c in ("ing", "desc", "combined", "keyword")]))
+    scored = scored.select("*", *[F.col(f"alike.{n}").alias(n) for n in sim.SCORES]).drop("alike")
+    total = F.expr(f"{_LIKENESS} + overlap_part + phrase_part + category_part + form_part - penalty_part")
+    return scored.withColumn("total", total.cast("double")).select("ing", "text_id", "overlap", *_PARTS, *sim.SCORES, "total")
+
+
+def score_pairs(pairs: DataFrame, catalog: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
+    """``pairs (ing, pos, overlap, ...)`` with ``total`` and the parts it is made of; similarities once for each pair of distinct texts."""
+    known = prepare_pairs(pairs, catalog, cfg)
+    return known.rows.join(compare_texts(known.pairs), ["ing", "text_id", "overlap"]).drop("text_id")
+
+
+#: Scores are compared after rounding to two decimals.
+_SLACK = 0.02
+
+
+def pairs_that_count(known: Prepared, about: DataFrame, cfg: MatchConfig) -> DataFrame:
+    """The scored pairs of texts that can be among an ingredient's best: ``(ing, text_id, overlap, parts, total)``.
+
+    First the pairs of the greatest bounds are compared, as many as make twice the
+    pool of distinct products. Their scores say what a candidate must reach: the first one's less the gap,
+    the pool's floor, and the score of the pool's last place. A pair whose bound
+    is under that can change neither the first candidate nor the pool, so it is
+    not compared; nor is one under the floor.
+    """
+    pool = max(3 * cfg.top_k, cfg.pool)
+    order = Window.partitionBy("ing").orderBy(F.desc("bound"), "text_id", "overlap")
+    ranked = known.pairs.where(F.col("bound") >= cfg.floor - _SLACK).withColumn("before", F.sum("n_products").over(order) - F.col("n_products"))
+    ranked = written(ranked.withColumn("place", F.row_number().over(order)), "bounded-pairs")
+    is_first = F.col("before") < 2 * pool
+    first = written(compare_texts(ranked.where(is_first)), "first-scores")
+    named = known.rows.join(first.select("ing", "text_id", "overlap", "total"), ["ing", "text_id", "overlap"]).join(about, "pos")
+    once = named.groupBy("ing", F.lower("description").alias("d"), F.lower("brand").alias("b")).agg(F.max("total").alias("total"))
+    once = once.withColumn("place", F.row_number().over(Window.partitionBy("ing").orderBy(F.desc("total")))).where(F.col("place") <= pool)
+    reach = once.groupBy("ing").agg(F.max("total").alias("best"), F.max(F.when(F.col("place") == pool, F.col("total"))).alias("last"))
+    least = F.when(F.col("best") >= cfg.pool_floor, F.greatest(F.col("best") - cfg.pool_gap, F.lit(cfg.pool_floor))).otherwise(F.col("best"))
+    least = F.greatest(least, F.coalesce("last", F.lit(cfg.floor)), F.lit(cfg.floor)) - _SLACK
+    rest = ranked.where(~is_first).join(reach.select("ing", least.alias("least")), "ing").where("bound >= least")
+    return first.union(compare_texts(rest))
 
 
 def breakdown() -> Column:
@@ -141,12 +215,15 @@ def apply_decisions(ranked: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def match_ingredients(ingredients: DataFrame, catalog: DataFrame, cfg: MatchConfig = MatchConfig(), decisions: DataFrame | None = None) -> DataFrame:
     """Matches of distinct normalised ``ingredients (ing)`` in a normalised ``catalog`` with ``pos``: ``match_rank`` from 1."""
-    found = written(blocking.candidates(ingredients, catalog, cfg.block, cfg.keep), "candidates")
-    scored = score_pairs(found, catalog, cfg)
+    found = blocking.candidates(ingredients, catalog, cfg.block, cfg.keep)
+    known = prepare_pairs(found, catalog, cfg)
     have = set(catalog.columns)
     price = F.col("min_price") if "min_price" in have else tx.parse_min_price("price") if "price" in have else F.lit(None).cast("double")
     about = catalog.withColumn("min_price", price).select("pos", "productId", "description", "brand", "min_price",
         *[c for c in ("size", "image_url", "store_ids") if c in have])
+    # decisions name candidates by rank, so that all of them must be scored
+    texts = pairs_that_count(known, about.select("pos", "description", "brand"), cfg) if decisions is None else compare_texts(known.pairs.where(F.col("bound") >= cfg.floor - _SLACK))
+    scored = known.rows.join(texts, ["ing", "text_id", "overlap"]).drop("text_id")
     ranked = rank_matches(scored.join(about, "pos"), cfg.floor)
     ranked = accept(ranked, cfg.accept) if decisions is None else apply_decisions(ranked, decisions)
     return cheapest_of_best(ranked, cfg).withColumn("confidence", confidence(F.col("total")))

@@ -1,21 +1,22 @@
 """Boosts and penalties from a rule table.
 
 A rule has a side on the ingredient, a side on the product, a channel and a
-weight. Each side is evaluated once for each distinct text; a pair of texts then
-only intersects two short lists of rule numbers.
+weight. Each side is an automaton over all its terms, which reads each distinct
+text once; a pair of texts then only intersects two short lists of rule numbers.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from basketry.functions.text import word_in
-
 CHANNELS = ("penalty", "category", "form")
 
 
@@ -32,27 +33,15 @@ class Test:
     no_word: tuple[str, ...] = ()
     end: str = ""
 
-    def on(self, text: Column) -> Column:
-        out = F.lit(True)
-        if self.eq:
-            out &= text.isin(*self.eq)
-        if self.any:
-            out &= text.rlike("|".join(re.escape(t) for t in self.any))
-        for t in self.all:
-            out &= text.contains(t)
-        if self.none:
-            out &= ~text.rlike("|".join(re.escape(t) for t in self.none))
-        if self.token:
-            out &= F.arrays_overlap(F.split(text, " "), F.array(*[F.lit(t) for t in self.token]))
-        for group, wanted in ((self.word, True), (self.no_word, False)):
-            if group:
-                hit = F.lit(False)
-                for t in group:
-                    hit |= word_in(t, text)
-                out &= hit if wanted else ~hit
-        if self.end:
-            out &= text.endswith(self.end)
-        return out
+    def clauses(self) -> tuple[list[list[tuple[str, str]]], list[tuple[str, str]]]:
+        """Conditions ``(kind, term)``: lists of which one each must hold, and those of which none may."""
+
+        def whole(words: tuple[str, ...]) -> list[tuple[str, str]]:
+            return [("in" if re.search(r"[^a-zA-Z\s]", w) else "word", w) for w in words]
+
+        wanted = [[("eq", t) for t in self.eq], [("in", t) for t in self.any], [("token", t) for t in self.token], whole(self.word),
+            [("end", self.end)] if self.end else [], *([("in", t)] for t in self.all)]
+        return [c for c in wanted if c], [*(("in", t) for t in self.none), *whole(self.no_word)]
 
 
 @dataclass(frozen=True)
@@ -66,28 +55,129 @@ class Rule:
     p: tuple[tuple[str, Test], ...] = field(default=())
 
 
-def _numbers(conditions: Sequence[Column]) -> Column:
-    return F.array_compact(F.array(*[F.when(c, F.lit(i)) for i, c in enumerate(conditions)])) if conditions else F.array().cast("array<int>")
+def _beside(text: str, begin: int, end: int) -> bool:
+    """Is the stretch a word of its own?"""
+    return not any(c.isalnum() or c == "_" for c in text[max(0, begin - 1) : begin] + text[end : end + 1])
+
+
+def _is_token(text: str, begin: int, end: int) -> bool:
+    return text[max(0, begin - 1) : begin] in ("", " ") and text[end : end + 1] in ("", " ")
+
+
+#: When an occurrence of a term at a place of a text counts.
+_PLACES: dict[str, Callable[[str, int, int], bool]] = {
+    "in": lambda text, begin, end: True, "word": _beside, "token": _is_token, "eq": lambda text, begin, end: begin == 0 and end == len(text),
+        "end": lambda text, begin, end: end == len(text)}
+
+
+class Side:
+    """One side of all rules, as an automaton over their terms and postings from conditions to rules.
+
+    A text is read once, whatever the number of rules: the automaton reports each
+    occurrence of a term, and a rule holds once every list of its conditions has
+    had one and none of the barred has. What a text costs beyond its length is what
+    it hits. ``options`` are ``(rule, {field: Test})``; a rule may have several and holds if one does.
+    """
+
+    def __init__(self, options: Sequence[tuple[int, dict[str, Test]]]):
+        self.rules = [rule for rule, _ in options]
+        self.needs, self.fields = [0] * len(options), [set() for _ in options]
+        conditions: dict[tuple[str, str, str], int] = {}
+        self.clauses: list[list[tuple[int, int]]] = []
+        self.bars: list[list[int]] = []
+
+        def number(field_: str, kind: str, term: str) -> int:
+            at = conditions.setdefault((field_, kind, term), len(conditions))
+            if at == len(self.clauses):
+                self.clauses.append([])
+                self.bars.append([])
+            return at
+
+        for option, (_, tests) in enumerate(options):
+            for field_, test in tests.items():
+                wanted, barred = test.clauses()
+                for one_of in wanted:
+                    for kind, term in one_of:
+                        self.clauses[number(field_, kind, term)].append((option, self.needs[option]))
+                    self.needs[option] += 1
+                for kind, term in barred:
+                    self.bars[number(field_, kind, term)].append(option)
+                if wanted or barred:
+                    self.fields[option].add(field_)
+        self.free = [i for i, n in enumerate(self.needs) if n == 0]
+        self.terms: dict[str, list[tuple[str, str, int]]] = {}
+        for (field_, kind, term), at in conditions.items():
+            self.terms.setdefault(term, []).append((field_, kind, at))
+        self._automaton = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_automaton": None}  # built anew by each worker
+
+    def hits(self, text: str, field_: str) -> set[int]:
+        """The conditions that a text meets."""
+        if self._automaton is None:
+            self._automaton = ahocorasick.Automaton()
+            for term, kinds in self.terms.items():
+                if term:
+                    self._automaton.add_word(term, (len(term), kinds))
+            self._automaton.make_automaton()
+        found = {at for f, kind, at in self.terms.get("", ()) if f == field_ and (kind != "eq" or not text)}
+        if self._automaton.kind == ahocorasick.AHOCORASICK:
+            for last, (n, kinds) in self._automaton.iter(text):
+                for f, kind, at in kinds:
+                    if f == field_ and at not in found and _PLACES[kind](text, last + 1 - n, last + 1):
+                        found.add(at)
+        return found
+
+    def holding(self, texts: dict[str, str | None]) -> list[int]:
+        """The rules that hold for the texts of the fields; a test on a null text never does."""
+        met: dict[int, set[int]] = {}
+        barred: set[int] = set()
+        for field_, text in texts.items():
+            if text is not None:
+                for at in self.hits(text, field_):
+                    barred.update(self.bars[at])
+                    for option, clause in self.clauses[at]:
+                        met.setdefault(option, set()).add(clause)
+        missing = {f for f, text in texts.items() if text is None}
+        options = [*(o for o, clauses in met.items() if len(clauses) == self.needs[o]), *self.free]
+        return sorted({self.rules[o] for o in options if o not in barred and not (missing & self.fields[o])})
+
+    def numbers(self, fields: dict[str, Column]) -> Column:
+        """The numbers of the rules that hold, for each row; distinct texts are looked at once a batch."""
+        names = list(fields)
+
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for rows in batches:
+                columns = [rows.field(i).to_pylist() for i in range(len(names))]
+                known: dict[tuple, list[int]] = {}
+                out = []
+                for texts in zip(*columns, strict=True):
+                    if texts not in known:
+                        known[texts] = self.holding(dict(zip(names, texts, strict=True)))
+                    out.append(known[texts])
+                yield pa.array(out, pa.list_(pa.int32()))
+
+        return F.arrow_udf(run, "array<int>")(F.struct(*[c.cast("string").alias(n) for n, c in fields.items()]))
 
 
 def ingredient_side(rules: Sequence[Rule], text: Column) -> Column:
     """Numbers of the rules whose ingredient test the text passes."""
-    return _numbers([r.n.on(text) for r in rules])
+    return Side([(i, {"N": r.n}) for i, r in enumerate(rules)]).numbers({"N": text})
 
 
 def product_side(rules: Sequence[Rule], fields: dict[str, Column]) -> Column:
-    """Numbers of the rules whose product tests hold."""
-
-    def holds(rule: Rule) -> Column:
-        out = F.lit(True)
-        for name, test in rule.p:
-            alternatives = F.lit(False)
-            for one in name:  # "CK": in either field
-                alternatives |= test.on(fields[one])
-            out &= alternatives
-        return out
-
-    return _numbers([holds(r) for r in rules])
+    """Numbers of the rules whose product tests hold; a test named "CK" may hold in either field."""
+    options = []
+    for i, rule in enumerate(rules):
+        for chosen in itertools.product(*[name for name, _ in rule.p]):
+            tests: dict[str, Test] = {}
+            for field_, (_, test) in zip(chosen, rule.p, strict=True):
+                if field_ in tests:
+                    raise ValueError(f"{rule.name} tests one field twice")
+                tests[field_] = test
+            options.append((i, tests))
+    return Side(options).numbers(fields)
 
 
 def channel_sum(rules: Sequence[Rule], channel: str) -> Callable[[Column, Column], Column]:
@@ -97,7 +187,7 @@ def channel_sum(rules: Sequence[Rule], channel: str) -> Callable[[Column, Column
 
 
 def default_rules() -> list[Rule]:
-    """The grocery rules. Terms that a normalised, singular text cannot hold are left out."""
+    """The grocery rules. Terms that hold a shorter term of the same list are left out, since that is found in them too."""
     rules: list[Rule] = []
 
     def add(name: str, channel: str, weight: float, n: Test = Test(), **p: Test) -> None:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.functions import lexicon as lx
+from basketry.functions import text as tx
 from basketry.functions.text import let
 
 
@@ -33,15 +34,61 @@ def recipe_search(recipes: DataFrame, text: str, limit: int = 20, offset: int =
     return recipes.where(contains_ci("title", text)).orderBy("recipe_id").offset(offset).limit(limit)
 
 
-def preference_filter(recipes: DataFrame, items: DataFrame, preferences: DataFrame) -> DataFrame:
-    """``(user_id, recipe_id)`` of ``recipes (user_id, recipe_id)`` none of whose ``items (recipe_id, term)`` is an allergy of ``preferences (user_id, allergies)``."""
-    banned = preferences.select("user_id", F.explode("allergies").alias("term")).distinct()
-    hit = recipes.join(items.select("recipe_id", "term").distinct(), "recipe_id").join(banned, ["user_id", "term"]).select("user_id", "recipe_id").distinct()
+def food_phrases(spark: SparkSession, foods: Mapping[str, str] = lx.FOOD_PHRASES, not_foods: Mapping[str, str] = lx.NOT_FOOD_PHRASES) -> DataFrame:
+    """``(phrase, food_group, exempt)``: the words of lexicons of comma-separated phrases."""
+    rows = [(" ".join(p.split()), group, exempt) for lists, exempt in ((foods, False), (not_foods, True)) for group, text in lists.items() for p in text.split(",")]
+    return spark.createDataFrame(rows, "phrase string, food_group string, exempt boolean")
+
+
+def food_groups(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """``(text, food_group)`` of distinct ``texts (text)``: the groups of which a text holds a phrase, word for word.
+
+    Words are singular and in lower case. A phrase does not count where it lies
+    within an exempt one of its group: "coconut milk" is no dairy, "coconut milk and
+    milk" is. Runs of words meet phrases by equality, so a text costs its words
+    times the most words of a phrase, however many phrases there are.
+    """
+    most = phrases.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 0
+    words = F.filter(F.split(tx.normalize_catalog("text"), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
+    rows = texts.where("text is not null").select("text").distinct().withColumn("w", words).where(F.size("w") > 0)
+    if not most:
+        return rows.select("text", F.lit("").alias("food_group")).limit(0)
+    starts = F.sequence(F.lit(0), F.size("w") - 1)
+    sizes = F.array(*[F.lit(n) for n in range(1, most + 1)])
+    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.filter(sizes, lambda n: i + n <= F.size("w")), lambda n: F.struct(i.alias("begin"),
+        (i + n).alias("end"), F.array_join(F.slice("w", i + 1, n), " ").alias("phrase")))))
+    hits = rows.select("text", F.explode(runs).alias("r")).select("text", "r.*").join(phrases, "phrase")
+    span = F.struct("begin", "end")
+    lists = hits.groupBy("text", "food_group").agg(F.collect_list(F.when(~F.col("exempt"), span)).alias("said"), F.collect_list(F.when(F.col("exempt"), span)).alias("free"))
+    counts = F.exists("said", lambda s: ~F.exists("free", lambda e: (e["begin"] <= s["begin"]) & (s["end"] <= e["end"])))
+    return lists.where(counts).select("text", "food_group")
+
+
+def preference_filter(recipes: DataFrame, items: DataFrame, preferences: DataFrame, phrases: DataFrame) -> DataFrame:
+    """``(user_id, recipe_id)`` of ``recipes (user_id, recipe_id)`` without those that go against the user's ``preferences (user_id, diets, allergies)``.
+
+    A recipe goes if one of its ``items (recipe_id, text)`` belongs to a food group
+    that a diet of the user leaves out, or that the user is allergic to. Unknown
+    names of diets and allergens ban nothing; users without preferences keep all.
+    Each distinct ingredient text is looked at once.
+    """
+
+    def groups(column: str, table: Mapping[str, Sequence[str]]) -> Column:
+        known = F.create_map(*[x for name, own in table.items() for x in (F.lit(name), F.array(*map(F.lit, own)))])
+        named = F.transform(F.coalesce(column, F.array().cast("array<string>")), lambda d: F.coalesce(F.try_element_at(known, d), F.array().cast("array<string>")))
+        return F.flatten(named)
+
+    both = F.concat(groups("diets", lx.DIET_GROUPS), groups("allergies", lx.ALLERGEN_GROUPS))
+    banned = preferences.select("user_id", F.explode(both).alias("food_group")).distinct()
+    found = food_groups(items.select("text"), phrases)
+    held = items.select("recipe_id", "text").distinct().join(found, "text").select("recipe_id", "food_group").distinct()
+    hit = recipes.join(held, "recipe_id").join(banned, ["user_id", "food_group"]).select("user_id", "recipe_id").distinct()
     return recipes.select("user_id", "recipe_id").join(hit, ["user_id", "recipe_id"], "left_anti")
 
 
 def user_preferences(preferences: DataFrame, user: int) -> DataFrame:
-    return preferences.where(F.col("user_id") == user).limit(1)
+    """The user's preferences; of several rows the least, column by column."""
+    return preferences.where(F.col("user_id") == user).orderBy(*preferences.columns).limit(1)
 
 
 def match_lookup(matches: DataFrame, recipe: int) -> DataFrame:

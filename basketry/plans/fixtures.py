@@ -36,12 +36,11 @@ VIEWS = {
                case when s_suppkey % 13 = 0 then null else -118.0 + (s_suppkey * 61 % 100) / 100.0 end as lon
         from {supplier} join {nation} on s_nationkey = n_nationkey""",
     "recipe_matches": """
-        select o_orderkey as recipe_id, o_orderpriority as title, l_linenumber as seq, concat(l_linenumber % 3 + 1, ' cups ', p_name) as raw, s_name as store,
-               case when l_partkey % 17 = 0 then null else floor(l_extendedprice / l_quantity * 100 + 0.5) / 100 end as price, concat(p_name, ' ', p_brand) as name
-        from (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity,
-                     row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_extendedprice) as n from {lineitem}) l
-        join {orders} on l_orderkey = o_orderkey join {part} on l_partkey = p_partkey join {supplier} on l_suppkey = s_suppkey
-        where n = 1""",
+        select o_orderkey as recipe_id, o_orderpriority as title,
+               row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as seq, concat(l_linenumber % 3 + 1, ' cups ', p_name) as raw,
+               s_name as store, case when l_partkey % 17 = 0 then null else floor(l_extendedprice / l_quantity * 100 + 0.5) / 100 end as price,
+               concat(p_name, ' ', p_brand) as name
+        from {lineitem} join {orders} on l_orderkey = o_orderkey join {part} on l_partkey = p_partkey join {supplier} on l_suppkey = s_suppkey""",
     "cart_lines": """
         select concat(o_orderkey, '::', p_name, '-', l_partkey, '-', l_suppkey) as line_id, o_custkey as cart_id,
                case when o_orderkey % 5 = 0 then null when o_orderkey % 7 = 0 then '' else cast(o_orderkey as string) end as group_id,
@@ -50,13 +49,27 @@ VIEWS = {
                floor(l_extendedprice / l_quantity * 100 + 0.5) / 100 as price, cast(l_quantity as int) as quantity
         from {lineitem} join {orders} on l_orderkey = o_orderkey join {part} on l_partkey = p_partkey join {supplier} on l_suppkey = s_suppkey""",
     "cards": """
-        select offer_id % 50 as page_id, store, concat('item_list_item_', offer_id) as card_id, store_id % 14 as carousel_page, offer_id as seq, offer_id,
-               concat(name, case when part_id % 5 = 0 then ' 12-count 8 oz' when part_id % 5 = 1 then ' 16 fl oz' else '' end) as name,
-               case when part_id % 29 = 0 then null else concat('<div role="dialog"><h2>', case when out_of_stock then 'Out of stock' else 'Buy' end, '</h2>',
-                 case when price is null then '' when offer_id % 3 = 0 then concat('<span>$', price, ' /lb</span> <span>per lb</span>')
-                      when offer_id % 3 = 1 then concat('<span>$', price, '</span> <span>18 ct</span>') else concat('<span>$', price, '</span> <span>each</span>') end,
-                 case when part_id % 4 = 0 then '<img alt="x" src="http://i/missing-item.png">' else concat('<img alt="x" src="http://i/', part_id, '.png">') end,
-                 '<h2>Details</h2><p> About ', name, ' </p></div>') end as html
+        select part_id - part_id % 8 as page_id, store, concat('item_list_item_', offer_id) as card_id, store_id % 14 as carousel_page, offer_id as seq, part_id,
+               offer_id, price, out_of_stock, name as bare_name,
+               concat(name, ' & Co.', case when part_id % 5 = 0 then ' 12-count 8 oz' when part_id % 5 = 1 then ' 16 fl oz' else '' end) as name,
+               case when part_id % 29 = 0 then null else concat(
+                 case part_id % 3 when 0 then '<div role="dialog" class="dlg" aria-label="item details">'
+                   when 1 then '<DIV class=dlg tabindex=0 aria-label="item details" Role=dialog>'
+                   else '<section data-x="a>b" aria-label="item details" role="dialog">' end,
+                 '<!-- <span>$0.01</span> --><script>var a = "<span>$0.02</span>";</script><header><h2 class="hd" id=n1><b>', name, '</b> &amp; Co.',
+                 case when part_id % 5 = 0 then ' 12-count 8 oz' when part_id % 5 = 1 then ' 16 fl oz' else '' end, '</h2></header>',
+                 case when out_of_stock then '<div><h2 class="oos x">Out <i>of</i> stock</h2></div>' else '' end,
+                 case when price is null then '' else concat(
+                   case when part_id % 2 = 0 then '<div class=d id="item_details"><p>Was <span>$0.03</span> <span>old</span><p>new</div>' else '' end,
+                   '<div class="pr">', case when part_id % 2 = 0 then concat('<span class="sr">Current price: $', price, ' each</span>') else '' end,
+                   '<span class="p" data-a="1">&#36;', price,
+                   case offer_id % 3 when 0 then ' /lb</span> <em>or</em> <span class=u>per lb</span>' when 1 then '</span><span class="u">18&nbsp;ct</span>'
+                     else '</span> <span>each</span>' end, '</div>') end,
+                 '<img alt="logo" class="l" src="http://i/missing-item.png"',
+                 case part_id % 4 when 0 then '>' when 1 then ' hidden/>'
+                   else concat('><div class="a ic-image-zoomer b"><a href=#><img src="http://i/', part_id, '.png?a=1&amp;b=2" alt=""></a></div>') end,
+                 '<div class="box" tabindex="-1"><ul><li>one<li>two</ul><div><h2><span>Details</span></h2></div><p class="t">About ', name,
+                 ' &lt;new&gt;<br> line</p></div><p>After', case part_id % 3 when 2 then '</section>' else '</div>' end) end as dialog
         from {offers}""",
     "cart_events": """
         select user_id as cart_id, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) as item, concat(cast(ts as string), '-', lpad(cast(event_id as string), 12, '0')) as seq,

@@ -115,6 +115,65 @@ def grocery_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sided.select("p_partkey", "ing", "description_norm", *sums, fired.alias("fired"))
 
 
+_SHELF = """
+    select p_partkey, case p_partkey % 14 when 0 then 'olive oil' when 1 then 'cheddar cheese' when 2 then 'salted butter' when 3 then 'peanut butter' when 4 then 'garlic'
+             when 5 then 'red onion' when 6 then 'pearl onion' when 7 then 'lime' when 8 then 'rosemary' when 9 then 'sage' when 10 then 'thyme' when 11 then 'celery'
+             when 12 then 'chicken breast' else 'baby spinach' end as ing,
+           concat(p_name, ' ', case p_size % 17 when 0 then 'body oil' when 1 then 'cheese snack sticks' when 2 then 'shea butter' when 3 then 'butter' when 4 then 'garlic paste'
+             when 5 then 'green onion' when 6 then 'pearls' when 7 then 'leek soup' when 8 then 'lime juice sauce' when 9 then 'rosemary crackers' when 10 then 'glazed carrot'
+             when 11 then 'celery root' when 12 then 'celery seed' when 13 then 'celery seed stalks' when 14 then 'chicken tenders' when 15 then 'spinach dip'
+             else 'leeks and shampoo' end) as description_norm,
+           case p_partkey % 5 when 0 then 'produce' when 1 then 'pantry baking' when 2 then 'dairy meat' when 3 then 'beauty' else 'spices' end as categories_norm,
+           case p_size % 4 when 0 then 'dairy' when 1 then 'produce' else '' end as classifier_norm
+    from {part}"""
+
+
+def _says(text: str, *terms: str) -> str:
+    return "(" + " or ".join(f"contains({text}, '{t}')" for t in terms) + ")"
+
+
+def _worth(when: str, points: int) -> str:
+    return f"case when {when} then {points}.0::double else 0.0::double end"
+
+
+_D, _C, _K = "description_norm", "categories_norm", "classifier_norm"
+# written out by hand from what each rule is to do, not from the table of rules
+_OIL, _CHEESE, _PLAIN_BUTTER = _says("ing", "olive oil"), _says("ing", "cheese"), f"{_says('ing', 'butter')} and not {_says('ing', 'peanut', 'almond', 'cashew', 'apple')}"
+_PLAIN_ONION = f"{_says('ing', 'onion')} and not {_says('ing', 'pearl')}"
+_HAND = {
+    "penalty": [
+        (f"{_OIL} and {_says(_C, 'beauty', 'personal care')}", 50), (f"{_OIL} and {_says(_D, 'soap', 'hair', 'skin', 'body')}", 50),
+        (f"{_CHEESE} and {_says(_D, 'cracker', 'dip', 'snack', 'stick')}", 24), (f"{_PLAIN_BUTTER} and {_says(_D, 'shea butter', 'nut butter', 'body butter')}", 40),
+        (f"{_PLAIN_BUTTER} and {_says(_D, 'shampoo')}", 50), (f"ing = 'garlic' and {_says(_D, 'paste', 'stir in')}", 8),
+        (f"{_PLAIN_ONION} and {_says(_D, 'green onion', 'scallion')}", 20), (f"{_PLAIN_ONION} and {_says(_D, 'pearl')}", 35),
+        (f"{_PLAIN_ONION} and list_has_any(string_split({_D}, ' '), ['leek', 'leeks'])", 30), (f"ing = 'lime' and {_says(_D, 'juice')}", 18),
+        (f"ing = 'lime' and {_says(_D, 'sauce')}", 20), (f"ing = 'rosemary' and {_says(_D, 'crisps', 'cracker', 'snack')}", 25),
+        (f"ing = 'sage' and {_says(_D, 'sausage', 'carrot', 'glazed', 'snack')}", 14), (f"ing = 'celery' and {_says(_D, 'root', 'celeriac')}", 40),
+        (f"ing = 'celery' and {_says(_D, 'seed')} and not {_says(_D, 'stalk')}", 30), (f"ing = 'chicken breast' and {_says(_D, 'nugget', 'tender', 'patty', 'breaded')}", 30),
+        (f"ing = 'baby spinach' and {_says(_D, 'dip', 'kit')}", 20),
+    ],
+    "category": [
+        (f"{_OIL} and {_says(_C, 'pantry', 'baking')}", 6), (f"{_CHEESE} and {_says(_C, 'dairy')}", 10), (f"{_PLAIN_BUTTER} and ({_says(_C, 'dairy')} or {_says(_K, 'dairy')})", 10),
+        (f"ing = 'garlic' and {_says(_C, 'produce')}", 10), (f"{_PLAIN_ONION} and {_says(_C, 'produce')}", 12), (f"ing = 'lime' and {_says(_C, 'produce')}", 14),
+        (f"ing = 'rosemary' and {_says(_C, 'produce', 'spices')}", 10), (f"ing in ('sage', 'thyme') and {_says(_C, 'produce', 'spices')}", 8),
+        (f"ing in ('celery', 'baby spinach') and {_says(_C, 'produce')}", 8), (f"ing = 'chicken breast' and {_says(_C, 'meat', 'seafood')}", 8),
+    ],
+    "form": [(f"{_OIL} and {_says(_D, 'oil')}", 8)],
+}
+_TWELVE = [f"R{i}" for i in range(10, 22)]
+
+
+@register(f"""with shelf as ({_SHELF}) select p_partkey, ing, description_norm,
+    {', '.join(f"{' + '.join(_worth(*x) for x in own)} as {channel}" for channel, own in _HAND.items())} from shelf""")
+def twelve_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve of the default rules on groceries that were not made from them."""
+    own = [r for r in _RULES if r.name in _TWELVE]
+    pairs = spark_sql(spark, sf_dir, _SHELF)
+    side = rl.product_side(own, {"D": F.col(_D), "C": F.col(_C), "K": F.col(_K)})
+    sided = pairs.withColumn("n", rl.ingredient_side(own, F.col("ing"))).withColumn("p", side)
+    return sided.select("p_partkey", "ing", "description_norm", *[rl.channel_sum(own, c)(F.col("n"), F.col("p")).alias(c) for c in _HAND])
+
+
 # --- lines, parts and their matches -------------------------------------------
 
 _SIMPLE = dk.spaces(dk.numbers(dk.basic_clean("garn")))

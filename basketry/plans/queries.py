@@ -442,23 +442,39 @@ _NAMED = """coalesce(nullif(trim(regexp_extract(coalesce(name, ''), '(?i)([0-9]+
     nullif(trim(regexp_extract(coalesce(name, ''), '(?i)([0-9]+(?:[./][0-9]+)?[\\s-]*(?:oz|fl\\.?\\s*oz|lb|lbs|g|kg|ml|L|gal)\\b)', 1)), ''))"""
 
 
-@register(f"""with {_CARDS} select replace(card_id, 'item_list_item_', '') as id, case when html is not null then name end as name, nullif(regexp_extract(html,
-    '<span>(\\$[0-9.,]+)', 1), '') as price,
-    case when contains(html, ' /lb</span>') then 'lb' end as price_unit, case when html is null or contains(html,
-      ' /lb</span>') then null when contains(html, '18 ct') then '18 ct' else {_NAMED} end as quantity,
-    case when not contains(html, 'missing-item') then regexp_extract(html, 'src="([^"]*)"', 1) end as image_url, nullif(trim(regexp_extract(html,
-      '<h2>Details</h2><p>([^<]*)</p>', 1)), '') as description, coalesce(contains(html, 'Out of stock'), false) as out_of_stock from c""")
+def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole pages, one for each step of a carousel: rows of stores, each with its cards and the dialogs that they open."""
+    shown = F.concat(F.lit('<li class="c"><a data-k=1 data-testid="'), "card_id", F.lit('" href="/p">'), F.replace("name", F.lit("&"), F.lit("&amp;")),
+        F.lit("</a>"), F.coalesce("dialog", F.lit("")))
+    cards = table(spark, sf_dir, "cards").groupBy("page_id", "carousel_page", "store").agg(F.array_sort(F.collect_list(F.struct("seq", shown.alias("shown")))).alias("cards"))
+    row = F.concat(F.lit('<section class="row" data-testid="CrossRetailerResultRowWrapper"><img src=logo><h3>\n  '), "store", F.lit(" </h3><span>Delivery</span><ul>"),
+        F.array_join("cards.shown", ""), F.lit("</ul></section>"))
+    pages_ = cards.groupBy("page_id", "carousel_page").agg(F.array_sort(F.collect_list(F.struct("store", row.alias("row")))).alias("rows"))
+    html = F.concat(F.lit("<!DOCTYPE html><html><head><title>a < b</title></head><body><nav><a data-testid=item_list_item_0>x</a></nav>"),
+        F.array_join("rows.row", "<br>"), F.lit("</body></html>"))
+    return pages_.select("page_id", "carousel_page", html.alias("html"))
+
+
+def _page_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.parse_cards(pages.dedupe_cards(pages.cut_cards(_snapshots(spark, sf_dir))))
+
+
+@register(f"""with {_CARDS} select replace(card_id, 'item_list_item_', '') as id, store, case when dialog is not null then name end as name,
+    case when dialog is not null then concat('$', price) end as price, case when dialog is not null and price is not null and offer_id % 3 = 0 then 'lb' end as price_unit,
+    case when dialog is null or (price is not null and offer_id % 3 = 0) then null when price is not null and offer_id % 3 = 1 then concat('18', chr(160), 'ct')
+      else {_NAMED} end as quantity,
+    case when dialog is not null and part_id % 4 in (2, 3) then concat('http://i/', part_id, '.png?a=1&b=2') end as image_url,
+    case when dialog is not null then concat('About ', bare_name, ' <new> line') end as description, dialog is not null and out_of_stock as out_of_stock from c""")
 def page_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.parse_cards(pages.dedupe_cards(table(spark, sf_dir, "cards"))).drop("page_id", "store", "card_id")
+    return _page_offers(spark, sf_dir).drop("page_id", "card_id")
 
 
-@register(f"""with {_CARDS}, p as (select page_id % 10 as query, html is null as no_name, not coalesce(contains(html, '<span>$'), false) as no_price,
-    coalesce(contains(html, 'Out of stock'), false) as oos from c)
+@register(f"""with {_CARDS}, p as (select page_id // 8 % 10 as query, dialog is null as no_name, dialog is null or price is null as no_price,
+    dialog is not null and out_of_stock as oos from c)
     select query, count(*) as products, count(*) filter (where not no_name and not no_price) as complete, count(*) filter (where no_name) as no_name,
       count(*) filter (where no_price) as no_price, count(*) filter (where oos) as out_of_stock from p group by query""")
 def page_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    offers = pages.parse_cards(pages.dedupe_cards(table(spark, sf_dir, "cards")))
-    return pages.completeness(offers.withColumn("query", F.col("page_id") % 10))
+    return pages.completeness(_page_offers(spark, sf_dir).withColumn("query", F.expr("page_id div 8 % 10")))
 
 
 @register("""select query, bool_or(login_wall) as any_login_wall, bool_or(location_wall) as any_location_wall, bool_or(blocked) as any_blocked,
@@ -507,20 +523,36 @@ def recipe_search(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority").alias("title")), "Urgent", offset=20)
 
 
-@register("""select o_custkey as user_id, o_orderkey as recipe_id from {orders} o join {preferences} p on o.o_custkey = p.user_id
-    where not exists (select 1 from {lineitem} l join {part} on l_partkey = p_partkey where l_orderkey = o_orderkey and split_part(p_name, ' ',
-      2) = p.allergy)""")
+_DISHES = """select l_orderkey as recipe_id, split_part(p_name, ' ', 2) as noun, concat('2 cups ', split_part(p_name, ' ', 1), ' ', case split_part(p_name, ' ', 2)
+    when 'anvil' then 'Coconut Milk, shaken' when 'bolt' then 'unsalted butter' when 'gear' then 'eggs and almond flour' when 'gizmo' then 'peanut butter'
+    when 'plate' then 'oyster mushrooms with oysters' when 'ring' then 'smoked bacon' when 'rod' then 'soy milk' else 'honeydew' end) as text
+    from {lineitem} join {part} on l_partkey = p_partkey where l_linenumber % 4 <> 1 or l_partkey % 8 = 0"""
+_WISHES = """select c_custkey as user_id, case c_custkey % 7 when 0 then 'Vegan' when 1 then 'Vegetarian' when 2 then 'Pescatarian' when 3 then 'Dairy-Free' when 4 then 'Keto' end as diet,
+    case c_custkey % 9 when 0 then 'Peanuts' when 1 then 'Tree Nuts' when 2 then 'Dairy' when 3 then 'Egg' when 4 then 'Fish' when 5 then 'Shellfish' when 6 then 'Soy'
+    when 7 then 'Wheat' end as allergy from {customer}"""
+# worked out by hand from the eight dishes: what each has, and whom that keeps away
+_KEPT_AWAY = """(values ('bolt', 'Vegan'), ('bolt', 'Dairy-Free'), ('bolt', 'Dairy'), ('gear', 'Vegan'), ('gear', 'Egg'), ('gear', 'Tree Nuts'), ('gizmo', 'Peanuts'),
+    ('plate', 'Vegan'), ('plate', 'Vegetarian'), ('plate', 'Shellfish'), ('ring', 'Vegan'), ('ring', 'Vegetarian'), ('ring', 'Pescatarian'), ('rod', 'Soy')) as k(noun, wish)"""
+
+
+@register(f"""select o_custkey as user_id, o_orderkey as recipe_id from {{orders}} o join ({_WISHES}) w on o.o_custkey = w.user_id
+    where not exists (select 1 from ({_DISHES}) d join {_KEPT_AWAY} on k.noun = d.noun where d.recipe_id = o.o_orderkey and k.wish in (w.diet, w.allergy))""")
 def preference_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a recipe for its customer, with the shipped phrases of diets and allergens."""
     recipes = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("recipe_id"))
-    items = spark_sql(spark, sf_dir, "select l_orderkey as recipe_id, split_part(p_name, ' ', 2) as term from {lineitem} join {part} on l_partkey = p_partkey")
-    liked = table(spark, sf_dir, "preferences").select("user_id", F.array("allergy").alias("allergies"))
-    return serving.preference_filter(recipes, items, liked)
+    wishes = spark_sql(spark, sf_dir, _WISHES).select("user_id", F.array("diet").alias("diets"), F.array("allergy").alias("allergies"))
+    return serving.preference_filter(recipes.join(wishes.select("user_id"), "user_id", "left_semi"), spark_sql(spark, sf_dir, _DISHES), wishes, serving.food_phrases(spark))
+
 
+_ONE_RECIPE = "(select min(o_orderkey) from {orders} join {lineitem} on o_orderkey = l_orderkey where o_orderpriority = '2-HIGH')"
 
-@register("select raw, store, price, seq from {recipe_matches} where recipe_id % 1000 = 7 order by raw, seq")
+
+@register(f"select raw, store, price, seq from {{recipe_matches}} where recipe_id = {_ONE_RECIPE} order by raw, seq")
 def match_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "recipe_matches").withColumn("match_rank", F.col("seq")).withColumn("recipe_id", F.col("recipe_id") % 1000)
-    return serving.match_lookup(rows, 7).select("raw", "store", "price", "seq")
+    """The matches of one recipe, the first of high priority that has lines."""
+    rows = table(spark, sf_dir, "recipe_matches").withColumn("match_rank", F.col("seq"))
+    wanted = spark_sql(spark, sf_dir, f"select {_ONE_RECIPE} as recipe_id").first()
+    return serving.match_lookup(rows, wanted.recipe_id).select("raw", "store", "price", "seq")
 
 
 @register("""select store_id, floor(miles * 1000 + 0.5) / 1000 as miles from (select store_id,
@@ -532,12 +564,17 @@ def nearby_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.nearby_stores(stores, 34.0, -117.5).select("store_id", (F.floor(F.col("miles") * 1000 + 0.5) / 1000).alias("miles"))
 
 
-@register("select chain, count(*) as stores, count(case when chain in ('ALGERIA', 'BRAZIL') then 1 end) as known from {stores} group by chain")
+_SPELLED = """case s_suppkey % 8 when 0 then 'Food 4 Less' when 1 then 'Food4Less' when 2 then 'Ralphs' when 3 then 'ralphs' when 4 then 'Smart & Final Extra!'
+    when 5 then 'Stater Bros. Now' when 6 then 'Sprouts Farmers Market' else s_name end"""
+
+
+@register(f"""select spelled, known, count(*) as stores from (select {_SPELLED} as spelled, case s_suppkey % 8 when 0 then 'food4less' when 1 then 'food4less'
+    when 2 then 'ralphs' when 4 then 'smartfinal' when 5 then 'stater' when 6 then 'sprouts' end as known from {{supplier}}) group by spelled, known""")
 def chain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stores = table(spark, sf_dir, "stores")
-    known = stores.select("chain", serving.chain_key("chain", {"a": ("ALGERIA",),
-        "b": ("BRAZIL", "BRASIL")}).alias("k")).groupBy("chain").agg(F.count("k").alias("known"))
-    return serving.chain_counts(stores).join(known, "chain")
+    """Stores by spelling, with the chain that the shipped table gives each."""
+    stores = spark_sql(spark, sf_dir, f"select {_SPELLED} as spelled from {{supplier}}")
+    counted = serving.chain_counts(stores.withColumnRenamed("spelled", "chain"))
+    return counted.select(F.col("chain").alias("spelled"), serving.chain_key("chain").alias("known"), "stores")
 
 
 # --- baskets --------------------------------------------------------------
@@ -576,12 +613,12 @@ def _plan_sql(rounds: int) -> str:
     return text + ", plan as (" + " union all ".join(f"select recipe_id, {i} as stop, store from best{i}" for i in range(1, rounds + 1)) + ")"
 
 
-@register(f"with {_plan_sql(7)} select recipe_id, stop, store from plan")
+@register(f"with {_plan_sql(16)} select recipe_id, stop, store from plan")
 def fewest_stops_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return basket.fewest_stops(_grouped(spark, sf_dir))
 
 
-@register(f"""with {_plan_sql(7)}, o as (select g.*, p.store is not null as planned, row_number() over (partition by g.recipe_id, g.item
+@register(f"""with {_plan_sql(16)}, o as (select g.*, p.store is not null as planned, row_number() over (partition by g.recipe_id, g.item
     order by case when p.store is not null then 0 else 1 end, case when p.store is not null then coalesce(g.price, 'inf'::double) end, g.alt) as n
     from grouped g left join plan p on p.recipe_id = g.recipe_id and p.store = g.store) select recipe_id, item, store, price, planned from o where n = 1""")
 def plan_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -677,11 +714,12 @@ def cart_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("""
     select offer_id, price, version from (select *, row_number() over (partition by offer_id order by version desc) as n from (select offer_id, price,
-    0 as version from {offers} where offer_id % 3 <> 0 union all select offer_id, price + 1, 1 + offer_id % 2 from {offers} where offer_id % 4 = 0))
-    where n = 1""")
+    0 as version from {offers} where offer_id % 3 <> 0 or offer_id % 4 <> 0
+    union all select offer_id, price + 1, 1 + offer_id % 2 from {offers} where offer_id % 4 = 0)) where n = 1""")
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the offers come anew, a third of those for the first time."""
     offers = table(spark, sf_dir, "offers")
-    old = offers.where("offer_id % 3 <> 0").select("offer_id", "price", F.lit(0).cast("long").alias("version"))
+    old = offers.where("offer_id % 3 <> 0 or offer_id % 4 <> 0").select("offer_id", "price", F.lit(0).cast("long").alias("version"))
     new = offers.where("offer_id % 4 = 0").select("offer_id", (F.col("price") + 1).alias("price"), (1 + F.col("offer_id") % 2).alias("version"))
     return tables.upsert(old, new, "offer_id", "version")
 

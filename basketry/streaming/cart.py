@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from basketry.sources.storage import new_path
 
 #: Parts that a cart's lines are dealt to; a clear goes to all of them.
 PARTS = 16
 OUT = "cart_id long, item long, quantity int, price double, name string, step long"
-STATE = "lines string, waiting string, applied string, step long"
+STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def fold_line(state: tuple, action: str, price: float | None, name: str | None) -> tuple:
@@ -31,7 +31,7 @@ def fold_line(state: tuple, action: str, price: float | None, name: str | None)
     return (quantity, own, label) if quantity > 0 else (0, None, None)
 
 
-def fold_lines(lines: dict[int | None, tuple], events: list[tuple]) -> dict[int | None, tuple]:
+def fold_lines(lines: dict[str, tuple], events: list[tuple]) -> dict[str, tuple]:
     """The live lines after ``events (item, action, price, name)``, in their order."""
     out = dict(lines)
     for item, action, price, name in events:
@@ -46,44 +46,82 @@ def fold_lines(lines: dict[int | None, tuple], events: list[tuple]) -> dict[int
     return out
 
 
-def _none(x):
-    return None if x is None or x != x else x
-
-
-def _in_order(waiting: dict[str, list]) -> list[tuple]:
-    return [tuple(waiting[seq][1:]) for seq in sorted(waiting)]
-
-
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Take in new events, put those behind the watermark into the lines for good, and say which lines now look different."""
-    lines, waiting, applied, step = {}, {}, "", 0
-    if state.exists:
-        held = state.get
-        lines = {item: tuple(line) for item, *line in json.loads(held[0])}
-        waiting, applied, step = json.loads(held[1]), held[2], held[3]
-    before = fold_lines(lines, _in_order(waiting))
-    if not state.hasTimedOut:
-        for rows in batches:
-            for seq, at, item, action, price, name in rows[["seq", "at", "item", "action", "price", "name"]].itertuples(index=False):
-                if seq > applied:  # else it is in the lines already, or too late
-                    waiting[seq] = [int(at), None if _none(item) is None else int(item), action, _none(price), _none(name)]
-    upto = state.getCurrentWatermarkMs()
-    done = {seq: waiting.pop(seq) for seq in sorted(waiting) if waiting[seq][0] < upto}
-    if done:
-        lines, applied = fold_lines(lines, _in_order(done)), max(applied, *done)
-    after = fold_lines(lines, _in_order(waiting))
-    if waiting or lines:
-        state.update((json.dumps([(k, *v) for k, v in lines.items()]), json.dumps(waiting), applied, step + 1))
-        if waiting:
-            state.setTimeoutTimestamp(max(upto, max(x[0] for x in waiting.values())) + 1)
-    elif state.exists:  # an empty cart with nothing to come in order is forgotten
-        state.remove()
-    items = sorted(before.keys() | after.keys(), key=lambda x: (x is None, x or 0))
-    changed = [(item, *after.get(item, (0, None, None))) for item in items if before.get(item) != after.get(item)]
-    if changed:
-        columns = [pd.array([x[i] for x in changed], kind) for i, kind in enumerate(("Int64", "Int32", "Float64", object))]
-        about = {"cart_id": [key[0]] * len(changed)} | dict(zip(("item", "quantity", "price", "name"), columns, strict=True))
-        yield pd.DataFrame(about | {"step": [step + 1] * len(changed)})
+class CartPart(StatefulProcessor):
+    """A part of a cart's lines as keyed state: a batch reads and writes only the lines that its events touch.
+
+    ``lines`` maps an item to what events behind the watermark have made of it,
+    ``waiting`` a seq to an event that may still be overtaken, ``seen`` holds the last
+    seq that was folded for good and how often the part has changed. A part
+    without lines and waiting events keeps nothing.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.lines = handle.getMapState("lines", "item string", "quantity int, price double, name string")
+        self.waiting = handle.getMapState("waiting", "seq string", "at long, item string, action string, price double, name string")
+        self.seen = handle.getValueState("seen", "applied string, step long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        applied, step = self.seen.get() if self.seen.exists() else ("", 0)
+        new = {r.seq: (r.at, "" if r["item"] is None else str(r["item"]), r.action, r.price, r.name) for r in rows if r.seq > applied}
+        known = {seq: tuple(event) for (seq,), event in self.waiting.iterator()}
+        new = {seq: event for seq, event in new.items() if seq not in known}
+        if not new:
+            return
+        emptied = any(e[2] == "clear" for e in new.values())
+        touched = {e[1] for e in new.values() if e[2] != "clear"}
+        if emptied:
+            touched |= {item for (item,) in self.lines.keys()} | {e[1] for e in known.values() if e[2] != "clear"}
+        start = {item: tuple(self.lines.getValue((item,))) for item in sorted(touched) if self.lines.containsKey((item,))}
+        before, after = (fold_lines(start, _in_order(e, touched)) for e in (known, known | new))
+        for seq, event in new.items():
+            self.waiting.updateValue((seq,), event)
+        self._settle(known | new, applied, step + 1, timerValues.getCurrentWatermarkInMs())
+        for item in sorted(touched):
+            if before.get(item) != after.get(item):
+                quantity, price, name = after.get(item, (0, None, None))
+                yield Row(cart_id=key[0], item=int(item) if item else None, quantity=quantity, price=price, name=name, step=step + 1)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        """What waited is folded for good; it was shown before, so nothing changes."""
+        applied, step = self.seen.get() if self.seen.exists() else ("", 0)
+        self._settle({seq: tuple(event) for (seq,), event in self.waiting.iterator()}, applied, step, timerValues.getCurrentWatermarkInMs())
+        return iter(())
+
+    def _settle(self, waiting: dict[str, tuple], applied: str, step: int, upto: int) -> None:
+        """Fold the events behind the watermark into their lines and forget them."""
+        done = {seq: event for seq, event in waiting.items() if event[0] < upto}
+        if done:
+            emptied = any(e[2] == "clear" for e in done.values())
+            touched = {e[1] for e in done.values() if e[2] != "clear"}
+            start = {item: tuple(self.lines.getValue((item,))) for item in touched if self.lines.containsKey((item,))}
+            left = fold_lines(start, _in_order(done, touched))
+            if emptied:
+                self.lines.clear()
+            for item in touched:
+                if item in left:
+                    self.lines.updateValue((item,), left[item])
+                elif not emptied and item in start:
+                    self.lines.removeKey((item,))
+            for seq in done:
+                self.waiting.removeKey((seq,))
+            applied = max(applied, *done)
+        rest = [event[0] for seq, event in waiting.items() if seq not in done]
+        if rest:
+            wake = max(upto, max(rest)) + 1
+            if wake not in set(self.handle.listTimers()):
+                self.handle.registerTimer(wake)
+        elif not any(True for _ in self.lines.keys()):
+            self.lines.clear()
+            self.waiting.clear()
+            self.seen.clear()
+            return
+        self.seen.update((applied, step))
+
+
+def _in_order(events: dict[str, tuple], items: set[str]) -> list[tuple]:
+    """Events of the items, and clears, in order of seq: ``(item, action, price, name)``."""
+    return [events[seq][1:] for seq in sorted(events) if events[seq][2] == "clear" or events[seq][1] in items]
 
 
 def cart_changes(events: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -99,7 +137,19 @@ def cart_changes(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     part = F.pmod(F.xxhash64("item"), F.lit(PARTS)).cast("int")
     parts = F.when(F.col("action") == "clear", F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(part))
     rows = events.withWatermark("ts", delay).withColumn("part", F.explode(parts)).withColumn("at", F.unix_millis("ts"))
-    return rows.groupBy("cart_id", "part").applyInPandasWithState(_advance, OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    rows = rows.select("ts", "cart_id", "part", "at", F.col("item").cast("long").alias("item"), "seq", "action", F.col("price").cast("double").alias("price"), "name")
+    return rows.groupBy("cart_id", "part").transformWithState(CartPart(), OUT, "update", "eventTime")
+
+
+@contextmanager
+def keyed_store(spark: SparkSession) -> Iterator[None]:
+    """Queries started within keep their state in RocksDB, which reads and writes single keys."""
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
 
 
 def run_to_table(spark: SparkSession, events: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -109,8 +159,9 @@ def run_to_table(spark: SparkSession, events: DataFrame, delay: str = "1 hour")
     def save(rows: DataFrame, batch: int) -> None:
         rows.withColumn("batch", F.lit(batch).cast("long")).write.mode("append").parquet(out)
 
-    cart_changes(events, delay).writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation",
-        check).trigger(availableNow=True).start().awaitTermination()
+    with keyed_store(spark):
+        cart_changes(events, delay).writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation",
+            check).trigger(availableNow=True).start().awaitTermination()
     changes = spark.read.schema(OUT + ", batch long").parquet(out)
     last = changes.groupBy("cart_id", "item").agg(F.max_by(F.struct("quantity", "price", "name"), F.struct("batch", "step")).alias("s"))
     return last.select("cart_id", "item", "s.quantity", "s.price", "s.name").where("quantity > 0")

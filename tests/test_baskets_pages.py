@@ -1,6 +1,12 @@
+import random
+
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from basketry.functions import html as h
 from basketry.operators import basket, pages, serving
 from basketry.sources import tables
 from basketry.streaming import cart
@@ -32,6 +38,54 @@ def test_cart_fold_agrees_with_stream_step(spark, n):
         assert got == ([state] if state[0] else [])
 
 
+def fold_plainly(events):
+    lines = {}
+    for cart_id, item, _, action, price, name in sorted(events, key=lambda e: e[2]):
+        if action == "clear":
+            lines = {k: v for k, v in lines.items() if k[0] != cart_id}
+        else:
+            lines[cart_id, item] = cart.fold_line(lines.get((cart_id, item), (0, None, None)), action, price, name)
+    return sorted(((*k, *v) for k, v in lines.items() if v[0] > 0), key=repr)
+
+
+@pytest.mark.parametrize("records", [3, 64, 10_000])
+def test_long_lines_are_folded_in_slices(spark, records):
+    """A line of many thousand events, short ones beside it, null items, prices and unknown actions; few lines come in more than one row of a slice."""
+    rnd = random.Random(records)
+    actions = ["add"] * 5 + ["increment"] * 4 + ["decrement"] * 10 + ["other"]
+    many = 20_000 if records > 3 else 900
+    events = [(1, 7, f"{i:09d}", rnd.choice(actions) if i % 4000 > 2500 else rnd.choice(actions[:9]), rnd.choice([None, 1.5, float(i)]), rnd.choice([None, f"n{i}"]))
+        for i in range(many)]
+    for i in range(1500):
+        events.append((rnd.randrange(4), rnd.choice([None, 1, 2, 3]), f"{i * 3:09d}x", rnd.choice([*actions, "remove"] if i % 50 else ["clear"]), float(i), f"m{i}"))
+    rnd.shuffle(events)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+    try:
+        table = spark.createDataFrame(events, "cart_id long, item long, seq string, action string, price double, name string").repartition(5)
+        got = sorted(map(tuple, basket.cart_fold(table).collect()), key=repr)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == fold_plainly(events) and len(got) > 3
+
+
+def test_runs_join_in_any_grouping():
+    rnd = random.Random(1)
+    for _ in range(300):
+        actions = rnd.choices(["add", "increment", "decrement", "decrement", "remove"], weights=[4, 3, 5, 5, 0.3], k=rnd.randrange(1, 12))
+        each = basket.Effects.of(pa.array(actions))
+        whole = each.runs(np.arange(len(actions)) == 0)
+        left = each.at(np.array([0]))
+        for i in range(1, len(actions)):
+            left = left.then(each.at(np.array([i])))
+        for quantity in range(14):
+            state = (quantity, -5, None) if quantity else (0, None, None)
+            for i, action in enumerate(actions):
+                state = cart.fold_line(state, action, i, None)
+            for f in (whole, left):
+                lives = quantity and quantity >= f.least[0]
+                assert state[:2] == ((quantity + f.more[0], -5) if lives else (f.left[0], f.source[0] if f.left[0] else None))
+
+
 def test_cart_clear(spark):
     rows = spark.createDataFrame([(1, 1, "1", "add", 1.0, "a"), (1, 2, "2", "clear", 0.0, ""), (1, 3, "3", "add", 2.0, "c")],
         "cart_id long, item long, seq string, action string, price double, name string")
@@ -80,36 +134,105 @@ def test_cart_stream_in_any_order(spark, tmp_path):
     assert got == want and len(want) > 2
 
 
-def test_state_is_forgotten():
-    """Waiting events are folded for good behind the watermark, and an empty cart keeps no state."""
-    import pandas as pd
+class FakeMap:
+    """A map state that says which keys were read and written."""
+
+    def __init__(self):
+        self.held, self.used = {}, []
+
+    def getValue(self, key):
+        self.used.append(key)
+        return self.held.get(key)
+
+    def containsKey(self, key):
+        return key in self.held
+
+    def updateValue(self, key, value):
+        self.used.append(key)
+        self.held[key] = value
+
+    def removeKey(self, key):
+        self.used.append(key)
+        self.held.pop(key, None)
+
+    def iterator(self):
+        return iter(list(self.held.items()))
+
+    def keys(self):
+        return iter(list(self.held))
+
+    def clear(self):
+        self.held.clear()
+
+
+class FakeValue:
+    value = None
 
-    class State:
-        exists, hasTimedOut, get, removed, timeout = False, False, None, False, None
+    def exists(self):
+        return self.value is not None
 
-        def __init__(self, mark):
-            self.mark = mark
+    def get(self):
+        return self.value
 
-        def getCurrentWatermarkMs(self):
-            return self.mark
+    def update(self, value):
+        self.value = value
 
-        def update(self, value):
-            self.get, self.exists = value, True
+    def clear(self):
+        self.value = None
 
-        def remove(self):
-            self.exists, self.removed = False, True
 
-        def setTimeoutTimestamp(self, at):
-            assert at > self.mark
-            self.timeout = at
+class FakeHandle:
+    def __init__(self):
+        self.maps, self.value, self.timers = {}, FakeValue(), set()
 
-    state = State(0)
-    events = pd.DataFrame([("1", 10, 5, "add", 2.0, "x"), ("2", 20, 5, "remove", None, None)], columns=["seq", "at", "item", "action", "price", "name"])
-    list(cart._advance((1, 0), iter([events]), state))
-    assert state.timeout == 21
-    state.mark, state.hasTimedOut = 50, True
-    list(cart._advance((1, 0), iter([]), state))
-    assert state.removed
+    def getMapState(self, name, *_):
+        return self.maps.setdefault(name, FakeMap())
+
+    def getValueState(self, *_):
+        return self.value
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+class At:
+    def __init__(self, mark):
+        self.mark = mark
+
+    def getCurrentWatermarkInMs(self):
+        return self.mark
+
+
+def events_of(*rows):
+    return iter([Row(seq=s, at=at, item=i, action=a, price=p, name=n) for s, at, i, a, p, n in rows])
+
+
+def test_state_is_forgotten():
+    """Waiting events are folded for good behind the watermark, and an empty part of a cart keeps no state."""
+    part, handle = cart.CartPart(), FakeHandle()
+    part.init(handle)
+    out = list(part.handleInputRows((1, 0), events_of(("1", 10, 5, "add", 2.0, "x"), ("2", 20, 5, "remove", None, None)), At(0)))
+    assert out == [] and handle.timers == {21} and len(handle.maps["waiting"].held) == 2
+    assert list(part.handleExpiredTimer((1, 0), At(50), None)) == []
+    assert not handle.maps["waiting"].held and not handle.maps["lines"].held and not handle.value.exists()
+
+
+def test_state_is_read_and_written_by_touched_line():
+    part, handle = cart.CartPart(), FakeHandle()
+    part.init(handle)
+    many = [(f"{i:03d}", i, i, "add", float(i), "x") for i in range(100)]
+    assert len(list(part.handleInputRows((1, 0), events_of(*many), At(1000)))) == 100
+    lines = handle.maps["lines"]
+    assert len(lines.held) == 100 and not handle.maps["waiting"].held
+    lines.used.clear()
+    out = list(part.handleInputRows((1, 0), events_of(("200", 200, 7, "increment", None, None), ("050", 50, 8, "add", 1.0, "late")), At(1000)))
+    assert [(r["item"], r.quantity, r.price) for r in out] == [(7, 2, 7.0)] and set(lines.used) == {("7",)}
+    out = list(part.handleInputRows((1, 0), events_of(("300", 300, None, "clear", None, None), ("301", 2000, 9, "add", 5.0, "y")), At(1000)))
+    assert {(r["item"], r.quantity) for r in out} == {(i, 1 if i == 9 else 0) for i in range(100)} and not lines.held
+    assert handle.timers == {2001}
 
 
 CASES = [("$1.99 /lb", "per lb", "x", ("lb", None)), ("$3.99", "18 ct", "x", (None, "18 ct")), ("$9.07", "each", "x", (None, None)),
@@ -123,11 +246,58 @@ def test_unit_or_quantity(spark):
     assert [tuple(r) for r in got] == [c[3] for c in CASES]
 
 
+PAGE = """<!DOCTYPE html><html><head><title>Milk &lt; cream</title><style>h2 { color: red }</style></head>
+<body class=shop><nav><a data-testid="item_list_item_77">no row around it</a></nav>
+<div class="row" data-testid='CrossRetailerResultRowWrapper' hidden><img src="logo.png">
+  <div><b> Best <i>Foods</i></b></div>Delivery by 5
+  <ul><li data-x="1>0"><a data-testid=item_list_item_1 href="/a?b=1&amp;c=2">Whole milk</a>
+  <div aria-label="item details" class='d' role="dialog"><h2 class=n>Whole&nbsp;<b>milk</b> &amp; cream 12 oz&nbsp;</h2>
+    <h2>Out <em>of</em> stock</h2>
+    <div id=item_details><p>Old price <span>$9.99</span> <span>a lb</span><p>Second</div>
+    <span><span>1$</span>nested</span><span><b>$7</b></span>
+    <section><span class="sr">Current price: $2.50 each</span><span style="a:b">&#36;2.50 / lb</span><em>x</em> <span>per&nbsp;lb</span></section>
+    <img src="first.png"><div class="big ic-image-zoomer"><a><img alt src="zoom.png?a=1&amp;b=2"></a></div>
+    <div tabindex="-1"><div><h2> Details </h2></div><ul><li>one<li>two</ul><p>Good <b>milk</b>.<br>Fresh<p>More</div>
+    <ul><li><a data-testid="item_list_item_1b">shown in the dialog</a></ul></div>
+  <li><a data-testid="item_list_item_2">Bread</a> <!-- <div role="dialog" aria-label="item details"></div> -->
+  <li><a data-testid="item_list_item_1">Whole milk</a></ul></div>
+<script>document.write('<div data-testid="CrossRetailerResultRowWrapper"><a data-testid="item_list_item_9">')</script>
+<SECTION DATA-TESTID="CrossRetailerResultRowWrapper"><p>&nbsp;</p><A data-testid="item_list_item_3">Rice</A>
+  <div role=dialog aria-label="item details"><h2>Rice 2 lb</h2><span>about $3</span><span>$4.75</span><span>18 ct</span><img alt="none" src="http://i/missing-item.png"></div></SECTION>"""
+
+
+def test_cards_of_a_page(spark):
+    """Attributes in any order and quotes, nesting, entities, comments, scripts, unclosed elements, a decoy price, a card without a dialog."""
+    frame = spark.createDataFrame([(1, 1, PAGE), (1, 2, PAGE), (1, 12, PAGE), (2, 1, None), (3, 1, ""), (4, 1, "no < tags > at all")], "page_id long, carousel_page int, html string")
+    cards = pages.cut_cards(frame)
+    found = [(r.store, r.card_id, r.html is not None) for r in cards.where("page_id = 1 and carousel_page = 1").orderBy("seq").collect()]
+    assert found == [("Best Foods", "item_list_item_1", True), ("Best Foods", "item_list_item_2", False), ("Best Foods", "item_list_item_1", False),
+        ("Rice", "item_list_item_3", True)]
+    assert cards.where("page_id > 1").count() == 0
+    rows = {r.id: r for r in pages.parse_cards(pages.dedupe_cards(cards)).collect()}
+    assert set(rows) == {"1", "2", "3"}
+    got = {k: tuple(r)[4:] for k, r in rows.items()}
+    assert got["1"] == ("Whole\u00a0milk & cream 12 oz", "$2.50", "lb", None, "zoom.png?a=1&b=2", "Good milk.Fresh", True)
+    assert got["2"] == (None, None, None, None, None, None, False) and rows["2"].store == "Best Foods"
+    assert got["3"] == ("Rice 2 lb", "$4.75", None, "18 ct", None, None, False)
+
+
+def test_trees():
+    html = '<p>a<div>b<br>c</div><ul><li>x<li>y<ul><li>z</ul></ul><table><tr><td>1<td>2<tr><td>3</table><svg><path d="M"/><g/></svg></nope><input value=v>t<b>&amp;'
+    tree = h.Page(html)
+    shape = [(n.tag, n.parent, n.last, tree.text[n.begin : n.end]) for n in tree.nodes]
+    assert tree.text == "abcxyz123t&"
+    assert shape == [("p", -1, 0, "a"), ("div", -1, 2, "bc"), ("br", 1, 2, ""), ("ul", -1, 7, "xyz"), ("li", 3, 4, "x"), ("li", 3, 7, "yz"), ("ul", 5, 7, "z"),
+        ("li", 6, 7, "z"), ("table", -1, 13, "123"), ("tr", 8, 11, "12"), ("td", 9, 10, "1"), ("td", 9, 11, "2"), ("tr", 8, 13, "3"), ("td", 12, 13, "3"),
+        ("svg", -1, 16, ""), ("path", 14, 15, ""), ("g", 14, 16, ""), ("input", -1, 17, ""), ("b", -1, 18, "&")]
+    assert [n.kids for n in tree.nodes if n.tag in ("ul", "tr", "svg")] == [2, 1, 2, 1, 2]
+    assert tree.nodes[17].attrs == {"value": "v"} and html[tree.nodes[1].src : tree.nodes[1].src_end] == "<div>b<br>c</div>"
+
+
 def test_page_pieces(spark):
-    html = F.lit('<div aria-modal="true"><input type="email"></div><span>Current price: $4.50</span><span>$9.00</span><span>each</span><h2>OUT OF STOCK</h2>')
-    row = spark.range(1).select(pages.page_price(html), pages.out_of_stock(html), pages.gates(html)["login_wall"],
-        pages.page_price(F.lit(None).cast("string")), pages.store_name(F.lit("\n \n A \nB")), *pages.taxonomy_term(F.lit("cabbage, red"))).first()
-    assert tuple(row) == ("$4.50", True, True, None, "A", "cabbage, red", "red")
+    html = F.lit('<div aria-modal="true"><input type="email"></div>')
+    row = spark.range(1).select(pages.gates(html)["login_wall"], pages.store_name(F.lit("\n \n A \nB")), *pages.taxonomy_term(F.lit("cabbage, red"))).first()
+    assert tuple(row) == (True, "A", "cabbage, red", "red")
 
 
 def test_serving(spark):

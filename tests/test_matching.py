@@ -1,9 +1,11 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from basketry.functions import similarity as sim
+from basketry.functions import text as tx
 from basketry.operators import blocking, catalog, matching
 from basketry.operators import rules as rl
 from basketry.sources import storage, tables
@@ -18,16 +20,30 @@ def plain_lcs(a, b):
     return row[-1]
 
 
-def test_similarity_kernels():
+def plain_ratio(a, b):
+    return 100.0 if a == b else 200.0 * plain_lcs(a, b) / (len(a) + len(b)) if a and b else 0.0
+
+
+def plain_partial(a, b):
+    small, large = sorted((a, b), key=len)
+    windows = [large[max(0, i) : i + len(small)] for i in range(1 - len(small), len(large))]
+    return max(200.0 * plain_lcs(small, w) / (len(small) + len(w)) for w in windows) if small else 0.0 if large else 100.0
+
+
+@pytest.mark.parametrize("lanes", [7, 1 << 14])
+def test_similarity_kernels(monkeypatch, lanes):
+    """Texts around the 64-bit words, equal and empty ones, any letters; many pairs at once and few at a time."""
+    monkeypatch.setattr(sim, "LANES", lanes)
     rnd = random.Random(3)
-    for _ in range(300):
-        a, b = ("".join(rnd.choices("abc ", k=rnd.randint(0, 90))) for _ in "ab")
-        assert sim.lcs_length(a, b) == plain_lcs(a, b)
-        if a and b:
-            small, large = sorted((a, b), key=len)
-            windows = [large[max(0, i) : i + len(small)] for i in range(1 - len(small), len(large))]
-            assert sim.partial(a, b) == pytest.approx(max(200 * plain_lcs(small, w) / (len(small) + len(w)) for w in windows))
-    assert (sim.indel("", ""), sim.indel("", "a"), sim.partial("", ""), sim.partial("", "a")) == (100.0, 0.0, 100.0, 0.0)
+    sizes = [0, 0, 1, 2, 5, 12, 30, 63, 64, 65, 127, 128, 129, 150]
+    a, b = (["".join(rnd.choices("abcé 中😀", k=rnd.choice(sizes))) for _ in range(250)] for _ in "ab")
+    b[:20] = a[:20]
+    texts, (x, y), known = sim._interned((pa.array([*a, None, "a"]), pa.array([*b, "a", None])))
+    assert known.tolist() == [True] * 250 + [False] * 2
+    assert sim.indel(texts, x, y).tolist()[:250] == [plain_ratio(p, q) for p, q in zip(a, b, strict=True)]
+    assert sim.partial(texts, x, y).tolist()[:250] == [plain_partial(p, q) for p, q in zip(a, b, strict=True)]
+    in_order = [" ".join(sorted(p.split())) for p in a], [" ".join(sorted(q.split())) for q in b]
+    assert sim.sorted_indel(texts, x, y).tolist()[:250] == [plain_ratio(p, q) for p, q in zip(*in_order, strict=True)]
 
 
 PRODUCTS = [
@@ -168,3 +184,34 @@ def test_scratch_tables_go(spark):
     for gone in (inner, deepest):
         path = spark._jvm.org.apache.hadoop.fs.Path(gone.inputFiles()[0]).getParent()
         assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def test_bounds_spare_comparisons(spark, monkeypatch):
+    """Matches are those of all pairs compared; fewer are compared, and no score exceeds its bound."""
+    rnd = random.Random(5)
+    words = "red onion butter salted milk flour rice corn apple tart dried fresh soup green bean oil long pie".split()
+    rows = []
+    for i in range(900):
+        name = " ".join(rnd.sample(words, rnd.randint(1, 5)))
+        rows.append((i, name.title(), rnd.choice("ABC"), rnd.choice(["Produce", "Dairy", "Small Kitchen"]), rnd.choice(["PRODUCE", "DAIRY", "X"]),
+            rnd.choice(["", name, "onion"]), rnd.choice([None, "1.50", "2;3"])))
+    catalog_ = catalog.normalized(spark.createDataFrame(rows, "pos long, description string, brand string, categories string, classifier string, search_keyword string, price string").withColumn(
+        "productId", F.col("pos").cast("string"))).cache()
+    ings = spark.createDataFrame([(" ".join(rnd.sample(words, k)),) for k in (1, 1, 1, 2, 2, 2, 3, 3, 4)] + [("zzyzx",), ("onions red",)], "ing string").distinct().cache()
+    compared = []
+    real = matching.compare_texts
+    monkeypatch.setattr(matching, "compare_texts", lambda pairs: compared.append(storage.written(pairs, "counted")) or real(compared[-1]))
+    for cfg in (matching.MatchConfig(top_k=3), matching.MatchConfig(top_k=5), matching.MatchConfig(top_k=1, pool=2, pool_gap=5.0)):
+        known = matching.prepare_pairs(blocking.candidates(ings, catalog_, cfg.block, cfg.keep), catalog_, cfg)
+        every = matching.compare_texts(known.pairs).join(known.pairs.select("ing", "text_id", "overlap", "bound"), ["ing", "text_id", "overlap"])
+        assert every.where("total > bound + 1e-6").count() == 0
+        compared.clear()
+        got = matching.match_ingredients(ings, catalog_, cfg)
+        some = sum(c.count() for c in compared)
+        n_all = known.pairs.count()
+        scored = matching.score_pairs(blocking.candidates(ings, catalog_, cfg.block, cfg.keep), catalog_, cfg)
+        about = catalog_.withColumn("min_price", tx.parse_min_price("price")).select("pos", "productId", "description", "brand", "min_price")
+        want = matching.cheapest_of_best(matching.accept(matching.rank_matches(scored.join(about, "pos"), cfg.floor), cfg.accept), cfg)
+        columns = ["ing", "pos", "score", "match_rank"]
+        assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+        assert got.count() > 5 and some < 0.8 * n_all
