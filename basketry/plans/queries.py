@@ -460,7 +460,7 @@ def _page_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(f"""with {_CARDS} select replace(card_id, 'item_list_item_', '') as id, store, case when dialog is not null then name end as name,
-    case when dialog is not null then concat('$', price) end as price, case when dialog is not null and price is not null and offer_id % 3 = 0 then 'lb' end as price_unit,
+    case when dialog is not null then '$' || price end as price, case when dialog is not null and price is not null and offer_id % 3 = 0 then 'lb' end as price_unit,
     case when dialog is null or (price is not null and offer_id % 3 = 0) then null when price is not null and offer_id % 3 = 1 then concat('18', chr(160), 'ct')
       else {_NAMED} end as quantity,
     case when dialog is not null and part_id % 4 in (2, 3) then concat('http://i/', part_id, '.png?a=1&b=2') end as image_url,
