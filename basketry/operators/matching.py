@@ -142,8 +142,8 @@ def pairs_that_count(known: Prepared, about: DataFrame, cfg: MatchConfig) -> Dat
     """
     pool = max(3 * cfg.top_k, cfg.pool)
     order = Window.partitionBy("ing").orderBy(F.desc("bound"), "text_id", "overlap")
-    ranked = known.pairs.where(F.col("bound") >= cfg.floor - _SLACK).withColumn("before", F.sum("n_products").over(order) - F.col("n_products"))
-    ranked = written(ranked.withColumn("place", F.row_number().over(order)), "bounded-pairs")
+    ranked = known.pairs.where(F.col("bound") >= cfg.floor - _SLACK).withColumn("before", F.sum("n_products").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    ranked = ranked.fillna(0, ["before"])
     is_first = F.col("before") < 2 * pool
     first = written(compare_texts(ranked.where(is_first)), "first-scores")
     named = known.rows.join(first.select("ing", "text_id", "overlap", "total"), ["ing", "text_id", "overlap"]).join(about, "pos")

@@ -456,7 +456,7 @@ def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _page_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.parse_cards(pages.dedupe_cards(pages.cut_cards(_snapshots(spark, sf_dir))))
+    return pages.parse_cards(pages.dedupe_cards(pages.read_cards(_snapshots(spark, sf_dir))))
 
 
 @register(f"""with {_CARDS} select replace(card_id, 'item_list_item_', '') as id, store, case when dialog is not null then name end as name,

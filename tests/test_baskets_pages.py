@@ -275,6 +275,7 @@ def test_cards_of_a_page(spark):
         ("Rice", "item_list_item_3", True)]
     assert cards.where("page_id > 1").count() == 0
     rows = {r.id: r for r in pages.parse_cards(pages.dedupe_cards(cards)).collect()}
+    assert rows == {r.id: r for r in pages.parse_cards(pages.dedupe_cards(pages.read_cards(frame))).collect()}
     assert set(rows) == {"1", "2", "3"}
     got = {k: tuple(r)[4:] for k, r in rows.items()}
     assert got["1"] == ("Whole\u00a0milk & cream 12 oz", "$2.50", "lb", None, "zoom.png?a=1&b=2", "Good milk.Fresh", True)
@@ -300,6 +301,32 @@ def test_page_pieces(spark):
     assert tuple(row) == (True, "A", "cabbage, red", "red")
 
 
+def test_food_groups(spark):
+    """Phrases word for word, plurals, exempt phrases that cover and that only stand beside, null and empty texts, own lexicons."""
+    texts = {"2 cups whole Milk": {"dairy"}, "coconut milk": set(), "coconut milk and milk": {"dairy"}, "Eggplants": set(), "3 eggs, beaten": {"egg"},
+        "buttermilk": {"dairy"}, "peanut butter": {"peanut"}, "half and half": {"dairy"}, "oyster mushrooms": set(), "smoked salmon; tofu": {"fish", "soy"},
+        "almond flour": {"tree nut"}, "wheat flour": {"wheat"}, "": set(), "1/2": set()}
+    frame = spark.createDataFrame([(t,) for t in [*texts, None, "coconut milk"]], "text string")
+    got = {}
+    for r in serving.food_groups(frame, serving.food_phrases(spark)).collect():
+        got.setdefault(r.text, set()).add(r.food_group)
+    assert got == {t: g for t, g in texts.items() if g}
+    assert serving.food_groups(frame, serving.food_phrases(spark).limit(0)).count() == 0
+    own = serving.food_phrases(spark, {"a b": "x y z, x"}, {"a b": "x q"})
+    rows = serving.food_groups(spark.createDataFrame([("x q",), ("x q x",), ("x y z",)], "text string"), own).collect()
+    assert sorted(map(tuple, rows)) == [("x q x", "a b"), ("x y z", "a b")]
+
+
+def test_preferences(spark):
+    recipes = spark.createDataFrame([(u, r) for u in (1, 2, 3, 4) for r in (10, 11, 12)] + [(1, 10)], "user_id int, recipe_id int")
+    items = spark.createDataFrame([(10, "2 eggs"), (10, "milk"), (11, "bacon"), (11, None), (12, "rice")], "recipe_id int, text string")
+    wishes = spark.createDataFrame([(1, ["Vegan"], None), (2, [], ["Egg", "?"]), (3, None, None), (3, ["Vegetarian", None], [None])], "user_id int, diets array<string>, allergies array<string>")
+    got = {tuple(r) for r in serving.preference_filter(recipes, items, wishes, serving.food_phrases(spark)).collect()}
+    assert got == {(1, 12), (2, 11), (2, 12), (3, 10), (3, 12), (4, 10), (4, 11), (4, 12)}
+    rows = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c")], "user_id int, diet string")
+    assert [tuple(r) for r in serving.user_preferences(rows, 1).collect()] == [(1, "a")]
+
+
 def test_serving(spark):
     offers = spark.createDataFrame([(i, f"Thing 5{'%' if i == 3 else 'x'}", "t", "s", None if i == 0 else 1.0) for i in range(6)],
         "offer_id int, name string, taxonomy string, store string, price double")

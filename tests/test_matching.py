@@ -1,4 +1,5 @@
 import random
+import re
 
 import pyarrow as pa
 import pytest
@@ -105,6 +106,31 @@ def test_default_rules_are_separable(spark):
     assert {rules[i].name for i in n} >= {"R02", "R04", "R30", "R39"}
 
 
+def holds_plainly(test, text):
+    def word(w):
+        return w in text if re.search(r"[^a-zA-Z\s]", w) else bool(re.search(rf"\b{w}\b", text))
+
+    return ((not test.eq or text in test.eq) and (not test.any or any(t in text for t in test.any)) and all(t in text for t in test.all)
+        and not any(t in text for t in test.none) and (not test.token or bool(set(text.split(" ")) & set(test.token))) and (not test.word or any(map(word, test.word)))
+        and not any(map(word, test.no_word)) and text.endswith(test.end))
+
+
+def test_automaton_says_what_each_rule_says(spark):
+    """All default rules on random texts of their own words and others, each condition tested by itself."""
+    rnd = random.Random(8)
+    rules = rl.default_rules()
+    words = sorted({w for side in (rl.Side([(0, {"N": r.n}) for r in rules]), rl.Side([(0, dict(zip("DCK", (t for _, t in r.p)))) for r in rules])) for t in side.terms for w in [t, *t.split()]})
+    texts = ["", "potato", *(rnd.choice(["", " ", "x"]).join(rnd.choices(words, k=1)) for _ in range(50)), *(" ".join(rnd.choices(words, k=rnd.randint(1, 5))) for _ in range(250))]
+    rows = [(rnd.choice([*texts, None]), *(rnd.choice([*texts, None]) for _ in "DCK")) for _ in range(400)]
+    frame = spark.createDataFrame(rows, "n string, d string, c string, k string")
+    got = frame.select("*", rl.ingredient_side(rules, F.col("n")).alias("on_n"), rl.product_side(rules, {"D": F.col("d"), "C": F.col("c"), "K": F.col("k")}).alias("on_p")).collect()
+    empty = rl.Test()
+    for r in got:
+        assert r.on_n == [i for i, x in enumerate(rules) if x.n == empty or (r.n is not None and holds_plainly(x.n, r.n))]
+        field = {"D": r.d, "C": r.c, "K": r.k}
+        assert r.on_p == [i for i, x in enumerate(rules) if all(any(field[f] is not None and holds_plainly(t, field[f]) for f in name) for name, t in x.p)]
+
+
 def test_empty_tables(spark, products):
     none = spark.createDataFrame([], "ing string")
     assert matching.match_ingredients(none, products).count() == 0
