@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.operators import basket, catalog, serving
+from basketry.operators import basket, catalog, search, serving
 from basketry.plans.fixtures import table
 from basketry.plans.registry import register
 from basketry.sources import tables
@@ -52,10 +52,33 @@ def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("select o_orderkey, o_totalprice, 1 as batch from {orders} union all select o_orderkey, -o_totalprice, 2 from {orders} where o_orderkey % 2 = 0")
 def append_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches of orders; the second comes twice, as after a lost answer, and counts once."""
     orders, path = table(spark, sf_dir, "orders"), new_path(spark, "appended")
-    tables.append(orders.select("o_orderkey", "o_totalprice", F.lit(1).alias("batch")), path)
-    tables.append(orders.where("o_orderkey % 2 = 0").select("o_orderkey", (-F.col("o_totalprice")).alias("o_totalprice"), F.lit(2).alias("batch")), path)
-    return spark.read.parquet(path)
+    tables.append_batch(orders.select("o_orderkey", "o_totalprice", F.lit(1).alias("batch")), path, 1)
+    second = orders.where("o_orderkey % 2 = 0").select("o_orderkey", (-F.col("o_totalprice")).alias("o_totalprice"), F.lit(2).alias("batch"))
+    for _ in range(2):
+        tables.append_batch(second, path, 2)
+    return tables.read_batches(spark, path, "o_orderkey long, o_totalprice double, batch int")
+
+
+_FOUND = """select offer_id, name, price from {{offers}} where ({0}) order by price asc nulls last, offer_id limit {1} offset {2}"""
+
+
+@register(_FOUND.format("contains(lower(name), 'd gear') or contains(lower(taxonomy), 'd gear')", 40, 60).replace("{{", "{").replace("}}", "}"))
+def search_next_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The offers after the first sixty that hold a text, from a stored index, by price and id of the last one seen."""
+    path = new_path(spark, "search-index")
+    search.write_index(table(spark, sf_dir, "offers"), path)
+    seen = search.search(spark, path, "D Gear", limit=60).collect()[-1]
+    return search.search(spark, path, "D Gear", limit=40, after=(seen.price, seen.offer_id)).select("offer_id", "name", "price")
+
+
+@register(_FOUND.format("(contains(lower(name), 'ri') or contains(lower(taxonomy), 'ri')) and store = 'Supplier#000000003'", 1000, 0).replace("{{", "{").replace("}}", "}"))
+def search_in_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The offers of one store that hold a text of two letters."""
+    path = new_path(spark, "search-index")
+    search.write_index(table(spark, sf_dir, "offers"), path)
+    return search.search(spark, path, "RI", store="Supplier#000000003", limit=1000).select("offer_id", "name", "price")
 
 
 @register("select user_id, diet, allergy from {preferences} where user_id = (select min(user_id) from {preferences} where diet = 'BUILDING')")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +67,51 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def _files(spark: SparkSession, path: str) -> tuple[Any, Callable[[str], Any]]:
+    """The file system of a path, and how it names one."""
+    name = spark._jvm.org.apache.hadoop.fs.Path
+    return name(path).getFileSystem(spark._jsc.hadoopConfiguration()), name
+
+
+def committed_batches(spark: SparkSession, path: str) -> dict[int, str]:
+    """The numbers of the batches that a table of batches holds, with the folder of each."""
+    files, name = _files(spark, path)
+    if not files.exists(name(f"{path}/_commits")):
+        return {}
+    found = (x.getPath().getName().split("-", 1) for x in files.listStatus(name(f"{path}/_commits")) if x.getPath().getName()[:1].isdigit())
+    return {int(number): folder for number, folder in found}
+
+
+def append_batch(df: DataFrame, path: str, batch: int) -> bool:
+    """Append ``df`` as batch number ``batch`` once; false if the table has that batch already, and then nothing is written.
+
+    The rows go to a folder of their own, which becomes part of the table when a file that names it is
+    renamed to the place of the batch's commit. A run that fails before leaves a folder that no reader sees, and is
+    repeated under the same number. Batches are written one after the other by one driver.
+    """
+    spark = df.sparkSession
+    if batch < 0:
+        raise ValueError("batches are numbered from 0")
+    if batch in committed_batches(spark, path):
+        return False
+    folder = uuid.uuid4().hex
+    df.write.parquet(f"{path}/{folder}")
+    files, name = _files(spark, path)
+    files.mkdirs(name(f"{path}/_commits"))
+    files.create(name(f"{path}/_commits/_{folder}"), True).close()
+    if not files.rename(name(f"{path}/_commits/_{folder}"), name(f"{path}/_commits/{batch:010d}-{folder}")):
+        raise OSError(f"batch {batch} of {path} could not be committed")
+    return True
+
+
+def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of all committed batches, whole batches only."""
+    folders = sorted(committed_batches(spark, path).values())
+    if not folders:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{path}/{folder}" for folder in folders])
+
+
 def report_lines(matches: DataFrame) -> DataFrame:
     """``(recipe_id, line_no, text)`` of a match report: a header for each recipe, a line for each of its items."""
     title: Column = F.format_string("=== %s ===", "title")

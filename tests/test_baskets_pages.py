@@ -7,7 +7,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from basketry.functions import html as h
-from basketry.operators import basket, pages, serving
+from basketry.operators import basket, pages, search, serving
 from basketry.sources import tables
 from basketry.streaming import cart
 
@@ -364,3 +364,48 @@ def test_keyed_scan(spark, tmp_path):
     rows.write.jdbc(url, "items", properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
     got = tables.read_table_jdbc(spark, url, "items", "id", 0, 50, 4, driver="org.apache.derby.jdbc.EmbeddedDriver")
     assert got.rdd.getNumPartitions() == 4 and sorted(map(tuple, got.collect())) == [(i, f"n{i}") for i in range(50)]
+
+
+def test_search_index(spark, tmp_path):
+    """Pages of a stored index are those of the whole table, one after the other; the plan of a page reads one run's folder and no table."""
+    rnd = random.Random(4)
+    letters = "aAbB %_é"
+    rows = [(i, "".join(rnd.choices(letters, k=rnd.randint(0, 9))) or None, "".join(rnd.choices("ab", k=rnd.randint(0, 4))), rnd.choice("XY"), rnd.choice([None, 1.0, 2.0, 3.5]))
+        for i in range(400)]
+    offers = spark.createDataFrame(rows, "offer_id long, name string, taxonomy string, store string, price double")
+    path = str(tmp_path / "index")
+    search.write_index(offers, path)
+    for text, store in (("a", None), ("AB", "X"), ("ab%", None), ("aab ", "X"), ("é", None), ("zz", None), ("abq", None)):
+        want = [r[0] for r in sorted(rows, key=lambda r: (r[4] is None, r[4] or 0, r[0])) if any(text.lower() in (c or "").lower() for c in r[1:3]) and store in (None, r[3])]
+        assert [r.offer_id for r in search.search(spark, path, text, store, 14).collect()] == want[:14]
+    got, after = [], None
+    while page := search.search(spark, path, "b", None, 50, after).collect():  # through all prices to the unpriced
+        got += [r.offer_id for r in page]
+        after = page[-1].price, page[-1].offer_id
+    assert len(got) == len(set(got)) == sum("b" in ((r[1] or "") + r[2]).lower() for r in rows)
+    plan = search.search(spark, path, "aab")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan and "EqualTo(run," in plan and plan.count("FileScan") == 1
+    with pytest.raises(ValueError):
+        search.search(spark, path, "")
+
+
+def test_batches_are_whole_and_counted_once(spark, tmp_path):
+    path, schema = str(tmp_path / "batches"), "a long, b long"
+    assert tables.read_batches(spark, path, schema).count() == 0
+
+    def batch(n, fails=False):
+        rows = spark.range(100, numPartitions=4).select(F.col("id").alias("a"), F.lit(n).cast("long").alias("b"))
+        return rows.where(F.when((F.col("a") == 99) & F.lit(fails), F.raise_error(F.lit("lost")).cast("boolean")).otherwise(F.lit(True)))
+
+    assert tables.append_batch(batch(0), path, 0)
+    with pytest.raises(Exception, match="lost"):
+        tables.append_batch(batch(1, fails=True), path, 1)
+    assert {r.b for r in tables.read_batches(spark, path, schema).collect()} == {0}
+    written = [tables.append_batch(batch(n), path, n) for n in (0, 1, 2, 1)]  # the run begins again from the start
+    assert written == [False, True, True, False]
+    got = tables.read_batches(spark, path, schema).groupBy("b").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 100), (1, 100), (2, 100)]
+    left = tables.not_done(batch(2).union(batch(3)), tables.read_batches(spark, path, schema).select("b"), "b")
+    assert {r.b for r in left.collect()} == {3}
+    with pytest.raises(ValueError):
+        tables.append_batch(batch(1), path, -1)
