@@ -14,7 +14,7 @@ from basketry.plans import duck as dk
 from basketry.plans.fixtures import duck_sql, spark_sql, table
 from basketry.plans.registry import QUERIES, SQL, register
 from basketry.sources import tables
-from basketry.sources.storage import partitions, written
+from basketry.sources.storage import new_path, partitions, written
 from basketry.streaming import cart
 
 def joined(x: Column) -> Column:
@@ -721,7 +721,10 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     offers = table(spark, sf_dir, "offers")
     old = offers.where("offer_id % 3 <> 0 or offer_id % 4 <> 0").select("offer_id", "price", F.lit(0).cast("long").alias("version"))
     new = offers.where("offer_id % 4 = 0").select("offer_id", (F.col("price") + 1).alias("price"), (1 + F.col("offer_id") % 2).alias("version"))
-    return tables.upsert(old, new, "offer_id", "version")
+    stored = tables.KeyedTable(spark, new_path(spark, "keyed-offers"), "offer_id long, price double, version long", "offer_id", "version", buckets=8)
+    stored.merge(old)
+    stored.merge(new)
+    return stored.read()
 
 
 @register("select o_orderkey, o_totalprice from {orders} where o_orderkey not in (select l_orderkey from {lineitem} where l_returnflag = 'R')")

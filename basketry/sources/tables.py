@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -59,6 +60,71 @@ def upsert(old: DataFrame, new: DataFrame, key: str | list[str], seq: str) -> Da
     return rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "_new")
 
 
+class KeyedTable:
+    """A stored table with one row for each key, in buckets of keys; a merge rewrites the buckets that it touches and no other file.
+
+    A version of the table is a small file that names the folder of each bucket.
+    Readers see the last version that was committed, whole, whatever a merge has written so far; files
+    of earlier versions stay until ``vacuum``. One driver merges at a time: a second
+    one that began from the same version fails at its commit.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str, seq: str, buckets: int = 64):
+        self.spark, self.path, self.schema, self.key, self.seq, self.buckets = spark, path, schema, key, seq, buckets
+
+    def _versions(self) -> list[str]:
+        files, name = _files(self.spark, self.path)
+        folder = name(f"{self.path}/_versions")
+        return sorted(n for n in (x.getPath().getName() for x in files.listStatus(folder)) if n[:1].isdigit()) if files.exists(folder) else []
+
+    def _places(self, version: str | None = None) -> dict[int, str]:
+        """The folder of each bucket that has rows."""
+        versions = [version] if version else self._versions()
+        if not versions:
+            return {}
+        text = self.spark.read.text(f"{self.path}/_versions/{versions[-1]}", wholetext=True).first().value
+        return {int(bucket): folder for bucket, folder in json.loads(text).items()}
+
+    def _read(self, places: dict[int, str], buckets: Iterable[int]) -> DataFrame:
+        folders = sorted(f"{self.path}/{places[b]}" for b in buckets if b in places)
+        return self.spark.read.schema(self.schema).parquet(*folders) if folders else self.spark.createDataFrame([], self.schema)
+
+    def read(self) -> DataFrame:
+        places = self._places()
+        return self._read(places, places)
+
+    def merge(self, new: DataFrame) -> set[int]:
+        """Put ``new`` rows in place of those with their key, of several the one with the greatest ``seq``; the buckets that were rewritten."""
+        begun = self._versions()
+        places = self._places(begun[-1] if begun else None)
+        bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+        touched = {r[0] for r in new.select(bucket).distinct().collect()}  # numbers of buckets
+        if not touched:
+            return touched
+        merged = upsert(self._read(places, touched), new, self.key, self.seq).withColumn("_bucket", bucket)
+        folder = uuid.uuid4().hex
+        merged.repartition(len(touched), "_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+        places |= {b: f"{folder}/_bucket={b}" for b in touched}
+        files, name = _files(self.spark, self.path)
+        files.mkdirs(name(f"{self.path}/_versions"))
+        draft, version = name(f"{self.path}/_versions/_{folder}"), int(begun[-1]) + 1 if begun else 0
+        out = files.create(draft, True)
+        out.write(bytearray(json.dumps(places).encode()))
+        out.close()
+        place = name(f"{self.path}/_versions/{version:010d}")
+        if files.exists(place) or not files.rename(draft, place):
+            raise OSError(f"{self.path} has been merged into by another run")
+        return touched
+
+    def vacuum(self) -> None:
+        """Delete the folders that the last version has no bucket in."""
+        files, name = _files(self.spark, self.path)
+        kept = {folder.split("/")[0] for folder in self._places().values()}
+        for found in files.listStatus(name(self.path)):
+            if not found.getPath().getName().startswith("_") and found.getPath().getName() not in kept:
+                files.delete(found.getPath(), True)
+
+
 def delete_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return df.join(keys.select(key).distinct(), key, "left_anti")
 

@@ -409,3 +409,31 @@ def test_batches_are_whole_and_counted_once(spark, tmp_path):
     assert {r.b for r in left.collect()} == {3}
     with pytest.raises(ValueError):
         tables.append_batch(batch(1), path, -1)
+
+
+def test_merge_rewrites_what_it_touches(spark, tmp_path):
+    """Untouched buckets keep their files; readers see whole versions; two merges from one version do not both commit."""
+    path, schema = str(tmp_path / "keyed"), "id long, price double, version long"
+    stored = tables.KeyedTable(spark, path, schema, "id", "version", buckets=8)
+    assert stored.read().count() == 0 and stored.merge(spark.createDataFrame([], schema)) == set()
+    old = spark.createDataFrame([(i, float(i), 0) for i in range(200)], schema)
+    assert stored.merge(old) == set(range(8))
+    files = set(stored.read().inputFiles())
+    new = spark.createDataFrame([(3, 30.0, 1), (3, 31.0, 2), (500, 5.0, 1), (3, 32.0, 0)], schema)
+    touched = stored.merge(new)
+    rows = {r.id: (r.price, r.version) for r in stored.read().collect()}
+    assert len(rows) == 201 and rows[3] == (31.0, 2) and rows[500] == (5.0, 1) and rows[4] == (4.0, 0)
+    kept = files & set(stored.read().inputFiles())
+    assert len(touched) <= 2 and len(kept) >= 8 - len(touched) and all(f"_bucket={b}/" not in f for f in kept for b in touched)
+    stored.vacuum()
+    assert stored.read().count() == 201
+    lost = spark.createDataFrame([(7, 1.0, 9)], schema).withColumn("price", F.raise_error(F.lit("lost")).cast("double"))
+    with pytest.raises(Exception, match="lost"):
+        stored.merge(lost)
+    assert {r.id: (r.price, r.version) for r in stored.read().collect()} == rows
+    other = tables.KeyedTable(spark, path, schema, "id", "version", buckets=8)
+    begun = stored._versions()
+    other._versions = lambda: begun  # as another run saw it
+    stored.merge(new.limit(1))
+    with pytest.raises(OSError):
+        other.merge(new.limit(1))
