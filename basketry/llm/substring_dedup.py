@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.llm.storage import keyed, written
+from basketry.llm.storage import keyed
 from basketry.llm.textblocks import Block, Joined, Words, blocks, longs, mix
 
 #: Entries that a task holds before it sends them on.
@@ -344,12 +344,13 @@ def remove_repeats(docs: DataFrame, size: int = 13, seed: int = 5, texts: bool =
     matched = beside(docs, windows, "windows", "left")
 
     claims = matched.where("windows is not null").mapInArrow(_claims(size), "id long, src long, src_begin int, n int, digest binary")
-    claims = written(claims, "claims")  # a match that many rows share is claimed once
     chunk = F.pmod(F.xxhash64(*_CLAIM[1:]), F.lit(CHUNKS))
     once = claims.select(*_CLAIM).distinct().groupBy("src", chunk).agg(F.collect_list(F.struct(*_CLAIM[1:])).alias("claims"))
     asked = beside(docs, once.select(F.col("src").alias("claims_id"), "claims"), "claims", "inner")
     refuted = asked.mapInArrow(_refuted, "src long, src_begin int, n int, digest binary")
-    wrong = gathered(claims.join(refuted.distinct(), list(_CLAIM), "left_semi"), "refuted", *_CLAIM)
+    # a refuted claim goes to all that have a match with its source: those that made it know it again, and the claims are worked out once
+    pairs = windows.select(F.col("windows_id").alias("id"), F.explode(F.array_distinct("windows.src")).alias("src"))
+    wrong = gathered(pairs.join(refuted.distinct(), "src").select("id", *_CLAIM), "refuted", *_CLAIM)
 
     kinds = "doc_id long, n_words long, n_removed long, kept_sha256 string, repeats array<struct<begin:long,end:long>>" + ", kept_text string" * texts
     return beside(matched, wrong, "refuted", "left").mapInArrow(_repeats(size, texts), kinds)
