@@ -21,7 +21,7 @@ MAGIC = b"WVM2"
 FRAME = 1024
 #: Ids of a shard before it is closed; a longer document is a shard alone.
 SHARD_IDS = 1 << 20
-CACHED_WORDS = 600_000
+CACHED_WORDS = 200_000
 
 
 class _Plane:
