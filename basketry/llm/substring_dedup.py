@@ -15,7 +15,7 @@ from basketry.llm.storage import keyed
 from basketry.llm.textblocks import Block, Joined, Words, blocks, longs, mix
 
 #: Entries that a task holds before it sends them on.
-HELD = 1 << 20
+HELD = 1 << 19
 #: Parts that the claims against one document are dealt to.
 CHUNKS = 16
 #: Where rows without doc_id stand in the order of documents: last, side by side.
