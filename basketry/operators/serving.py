@@ -91,9 +91,12 @@ def user_preferences(preferences: DataFrame, user: int) -> DataFrame:
     return preferences.where(F.col("user_id") == user).orderBy(*preferences.columns).limit(1)
 
 
-def match_lookup(matches: DataFrame, recipe: int) -> DataFrame:
-    """The matches of one recipe in order of line and rank."""
-    return matches.where((F.col("recipe_id") == recipe) & F.col("match_rank").isNotNull()).orderBy("raw", "match_rank")
+def match_lookup(matches: DataFrame, recipes: DataFrame | int) -> DataFrame:
+    """The matches of one recipe, or of all in ``recipes (recipe_id)``, in order of line and rank, then of recipe."""
+    found = matches.where(F.col("match_rank").isNotNull())
+    one = isinstance(recipes, int)
+    found = found.where(F.col("recipe_id") == recipes) if one else found.join(recipes.select("recipe_id").distinct(), "recipe_id", "left_semi")
+    return found.orderBy("raw", "match_rank", "recipe_id")
 
 
 def title_filter(rows: DataFrame, text: str) -> DataFrame:
