@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.text import display_price
-from basketry.sources.storage import written
+from basketry.sources.storage import partitions, written
+
+#: Tasks that write the rows of a bucket.
+SHARES = 8
 
 
 def read_csv_catalog(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -103,7 +106,8 @@ class KeyedTable:
             return touched
         merged = upsert(self._read(places, touched), new, self.key, self.seq).withColumn("_bucket", bucket)
         folder = uuid.uuid4().hex
-        merged.repartition(len(touched), "_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+        share = F.pmod(F.xxhash64(F.lit("share"), self.key), F.lit(SHARES))  # a bucket is as many files, so that no task holds it whole
+        merged.repartition(SHARES * partitions(self.spark), "_bucket", share).write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
         places |= {b: f"{folder}/_bucket={b}" for b in touched}
         files, name = _files(self.spark, self.path)
         files.mkdirs(name(f"{self.path}/_versions"))
