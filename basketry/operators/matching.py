@@ -271,17 +271,27 @@ def match_parts(lines: DataFrame, catalog: DataFrame, cfg: MatchConfig = MatchCo
     parts, one whose parts are all empty as one unmatched row of 0 parts. Equal
     parts are matched once in all lines.
     """
-    parts = line_parts(lines.select("line_id", "raw").distinct())
-    texts = parts.select(F.col("part").alias("raw")).distinct()
-    found = match_lines(texts, catalog, cfg).drop("line").withColumnRenamed("raw", "part")
     whole = lines.select("line_id", "raw").distinct()
-    rows = whole.withColumn("line", tx.preprocess("raw")).drop("raw")
-    rows = rows.join(parts, "line_id", "left").join(found, "part", "left")
+    return with_texts(whole, text_parts(whole.select("raw"), catalog, cfg)).drop("raw")
+
+
+def text_parts(lines: DataFrame, catalog: DataFrame, cfg: MatchConfig = MatchConfig(top_k=3)) -> DataFrame:
+    """``match_parts`` of each distinct text of ``lines (raw)``, written: it is as small as the texts are few."""
+    texts = written(lines.select("raw").distinct(), "line-texts")
+    parts = written(line_parts(texts.select(F.col("raw").alias("line_id"), "raw")).withColumnRenamed("line_id", "raw"), "line-parts")
+    found = match_lines(parts.select(F.col("part").alias("raw")).distinct(), catalog, cfg).drop("line").withColumnRenamed("raw", "part")
+    rows = texts.withColumn("line", tx.preprocess("raw")).join(parts, "raw", "left").join(found, "part", "left")
     empty = F.col("n_parts").isNull()
     skip = F.when(empty, F.when(F.col("line") == "", "empty after preprocessing").otherwise("")).otherwise(F.col("skip"))
     state = F.when(empty, F.when(F.col("line") == "", "skipped").otherwise("unmatched")).otherwise(F.col("state"))
-    return rows.select("line_id", "line", "part_no", F.coalesce("n_parts", F.lit(0).cast("long")).alias("n_parts"), "part", skip.alias("skip"), "ing",
-        state.alias("state"), *MATCH, "breakdown")
+    return written(rows.select("raw", "line", "part_no", F.coalesce("n_parts", F.lit(0).cast("long")).alias("n_parts"), "part", skip.alias("skip"), "ing",
+        state.alias("state"), *MATCH, "breakdown"), "text-parts")
+
+
+def with_texts(lines: DataFrame, texts: DataFrame, how: str = "inner") -> DataFrame:
+    """``lines (raw, ...)`` with what is known of their texts in ``texts (raw, ...)``: one join, and lines are not moved if texts are few."""
+    known = texts.withColumnRenamed("raw", "known_raw")
+    return lines.join(known, F.col("raw").eqNullSafe(F.col("known_raw")), how).drop("known_raw")
 
 
 def nested_results(found: DataFrame) -> DataFrame:
@@ -306,6 +316,13 @@ def nested_results(found: DataFrame) -> DataFrame:
     )
 
 
+def nested_lines(lines: DataFrame, catalog: DataFrame, cfg: MatchConfig = MatchConfig(top_k=3)) -> DataFrame:
+    """``nested_results`` of the parts of ``lines (line_id, raw)``, worked out once for each distinct text."""
+    whole = lines.select("line_id", "raw").distinct()
+    nested = nested_results(text_parts(whole.select("raw"), catalog, cfg).withColumnRenamed("raw", "line_id")).withColumnRenamed("line_id", "raw")
+    return with_texts(whole, written(nested, "nested-texts")).drop("raw")
+
+
 def line_parts(lines: DataFrame) -> DataFrame:
     """``(line_id, part_no, n_parts, part)``: the alternatives and compounds of each line, each cleaned key once."""
     texts = lines.select("raw").distinct().withColumn("line", tx.preprocess("raw"))
@@ -325,13 +342,15 @@ def match_table(lines: DataFrame, catalog: DataFrame, cfg: MatchConfig = MatchCo
     matched; skipped ones give no row. A line of several parts, or of none, is kept
     as a row without a match.
     """
-    parts = line_parts(lines.select("line_id", "raw").distinct())
-    single = parts.where("n_parts = 1").select("line_id", F.col("part").alias("raw"))
-    clean = normalized_lines(single)
+    texts = written(lines.select("raw").distinct(), "line-texts")
+    parts = line_parts(texts.select(F.col("raw").alias("line_id"), "raw"))
+    single = parts.where("n_parts = 1").select(F.col("line_id").alias("whole"), F.col("part").alias("raw"))
+    clean = written(normalized_lines(single), "clean-texts")
     matches = match_ingredients(clean.where("skip = ''").select("ing").distinct(), catalog, cfg)
-    skipped = clean.where("skip <> ''").select("line_id").union(lines.where(tx.preprocess("raw") == "").select("line_id"))
-    hits = clean.where("skip = ''").select("line_id", "ing").join(matches.select("ing", *MATCH), "ing")
-    return lines.join(skipped, "line_id", "left_anti").join(hits, "line_id", "left")
+    skipped = clean.where("skip <> ''").select("whole").union(texts.where(tx.preprocess("raw") == "").select("raw"))
+    hits = clean.where("skip = ''").select("whole", "ing").join(matches.select("ing", *MATCH), "ing")
+    kept = texts.join(skipped, F.col("raw").eqNullSafe(F.col("whole")), "left_anti").join(hits.withColumnRenamed("whole", "raw"), "raw", "left")
+    return with_texts(lines, written(kept, "text-matches")).select(*lines.columns, "ing", *MATCH)
 
 
 def run_counters(table: DataFrame) -> DataFrame:

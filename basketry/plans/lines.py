@@ -266,7 +266,7 @@ def match_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from each group by line_id, line, n_parts""")
 def nested_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a line: its matches, or its alternatives with theirs."""
-    found = matching.nested_results(_found_parts(spark, sf_dir))
+    found = matching.nested_lines(table(spark, sf_dir, "shopping_lines"), core._catalog(spark, sf_dir), core.CONFIG)
     shown = F.transform("alternatives", lambda p: F.concat(p["part"], F.lit("="), p["state"], F.lit(":"), F.size(p["matches"]).cast("string")))
     return found.select("line_id", "line", F.size("matches").cast("long").alias("matches"), F.array_join(shown, "; ").alias("alternatives"))
 
@@ -290,6 +290,6 @@ _PRICE = "case when coalesce(min_price, 0) = 0 then 'price N/A' else printf('$%.
     select recipe_id, row_number() over (partition by recipe_id order by line_id nulls first, part_no, rank) - 1 as line_no, text from texts""")
 def split_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of a run, with the parts of split lines under them."""
-    lines = table(spark, sf_dir, "shopping_lines").select("line_id", "recipe_id", F.concat(F.lit("No. "), "recipe_id").alias("title"))
-    found = _found_parts(spark, sf_dir).join(lines.distinct(), "line_id").withColumn("score", F.col("score").cast("double"))
-    return tables.split_report(found).withColumn("line_no", F.col("line_no").cast("long"))
+    lines = table(spark, sf_dir, "shopping_lines").select("line_id", "recipe_id", F.concat(F.lit("No. "), "recipe_id").alias("title"), "raw")
+    found = matching.text_parts(lines, core._catalog(spark, sf_dir), core.CONFIG).withColumn("score", F.col("score").cast("double"))
+    return tables.split_report_of_texts(lines, found)

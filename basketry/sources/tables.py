@@ -206,9 +206,18 @@ def split_report(found: DataFrame) -> DataFrame:
     its matched parts indented below; if none matched it has no match. Skipped
     lines are left out, and so are skipped and unmatched parts.
     """
+    place = "recipe_id", "line_id"
+    titles = found.select("recipe_id", F.lit(None).cast(dict(found.dtypes)["line_id"]).alias("line_id"), F.lit(-1).alias("part_no"),
+        F.lit(-3).alias("rank"), F.format_string("Recipe: %s", "title").alias("text")).distinct()
+    order = Window.partitionBy("recipe_id").orderBy(F.asc_nulls_first("line_id"), "part_no", "rank")
+    return titles.union(_said(found, *place)).select("recipe_id", (F.row_number().over(order) - 1).alias("line_no"), "text")
+
+
+def _said(found: DataFrame, *place: str) -> DataFrame:
+    """``(*place, part_no, rank, text)``: what a report says of each line, which ``place`` names."""
     text = F.col("line")
     single, hit = F.col("n_parts") == 1, F.col("state") == "matched"
-    matched = F.max(hit.cast("int")).over(Window.partitionBy("recipe_id", "line_id")) == 1
+    matched = F.max(hit.cast("int")).over(Window.partitionBy(*place)) == 1
     rows = found.withColumn("matched", matched).where(~((F.col("n_parts") <= 1) & (F.col("state") == "skipped")))
     own = F.when(single, F.col("part")).otherwise(text)
     tail = F.when(~single & F.col("matched"), "  [split]").otherwise("")
@@ -216,13 +225,28 @@ def split_report(found: DataFrame) -> DataFrame:
     price = F.when(F.coalesce("min_price", F.lit(0.0)) == 0, "price N/A").otherwise(F.format_string("$%.2f", "min_price"))
     shown = F.concat(F.lit("-> ["), F.coalesce("brand", F.lit("")), F.lit("] "), "description", F.lit(" | "), price, F.lit(" | score: "),
         F.format_string("%.2f", "score"))
-    place = "recipe_id", "line_id"
     heads = rows.select(*place, F.lit(-1).alias("part_no"), F.lit(-2).alias("rank"), head.alias("text")).distinct()
     none = rows.where(~F.col("matched")).select(*place, F.lit(-1).alias("part_no"), F.lit(-1).alias("rank"), F.lit("  No match found").alias("text")).distinct()
     parts = rows.where(~single & hit).select(*place, "part_no", F.lit(-1).alias("rank"), F.concat(F.lit("  Ingredient: "), "part").alias("text")).distinct()
     hits = rows.where(hit).select(*place, "part_no", F.col("match_rank").alias("rank"), F.concat(F.when(single, "  ").otherwise("    "), shown).alias("text"))
-    titles = found.select("recipe_id", F.lit(None).cast(dict(found.dtypes)["line_id"]).alias("line_id"), F.lit(-1).alias("part_no"),
-        F.lit(-3).alias("rank"), F.format_string("Recipe: %s", "title").alias("text")).distinct()
-    lines = titles.union(heads).union(none).union(parts).union(hits)
-    order = Window.partitionBy("recipe_id").orderBy(F.asc_nulls_first("line_id"), "part_no", "rank")
-    return lines.select("recipe_id", (F.row_number().over(order) - 1).alias("line_no"), "text")
+    return heads.union(none).union(parts).union(hits)
+
+
+def split_report_of_texts(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """``split_report`` of ``lines (recipe_id, title, line_id, raw)``, with ``found`` (without recipe, title and line_id) of each text ``raw``.
+
+    What a text has to say is put together once. Lines are dealt by recipe, and
+    their places are sums of the numbers of text lines; texts come in after that.
+    """
+    said = F.array_sort(F.collect_list(F.struct("part_no", "rank", "text"))).alias("said")
+    texts = written(_said(found, "raw").groupBy(F.col("raw").alias("known_raw")).agg(said), "report-texts")
+    rows = lines.select("recipe_id", "title", "line_id", "raw").repartition("recipe_id").distinct()
+    rows = rows.join(texts, F.col("raw").eqNullSafe(F.col("known_raw")), "left").withColumn("said", F.coalesce("said.text", F.array().cast("array<string>")))
+    order = Window.partitionBy("recipe_id").orderBy(F.asc_nulls_first("line_id"))
+    n = F.size("said")
+    before = F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - n
+    rows = rows.select("recipe_id", "title", "said", before.alias("before"), (F.row_number().over(order) == 1).alias("first"))
+    title = F.when(F.col("first"), F.array(F.struct(F.lit(0).cast("long").alias("line_no"), F.format_string("Recipe: %s", "title").alias("text"))))
+    own = F.transform("said", lambda x, i: F.struct((F.col("before") + i + 1).cast("long").alias("line_no"), x.alias("text")))
+    shown = F.concat(F.coalesce(title, F.array().cast("array<struct<line_no:bigint,text:string>>")), own)
+    return rows.select("recipe_id", F.explode(shown).alias("x")).select("recipe_id", "x.line_no", "x.text")
