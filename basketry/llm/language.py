@@ -177,10 +177,9 @@ def seen_trigrams(labelled: DataFrame) -> Seen:
     return Seen(codes[order], texts[order], least, frozenset(x for x, n in sizes.items() if n == 1))
 
 
-def _share(seen: Seen, texts: list[str], langs: list[str | None]) -> np.ndarray:
-    b = bundled(texts, 1)
+def _share(seen: Seen, b: Bundles, langs: list[str | None]) -> np.ndarray:
     if not b.counts.size or not len(seen.codes):
-        return np.zeros(len(texts))
+        return np.zeros(len(langs))
     codes = _trigram_codes(b)
     at = np.minimum(np.searchsorted(seen.codes, codes), len(seen.codes) - 1)
     held = np.where(seen.codes[at] == codes, seen.texts[at], 0)
@@ -192,24 +191,27 @@ def _share(seen: Seen, texts: list[str], langs: list[str | None]) -> np.ndarray:
 def _shares(seen: Seen):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in _batches(batches):
-            share = _share(seen, texts, rows.column(rows.schema.get_field_index("lang")).to_pylist())
+            share = _share(seen, bundled(texts, 1), rows.column(rows.schema.get_field_index("lang")).to_pylist())
             kept = {f.name: rows.column(i) for i, f in enumerate(rows.schema) if f.name not in ("text", "lang")}
             yield pa.RecordBatch.from_pydict(kept | {"seen_share": pa.array(share)})
 
     return run
 
 
-def _kept(seen: Seen, least: float):
+def _kept(profiles: Profiles, seen: Seen, least: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in _batches(batches):
-            yield rows.filter(pa.array(_share(seen, texts, rows.column(rows.schema.get_field_index("lang")).to_pylist()) >= least))
+            b = bundled(texts, profiles.dims)
+            langs, _ = _nearest(profiles, b)
+            share = _share(seen, b, rows.column(rows.schema.get_field_index("lang")).to_pylist())
+            yield rows.filter(pa.array((share >= least) & np.array([x is not None for x in langs], bool)))
 
     return run
 
 
-def kept_rows(docs: DataFrame, seen: Seen, least: float) -> DataFrame:
-    """The rows of ``docs (text, lang, ...)`` whose ``seen_share`` is ``least`` or more, with all their columns."""
-    return docs.mapInArrow(_kept(seen, least), docs.schema)
+def kept_rows(docs: DataFrame, profiles: Profiles, seen: Seen, least: float) -> DataFrame:
+    """The rows of ``docs (text, lang, ...)`` that ``identify`` gives a language and whose ``seen_share`` is ``least`` or more, with all their columns."""
+    return docs.mapInArrow(_kept(profiles, seen, least), docs.schema)
 
 
 def seen_shares(docs: DataFrame, seen: Seen, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -223,22 +225,26 @@ def seen_shares(docs: DataFrame, seen: Seen, keep: tuple[str, ...] = ("doc_id",)
     return rows.mapInArrow(_shares(seen), schema)
 
 
+def _nearest(profiles: Profiles, b: Bundles) -> tuple[list[str | None], np.ndarray]:
+    """The language whose prototype is nearest to each bundled document, None without letters or prototypes, and the cosine (0 to 1)."""
+    n = len(b.letters)
+    score, best = np.zeros(n), np.zeros(n, np.int64)
+    if profiles.langs and b.counts.size:
+        documents = b.counts @ _trigram_vectors(*b.parts, profiles.dims)
+        norms = np.maximum(1e-9, np.linalg.norm(documents, axis=1, keepdims=True))
+        cosine = documents / norms @ profiles.vectors.T
+        best = cosine.argmax(axis=1)
+        score = np.clip(cosine.max(axis=1), 0, 1).astype(np.float64)
+    known = (b.letters > 0) & bool(profiles.langs)
+    return [profiles.langs[i] if k else None for i, k in zip(best, known, strict=True)], np.where(known, score, 0.0)
+
+
 def _predicted(profiles: Profiles):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in _batches(batches):
-            b = bundled(texts, profiles.dims)
-            score = np.zeros(len(texts))
-            best = np.zeros(len(texts), np.int64)
-            if profiles.langs and b.counts.size:
-                documents = b.counts @ _trigram_vectors(*b.parts, profiles.dims)
-                norms = np.maximum(1e-9, np.linalg.norm(documents, axis=1, keepdims=True))
-                cosine = documents / norms @ profiles.vectors.T
-                best = cosine.argmax(axis=1)
-                score = np.clip(cosine.max(axis=1), 0, 1).astype(np.float64)
-            known = (b.letters > 0) & bool(profiles.langs)
-            langs = [profiles.langs[i] if k else "und" for i, k in zip(best, known, strict=True)]
+            langs, score = _nearest(profiles, bundled(texts, profiles.dims))
             kept = {f.name: rows.column(i) for i, f in enumerate(rows.schema) if f.name != "text"}
-            yield pa.RecordBatch.from_pydict(kept | {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(np.where(known, score, 0.0))})
+            yield pa.RecordBatch.from_pydict(kept | {"lang_pred": pa.array(["und" if x is None else x for x in langs], pa.string()), "score": pa.array(score)})
 
     return run
 
