@@ -12,8 +12,8 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValu
 
 from basketry.sources.storage import new_path
 
-#: Parts that a cart's lines are dealt to; a clear goes to all of them.
-PARTS = 16
+#: Parts that a cart's lines are dealt to; a clear goes to all of them, and each part costs its own calls on the state.
+PARTS = 4
 OUT = "cart_id long, item long, quantity int, price double, name string, step long"
 STORE = "spark.sql.streaming.stateStore.providerClass"
 
@@ -51,8 +51,10 @@ class CartPart(StatefulProcessor):
 
     ``lines`` maps an item to what events behind the watermark have made of it,
     ``waiting`` a seq to an event that may still be overtaken, ``seen`` holds the last
-    seq that was folded for good and how often the part has changed. A part
-    without lines and waiting events keeps nothing.
+    seq that was folded for good and how often the part has changed. What comes before the
+    latest clear can change nothing and does not wait; what the watermark has passed does not
+    either. A part without lines and waiting events keeps nothing. Each call on the state is a
+    message to the executor, so what cannot be there is not asked for.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -62,21 +64,24 @@ class CartPart(StatefulProcessor):
         self.seen = handle.getValueState("seen", "applied string, step long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        applied, step = self.seen.get() if self.seen.exists() else ("", 0)
-        new = {r.seq: (r.at, "" if r["item"] is None else str(r["item"]), r.action, r.price, r.name) for r in rows if r.seq > applied}
-        known = {seq: tuple(event) for (seq,), event in self.waiting.iterator()}
-        new = {seq: event for seq, event in new.items() if seq not in known}
+        held = self.seen.get()
+        applied, step = held or ("", 0)
+        known = self._waiting() if held else {}
+        new = {r.seq: (r.at, "" if r["item"] is None else str(r["item"]), r.action, r.price, r.name) for r in rows if r.seq > applied and r.seq not in known}
+        cleared = max((seq for events in (known, new) for seq, event in events.items() if event[2] == "clear"), default="")
+        new = {seq: event for seq, event in new.items() if seq >= cleared}
         if not new:
             return
-        emptied = any(e[2] == "clear" for e in new.values())
         touched = {e[1] for e in new.values() if e[2] != "clear"}
-        if emptied:
-            touched |= {item for (item,) in self.lines.keys()} | {e[1] for e in known.values() if e[2] != "clear"}
-        start = {item: tuple(self.lines.getValue((item,))) for item in sorted(touched) if self.lines.containsKey((item,))}
-        before, after = (fold_lines(start, _in_order(e, touched)) for e in (known, known | new))
-        for seq, event in new.items():
-            self.waiting.updateValue((seq,), event)
-        self._settle(known | new, applied, step + 1, timerValues.getCurrentWatermarkInMs())
+        start: dict[str, tuple] = {}
+        if cleared in new:
+            start = {item: tuple(line) for (item,), line in self.lines.iterator()} if applied else {}
+            touched |= start.keys() | {e[1] for e in known.values() if e[2] != "clear"}
+        elif not cleared:
+            start = self._lines(touched, applied)
+        alive = {seq: event for seq, event in (known | new).items() if seq >= cleared}
+        before, after = (fold_lines(start, _in_order(e, touched)) for e in (known, alive))
+        self._settle(known, alive, held, step + 1, timerValues.getCurrentWatermarkInMs())
         for item in sorted(touched):
             if before.get(item) != after.get(item):
                 quantity, price, name = after.get(item, (0, None, None))
@@ -84,39 +89,50 @@ class CartPart(StatefulProcessor):
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         """What waited is folded for good; it was shown before, so nothing changes."""
-        applied, step = self.seen.get() if self.seen.exists() else ("", 0)
-        self._settle({seq: tuple(event) for (seq,), event in self.waiting.iterator()}, applied, step, timerValues.getCurrentWatermarkInMs())
+        held, known = self.seen.get(), self._waiting()
+        self._settle(known, known, held, held[1] if held else 0, timerValues.getCurrentWatermarkInMs())
         return iter(())
 
-    def _settle(self, waiting: dict[str, tuple], applied: str, step: int, upto: int) -> None:
-        """Fold the events behind the watermark into their lines and forget them."""
+    def _waiting(self) -> dict[str, tuple]:
+        return {seq: tuple(event) for (seq,), event in self.waiting.iterator()}
+
+    def _lines(self, items: set[str], applied: str) -> dict[str, tuple]:
+        """The lines of ``items``; none are there before anything was folded for good."""
+        return {item: tuple(line) for item in sorted(items) if (line := self.lines.getValue((item,))) is not None} if applied else {}
+
+    def _settle(self, stored: dict[str, tuple], waiting: dict[str, tuple], held: tuple | None, step: int, upto: int) -> None:
+        """Fold the events behind the watermark into their lines; of ``waiting`` the others are kept, and of those ``stored`` before no more."""
+        applied = held[0] if held else ""
         done = {seq: event for seq, event in waiting.items() if event[0] < upto}
-        if done:
-            emptied = any(e[2] == "clear" for e in done.values())
-            touched = {e[1] for e in done.values() if e[2] != "clear"}
-            start = {item: tuple(self.lines.getValue((item,))) for item in touched if self.lines.containsKey((item,))}
-            left = fold_lines(start, _in_order(done, touched))
-            if emptied:
-                self.lines.clear()
-            for item in touched:
-                if item in left:
-                    self.lines.updateValue((item,), left[item])
-                elif not emptied and item in start:
-                    self.lines.removeKey((item,))
-            for seq in done:
+        rest = {seq: event for seq, event in waiting.items() if seq not in done}
+        gone = stored.keys() - rest.keys()
+        if gone and len(gone) == len(stored):
+            self.waiting.clear()
+        else:
+            for seq in gone:
                 self.waiting.removeKey((seq,))
-            applied = max(applied, *done)
-        rest = [event[0] for seq, event in waiting.items() if seq not in done]
+        for seq in rest.keys() - stored.keys():
+            self.waiting.updateValue((seq,), rest[seq])
+        emptied = any(e[2] == "clear" for e in done.values())
+        touched = {e[1] for e in done.values() if e[2] != "clear"}
+        start = {} if emptied else self._lines(touched, applied)
+        left = fold_lines(start, _in_order(done, touched))
+        if emptied and applied:
+            self.lines.clear()
+        for item in touched:
+            if item in left:
+                self.lines.updateValue((item,), left[item])
+            elif item in start:
+                self.lines.removeKey((item,))
         if rest:
-            wake = max(upto, max(rest)) + 1
-            if wake not in set(self.handle.listTimers()):
+            wake = max(upto, *(event[0] for event in rest.values())) + 1
+            if not held or wake not in set(self.handle.listTimers()):
                 self.handle.registerTimer(wake)
-        elif not any(True for _ in self.lines.keys()):
-            self.lines.clear()
-            self.waiting.clear()
-            self.seen.clear()
+        elif not left and (emptied or not applied or not any(True for _ in self.lines.keys())):
+            if held:
+                self.seen.clear()
             return
-        self.seen.update((applied, step))
+        self.seen.update((max(applied, *done) if done else applied, step))
 
 
 def _in_order(events: dict[str, tuple], items: set[str]) -> list[tuple]:
