@@ -139,11 +139,10 @@ def learn_profiles(labelled: DataFrame, dims: int = DIMENSIONS) -> Profiles:
 
 @dataclass
 class Seen:
-    """Sorted codes of the trigrams that labelled texts hold, with the number of texts that hold each."""
+    """For each language, sorted codes of the trigrams that its labelled texts hold, with the number of texts that hold each, and how many texts it takes."""
 
-    codes: np.ndarray
-    texts: np.ndarray
-    least: int
+    tables: dict[str, tuple[np.ndarray, np.ndarray]]
+    least: dict[str, int]
     single: frozenset[str]  # languages of one labelled text, which no other text can bear out
 
 
@@ -153,76 +152,79 @@ def _trigram_codes(b: Bundles) -> np.ndarray:
 
 
 def _trigram_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    codes, texts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for _, rows in _batches(batches):
-        b = bundled(rows, 1)
-        if b.counts.size:
-            codes, place = np.unique(np.concatenate((codes, _trigram_codes(b))), return_inverse=True)
-            texts = np.bincount(place, np.concatenate((texts, (b.counts > 0).sum(axis=0)))).astype(np.int64)
-    yield pa.RecordBatch.from_pydict({"code": codes, "texts": texts})
+    found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    for rows, texts in _batches(batches):
+        langs = np.array(rows.column(rows.schema.get_field_index("lang")).to_pylist(), object)
+        b = bundled(texts, 1)
+        if not b.counts.size:
+            continue
+        own = _trigram_codes(b)
+        for name in set(langs):
+            held = (b.counts[langs == name] > 0).sum(axis=0)
+            codes, counts = found.get(name, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+            codes, place = np.unique(np.concatenate((codes, own[held > 0])), return_inverse=True)
+            found[name] = codes, np.bincount(place, np.concatenate((counts, held[held > 0])), len(codes)).astype(np.int64)
+    for name, (codes, counts) in found.items():
+        yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(codes), pa.string()), "code": codes, "texts": counts})
 
 
 def seen_trigrams(labelled: DataFrame) -> Seen:
-    """The trigrams of ``labelled (text, lang)`` that one text in ten thousand holds, or one text where there are fewer.
+    """The trigrams that, of a language's texts in ``labelled (text, lang)``, one in ten thousand holds, or one text where there are fewer.
 
-    At most ten thousand times the distinct trigrams of a mean text come to the driver.
+    At most ten thousand times the distinct trigrams of a mean text come to the driver for each language.
     """
-    rows = labelled.where("lang is not null")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    least = max(1, sum(sizes.values()) // 10_000)
-    table = rows.select("text").mapInArrow(_trigram_texts, "code long, texts long").groupBy("code").agg(F.sum("texts").alias("texts"))
-    kept = table.where(F.col("texts") >= least).toArrow()
+    rows = labelled.where("lang is not null").select("text", "lang")
+    counts = rows.groupBy("lang").agg(F.greatest(F.lit(1), F.floor(F.count("*") / 10_000)).alias("least"), F.count("*").alias("n"))
+    sizes = counts.collect()
+    table = rows.mapInArrow(_trigram_texts, "lang string, code long, texts long").groupBy("lang", "code").agg(F.sum("texts").alias("texts"))
+    kept = table.join(F.broadcast(counts), "lang").where("texts >= least").select("lang", "code", "texts").toArrow()
+    langs = kept.column("lang").to_numpy()
     codes, texts = (kept.column(n).to_numpy() for n in ("code", "texts"))
-    order = np.argsort(codes)
-    return Seen(codes[order], texts[order], least, frozenset(x for x, n in sizes.items() if n == 1))
-
-
-def _share(seen: Seen, b: Bundles, langs: list[str | None]) -> np.ndarray:
-    if not b.counts.size or not len(seen.codes):
-        return np.zeros(len(langs))
-    codes = _trigram_codes(b)
-    at = np.minimum(np.searchsorted(seen.codes, codes), len(seen.codes) - 1)
-    held = np.where(seen.codes[at] == codes, seen.texts[at], 0)
-    own = np.array([x is not None and x not in seen.single for x in langs])
-    alone, others = (b.counts @ (held >= seen.least + k).astype(np.float32) for k in (0, 1))
-    return (np.where(own, others, alone) / np.maximum(1, b.counts.sum(axis=1))).astype(np.float64)
-
-
-def _shares(seen: Seen):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in _batches(batches):
-            share = _share(seen, bundled(texts, 1), rows.column(rows.schema.get_field_index("lang")).to_pylist())
-            kept = {f.name: rows.column(i) for i, f in enumerate(rows.schema) if f.name not in ("text", "lang")}
-            yield pa.RecordBatch.from_pydict(kept | {"seen_share": pa.array(share)})
-
-    return run
+    tables = {}
+    for name in {r.lang for r in sizes}:
+        own = np.flatnonzero(langs == name)
+        own = own[np.argsort(codes[own])]
+        tables[name] = codes[own], texts[own]
+    return Seen(tables, {r.lang: r.least for r in sizes}, frozenset(r.lang for r in sizes if r.n == 1))
+
+
+def _share(seen: Seen, b: Bundles, named: list[str | None], langs: list[str | None]) -> np.ndarray:
+    """Of each bundled document's trigrams, the share that labelled texts of the language it is named as hold."""
+    share, codes = np.zeros(len(named)), _trigram_codes(b)
+    if not b.counts.size:
+        return share
+    named, langs = np.array(named, object), np.array(langs, object)
+    for name in {x for x in named if x in seen.tables}:
+        rows, (known, texts) = np.flatnonzero(named == name), seen.tables[name]
+        if not len(known):
+            continue
+        at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+        held = np.where(known[at] == codes, texts[at], 0)
+        own = (langs[rows] == name) & (name not in seen.single)  # a text does not count for itself
+        alone, others = (b.counts[rows] @ (held >= seen.least[name] + k).astype(np.float32) for k in (0, 1))
+        share[rows] = np.where(own, others, alone) / np.maximum(1, b.counts[rows].sum(axis=1))
+    return share
 
 
 def _kept(profiles: Profiles, seen: Seen, least: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in _batches(batches):
             b = bundled(texts, profiles.dims)
-            langs, _ = _nearest(profiles, b)
-            share = _share(seen, b, rows.column(rows.schema.get_field_index("lang")).to_pylist())
-            yield rows.filter(pa.array((share >= least) & np.array([x is not None for x in langs], bool)))
+            named, _ = _nearest(profiles, b)
+            share = _share(seen, b, named, rows.column(rows.schema.get_field_index("lang")).to_pylist())
+            yield rows.filter(pa.array((share >= least) & np.array([x is not None for x in named], bool)))
 
     return run
 
 
 def kept_rows(docs: DataFrame, profiles: Profiles, seen: Seen, least: float) -> DataFrame:
-    """The rows of ``docs (text, lang, ...)`` that ``identify`` gives a language and whose ``seen_share`` is ``least`` or more, with all their columns."""
-    return docs.mapInArrow(_kept(profiles, seen, least), docs.schema)
+    """The rows of ``docs (text, lang, ...)`` that the language which ``identify`` gives them bears out, with all their columns.
 
-
-def seen_shares(docs: DataFrame, seen: Seen, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``seen_share``: of the trigrams of each row of ``docs (text, lang)``, the share that labelled texts hold.
-
-    A text with a label does not count for itself, unless it is the only one of its
-    language. A text without letters has share 0, as has any text if none is labelled.
+    Of a row's letter trigrams, labelled texts of that very language must hold a share of ``least`` or more; what
+    other languages' texts hold does not count. A text of that label does not count for itself, unless it
+    is the only one of its language. A text without letters is in no language and goes, as does any text if none is labelled.
     """
-    rows = docs.select(*keep, "text", "lang")
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n not in ("text", "lang")) + ", seen_share double"
-    return rows.mapInArrow(_shares(seen), schema)
+    return docs.mapInArrow(_kept(profiles, seen, least), docs.schema)
 
 
 def _nearest(profiles: Profiles, b: Bundles) -> tuple[list[str | None], np.ndarray]:
